@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import packing, quality, token_files
+from . import chat, html_text, packing, quality, token_files, url_filter
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_token_files": token_files.op2_token_files,
         "op3_pack": packing.op3_pack,
+        "op5_url_filter": url_filter.op5_url_filter,
+        "op6_main_text": html_text.op6_main_text,
         "op7_host_quality": quality.op7_host_quality,
+        "op10_chat_format": chat.op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_host_quality": quality.ORACLE}
+    return {"op5_url_filter": url_filter.ORACLE, "op7_host_quality": quality.ORACLE, "op10_chat_format": chat.ORACLE}
