@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, html_text, packing, quality, token_files, url_filter
+from . import chat, decontaminate, html_text, packing, quality, simhash, token_files, url_filter
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_token_files": token_files.op2_token_files,
         "op3_pack": packing.op3_pack,
+        "op4_simhash": simhash.op4_simhash,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_main_text": html_text.op6_main_text,
         "op7_host_quality": quality.op7_host_quality,
@@ -19,4 +21,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.ORACLE, "op7_host_quality": quality.ORACLE, "op10_chat_format": chat.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op5_url_filter": url_filter.ORACLE, "op7_host_quality": quality.ORACLE, "op10_chat_format": chat.ORACLE}
