@@ -82,6 +82,12 @@ def contained_items(
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+    """Rows of ``docs``, all columns unchanged, that contain no test item by :func:`contained_items`."""
+    found = store(contained_items(docs, benchmark, containment=containment, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return join_checked(docs, found, F.col(id_col).cast("long") == F.col("_leak"), "left_anti")
+
+
 def op1_decontaminate(spark, sf_dir):
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

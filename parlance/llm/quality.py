@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from .common import join_checked, store, table, words_of
 
@@ -36,7 +37,7 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
     return n, len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated
 
 
-def document_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def document_counts(docs: DataFrame, *, id_col: str | None = None, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row of counts for each document, in one narrow pass."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,13 +45,17 @@ def document_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             c = pd.DataFrame([text_counts(t) for t in b["text"]], columns=[x.split()[0] for x in COUNTS.split(", ")], dtype="int64")
             yield pd.concat([b[["doc_id", "host"]].reset_index(drop=True), c], axis=1)
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
+    doc = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+    cols = docs.select(doc.alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     return cols.mapInPandas(count, f"doc_id long, host string, {COUNTS}")
 
 
-def rule_columns() -> dict[str, Column]:
+def rule_columns(prefix: str = "") -> dict[str, Column]:
     """Document rules; each is true where the document fails it."""
-    c = F.col
+
+    def c(name: str) -> Column:
+        return F.col(prefix + name)
+
     return {
         "short": c("n_words") < 50,
         "repeated": 100 * c("n_repeat_words") > 50 * c("n_words"),
@@ -103,6 +108,32 @@ def host_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def drop_low_quality(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
+    """Rows of ``docs``, all columns unchanged, that :func:`host_quality` keeps. Texts are counted again, not shuffled."""
+    counts = store(document_counts(docs, text_col=text_col, host_col=host_col), "counts")
+    rates = host_rates(counts).select(F.col("host").alias("_q_host"), *[F.col(f"rate_{k}").alias(f"_q_rate_{k}") for k in rule_columns()])
+    names = [x.split()[0] for x in COUNTS.split(", ")]
+
+    def add(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            got = list(zip(*[text_counts(t) for t in texts])) if texts else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v, pa.int64()) for v in got]], [*b.schema.names, *[f"_q_{n}" for n in names]])
+
+    out = StructType(list(docs.schema))
+    for n in names:
+        out = out.add(f"_q_{n}", "long")
+    counted = docs.mapInArrow(add, out)
+    joined = join_checked(counted, store(rates, "rates"), F.col(host_col).cast("string").eqNullSafe(F.col("_q_host")), "left")
+    rules = rule_columns("_q_")
+    drop = rules["short"] | rules["repeated"]
+    for k, failed in rules.items():
+        drop = drop | (failed & (F.col(f"_q_rate_{k}") > host_rate))
+    return joined.filter(~drop).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op7_host_quality(spark, sf_dir):
     return host_quality(table(spark, sf_dir, "documents")).drop("host")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, decontaminate, html_text, packing, quality, simhash, token_files, url_filter
+from . import chat, decontaminate, html_text, lm, packing, quality, simhash, token_files, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable]:
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_main_text": html_text.op6_main_text,
         "op7_host_quality": quality.op7_host_quality,
+        "op8_lm_score": lm.op8_lm_score,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_chat_format": chat.op10_chat_format,
     }
 

@@ -198,5 +198,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, limit: int = 4, id_col:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, *, width: int = 4, limit: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of :func:`near_duplicates`, that of the smallest doc_id, all columns unchanged."""
+    classes = near_duplicates(docs, width=width, limit=limit, id_col=id_col, text_col=text_col)
+    keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+
+
 def op4_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
