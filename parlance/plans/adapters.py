@@ -114,8 +114,8 @@ SQL = {
     "v_words": "SELECT utt, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM v_text",
     "v_pairs": "SELECT utt, pos, 0 AS k, word AS ref, CASE WHEN pos % 7 = 0 THEN '<eps>' WHEN pos % 11 = 0 THEN 'zz' || word ELSE word END AS hyp FROM v_words WHERE pos <= 60 UNION ALL SELECT utt, pos, 1, '<eps>', word FROM v_words WHERE pos <= 60 AND pos % 13 = 0",
     "v_ctm0": "SELECT conv_id, turn, conv_id || '-' || turn AS utt, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations",
-    "v_ctm": "SELECT utt, '1' AS channel, round(0.4 * (pos - 1), 2) AS start, CASE WHEN length(word) % 2 = 0 THEN 0.3 ELSE 0.4 END::DOUBLE AS dur, word, (length(word) % 10) / 10.0::DOUBLE AS conf, pos FROM (SELECT utt, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM v_ctm0)",
-    "v_segments": "SELECT utt, conv_id::VARCHAR AS rec, turn * 100.0::DOUBLE AS start, round(turn * 100.0 + 0.4 * len(w) + 1, 2)::DOUBLE AS \"end\" FROM v_ctm0 WHERE len(w) > 0",
+    "v_ctm": "SELECT utt, '1' AS channel, round(0.4::DOUBLE * (pos - 1), 2) AS start, CASE WHEN length(word) % 2 = 0 THEN 0.3 ELSE 0.4 END::DOUBLE AS dur, word, (length(word) % 10) / 10.0::DOUBLE AS conf, pos FROM (SELECT utt, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM v_ctm0)",
+    "v_segments": "SELECT utt, conv_id::VARCHAR AS rec, turn * 100.0::DOUBLE AS start, round(turn * 100.0::DOUBLE + 0.4::DOUBLE * len(w) + 1, 2) AS \"end\" FROM v_ctm0 WHERE len(w) > 0",
     "v_reco2file": "SELECT DISTINCT rec, 'f' || rec AS file, 'A' AS channel FROM v_segments",
     "v_labelseg": "SELECT user_id::VARCHAR AS rec, event_type AS label, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 10000 AS start_cs, ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 10000 + round(value * 60000))::BIGINT AS end_cs, event_id FROM events",
     "v_touching": "SELECT * FROM (SELECT rec, label, start_cs, lead(start_cs) OVER (PARTITION BY rec ORDER BY start_cs, event_id) AS end_cs, event_id FROM v_labelseg) WHERE end_cs IS NOT NULL",
@@ -126,7 +126,7 @@ SQL = {
     "v_symtab": "SELECT word AS sym, row_number() OVER (ORDER BY word) + 2 AS id FROM v_lexicon",
     "v_feats": "SELECT vec_id::VARCHAR AS utt, label::VARCHAR AS spk, vec_id, embedding::DOUBLE[] AS vec FROM embeddings",
     "v_top": "SELECT word, 'KW-' || row_number() OVER (ORDER BY n DESC, word) AS kwid FROM (SELECT word, count(*) AS n FROM v_ctm GROUP BY word ORDER BY n DESC, word LIMIT 50)",
-    "v_hits": "SELECT kwid, string_split(utt, '-')[1] AS file, channel, start AS tbeg, dur, 0.05 + conf AS score, utt, pos FROM v_ctm JOIN v_top USING (word)",
+    "v_hits": "SELECT kwid, string_split(utt, '-')[1] AS file, channel, start AS tbeg, dur, 0.05::DOUBLE + conf AS score, utt, pos FROM v_ctm JOIN v_top USING (word)",
 }
 
 
