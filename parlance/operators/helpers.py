@@ -58,6 +58,6 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "n") -> DataF
     Unlike ``row_number`` over an unpartitioned window, no task sees more than its own range.
     """
     sort = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    before = sort.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
-    return sort.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_n", "_first", "_before")
+    before = sort.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_at").alias("_first"))
+    before = before.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size"))
+    return sort.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_size", "_first", "_before")

@@ -1 +1,194 @@
-"""Registered queries."""
+"""Registered queries: language-model and lexicon statistics, feature tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import features as ft, lexical as x
+from . import adapters as v
+from .adapters import query
+
+c = F.col
+r6 = lambda k: F.round(k, 6)
+
+
+@query("l1_unigram_model", "WITH n AS (SELECT word, count(*) AS n FROM v_words GROUP BY word UNION ALL SELECT '</s>', count(*) FROM v_text) SELECT word, round(-ln(n / (SELECT sum(n) FROM n)), 6) AS cost FROM n")
+def l1(s, sf):
+    return x.unigram_model(v.text(s, sf)).withColumn("cost", r6("cost"))
+
+
+@query("l2_bigram_model", "WITH w AS (SELECT utt, pos, word FROM v_words WHERE pos <= 30 UNION ALL SELECT utt, 0, '<s>' FROM v_text UNION ALL SELECT utt, 99, '</s>' FROM v_text), b AS (SELECT word AS v, lead(word) OVER (PARTITION BY utt ORDER BY pos) AS w FROM w), n AS (SELECT v, w, count(*) AS n FROM b WHERE w IS NOT NULL GROUP BY v, w) SELECT v, w, round(-ln(n / sum(n) OVER (PARTITION BY v)), 6) AS cost FROM n")
+def l2(s, sf):
+    return x.bigram_model(v.words(s, sf).filter("pos <= 30")).withColumn("cost", r6("cost"))
+
+
+NG = "g AS (SELECT unnest([1, 2, 3]) AS len, words FROM v_text), e AS (SELECT len, array_to_string(words[i:i + len - 1], ' ') AS gram FROM (SELECT len, words, unnest(range(1, len(words) - len + 2)) AS i FROM g)), n AS (SELECT len, gram, count(*) AS n FROM e GROUP BY len, gram)"
+
+
+@query("l3_trigram_counts", f"WITH {NG} SELECT gram, n FROM n WHERE len = 3 AND n >= 2")
+def l3(s, sf):
+    return x.ngrams(v.text(s, sf), 3).filter("n >= 2")
+
+
+@query("l3_example_keywords", f"WITH {NG}, k AS (SELECT *, row_number() OVER (PARTITION BY len ORDER BY n, gram) AS k FROM n WHERE n <= 100 AND n >= CASE len WHEN 1 THEN 20 WHEN 2 THEN 4 ELSE 3 END) SELECT len, gram, n FROM k WHERE k <= CASE len WHEN 3 THEN 10 ELSE 20 END")
+def l3b(s, sf):
+    return x.example_keywords(v.text(s, sf))
+
+
+@query("l4_utterance_mix", "WITH t AS (SELECT word, count(*) / (SELECT count(*) FROM v_words) AS p FROM v_words GROUP BY word ORDER BY count(*) DESC, word LIMIT 20), u AS (SELECT utt, word, 1.0::DOUBLE / count(*) OVER (PARTITION BY utt) AS p FROM v_words UNION ALL SELECT utt, t.word, t.p FROM v_text, t) SELECT utt, word, round(sum(p), 6) AS p FROM u GROUP BY utt, word")
+def l4(s, sf):
+    from ..operators.aggs import top_words
+
+    return x.utterance_mix(v.text(s, sf), top_words(v.words(s, sf), 20).select("word", c("share").alias("p"))).withColumn("p", r6("p"))
+
+
+CP = "n AS (SELECT word, count(*) AS n FROM v_words GROUP BY word), o AS (SELECT * FROM n WHERE word NOT IN (SELECT word FROM n ORDER BY n DESC, word LIMIT 500)), cp AS (SELECT word, n / (SELECT sum(n) FROM o) AS p FROM o)"
+
+
+def _class(s, sf):
+    return x.class_probs(v.words(s, sf).groupBy("word").agg(F.count("*").alias("n")), 500)
+
+
+@query("l5_class_probs", f"WITH {CP} SELECT word, round(p, 9) AS p FROM cp")
+def l5(s, sf):
+    return _class(s, sf).withColumn("p", F.round("p", 9))
+
+
+@query("l6_oov_logprob", f"WITH {CP} SELECT utt, round(coalesce(sum(CASE WHEN length(word) > 4 THEN ln(coalesce(p, 1e-7)) END), 0), 4) AS logprob FROM v_words LEFT JOIN cp USING (word) GROUP BY utt")
+def l6(s, sf):
+    w = v.words(s, sf)
+    return x.oov_logprob(w, w.filter("length(word) <= 4").select("word").distinct(), _class(s, sf)).withColumn("logprob", F.round("logprob", 4))
+
+
+def _arpa(s, sf):
+    t = v.text(s, sf)
+    out = None
+    for n in (1, 2):
+        g = x.ngrams(t, n).filter("n >= 5").select(F.lit(n).alias("n"), F.split("gram", " ").alias("words"), (-F.log10(c("n") * 1.0)).alias("logprob"), (F.lit(-0.3) if n == 1 else F.lit(None)).cast("double").alias("backoff"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+@query("l7_arpa_oovs", f"WITH {NG} SELECT gram AS word FROM n WHERE len = 1 AND n >= 5 AND gram NOT IN (SELECT sym FROM v_symtab WHERE id % 2 = 0)")
+def l7(s, sf):
+    return x.arpa_oovs(_arpa(s, sf), v.symtab(s, sf).filter("id % 2 = 0").select(c("sym").alias("word")))
+
+
+@query("l8_map_arpa", f"WITH {NG}, a AS (SELECT len, gram, n, string_split(gram, ' ') AS w FROM n WHERE len < 3 AND n >= 5), m AS (SELECT len, gram, n, i, id FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM a) LEFT JOIN v_symtab ON sym = w[i]) SELECT len AS n, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids, round(-log10(any_value(n)), 6) AS logprob FROM m GROUP BY len, gram HAVING count(id) = len")
+def l8(s, sf):
+    return x.map_arpa(_arpa(s, sf), v.symtab(s, sf)).select("n", F.array_join(c("ids").cast("array<string>"), " ").alias("ids"), r6("logprob").alias("logprob"))
+
+
+@query("l10_symbol_table", "SELECT sym, id FROM v_symtab UNION ALL SELECT * FROM (VALUES ('<eps>', 0), ('<unk>', 1), ('SIL', 2)) UNION ALL SELECT '#0', max(id) + 1 FROM v_symtab")
+def l10(s, sf):
+    return x.symbol_table(v.lexicon(s, sf).select("word"))
+
+
+@query("l11_disambiguate", "WITH l AS (SELECT word, array_to_string(list_transform(phones[:greatest(1, len(phones) - 1)], lambda q: q), ' ') AS p FROM v_lexicon), pre AS (SELECT DISTINCT array_to_string(string_split(p, ' ')[:i], ' ') AS p FROM (SELECT p, unnest(range(1, len(string_split(p, ' ')))) AS i FROM l)), k AS (SELECT word, p, row_number() OVER (PARTITION BY p ORDER BY word) AS k, count(*) OVER (PARTITION BY p) AS n FROM l) SELECT word, CASE WHEN n > 1 OR p IN (SELECT p FROM pre) THEN p || ' #' || k ELSE p END AS pron FROM k")
+def l11(s, sf):
+    lx = v.lexicon(s, sf).select("word", F.slice("phones", F.lit(1), F.greatest(F.lit(1), F.size("phones") - 1)).alias("phones"))
+    return x.disambiguate(lx)
+
+
+def _rules(s, sf):
+    return x.suffix_rules(v.lexicon(s, sf), min_count=400, max_suffix=2)
+
+
+RU = """ct AS (SELECT word, word[1:i] AS stem, word[i + 1:] AS suffix FROM (SELECT word, unnest(range(greatest(3, length(word) - 2), length(word) + 1)) AS i FROM v_lexicon WHERE length(word) >= 3)),
+ of AS (SELECT suffix FROM ct GROUP BY suffix HAVING count(*) >= 400), cc AS (SELECT * FROM ct WHERE suffix IN (SELECT suffix FROM of)),
+ ru AS (SELECT a.suffix, b.suffix AS base_suffix, array_to_string(string_split(a.suffix, ''), '_') AS psuffix, array_to_string(string_split(b.suffix, ''), '_') AS base_psuffix, count(*) AS n FROM cc a JOIN cc b USING (stem) WHERE a.suffix <> b.suffix AND (a.suffix = '' OR b.suffix = '' OR a.suffix[1] <> b.suffix[1]) GROUP BY ALL HAVING count(*) >= 400)"""
+
+
+@query("l12_suffix_rules", f"WITH {RU} SELECT * FROM ru")
+def l12(s, sf):
+    return _rules(s, sf)
+
+
+@query("l14_candidate_prons", f"""WITH {RU}, w AS (SELECT word FROM v_lexicon WHERE length(word) = 9), k AS (SELECT word, word[1:i] AS stem, word[i + 1:] AS suffix FROM (SELECT word, unnest([7, 8, 9]) AS i FROM w))
+ SELECT k.word, array_to_string(string_split(k.word, ''), ' ') AS pron, l.word AS base_word, suffix || ',' || base_suffix || ',' || psuffix || ',' || base_psuffix AS rule FROM k JOIN ru USING (suffix) JOIN v_lexicon l ON l.word = stem || base_suffix""")
+def l14(s, sf):
+    lx = v.lexicon(s, sf)
+    return x.candidate_prons(lx.filter("length(word) = 9"), _rules(s, sf), lx, max_suffix=2).select("word", "pron", "base_word", "rule")
+
+
+@query("l17_stress_questions", "WITH p AS (SELECT DISTINCT word[1:2] || (length(word) % 3) AS phone, word[1:2] AS b, length(word) % 3 AS d FROM v_lexicon) SELECT 'base ' || b AS question, string_agg(phone, ' ' ORDER BY phone) AS phones FROM p GROUP BY b UNION ALL SELECT 'stress ' || d, string_agg(phone, ' ' ORDER BY phone) FROM p GROUP BY d")
+def l17(s, sf):
+    return x.stress_questions(v.lexicon(s, sf).select(F.concat(F.substring("word", 1, 2), F.length("word") % 3).alias("phone")))
+
+
+KW = "WITH b AS (SELECT word AS w1, lead(word) OVER w AS w2, start, round(start + dur, 2) AS e1, lead(start) OVER w AS s2, round(lead(start + dur) OVER w, 2) AS e2, utt FROM v_ctm WINDOW w AS (PARTITION BY utt ORDER BY pos)), k AS (SELECT w1 || ' ' || w2 AS t FROM b WHERE w2 IS NOT NULL GROUP BY t HAVING count(*) >= 30), n AS (SELECT t, 'KW-' || lpad((row_number() OVER (ORDER BY t))::VARCHAR, 4, '0') AS kwid FROM k)"
+
+
+def _phrases(s, sf):
+    return x.ngrams(v.ctm(s, sf).groupBy("utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda z: z["word"]).alias("words")), 2).filter("n >= 30").select(c("gram").alias("text"))
+
+
+@query("l18_keyword_table", KW + " SELECT kwid, t AS text FROM n WHERE string_split(t, ' ')[1] <> 'the' AND string_split(t, ' ')[2] <> 'the'")
+def l18(s, sf):
+    sym = v.ctm(s, sf).select(c("word").alias("sym")).distinct().filter("sym <> 'the'")
+    return x.keyword_table(_phrases(s, sf), sym)
+
+
+@query("l19_keyword_search", KW + " SELECT kwid, utt, start AS tbeg, round(e2 - start, 2) AS dur FROM b JOIN n ON t = w1 || ' ' || w2 WHERE round(s2 - e1, 2) <= 0.05")
+def l19(s, sf):
+    sym = v.ctm(s, sf).select(c("word").alias("sym")).distinct()
+    return x.keyword_search(v.ctm(s, sf), x.keyword_table(_phrases(s, sf), sym), 0.05)
+
+
+@query("l16_acronym_prons", "WITH w AS (SELECT DISTINCT upper(word) AS word FROM v_words WHERE length(word) <= 2) SELECT word, array_to_string(string_split(word, ''), ' ') AS pron FROM w UNION ALL SELECT word, 'DBL ' || word[1] FROM w WHERE length(word) = 2 AND word[1] = word[2]")
+def l16(s, sf):
+    letters = s.createDataFrame([(chr(k), [chr(k)]) for k in range(65, 91)] + [("double", ["DBL"]), ("triple", ["TPL"])], "letter string, phones array<string>")
+    return x.acronym_prons(v.words(s, sf).filter("length(word) <= 2").select(F.upper("word").alias("word")).distinct(), letters)
+
+
+MU = "m AS (SELECT spk, dim, avg(v) AS mu FROM (SELECT spk, unnest(range(0, len(vec))) AS dim, unnest(vec) AS v FROM v_feats) GROUP BY ALL)"
+
+
+@query("f1_apply_cmvn", f"WITH {MU}, e AS (SELECT utt, spk, unnest(range(0, len(vec))) AS dim, unnest(vec) AS v FROM v_feats) SELECT utt, round(sum((v - mu) * (dim + 1)), 4) AS z FROM e JOIN m USING (spk, dim) GROUP BY utt")
+def f1(s, sf):
+    from ..operators.aggs import speaker_stats
+
+    n = ft.apply_cmvn(v.feats(s, sf), speaker_stats(v.feats(s, sf)))
+    return n.select("utt", F.round(F.aggregate(F.transform("vec", lambda a, i: a * (i + 1)), F.lit(0.0), lambda a, b: a + b), 4).alias("z"))
+
+
+@query("f2_select_dims", "SELECT utt, round(vec[1] + vec[2] * 2 + vec[6] * 3, 6) AS z, 3 AS dim FROM v_feats")
+def f2(s, sf):
+    n = ft.select_dims(v.feats(s, sf), "0-1,5")
+    return n.select("utt", r6(c("vec")[0] + c("vec")[1] * 2 + c("vec")[2] * 3).alias("z"), F.size("vec").alias("dim"))
+
+
+FR = "fr AS (SELECT 'u' || (vec_id // 10) AS utt, vec_id % 10 AS frame, vec_id, list_sum(vec) AS t FROM v_feats)"
+
+
+def _frames(s, sf):
+    return v.feats(s, sf).select(F.concat(F.lit("u"), F.floor(c("vec_id") / 10)).alias("utt"), (c("vec_id") % 10).alias("frame"), F.array(F.aggregate("vec", F.lit(0.0), lambda a, b: a + b)).alias("vec"))
+
+
+@query("f3_splice_frames", f"WITH {FR}, w AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS n FROM fr WINDOW w AS (PARTITION BY utt ORDER BY frame)) SELECT utt, frame, round(coalesce(p, t) + 2 * t + 3 * coalesce(n, t), 4) AS z FROM w")
+def f3(s, sf):
+    n = ft.splice(_frames(s, sf), 1, 1)
+    return n.select("utt", "frame", F.round(c("vec")[0] + 2 * c("vec")[1] + 3 * c("vec")[2], 4).alias("z"))
+
+
+@query("f4_temporal_dct", f"WITH {FR}, w AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS n FROM fr WINDOW w AS (PARTITION BY utt ORDER BY frame)) SELECT utt, frame, round(sqrt(2 / 3) * (coalesce(p, t) * cos(pi() / 3 * 0.5) + t * cos(pi() / 3 * 1.5) + coalesce(n, t) * cos(pi() / 3 * 2.5)), 4) AS z FROM w")
+def f4(s, sf):
+    return ft.temporal_dct(_frames(s, sf), 1, 2).select("utt", "frame", F.round(c("vec")[1], 4).alias("z"))
+
+
+@query("f5_hamming_weight", f"WITH {FR}, w AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS n FROM fr WINDOW w AS (PARTITION BY utt ORDER BY frame)) SELECT utt, frame, round(0.08 * coalesce(p, t) + t + 0.08 * coalesce(n, t), 4) AS z FROM w")
+def f5(s, sf):
+    return ft.hamming(_frames(s, sf), 1).select("utt", "frame", F.round(F.aggregate("vec", F.lit(0.0), lambda a, b: a + b), 4).alias("z"))
+
+
+@query("f6_feature_coverage", "SELECT count(*) AS n_utts, count(*) FILTER (utt IN (SELECT utt FROM v_feats)) AS n_feats, count(*) FILTER (utt IN (SELECT utt FROM v_feats)) < 0.95 * count(*) AS serious FROM v_utt2spk")
+def f6(s, sf):
+    return ft.coverage(v.feats(s, sf), v.utt2spk(s, sf))
+
+
+@query("f7_speaker_vector_to_utts", f"WITH {MU}, t AS (SELECT spk, sum(mu * (dim + 1)) AS z FROM m GROUP BY spk) SELECT utt, round(z, 4) AS z FROM v_feats JOIN t USING (spk)")
+def f7(s, sf):
+    from ..operators.aggs import speaker_stats
+
+    z = speaker_stats(v.feats(s, sf)).groupBy("spk").agg(F.round(F.sum(c("s") / c("n") * (c("dim") + 1)), 4).alias("z"))
+    return ft.spread_to_utterances(z, v.feats(s, sf).select("utt", "spk"))
