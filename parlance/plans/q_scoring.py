@@ -1 +1,87 @@
-"""Registered queries."""
+"""Registered queries: scoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import scoring as q
+from ..operators.helpers import ordered_list
+from . import adapters as v
+from .adapters import query
+
+c = F.col
+
+
+def _sides(s, sf):
+    p = v.pairs(s, sf)
+    ref = p.filter("ref <> '<eps>'").groupBy("utt").agg(ordered_list(["pos", "k"], "ref").alias("words"))
+    hyp = p.filter("hyp <> '<eps>'").groupBy("utt").agg(ordered_list(["pos", "k"], "hyp").alias("words"))
+    return ref, hyp
+
+
+@query("q1_align_tokens")
+def q1(s, sf):
+    return q.align(*_sides(s, sf))
+
+
+@query("q2_corpus_wer")
+def q2(s, sf):
+    return q.corpus_wer(*_sides(s, sf))
+
+
+@query("q4_pretty_alignment", """WITH o AS (SELECT utt, pos, k, ref, hyp, CASE WHEN hyp = '<eps>' THEN 'D' WHEN ref = '<eps>' THEN 'I' WHEN ref <> hyp THEN 'S' ELSE 'C' END AS op, greatest(length(ref), length(hyp)) AS w FROM v_pairs)
+ SELECT utt, string_agg(rpad(repeat(' ', ((w - length(ref)) // 2)::INT) || ref, w::INT, ' '), ' ' ORDER BY pos, k) AS ref, string_agg(rpad(repeat(' ', ((w - length(hyp)) // 2)::INT) || hyp, w::INT, ' '), ' ' ORDER BY pos, k) AS hyp, string_agg(rpad(repeat(' ', ((w - 1) // 2)::INT) || op, w::INT, ' '), ' ' ORDER BY pos, k) AS op FROM o GROUP BY utt""")
+def q4(s, sf):
+    return q.pretty(v.pairs(s, sf))
+
+
+def _nbest(s, sf):
+    return v.scores(s, sf).select(c("event_id").cast("string").alias("utt"), c("model").alias("hyp"), (-c("score")).alias("lm"), (-c("score") * 3 % 7).alias("ac"), (F.length("label") + F.substring("model", 2, 1).cast("int")).alias("n_words"))
+
+
+@query("q5_score_grid", "WITH n AS (SELECT event_id::VARCHAR AS utt, model AS hyp, -score AS lm, -score * 3 % 7 AS ac, length(label) + model[2]::INT AS n FROM v_scores), g AS (SELECT unnest([9, 14, 20]) AS lmwt), p AS (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS penalty) SELECT utt, lmwt, penalty, arg_min(hyp, [round(lm * lmwt + ac + penalty * n, 6), hyp[2:]::DOUBLE]) AS hyp FROM n, g, p GROUP BY ALL")
+def q5(s, sf):
+    grid = s.createDataFrame([(a, b) for a in (9, 14, 20) for b in (0.0, 0.5, 1.0)], "lmwt int, penalty double")
+    return q.nbest_pick(_nbest(s, sf), grid)
+
+
+DEC = "th AS (SELECT kwid, sum(score) / (3600.0 / 999.9 + 998.9 / 999.9 * sum(score)) AS t FROM v_hits GROUP BY kwid)"
+
+
+@query("q6_keyword_decisions", f"WITH {DEC}, n AS (SELECT *, (1 - t) * score / ((1 - t) * score + (1 - score) * t) AS s FROM v_hits JOIN th USING (kwid)) SELECT kwid, utt, pos, round(s, 6) AS score, CASE WHEN s > 0.5 THEN 'YES' ELSE 'NO' END AS decision FROM n")
+def q6(s, sf):
+    return q.keyword_decisions(v.hits(s, sf), normalize=True).select("kwid", "utt", "pos", F.round("score", 6).alias("score"), "decision")
+
+
+@query("q6_keyword_cutoff", f"""WITH {DEC}, n AS (SELECT *, score > t AS y FROM v_hits JOIN th USING (kwid)), r AS (SELECT *, count(*) FILTER (y) OVER (PARTITION BY kwid) AS ny, row_number() OVER w AS r, sum(y::INT) OVER (PARTITION BY kwid ORDER BY score DESC, file, tbeg, utt, pos ROWS UNBOUNDED PRECEDING) AS yr FROM n WINDOW w AS (PARTITION BY kwid ORDER BY score DESC, file, tbeg, utt, pos))
+ SELECT kwid, utt, pos, CASE WHEN (ny > 20 AND r > 1) OR (y AND yr > 10) THEN 0.0::DOUBLE ELSE round(score, 6) END AS score, CASE WHEN (ny > 20 AND r > 1) OR (y AND yr > 10) OR NOT y THEN 'NO' ELSE 'YES' END AS decision FROM r""")
+def q6b(s, sf):
+    return q.keyword_decisions(v.hits(s, sf), yes_cutoff=10).select("kwid", "utt", "pos", F.round("score", 6).alias("score"), "decision")
+
+
+@query("q7_raw_hits", "SELECT kwid, 'f' || rec AS file, round(round(pos * 7 * 0.01::DOUBLE, 2) + start, 2) AS tbeg, round(round((pos * 7 + 30) * 0.01::DOUBLE, 2) - round(pos * 7 * 0.01::DOUBLE, 2), 2) AS dur, round(exp(-score), 6) AS score FROM v_hits JOIN v_segments USING (utt)")
+def q7(s, sf):
+    h = v.hits(s, sf).select("kwid", "utt", (c("pos") * 7).alias("first"), (c("pos") * 7 + 30).alias("last"), c("score").alias("cost"))
+    seg = v.segments(s, sf)
+    return q.raw_hits(h, seg, seg.select("utt", F.concat(F.lit("f"), "rec").alias("file"))).withColumn("score", F.round("score", 6))
+
+
+@query("q8_alignment_quality", """WITH a AS (SELECT utt, pos, CASE WHEN pos % 8 = 0 THEN '<unk>' WHEN pos % 8 = 1 THEN 'SIL' ELSE word END AS word FROM v_words WHERE pos <= 60 OR utt::BIGINT % 2 = 0), n AS (SELECT *, lag(word) OVER w AS p1, lag(word, 2) OVER w AS p2, lead(word) OVER w AS n1, lead(word, 2) OVER w AS n2 FROM a WINDOW w AS (PARTITION BY utt ORDER BY pos)),
+ f AS (SELECT utt, word NOT IN ('<unk>', 'SIL') AS r, coalesce(p1 = '<unk>' OR (p1 = 'SIL' AND p2 = '<unk>') OR n1 = '<unk>' OR (n1 = 'SIL' AND n2 = '<unk>'), false) AS low FROM n), g AS (SELECT utt, count(*) FILTER (r) AS got, count(*) FILTER (r AND low) AS n_low FROM f GROUP BY utt) SELECT utt, got, n_low, len(words) AS want, got < 0.8 * len(words) AS failed FROM g JOIN v_text USING (utt)""")
+def q8(s, sf):
+    k = c("pos") % 8
+    a = v.words(s, sf).filter("pos <= 60 or cast(utt as long) % 2 = 0").withColumn("word", F.when(k == 0, "<unk>").when(k == 1, "SIL").otherwise(c("word")))
+    return q.alignment_quality(a, v.text(s, sf))
+
+
+@query("q9_oracle_error")
+def q9(s, sf):
+    ref, hyp = _sides(s, sf)
+    short = hyp.select("utt", F.lit("b").alias("hyp"), F.slice("words", 1, 10).alias("words"))
+    return q.oracle_error(hyp.select("utt", F.lit("a").alias("hyp"), "words").unionByName(short), ref)
+
+
+@query("q10_rescore_nbest", "SELECT event_id::VARCHAR AS utt, round(min(length(label) + 0.3 * -score + 0.7 * (abs(score) - 1)), 6) AS cost FROM v_scores GROUP BY event_id")
+def q10(s, sf):
+    n = v.scores(s, sf).select(c("event_id").cast("string").alias("utt"), c("model").alias("hyp"), F.length("label").alias("graph"), (-c("score")).alias("rnn"), F.abs("score").alias("withlm"), F.lit(1.0).alias("nolm"))
+    return q.rescore(n, 0.3).select("utt", F.round("cost", 6).alias("cost"))

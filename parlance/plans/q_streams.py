@@ -1 +1,58 @@
-"""Registered queries."""
+"""Registered queries: streams over the events table, each equal to its batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import streams as t
+from .adapters import query, table
+
+c = F.col
+
+
+def _stream(s, sf):
+    return t.read_events(s, sf, table(s, sf, "events").schema)
+
+
+@query("t1_latest_job_status", "SELECT username, arg_max(status, [epoch_us(creation), event_id]) AS status, arg_max(event_id, [epoch_us(creation), event_id]) AS event_id, count(*) AS n FROM v_jobs GROUP BY username")
+def t1(s, sf):
+    k = F.create_map(*[F.lit(x) for x in ("signup", "P", "view", "Q", "click", "R", "purchase", "N", "error", "E")])
+    e = _stream(s, sf).select(c("user_id").cast("string").alias("username"), k[c("event_type")].alias("status"), "at", "event_id")
+    return t.run_available(t.latest_status(e))
+
+
+@query("t2_active_tokens", "SELECT event_id, user_id FROM events WHERE ts + INTERVAL 1 DAY >= TIMESTAMP '2024-01-15'")
+def t2(s, sf):
+    e = _stream(s, sf).withColumn("expiry", c("at") + F.expr("interval 1 day"))
+    return t.run_available(t.active_tokens(e, F.lit("2024-01-15 00:00:00").cast("timestamp")).select("event_id", "user_id"), "append")
+
+
+@query("t3_speech_sessions", "WITH p AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), i AS (SELECT *, sum(CASE WHEN ts - b < INTERVAL 2 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM p) SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 2 HOUR) AS \"end\", count(*) AS n FROM i GROUP BY user_id, k")
+def t3(s, sf):
+    out = t.run_available(t.sessions(_stream(s, sf), "2 hours"))
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
+@query("t4_tumbling_chunks", "SELECT epoch_us(ts) // 600000000 * 600000000 AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def t4(s, sf):
+    return t.run_available(t.chunks(_stream(s, sf), "600 seconds")).withColumn("start", F.unix_micros("start"))
+
+
+@query("t5_sliding_chunks", "WITH w AS (SELECT unnest([epoch_us(ts) // 25000000, epoch_us(ts) // 25000000 - 1]) * 25000000 AS start, epoch_us(ts) AS t, value FROM events) SELECT start, count(*) AS n, round(sum(value), 4) AS total FROM w WHERE t < start + 30000000 GROUP BY start")
+def t5(s, sf):
+    return t.run_available(t.chunks(_stream(s, sf), "30 seconds", "25 seconds")).withColumn("start", F.unix_micros("start"))
+
+
+@query("t6_running_mean", "SELECT event_id, user_id, count(*) OVER w AS n, round(sum(value) OVER w, 2) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def t6(s, sf):
+    return t.run_available(t.running_mean(_stream(s, sf)), "append").select("event_id", "user_id", "n", F.round("total", 2).alias("total"))
+
+
+@query("t7_dedup_hits_stream")
+def t7(s, sf):
+    return t.run_available(t.dedup_hits(_stream(s, sf), 3600.0), "append")
+
+
+@query("t8_windows_after_watermark", "WITH w AS (SELECT epoch_us(ts) // 600000000 * 600000000 AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1) SELECT * FROM w WHERE start + 600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000")
+def t8(s, sf):
+    return t.run_available(t.chunks(_stream(s, sf), "600 seconds"), "append").withColumn("start", F.unix_micros("start"))

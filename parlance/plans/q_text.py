@@ -1 +1,119 @@
-"""Registered queries."""
+"""Registered queries: text, numbers, HTML, sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as x
+from ..operators.helpers import ordered_list
+from . import adapters as v
+from .adapters import query, table
+
+c = F.col
+
+
+@query("x1_standardise_text", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[\\x00-\\x1f\\x7f]', '', 'g')) AS text FROM documents")
+def x1(s, sf):
+    return table(s, sf, "documents").select("doc_id", x.standardise(c("text")).alias("text"))
+
+
+@query("x2_html_to_text")
+def x2(s, sf):
+    return x.html_to_text(table(s, sf, "pages"), "page_id", "html")
+
+
+@query("x3_html_to_text_map")
+def x3(s, sf):
+    return x.html_to_text(table(s, sf, "pages"), "page_id", "html", True).select("id", "text", F.size("places").alias("n"), F.array_max("places.page").alias("last"))
+
+
+@query("x4_strip_timing_tags", "SELECT page_id, regexp_replace(html, '<p>', '', 'g') AS html FROM pages")
+def x4(s, sf):
+    h = F.regexp_replace("html", "<p>", '<time type="mark" datetime="1.0"></time><conf c="1"></conf>')
+    return table(s, sf, "pages").select("page_id", x.strip_timing(h).alias("html"))
+
+
+@query("x5_insert_timing_tags", "SELECT page_id AS id, html[1:10] || '<conf>' || html[11:20] || '<time>' || html[21:] AS html FROM pages")
+def x5(s, sf):
+    p = table(s, sf, "pages").select(c("page_id").alias("id"), "html")
+    t = p.select("id", F.lit(20).alias("at"), F.lit("<time>").alias("tag")).unionByName(p.select("id", F.lit(10).alias("at"), F.lit("<conf>").alias("tag")))
+    return x.insert_tags(p, t).select("id", "html")
+
+
+def _numbers(s, sf):
+    return table(s, sf, "orders").select(c("o_orderkey").cast("string").alias("utt"), F.lit(1).alias("pos"), (c("o_orderkey") * 37).cast("string").alias("word"))
+
+
+@query("x6_verbalise_numbers_en")
+def x6(s, sf):
+    return x.verbalise(_numbers(s, sf), "en", "expand")
+
+
+@query("x7_verbalise_numbers_af")
+def x7(s, sf):
+    return x.verbalise(_numbers(s, sf), "af")
+
+
+@query("x8_group_phrase", "WITH g AS (SELECT spk, list(utt ORDER BY utt) AS u FROM v_utt2spk WHERE length(utt) < 3 GROUP BY spk) SELECT spk, CASE WHEN len(u) = 1 THEN u[1] ELSE array_to_string(u[:len(u) - 1], ', ') || ' and ' || u[len(u)] END AS phrase FROM g")
+def x8(s, sf):
+    return v.utt2spk(s, sf).filter("length(utt) < 3").groupBy("spk").agg(ordered_list(["utt"], "utt").alias("u")).select("spk", x.enumerate_phrase(c("u")).alias("phrase"))
+
+
+@query("x9_token_spans", "SELECT doc_id AS id, 'mail' AS kind, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+@[a-z.]+')) FROM documents) GROUP BY 1 UNION ALL SELECT doc_id, 'number', count(*) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) FROM documents) GROUP BY 1")
+def x9(s, sf):
+    return x.token_spans(table(s, sf, "documents"), "doc_id", "text", {"mail": "[a-z]+@[a-z.]+", "number": "[0-9]+"}).groupBy("id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("x10_extract_abbreviations", "SELECT doc_id AS id, upper(w[1][1] || w[2][1]) AS short, w[1] || ' ' || w[2] AS long FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) WHERE len(w) >= 2 AND length(w[1] || w[2]) > 1 AND NOT contains(w[1][2:] || w[2][2:], w[1][1]) AND NOT contains(w[2][2:], w[2][1])")
+def x10(s, sf):
+    d = table(s, sf, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w")).filter("size(w) >= 2").filter("not contains(concat(substring(w[0], 2), substring(w[1], 2)), substring(w[0], 1, 1)) and not contains(substring(w[1], 2), substring(w[1], 1, 1))")
+    short = F.upper(F.concat(F.substring(c("w")[0], 1, 1), F.substring(c("w")[1], 1, 1)))
+    return x.abbreviations(d.select("doc_id", F.concat(c("w")[0], F.lit(" "), c("w")[1], F.lit(" ("), short, F.lit(") ")).alias("t")), "doc_id", "t")
+
+
+@query("x11_seconds_to_hms", "SELECT event_id, (start_cs // 100) // 3600 || ':' || lpad(((start_cs // 100) % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad(((start_cs // 100) % 60)::VARCHAR, 2, '0') AS hms FROM v_labelseg")
+def x11(s, sf):
+    return v.labelseg(s, sf).select("event_id", x.seconds_to_hms(c("start_cs") / 100).alias("hms"))
+
+
+@query("x12_centisecond_id", "SELECT utt, rec || '_' || lpad(floor(round(start * 100, 3))::BIGINT::VARCHAR, 6, '0') || '_' || lpad(floor(round(\"end\" * 100, 3))::BIGINT::VARCHAR, 6, '0') AS id FROM v_segments")
+def x12(s, sf):
+    return v.segments(s, sf).select("utt", x.centisecond_id(c("rec"), c("start"), c("end")).alias("id"))
+
+
+@query("x13_parse_hms", "SELECT event_id, (start_cs // 100)::DOUBLE AS seconds FROM v_labelseg")
+def x13(s, sf):
+    return v.labelseg(s, sf).select("event_id", x.parse_hms(x.seconds_to_hms(c("start_cs") / 100)).alias("seconds"))
+
+
+@query("x16_grid_state", "SELECT event_id, CASE event_type WHEN 'view' THEN 'r' WHEN 'click' THEN 'D' WHEN 'error' THEN 'F' ELSE 'error' END AS state FROM events")
+def x16(s, sf):
+    out = F.when(c("event_type") == "view", "job 1\nstate: r").when(c("event_type") == "click", "failed 0\nexit_status 0").when(c("event_type") == "error", "failed 0\nexit_status 1").otherwise("")
+    return table(s, sf, "events").select("event_id", x.grid_state(out).alias("state"))
+
+
+@query("a6_job_tickets", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_keys(props)[1] AS first FROM events")
+def a6(s, sf):
+    return table(s, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.json_object_keys("props")[0].alias("first"))
+
+
+@query("a7_tsv_multimap", "SELECT spk AS key, string_agg(utt, ' ' ORDER BY utt) AS vals FROM v_utt2spk GROUP BY spk")
+def a7(s, sf):
+    from ..sources.tables import multimap
+
+    lines = v.utt2spk(s, sf).select(F.concat("spk", F.lit("\t"), "utt").alias("value"))
+    return multimap(lines).select("key", F.array_join("vals", " ").alias("vals"))
+
+
+@query("a10_segment_lines", "SELECT utt || ' ' || rec || ' ' || printf('%.2f', start) || ' ' || printf('%.2f', \"end\") AS value FROM v_segments")
+def a10(s, sf):
+    from ..sources.tables import segment_lines
+
+    return segment_lines(v.segments(s, sf))
+
+
+@query("a12_transcript_html", "SELECT utt, string_agg(CASE WHEN conf > 0.8 THEN word WHEN conf > 0.4 THEN '<span style=\"color:orange\">' || word || '</span>' ELSE '<span style=\"color:red\">' || word || '</span>' END, ' ' ORDER BY pos) AS html FROM v_ctm GROUP BY utt")
+def a12(s, sf):
+    from ..sources.tables import transcript_html
+
+    return transcript_html(v.ctm(s, sf))
