@@ -1,0 +1,405 @@
+"""Training-data operators on small fixtures: brute force, round trips, nulls, empty tables, ties, clashing columns."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+pytest.importorskip("parlance.llm")
+from parlance.llm import chat, components, decontaminate, html_text, lm, packing, quality, simhash, token_files, tokens, toxicity, url_filter  # noqa: E402
+from parlance.llm.common import new_path, store  # noqa: E402
+
+DOCS = "doc_id long, text string, source string, fp string, n int, w string"
+
+
+def frame(spark, texts, source="a"):
+    return spark.createDataFrame([(i, t, source, "x", 1, "y") for i, t in enumerate(texts)], DOCS)
+
+
+PROSE = " ".join(f"word{i % 97}x{i % 13}" for i in range(400))
+TEXTS = [PROSE, PROSE, PROSE + " end", None, "", "   ", "a", "a b c", "Öl und Bö\nzwei  Leer", "x" * 5000, "the quick brown fox jumps over the lazy dog " * 60]
+
+
+def rows(df, *cols):
+    return sorted([tuple(r) for r in df.select(*cols).collect()], key=lambda r: tuple((x is None, x) for x in r))
+
+
+# --- 1 decontamination
+
+def brute_contained(docs, items, width=5, share=0.8):
+    def shingles(t):
+        w = (t or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
+        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+    out = []
+    for d, t in docs:
+        for i, b in items:
+            s = shingles(b)
+            k = len(s & shingles(t))
+            if s and k >= int(np.ceil(share * len(s) - 1e-9)):
+                out.append((d, i, len(s), k))
+    return sorted(out)
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(vocab, n))) for i, n in enumerate([3, 5, 8, 20, 40, 41, 80, 0])] + [(8, None)]
+    docs = []
+    for d in range(60):
+        w = list(rng.choice(vocab, 120))
+        b = items[d % 7][1].split()
+        for _ in range(d % 5):
+            b[int(rng.integers(len(b)))] = "changed"
+        w[30:30] = [x.upper() if d % 2 else x for x in b]
+        docs.append((d, " ".join(w)))
+    docs += [(60, None), (61, ""), (62, items[0][1]), (62, items[0][1])]
+    got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(got, "doc_id", "item_id", "n_item", "n_shared") == sorted(set(brute_contained(docs, items)))
+
+
+def test_decontamination_plan_is_native_and_empty_tables(spark):
+    items = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
+    got = decontaminate.contained_items(frame(spark, TEXTS), items)
+    assert "Python" not in got._jdf.queryExecution().toString()
+    assert {r[0] for r in rows(got, "doc_id")} == {0, 1, 2}
+    assert decontaminate.contained_items(frame(spark, []), items).count() == 0
+    assert decontaminate.contained_items(frame(spark, TEXTS), items.limit(0)).count() == 0
+
+
+# --- 2 token files
+
+@pytest.mark.parametrize("bits", [1, 3, 7, 12, 15, 16, 17, 20])
+def test_bit_packing_round_trip(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 4099).astype(np.uint32)
+    assert np.array_equal(token_files.unpack_bits(token_files.pack_bits(ids, bits), bits, len(ids)), ids)
+
+
+def test_token_files_round_trip(spark):
+    docs = frame(spark, TEXTS).unionByName(spark.createDataFrame([(None, "no id", "a", "x", 1, "y")], DOCS)).repartition(3)
+    manifest = store(token_files.write_token_files(docs, new_path(spark, "t"), files=3), "m")
+    got = token_files.read_token_files(manifest).orderBy("start").collect()
+    tok = tokens.load(tokens.public_path("byte_bpe_50k.json"))
+    want = [(None, "no id"), *enumerate(TEXTS)]
+    start = 0
+    for r, (d, t) in zip(got, want):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
+        assert (r["doc_id"], r["start"], r["n_tokens"]) == (d, start, len(ids))
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids
+        start += len(ids)
+    assert len(got) == len(want)
+
+
+def test_token_files_of_no_documents(spark):
+    manifest = token_files.write_token_files(frame(spark, []), new_path(spark, "t"))
+    assert token_files.read_token_files(manifest).count() == 0
+
+
+@pytest.mark.parametrize("name,keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_equals_library(name, keep):
+    path = tokens.public_path(name)
+    odd = ["a  b\n\nc ", " lead", "tail ", "don't he's IT'S", "İstanbul ΣΑΣ ﬁ", "tab\there", "a b", "x\0y", "<|endoftext|> a", "1234 5,6", "é́ combining", "Été.\nÀ", ""]
+    enc = tokens.Encoder(path, keep)
+    for t, got in zip(odd, enc.encode_many(odd)):
+        assert got.tolist() == (tokens.load(path).encode(t, add_special_tokens=False).ids if t else []), t
+
+
+# --- 3 packing
+
+def test_packing_tiles_the_stream(spark):
+    got = packing.pack(frame(spark, TEXTS).repartition(3), sequence=64).orderBy("sequence_id", "offset").collect()
+    tok = tokens.load(tokens.public_path("word_bpe_49k.json"))
+    at = 0
+    for r in got:
+        assert r["sequence_id"] * 64 + r["offset"] == at
+        at += r["length"]
+    for d, t in enumerate(TEXTS):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        own = sorted((r for r in got if r["doc_id"] == d), key=lambda r: r["start"])
+        assert [x for r in own for x in np.frombuffer(r["ids"], "<u2").tolist()] == ids
+        assert all(r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in own)
+    assert packing.pack(frame(spark, [])).count() == 0
+
+
+# --- 4 near-duplicates
+
+def brute_fingerprint(text, width=4):
+    w = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
+    if not w:
+        return 0
+    hs = [xxhash.xxh64_intdigest(b" ".join(w[i : i + width]), 42) for i in range(max(1, len(w) - width + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_components(fps, limit=4):
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= limit:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(fps))]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = list(TEXTS)
+    for k in range(30):
+        w = PROSE.split()
+        w[int(rng.integers(400))] = f"new{k}"
+        texts.append(" ".join(w))
+    got = simhash.near_duplicates(frame(spark, texts)).orderBy("doc_id").collect()
+    fps = [brute_fingerprint(t) for t in texts]
+    assert [r["fingerprint"] for r in got] == [f"{f:016x}" for f in fps]
+    assert [r["component_id"] for r in got] == brute_components(fps)
+    assert simhash.near_duplicates(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_links_connect_what_brute_force_connects(spark, block):
+    rng = np.random.default_rng(5)
+    fps = [int(rng.integers(0, 1 << 63)) for _ in range(40)]
+    for base in fps[:6]:
+        x = base
+        for _ in range(25):  # chains and clouds around a centre
+            y = x if rng.random() < 0.5 else base
+            for b in rng.choice(64, int(rng.integers(1, 6)), replace=False):
+                y ^= 1 << int(b)
+            fps.append(y)
+            x = y
+    fps = list(dict.fromkeys(fps))
+    signed = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    links = simhash.fingerprint_links(df, 4, block=block)
+    for r in links.collect():
+        assert bin((r["a"] ^ r["b"]) & (2**64 - 1)).count("1") <= 4
+    got = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    want = brute_components(fps)
+    groups = {}
+    for f, c in zip(signed, want):
+        groups.setdefault(c, []).append(f)
+    for members in groups.values():
+        assert {got.get(m, m) for m in members} == {min(members)}
+
+
+def test_components_of_a_path_a_star_and_repeats(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(51)} == {0} and {got[i] for i in range(100, 140)} == {100} and got[201] == 200
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 5 URL filter
+
+def test_url_rules_and_aliases(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    pages = [
+        (0, "http://a.net/x", ""), (1, "https://b.example.net/en/1?q", ""), (2, "http://EXAMPLE.com/de/2#f", ""), (3, "http://x.org/fr/1", ""),
+        (4, None, None), (5, "nothing", ""), (6, "http://free.io/a", link("http://bad.net/z")), (7, "http://other.io/b", link("http://free.io/a")),
+        (8, "http://ok.io/c", link("http://y.org/fr/9")), (9, "http://mixed.io/d", link("http://ok.io/c") + '<meta http-equiv="refresh" content="0; url=http://q.net/1">'),
+        (10, "http://myexample.com/de/", ""), (11, "http://a.net", ""), (10, "http://myexample.com/de/", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_verdicts(df).collect()}
+    assert got[0] == ("a.net", "/x", "net/", "block")
+    assert got[1] == ("b.example.net", "/en/1", "example.net/en/", "allow")
+    assert got[2] == ("example.com", "/de/2", "example.com/de/", "block")
+    assert got[3] == ("x.org", "/fr/1", "org/fr/", "allow")
+    assert got[4] == got[5] == ("", "", None, "allow")
+    assert got[6][2:] == got[7][2:] == (None, "block")  # through aliases
+    assert got[8][3] == got[9][3] == "allow"  # an explicit allow outranks a block by alias
+    assert got[10][3] == "allow" and got[11] == ("a.net", "", None, "allow")
+    assert url_filter.url_verdicts(df.limit(0)).count() == 0
+    assert url_filter.url_verdicts(df).count() == len(pages)
+
+
+# --- 6 main text
+
+def test_main_text_of_pages():
+    body = "A long paragraph of running text that goes on for quite some time and says things. "
+    page = f"""<html><head><title>No</title><style>p{{}}</style><script>var x='</p>';</script></head><body><header>Site</header><nav><a href=/>Home</a></nav>
+    <div class="ad">Buy</div><div id="cookie-notice">We use cookies</div><article><h1>Head &amp; line</h1><p><b>{body}<br>more<p>{body}</p><p>Short.</p>
+    <form>Name <input></form><p>{body}</p></article><div class="comments"><p>{body}</p></div><aside>{body}</aside><footer>&copy; me</footer>"""
+    b = body.strip()
+    assert html_text.main_text(page) == f"Head & line {b} more {b} Short. {b}"
+    plain = f"<body><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul><div><p>{body}</p><p>{body}</p><p>End.</p></div><div class='footer'>x</div></body>"
+    assert html_text.main_text(plain) == f"{b} {b} End."
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>a</nav>") == ""
+
+
+def test_main_text_query_handles_nulls(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "u", "<article><p>Hé &lt;b&gt;\n x</p></article>"), (2, "u", "<p>a</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    assert rows(html_text.extract_main_text(df), "page_id", "text", "n_chars") == [(1, "", 0), (2, "Hé <b> x", 8), (2, "a", 1)]
+    assert html_text.extract_main_text(df.limit(0)).count() == 0
+
+
+# --- 7 quality
+
+def test_quality_equals_sql(spark, tmp_path):
+    import duckdb
+
+    texts = TEXTS + ["# * " * 80 + PROSE, "line\n" * 90, "a b c d e f " * 30]
+    df = frame(spark, texts).unionByName(frame(spark, ["#x " * 100] * 9, "b").withColumn("doc_id", F.col("doc_id") + 100)).unionByName(frame(spark, [PROSE], None).withColumn("doc_id", F.col("doc_id") + 200))
+    con = duckdb.connect()
+    documents = df.select("doc_id", "text", "source").toPandas()  # noqa: F841
+    con.execute("CREATE TABLE documents AS SELECT doc_id, CAST(text AS VARCHAR) AS text, CAST(source AS VARCHAR) AS source FROM documents")
+    cur = con.execute(quality.ORACLE)
+    cols = [d[0] for d in cur.description]
+    want = sorted((tuple(r) for r in cur.fetchall()), key=str)
+    assert sorted((tuple(r) for r in quality.host_quality(df).select(*cols).collect()), key=str) == want
+    kept = quality.drop_low_quality(df)
+    assert kept.columns == df.columns and kept.count() == sum(r[cols.index("kept")] for r in want)
+    assert quality.host_quality(frame(spark, [])).count() == 0
+
+
+# --- 8 language model
+
+def test_context_tree_probabilities_sum_to_one():
+    words = [b"the", b"then", b"there", b"cat", b""]
+    win, _ = lm.windows(words, 3)
+    n = np.ones(len(win), np.int64)
+    key, n = lm.summed(win, n)
+    deep = lm.trees(key, n, 3, 2)
+    k2, a, b, w, _ = deep[2]
+    nodes = deep | lm.crown(*lm.summed(lm.parent(k2, 2), a, b, w))
+    for context in (0, int.from_bytes(b"the", "big"), int.from_bytes(b"zzz", "big")):
+        p = 10 ** lm.log_probabilities((np.int64(context) << 8) + np.arange(256), nodes, 3)
+        assert abs(p.sum() - 1) < 1e-9
+    # the root of one binary node: half its own estimate, half the product of its children
+    key1, *_ = nodes[1]
+    below = nodes[1][3][(key1 & 255) == 1].sum()
+    root = nodes[0][3][nodes[0][0] == 1][0]
+    n0, n1 = nodes[0][1][nodes[0][0] == 1], nodes[0][2][nodes[0][0] == 1]
+    assert abs(root - (np.logaddexp(lm.kt(n0, n1)[0], below) - np.log(2))) < 1e-9
+
+
+def test_kt_is_the_sequential_estimate():
+    p, n = 0.0, [0, 0]
+    for bit in [0, 1, 1, 0, 1, 1, 1]:
+        p += np.log((n[bit] + 0.5) / (sum(n) + 1))
+        n[bit] += 1
+    assert abs(lm.kt(np.array([n[0]]), np.array([n[1]]))[0] - p) < 1e-9
+
+
+def test_language_model_scores(spark):
+    texts = [f"the cat sat on mat {i % 7} again" for i in range(80)] + [None, "", "THE Cat", "zebra unseen words"]
+    got = {r["doc_id"]: r for r in lm.score_texts(frame(spark, texts)).collect()}
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = {}
+    for i in train:
+        for w in (texts[i] or "").lower().split() + ["\n"]:
+            counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split() + ["\n"]
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in train, len(w), sum(x in counts for x in w), n)
+        assert abs(r["base_score"] - sum(np.log10((counts.get(x, 0) + 1) / (n + v + 1)) for x in w)) < 1e-9
+        assert np.isfinite(r["score"]) and r["score"] < 0
+    assert got[5]["bits_per_byte"] < got[83]["bits_per_byte"]
+    assert lm.score_texts(frame(spark, [])).count() == 0
+
+
+# --- 9 toxicity
+
+def test_toxicity_learns_planted_words(spark):
+    rng = np.random.default_rng(0)
+    vocab = [f"plain{i}" for i in range(200)]
+    texts, labels = [], []
+    for i in range(400):
+        w = list(rng.choice(vocab, int(rng.integers(20, 120))))
+        if i % 4 == 0:
+            for _ in range(3):
+                w[int(rng.integers(len(w)))] = str(rng.choice(["vilename", "scoundrel", "wretch"]))
+        texts.append(" ".join(w))
+        labels.append((i, 1, int(i % 4 == 0)))
+    texts += [None, "", PROSE * 50]
+    got = toxicity.score_toxicity(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).orderBy("doc_id").collect()
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 400]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in got)
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held]) > 0.9
+    assert len(got) == len(texts) and got[400]["score"] == got[401]["score"]
+    none = toxicity.score_toxicity(frame(spark, TEXTS), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert none.count() == len(TEXTS)
+
+
+def test_recurrent_gradients_match_differences():
+    rng = np.random.default_rng(0)
+    d = toxicity.WORD_DIM + toxicity.CHAR_DIM
+    p = {k: rng.normal(0, 0.5, s) for k, s in (("W", (d, 24)), ("U", (8, 24)), ("b", (24,)))}
+    x, mask = rng.normal(size=(5, 3, d)), np.ones((5, 3, 1))
+    mask[3:, 1] = 0
+    r = rng.normal(size=(5, 3, 8))
+    kept = []
+    toxicity.gru(x, mask, p, kept)
+    _, g = toxicity.gru_back(r, x, mask, p, kept)
+    for k, at in (("W", (2, 3)), ("W", (1, 20)), ("U", (3, 10)), ("U", (2, 22)), ("b", (9,))):
+        eps, old = 1e-3, p[k][at]
+        p[k][at] = old + eps
+        hi = (toxicity.gru(x, mask, p) * r).sum()
+        p[k][at] = old - eps
+        lo = (toxicity.gru(x, mask, p) * r).sum()
+        p[k][at] = old
+        assert abs((hi - lo) / (2 * eps) - g[k][at]) < 1e-2 * max(1, abs(g[k][at]))
+
+
+# --- 10 chat
+
+def test_chat_round_trip_and_states(spark):
+    said = "<|im_end|>\n<|im_start|>assistant\nok \\ \\n <\\|x"
+    turns = [
+        (1, 0, "user", said), (1, 1, "assistant", said), (2, 1, "assistant", "b"), (2, 0, "system", None), (3, 0, "user", "u"), (4, 0, "odd\nrole", ""),
+        (None, 0, "user", "a"), (None, 1, "assistant", "b"), (5, 0, "user", "same"), (5, 0, "user", "same"),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("position", F.lit(9))
+    got = {r["conv_id"]: r for r in chat.read_chats(chat.format_chats(df)).collect()}
+    for conv in (1, 2, 3, 4, None, 5):
+        own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1], t[2], t[3] or ""))
+        whole = "".join(f"{r}\n{t or ''}\n" for _, _, r, t in own)
+        loss = "".join(t or "" for _, _, r, t in own if r == "assistant")
+        r = got[conv]
+        assert r["n_turns"] == len(own) and r["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
+        assert r["loss_chars"] == len(loss) and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert got[1]["error"] is None and got[2]["error"] == "assistant after system" and got[3]["error"] == "ends after user"
+    assert got[4]["error"] == "odd\nrole after start" and got[5]["error"] == "user after user"
+    assert chat.read_chats(chat.format_chats(df.limit(0))).count() == 0
+
+
+# --- pipeline
+
+def test_pipeline_stages_on_a_fixture(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(2)
+    vocab = [f"plain{i}" for i in range(500)]
+    prose = lambda n: list(rng.choice(vocab, n))
+    item = " ".join(prose(30))
+    texts, toxic = [], set()
+    for i in range(240):
+        w = prose(120)
+        if i % 3 == 0:
+            toxic.add(i)
+            for k in (5, 50, 100):
+                w[k] = "vilename"
+        texts.append(" ".join(w))
+    texts += [texts[1], texts[1] + " tail", " ".join(prose(60)) + " " + item + " " + " ".join(prose(60)), "too short", None, "a b c " * 80]
+    docs = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+    d = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, d)
+    kept = {r[0] for r in got.select("doc_id").distinct().collect()}
+    assert kept == {i for i in range(240) if i not in toxic}
+    now = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now.limit(0), d)
+        assert out.columns == now.columns and out.count() == 0
