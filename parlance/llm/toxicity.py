@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import id_remainder, join_checked, store, table, words_of
 
 #: The fit reads at most this many labelled documents of each class, those of the smallest id hash.
-FIT_DOCS = 2500
+FIT_DOCS = 2000
 #: A window of words, and its step: consecutive windows overlap by a quarter and cover the whole text.
 WINDOW, STEP = 32, 24
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 14
@@ -172,11 +172,11 @@ def laid_out(rows: list[np.ndarray], table_: np.ndarray) -> tuple[np.ndarray, np
     return table_[at] * mask, mask
 
 
-def log_odds(sets: list[set[int]], y: np.ndarray, size: int) -> np.ndarray:
+def log_odds(held: Iterator[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Log-odds of label 1 for texts that hold a bucket, shrunk toward zero by 2.5 standard errors."""
     c = np.zeros((2, size))
-    for s, lab in zip(sets, y):
-        c[int(lab), list(s)] += 1
+    for buckets, lab in zip(held, y):  # one text at a time: the sets of all texts together are large
+        c[int(lab), np.unique(buckets)] += 1
     n1, n0 = max(1.0, float(y.sum())), max(1.0, float((1 - y).sum()))
     lo = np.log((c[1] + 0.3) / (n1 + 0.6)) - np.log((c[0] + 0.3) / (n0 + 0.6))
     error = np.sqrt(1 / (c[1] + 0.5) + 1 / (c[0] + 0.5))
@@ -192,16 +192,25 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 12, seed: int
     every other text also on a window drawn at random.
     """
     rng = np.random.default_rng(seed)
-    docs = [[clean(w) for w in words_of(t, lower=True)] for t in texts]
     y = np.asarray(labels, np.float32)
-    names = list(dict.fromkeys(w for d in docs for w in d))
-    at = {w: i for i, w in enumerate(names)}
-    rows = [np.fromiter(map(at.__getitem__, d), np.int64, len(d)) for d in docs]
+    at: dict[bytes, int] = {}
+    rows = [np.array([at.setdefault(clean(w), len(at)) for w in words_of(t, lower=True)], np.int64) for t in texts]
+    names = list(at)
+    del at
     wb = np.array([word_bucket(w) for w in names], np.int64)
-    grams, _, word_of = gram_buckets(names)
-    real = grams < CHAR_BUCKETS
-    by_word = np.argsort(np.broadcast_to(word_of, grams.shape)[real], kind="stable")
-    chars = np.split(grams[real][by_word], np.cumsum(np.bincount(np.broadcast_to(word_of, grams.shape)[real], minlength=len(names)))[:-1]) if names else []
+    flat, size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    for k in range(0, len(names), 50_000):  # buckets of every word's characters, word by word
+        grams, first, word_of = gram_buckets(names[k : k + 50_000])
+        of = np.broadcast_to(word_of, grams.shape)[grams < CHAR_BUCKETS]
+        own = grams[grams < CHAR_BUCKETS].astype(np.int32)[np.argsort(of, kind="stable")]
+        flat, size = np.concatenate([flat, own]), np.concatenate([size, np.bincount(of, minlength=len(first))])
+    cut = np.concatenate([[0], np.cumsum(size)])
+
+    def chars_of(words: np.ndarray) -> np.ndarray:
+        """Buckets of some words' characters, word after word."""
+        n = size[words]
+        return flat[np.repeat(cut[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
     model = {
         "word": rng.normal(0, 0.02, (WORD_BUCKETS, WORD_DIM)).astype(np.float32),
         "char": rng.normal(0, 0.02, (CHAR_BUCKETS, CHAR_DIM)).astype(np.float32),
@@ -215,21 +224,17 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 12, seed: int
             "U": rng.normal(0, 0.2, (HIDDEN, 3 * HIDDEN)).astype(np.float32),
             "b": np.zeros(3 * HIDDEN, np.float32),
         }
-    live = [i for i, d in enumerate(docs) if d]
+    live = [i for i, r in enumerate(rows) if len(r)]
     n1, n0 = float(y.sum()), float((1 - y).sum())
     if not live or not n1 or not n0:  # one class only: the prior
         model["out"][:], model["bias"][0] = 0, np.log((n1 + 1) / (n0 + 1))
         return model
-    word_sets = [set(wb[np.unique(r)].tolist()) for r in rows]
-    model["word"][:, 0] = log_odds(word_sets, y, WORD_BUCKETS)
-    model["char"][:, 0] = log_odds([set().union(*[chars[k].tolist() for k in np.unique(r)]) if len(r) else set() for r in rows], y, CHAR_BUCKETS)
+    model["word"][:, 0] = log_odds((wb[r] for r in rows), y, WORD_BUCKETS)
+    model["char"][:, 0] = log_odds((chars_of(np.unique(r)) for r in rows), y, CHAR_BUCKETS)
 
-    size = np.array([len(c) for c in chars])
-    cut = np.concatenate([[0], np.cumsum(size)])
-    flat = np.concatenate(chars)
     starts = [windows_of(r) for r in rows]
-    every = [(i, int(s)) for i in live for s in starts[i]]
-    owner = np.array([i for i, _ in every])
+    owner = np.repeat(live, [len(starts[i]) for i in live])
+    every = np.stack([owner, np.concatenate([starts[i] for i in live])], axis=1)
     weight = np.where(y > 0, min(3.0, max(1.0, (n0 / n1) ** 0.5)), 1.0).astype(np.float32)
     moments: dict = {}
     best: dict[int, int] = {}
@@ -255,7 +260,7 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 12, seed: int
                 got = np.array([np.sort(lead[rows[i][s : s + WINDOW]])[-3:].sum() for i, s in every])
             order = np.lexsort((got, owner))
             last = np.flatnonzero(np.concatenate([owner[order][1:] != owner[order][:-1], [True]]))
-            best = {every[k][0]: every[k][1] for k in order[last]}
+            best = {int(i): int(s) for i, s in every[order[last]]}
         jobs = [(i, best[i]) for i in live] + [(i, int(rng.choice(starts[i]))) for i in live if not y[i]]
         jobs = [jobs[j] for j in rng.permutation(len(jobs))]
         for k in range(0, len(jobs), batch):
@@ -266,7 +271,7 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 12, seed: int
                 w = rows[i][s : s + WINDOW]
                 ids[: len(w), j], mask[: len(w), j] = w, 1
             used, back = np.unique(ids, return_inverse=True)
-            own = np.concatenate([flat[cut[w] : cut[w + 1]] for w in used])
+            own = chars_of(used)
             length = size[used]
             first = np.concatenate([[0], np.cumsum(length)[:-1]])
             drawn = model["char"][own]
