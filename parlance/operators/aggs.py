@@ -98,11 +98,16 @@ def silence_neighbours(prons: DataFrame, sil: str = "SIL") -> DataFrame:
     return a.groupBy("word", "pron").agg(F.count_if(sil_b).alias("sil_before"), F.count_if(~sil_b).alias("nonsil_before"), F.count_if(sil_a).alias("sil_after"), F.count_if(~sil_a).alias("nonsil_after"))
 
 
+def half_up(x: Column) -> Column:
+    """Two decimals by plain arithmetic, which every engine does alike."""
+    return F.floor(x * 100 + 0.5) / 100
+
+
 def silence_probs(counts: DataFrame, weight: float = 2.0) -> DataFrame:
     """Probability of silence after and before each pron, drawn to the overall one by ``weight``, in [0.01, 0.99]."""
     real = F.when(~F.col("word").isin("<s>", "</s>"), F.lit(1)).otherwise(0)
     total = counts.agg((F.sum(F.col("sil_after") * real) / F.sum((F.col("sil_after") + F.col("nonsil_after")) * real)).alias("p"))
-    p = lambda s, n: F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.round((F.col(s) + F.col("p") * weight) / (F.col(s) + F.col(n) + weight), 2)))
+    p = lambda s, n: F.least(F.lit(0.99), F.greatest(F.lit(0.01), half_up((F.col(s) + F.col("p") * weight) / (F.col(s) + F.col(n) + weight))))
     return counts.join(F.broadcast(total)).select("word", "pron", p("sil_before", "nonsil_before").alias("p_before"), p("sil_after", "nonsil_after").alias("p_after"))  # one row
 
 
@@ -113,7 +118,7 @@ def silence_correction(probs: DataFrame, counts: DataFrame, bigrams: DataFrame)
     """
     e = bigrams.join(probs.select(F.col("word").alias("v"), "p_after"), "v").groupBy("w").agg(F.sum(F.col("n") * F.col("p_after")).alias("cs"), F.sum(F.col("n") * (1 - F.col("p_after"))).alias("cn"))
     j = counts.join(e, F.col("word") == F.col("w"))
-    f = lambda a, b: F.greatest(F.lit(0.01), F.round((F.col(a) + 2) / (F.col(b) + 2), 2))
+    f = lambda a, b: F.greatest(F.lit(0.01), half_up((F.col(a) + 2) / (F.round(b, 6) + 2)))
     return j.select("word", f("sil_before", "cs").alias("f_sil"), f("nonsil_before", "cn").alias("f_nonsil"))
 
 

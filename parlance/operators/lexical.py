@@ -19,13 +19,13 @@ def unigram_model(text: DataFrame) -> DataFrame:
     """Cost -ln p of each word of the texts (words) and of the end, in one total of tokens and lines."""
     n = text.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     n = n.unionByName(text.agg(F.count("*").alias("n")).select(F.lit("</s>").alias("word"), "n"))
-    return n.join(F.broadcast(n.agg(F.sum("n").alias("t")))).select("word", (-F.log(F.col("n") / F.col("t"))).alias("cost"))  # one row
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("t")))).select("word", F.log(F.col("t") / F.col("n")).alias("cost"))  # one row
 
 
 def bigram_model(words: DataFrame) -> DataFrame:
     """Cost -ln(count / history count) of neighbouring words, with ``<s>`` and ``</s>``."""
     b = pron_bigrams(words.select("utt", "pos", "word"))
-    return b.select("v", "w", (-F.log(F.col("n") / F.sum("n").over(Window.partitionBy("v")))).alias("cost"))
+    return b.select("v", "w", F.log(F.sum("n").over(Window.partitionBy("v")) / F.col("n")).alias("cost"))
 
 
 def ngrams(text: DataFrame, n: int) -> DataFrame:

@@ -108,7 +108,7 @@ def e12(s, sf):
 
 
 SP = f"""{PR}, tt AS (SELECT sum(sil_after) / sum(sil_after + nonsil_after) AS p FROM ct WHERE word NOT IN ('<s>', '</s>')),
- sp AS (SELECT word, pron, least(0.99, greatest(0.01, round((sil_before + p * 2) / (sil_before + nonsil_before + 2), 2))) AS p_before, least(0.99, greatest(0.01, round((sil_after + p * 2) / (sil_after + nonsil_after + 2), 2))) AS p_after FROM ct, tt)"""
+ sp AS (SELECT word, pron, least(0.99, greatest(0.01, floor((sil_before + p * 2) / (sil_before + nonsil_before + 2) * 100 + 0.5) / 100)) AS p_before, least(0.99, greatest(0.01, floor((sil_after + p * 2) / (sil_after + nonsil_after + 2) * 100 + 0.5) / 100)) AS p_after FROM ct, tt)"""
 
 
 @query("e11_silence_probs", f"WITH {SP} SELECT * FROM sp")
@@ -125,7 +125,7 @@ def _bigrams(s, sf):
     return pron_bigrams(_prons(s, sf).select("utt", "pos", "word"))
 
 
-@query("e27_silence_correction", f"WITH {SP}, {BG}, ex AS (SELECT w, sum(n * p_after) AS cs, sum(n * (1 - p_after)) AS cn FROM bg JOIN sp ON v = word GROUP BY w) SELECT word, greatest(0.01, round((sil_before + 2) / (cs + 2), 2)) AS f_sil, greatest(0.01, round((nonsil_before + 2) / (cn + 2), 2)) AS f_nonsil FROM ct JOIN ex ON word = w")
+@query("e27_silence_correction", f"WITH {SP}, {BG}, ex AS (SELECT w, sum(n * p_after) AS cs, sum(n * (1 - p_after)) AS cn FROM bg JOIN sp ON v = word GROUP BY w) SELECT word, greatest(0.01, floor((sil_before + 2) / (round(cs, 6) + 2) * 100 + 0.5) / 100) AS f_sil, greatest(0.01, floor((nonsil_before + 2) / (round(cn, 6) + 2) * 100 + 0.5) / 100) AS f_nonsil FROM ct JOIN ex ON word = w")
 def e27(s, sf):
     n = a.silence_neighbours(_prons(s, sf))
     return a.silence_correction(a.silence_probs(n), n, _bigrams(s, sf))

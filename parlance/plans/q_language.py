@@ -12,12 +12,12 @@ c = F.col
 r6 = lambda k: F.round(k, 6)
 
 
-@query("l1_unigram_model", "WITH n AS (SELECT word, count(*) AS n FROM v_words GROUP BY word UNION ALL SELECT '</s>', count(*) FROM v_text) SELECT word, round(-ln(n / (SELECT sum(n) FROM n)), 6) AS cost FROM n")
+@query("l1_unigram_model", "WITH n AS (SELECT word, count(*) AS n FROM v_words GROUP BY word UNION ALL SELECT '</s>', count(*) FROM v_text) SELECT word, round(ln((SELECT sum(n) FROM n) / n), 6) AS cost FROM n")
 def l1(s, sf):
     return x.unigram_model(v.text(s, sf)).withColumn("cost", r6("cost"))
 
 
-@query("l2_bigram_model", "WITH w AS (SELECT utt, pos, word FROM v_words WHERE pos <= 30 UNION ALL SELECT utt, 0, '<s>' FROM v_text UNION ALL SELECT utt, 99, '</s>' FROM v_text), b AS (SELECT word AS v, lead(word) OVER (PARTITION BY utt ORDER BY pos) AS w FROM w), n AS (SELECT v, w, count(*) AS n FROM b WHERE w IS NOT NULL GROUP BY v, w) SELECT v, w, round(-ln(n / sum(n) OVER (PARTITION BY v)), 6) AS cost FROM n")
+@query("l2_bigram_model", "WITH w AS (SELECT utt, pos, word FROM v_words WHERE pos <= 30 UNION ALL SELECT utt, 0, '<s>' FROM v_text UNION ALL SELECT utt, 99, '</s>' FROM v_text), b AS (SELECT word AS v, lead(word) OVER (PARTITION BY utt ORDER BY pos) AS w FROM w), n AS (SELECT v, w, count(*) AS n FROM b WHERE w IS NOT NULL GROUP BY v, w) SELECT v, w, round(ln(sum(n) OVER (PARTITION BY v) / n), 6) AS cost FROM n")
 def l2(s, sf):
     return x.bigram_model(v.words(s, sf).filter("pos <= 30")).withColumn("cost", r6("cost"))
 
