@@ -217,3 +217,10 @@ def keyword_search(ctm: DataFrame, keywords: DataFrame, max_gap: float = 0.5) ->
         hit = hit.select("kwid", "w", "n", "utt", "tbeg", F.col("e2").alias("end"), (F.col("pos") + 1).alias("pos"))
         done = done.unionByName(hit.filter(F.col("n") == i + 1))
     return done.select("kwid", "utt", "tbeg", F.round(F.col("end") - F.col("tbeg"), 2).alias("dur"))
+
+
+def abbreviation_score(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """True and false positives of found long forms (long) against a gold list, without regard to case."""
+    g = gold.select(F.lower("long").alias("_g")).distinct().withColumn("_ok", F.lit(True))
+    j = found.join(g, F.lower("long") == F.col("_g"), "left")
+    return j.agg(F.count("_ok").alias("tp"), F.count_if(F.col("_ok").isNull()).alias("fp"))

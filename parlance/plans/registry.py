@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import adapters, q_aggregates, q_directories, q_intervals, q_joins, q_language, q_maps, q_scoring, q_streams, q_text  # noqa: F401
+from . import adapters, q_aggregates, q_directories, q_intervals, q_joins, q_language, q_maps, q_scoring, q_sources, q_streams, q_text  # noqa: F401
 
 
 def queries() -> dict:
