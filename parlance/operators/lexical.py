@@ -224,3 +224,34 @@ def abbreviation_score(found: DataFrame, gold: DataFrame) -> DataFrame:
     g = gold.select(F.lower("long").alias("_g")).distinct().withColumn("_ok", F.lit(True))
     j = found.join(g, F.lower("long") == F.col("_g"), "left")
     return j.agg(F.count("_ok").alias("tp"), F.count_if(F.col("_ok").isNull()).alias("fp"))
+
+
+def reverse_arpa(arpa: DataFrame) -> DataFrame:
+    """The n-gram model (n, words, logprob, backoff) that scores reversed sentences alike.
+
+    A reversed n-gram scores p + b plus, for each shorter length, p of the n-gram's start less p of what follows its
+    first word. N-grams that this or a backed-off reading needs and the model lacks join it with p = 0 and a backoff
+    of -100000. Sentence ends swap; the weight of ``</s>``, which is read first, moves from the new ``<s>`` unigram
+    (its backoff) to the bigrams that start with it. All lookups are joins on the words.
+    """
+    top = arpa.agg(F.max("n")).first()[0] or 0
+    start = arpa.filter((F.col("n") == 1) & (F.col("words")[0] == "<s>")).agg(F.max("logprob")).first()[0]
+    p = F.when((F.col("n") == 1) & (F.col("words")[0] == "<s>"), 0.0).otherwise(F.col("logprob"))
+    real = arpa.select("n", F.array_join("words", " ").alias("g"), "words", p.alias("p"), F.coalesce("backoff", F.lit(0.0)).alias("b"))
+    shorter = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.col("n") - 1))
+    x = real.select("words", "n", F.explode(shorter).alias("x"))
+    subs = F.array(F.slice("words", F.lit(1), F.col("x")), F.slice("words", F.lit(2), F.col("x")), F.slice("words", F.col("n") - F.col("x") + 1, F.col("x")))
+    subs = x.select(F.explode(subs).alias("words")).distinct().select(F.size("words").alias("n"), F.array_join("words", " ").alias("g"), "words")
+    made = subs.join(real.select("g"), "g", "left_anti").select("n", "g", "words", F.lit(0.0).alias("p"), F.lit(None).cast("double").alias("b"))
+    every = real.unionByName(made)
+    y = every.filter("n > 1").select("g", "words", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("x"))
+    terms = y.select("g", F.array_join(F.slice("words", F.lit(1), F.col("x")), " ").alias("s"), F.lit(1).alias("sign")).unionByName(y.select("g", F.array_join(F.slice("words", F.lit(2), F.col("x")), " ").alias("s"), F.lit(-1).alias("sign")))
+    sums = terms.join(every.select(F.col("g").alias("s"), F.col("p").alias("q")), "s").groupBy("g").agg(F.sum(F.col("sign") * F.col("q")).alias("t"))
+    swap = lambda w: F.when(w == "<s>", "</s>").when(w == "</s>", "<s>").otherwise(w)
+    out = every.join(sums, "g", "left").select("n", F.transform(F.reverse("words"), swap).alias("words"), (F.col("p") + F.coalesce("b", F.lit(0.0)) + F.coalesce("t", F.lit(0.0))).alias("r"), F.col("b").isNull().alias("made"))
+    first = F.col("words")[0] == "<s>"
+    offset = out.filter((F.col("n") == 1) & first).agg(F.coalesce(F.max("r"), F.lit(0.0)).alias("offset"))
+    out = out.join(F.broadcast(offset))  # one row
+    prob = F.when((F.col("n") == 1) & first, F.lit(start if start is not None else 0.0)).when((F.col("n") == 2) & first, F.col("r") + F.col("offset")).otherwise(F.col("r"))
+    back = F.when(F.col("n") == top, None).when(F.col("made"), -100000.0).when((F.col("n") == 1) & first, F.col("offset")).otherwise(0.0)
+    return out.select("n", "words", prob.alias("logprob"), back.cast("double").alias("backoff"))

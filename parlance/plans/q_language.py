@@ -79,6 +79,11 @@ def l8(s, sf):
     return x.map_arpa(_arpa(s, sf), v.symtab(s, sf)).select("n", F.array_join(c("ids").cast("array<string>"), " ").alias("ids"), r6("logprob").alias("logprob"))
 
 
+@query("l9_reverse_arpa")
+def l9(s, sf):
+    return x.reverse_arpa(_arpa(s, sf)).select("n", F.array_join("words", " ").alias("words"), r6("logprob").alias("logprob"), r6("backoff").alias("backoff"))
+
+
 @query("l10_symbol_table", "SELECT sym, id FROM v_symtab UNION ALL SELECT * FROM (VALUES ('<eps>', 0), ('<unk>', 1), ('SIL', 2)) UNION ALL SELECT '#0', max(id) + 1 FROM v_symtab")
 def l10(s, sf):
     return x.symbol_table(v.lexicon(s, sf).select("word"))

@@ -152,3 +152,26 @@ def test_syllables_to_phones(spark):
     df = spark.createDataFrame([("zhang1",), ("an4",)], "s string")
     got = [r["phones"] for r in maps.syllable_phones(df, "s", {"zh": "JH"}, {"ang": ["AA", "NG"], "an": ["AE", "N"]}).collect()]
     assert got == [["JH", "AA1", "NG1"], ["AE4", "N4"]]
+
+
+def test_reversed_model_scores_reversed_sentences(spark):
+    import itertools
+
+    grams = [(1, ["<s>"], -99.0, -0.4), (1, ["</s>"], -0.9, None), (1, ["a"], -0.5, -0.3), (1, ["b"], -0.7, -0.2), (1, ["c"], -1.1, -0.1)]
+    grams += [(2, ["<s>", "a"], -0.2, None), (2, ["a", "b"], -0.3, None), (2, ["b", "</s>"], -0.25, None), (2, ["b", "a"], -0.6, None), (2, ["a", "</s>"], -0.8, None), (2, ["<s>", "c"], -0.35, None)]
+    rev = lexical.reverse_arpa(spark.createDataFrame(grams, "n int, words array<string>, logprob double, backoff double")).collect()
+
+    def score(model, words):
+        total = 0.0
+        for v, w in itertools.pairwise(words):
+            if (v, w) in model:
+                total += model[v, w][0]
+            else:
+                total += (model[(v,)][1] or 0.0) + model[(w,)][0]
+        return total
+
+    forward = {tuple(w): (p, b) for _, w, p, b in grams}
+    backward = {tuple(r["words"]): (r["logprob"], r["backoff"]) for r in rev}
+    for n in range(1, 4):
+        for s in itertools.product("abc", repeat=n):
+            assert abs(score(forward, ["<s>", *s, "</s>"]) - score(backward, ["<s>", *reversed(s), "</s>"])) < 1e-9, s
