@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
+from .helpers import store
+
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Smallest node reachable from each node of the edges (a, b): node, component. Strings order by bytes.
@@ -14,14 +13,6 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     Each round every node takes the smallest label among itself, its neighbours and its label's label, so long
     paths shrink by doubling. Labels are written to the folder of ``spark.checkpoint.dir`` each round.
     """
-    spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-
-    def store(df: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/parlance-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     both = store(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
     for _ in range(max_rounds):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A table is broadcast only when its counted rows are at most this.
 SMALL = 100_000
@@ -13,6 +16,19 @@ def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; in a temporary one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/parlance-{label}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` to a new table in the shared folder and return a scan of it: lineage ends there."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ordered_list(order: list[str], value: Column | str) -> Column:
     """Aggregate: values of a group in the order of some columns, whatever order the rows arrive in."""
     value = F.col(value) if isinstance(value, str) else value
@@ -55,9 +71,11 @@ def seeded(col: Column | str, seed: int = 777) -> Column:
 def numbered(df: DataFrame, order: list[Column | str], name: str = "n") -> DataFrame:
     """Row numbers from 1 in a global order, in two passes: range-partitioned sort, then counts of the earlier parts.
 
-    Unlike ``row_number`` over an unpartitioned window, no task sees more than its own range.
+    Unlike ``row_number`` over an unpartitioned window, no task sees more than its own range. The ranges come from a
+    sample, so the sorted rows are written once and both passes read what was written.
     """
     sort = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    sort = store(sort, "numbered")
     before = sort.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_at").alias("_first"))
     before = before.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size"))
     return sort.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_size", "_first", "_before")

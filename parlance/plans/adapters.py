@@ -170,11 +170,3 @@ def query(name: str, oracle: str | None = None):
 
     return wrap
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/parlance-{name}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lexical as x, maps as m
+from ..operators.helpers import scratch
 from ..sources import tables as t
 from . import adapters as v
 from .adapters import query, table
@@ -15,14 +16,14 @@ c = F.col
 
 @query("a1_read_corpus_table", "SELECT utt, rec, start, \"end\" FROM v_segments")
 def a1(s, sf):
-    path = v.scratch(s, "segments")
+    path = scratch(s, "segments")
     t.segment_lines(v.segments(s, sf)).write.text(path)
     return t.read_table(s, path, "segments")[0]
 
 
 @query("a1_malformed_lines", "SELECT utt || ' ' || rec || ' x' AS value FROM v_segments WHERE length(rec) = 1")
 def a1b(s, sf):
-    path = v.scratch(s, "segments")
+    path = scratch(s, "segments")
     good = t.segment_lines(v.segments(s, sf))
     good.unionByName(v.segments(s, sf).filter("length(rec) = 1").select(F.concat_ws(" ", "utt", "rec", F.lit("x")).alias("value"))).write.text(path)
     return t.read_table(s, path, "segments")[1]
@@ -30,14 +31,14 @@ def a1b(s, sf):
 
 @query("a2_read_ctm", "SELECT utt, channel, start, dur, word, CASE WHEN pos % 2 = 0 THEN conf END AS conf FROM v_ctm")
 def a2(s, sf):
-    path = v.scratch(s, "ctm")
+    path = scratch(s, "ctm")
     t.ctm_lines(v.ctm(s, sf).withColumn("conf", F.when(c("pos") % 2 == 0, c("conf")))).write.text(path)
     return t.read_table(s, path, "ctm")[0]
 
 
 @query("a5_kwslist_xml", "SELECT kwid, file, channel, tbeg, dur, score, 'YES' AS decision FROM v_hits")
 def a5(s, sf):
-    path = v.scratch(s, "kws")
+    path = scratch(s, "kws")
     t.write_kwslist(v.hits(s, sf).select("kwid", "file", "channel", "tbeg", "dur", "score").withColumn("decision", F.lit("YES")), path)
     return t.read_kwslist(s, path)
 
@@ -48,14 +49,14 @@ def a8(s, sf):
 
     e = table(s, sf, "events")
     line = F.when(c("event_type") == "view", "WARNING low").when(c("event_type") == "error", "ERROR high").when(c("event_type") == "click", F.concat(F.lit("# Accounting: time="), c("event_id") % 50, F.lit(" threads=1"))).otherwise("fine")
-    path = v.scratch(s, "logs")
+    path = scratch(s, "logs")
     e.select(line.alias("value")).write.text(path)
     return log_summary(s.read.text(path).select(F.lit("log.7.txt").alias("file"), c("value").alias("line")))
 
 
 @query("a9_list_recordings", "SELECT DISTINCT 'src=' || source AS folder FROM documents")
 def a9(s, sf):
-    path = v.scratch(s, "wav")
+    path = scratch(s, "wav")
     table(s, sf, "documents").select(c("doc_id").cast("string"), c("source").alias("src")).write.partitionBy("src").text(path)
     return t.list_recordings(s, path, "*.txt").select(F.regexp_extract("path", r"/(src=[^/]+)/[^/]+$", 1).alias("folder")).distinct()
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -87,11 +85,10 @@ def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
     The sink is a table in the folder of ``spark.checkpoint.dir``, written batch by batch under the batch's number,
     so a repeated batch replaces itself.
     """
-    import uuid
+    from ..operators.helpers import scratch
 
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/parlance-stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number if mode == 'append' else 0}")
