@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import BROADCAST_ROWS, store, table
+from .common import BROADCAST_ROWS, join_checked, store, table
 from .components import connected_components
 
 #: verdict, host, path: the production rules.
@@ -26,7 +26,7 @@ def matching_rule(spark: SparkSession, pages: DataFrame, rules: DataFrame | list
     """Add ``rule`` and ``rule_verdict``: the longest rule that fits host and path, or null.
 
     A host has few suffixes, so each distinct host is exploded into them and meets the rules in an equi-join;
-    the host's candidate rules then go back to its rows. Rules of equal length cannot fit one URL unless they
+    the host's candidate rules then go back to its rows, as a stored table, so that a hot host can be split. Rules of equal length cannot fit one URL unless they
     are the same text; allow wins then.
     """
     if not isinstance(rules, DataFrame):
@@ -37,14 +37,14 @@ def matching_rule(spark: SparkSession, pages: DataFrame, rules: DataFrame | list
     suffixes = F.transform(F.sequence(F.lit(1), F.size(label)), lambda i: F.concat_ws(".", F.slice(label, i, F.size(label))))
     small = rules.count() <= BROADCAST_ROWS
     fits = hosts.select("host", F.explode(suffixes).alias("rh")).join(F.broadcast(rules) if small else rules, "rh")
-    fits = fits.groupBy("host").agg(F.collect_list(F.struct("rh", "rp", "rv")).alias("fits"))
+    fits = store(fits.groupBy("host").agg(F.collect_list(F.struct("rh", "rp", "rv")).alias("fits")), "fits")
     best = F.array_max(
         F.transform(
             F.filter("fits", lambda r: F.col("path").startswith(r["rp"])),
             lambda r: F.struct((F.length(r["rh"]) + F.length(r["rp"])).alias("len"), (r["rv"] == "allow").alias("allow"), F.concat(r["rh"], r["rp"]).alias("rule"), r["rv"].alias("verdict")),
         )
     )
-    return pages.join(fits, "host", "left").withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("rule_verdict", F.col("_best.verdict")).drop("_best", "fits")
+    return join_checked(pages, fits, "host", "left").withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("rule_verdict", F.col("_best.verdict")).drop("_best", "fits")
 
 
 def link_targets(url: Column, html: Column) -> Column:
