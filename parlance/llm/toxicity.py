@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import id_remainder, join_checked, store, table, words_of
 
 #: The fit reads at most this many labelled documents of each class, those of the smallest id hash.
-FIT_DOCS = 2000
+FIT_DOCS = 2500
 #: A window of words, and its step: consecutive windows overlap by a quarter and cover the whole text.
 WINDOW, STEP = 32, 24
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 14
