@@ -194,16 +194,18 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 12, seed: int
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
     at: dict[bytes, int] = {}
-    rows = [np.array([at.setdefault(clean(w), len(at)) for w in words_of(t, lower=True)], np.int64) for t in texts]
+    rows = [np.array([at.setdefault(clean(w), len(at)) for w in words_of(t, lower=True)], np.int32) for t in texts]
     names = list(at)
     del at
     wb = np.array([word_bucket(w) for w in names], np.int64)
-    flat, size = np.zeros(0, np.int32), np.zeros(0, np.int64)
-    for k in range(0, len(names), 50_000):  # buckets of every word's characters, word by word
-        grams, first, word_of = gram_buckets(names[k : k + 50_000])
+    pieces, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(names), 20_000):  # buckets of every word's characters, word by word
+        grams, first, word_of = gram_buckets(names[k : k + 20_000])
         of = np.broadcast_to(word_of, grams.shape)[grams < CHAR_BUCKETS]
-        own = grams[grams < CHAR_BUCKETS].astype(np.int32)[np.argsort(of, kind="stable")]
-        flat, size = np.concatenate([flat, own]), np.concatenate([size, np.bincount(of, minlength=len(first))])
+        pieces.append(grams[grams < CHAR_BUCKETS].astype(np.int32)[np.argsort(of, kind="stable")])
+        sizes.append(np.bincount(of, minlength=len(first)))
+    flat, size = np.concatenate(pieces), np.concatenate(sizes)
+    del names, pieces
     cut = np.concatenate([[0], np.cumsum(size)])
 
     def chars_of(words: np.ndarray) -> np.ndarray:
@@ -240,7 +242,12 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 12, seed: int
     best: dict[int, int] = {}
 
     def inputs() -> np.ndarray:
-        return np.concatenate([model["word"][wb], np.maximum.reduceat(model["char"][flat], cut[:-1])], axis=1)
+        out = np.empty((len(wb), WORD_DIM + CHAR_DIM), np.float32)
+        out[:, :WORD_DIM] = model["word"][wb]
+        for k in range(0, len(wb), 20_000):  # the embeddings of all words' characters together are large
+            edge = cut[k : k + 20_001]
+            out[k : k + 20_000, WORD_DIM:] = np.maximum.reduceat(model["char"][flat[edge[0] : edge[-1]]], edge[:-1] - edge[0])
+        return out
 
     def adam(value: np.ndarray, g: np.ndarray, key: tuple, rate: float, step: int, only: np.ndarray | None = None) -> None:
         m1, m2 = moments.setdefault(key, (np.zeros_like(value), np.zeros_like(value)))
