@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, store, table
 from .components import connected_components
@@ -175,6 +176,16 @@ def fingerprint_links(fps: DataFrame, limit: int, block: int = BLOCK) -> DataFra
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "a long, b long").distinct()
 
 
+def classes_of(prints: DataFrame, limit: int) -> DataFrame:
+    """Class of each distinct fingerprint of ``prints`` (doc_id, fp): fp, root (the class) and component_id (its smallest doc_id)."""
+    fps = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    links = store(fingerprint_links(fps.select("fp"), limit), "links")
+    groups = connected_components(links)
+    named = fps.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.join(roots, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 4, limit: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SimHash classes of all documents: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -184,25 +195,45 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, limit: int = 4, id_col:
     smallest doc_id of the component.
 
     Null and empty texts have fingerprint zero and link like any other; a text of fewer words than a shingle is
-    one shingle; repeated rows are copies; a null doc_id keeps a row and never names a component unless it is
-    alone; an empty table gives an empty result.
+    one shingle; repeated rows are copies; a null doc_id keeps a row and never names a component, which is null
+    where all its ids are; an empty table gives an empty result.
     """
     prints = store(fingerprints(docs, width, id_col, text_col), "fps")
-    fps = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = store(fingerprint_links(fps.select("fp"), limit), "links")
-    groups = connected_components(links)
-    named = fps.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(roots, "root").select("fp", "component_id")
-    out = prints.join(named, "fp")
+    out = prints.join(classes_of(prints, limit), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def with_fingerprint(docs: DataFrame, width: int, text_col: str, name: str) -> DataFrame:
+    """``docs`` with one more column, the fingerprint as a signed long."""
+
+    def add(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            fp = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, name])
+
+    return docs.mapInArrow(add, StructType([*docs.schema, StructField(name, LongType())]))
+
+
 def drop_near_duplicates(docs: DataFrame, *, width: int = 4, limit: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class of :func:`near_duplicates`, that of the smallest doc_id, all columns unchanged."""
-    classes = near_duplicates(docs, width=width, limit=limit, id_col=id_col, text_col=text_col)
-    keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+    """One row of each class of :func:`near_duplicates`, that of the smallest doc_id, all columns unchanged.
+
+    Rows of one id are one document. A row without an id goes if its class has an id; of a class without any,
+    the row of the smallest text stays.
+    """
+    prints = store(fingerprints(docs, width, id_col, text_col), "fps")
+    classes = store(classes_of(prints, limit), "classes")
+    keep = classes.filter("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
+    id_ = F.col(id_col).cast("long")
+    out = docs.join(keep, id_ == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    nameless = classes.filter("component_id is null").select(F.col("fp").alias("_fp"), "root")
+    if nameless.isEmpty():
+        return out
+    marked = with_fingerprint(docs.filter(id_.isNull()), width, text_col, "_fp").select("_fp", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    first = F.min_by("_row", F.coalesce(F.col("_row").getField(text_col), F.lit("")))  # combines in the task first: copies may be many
+    return out.unionByName(marked.join(nameless, "_fp").groupBy("root").agg(first.alias("_row")).select("_row.*"))
 
 
 def op4_simhash(spark, sf_dir):

@@ -163,6 +163,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_dedup_keeps_documents_without_an_id(spark):
+    rng = np.random.default_rng(11)
+    prose = [" ".join(rng.choice([f"v{i}" for i in range(400)], 200)) for _ in range(5)]
+    docs = [
+        (4, prose[0], "first"), (2, prose[0], "least id"), (None, prose[0], "copy of a named one"), (None, prose[1], "alone"),
+        (None, prose[2] + " b", "later"), (None, prose[2] + " a", "smallest"), (None, prose[2] + " a", "smallest"), (7, prose[3], "alone"), (None, None, "null"), (None, "", "null"),
+        (7, prose[3], "alone"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string, note string").withColumn("root", F.lit(1)).withColumn("fp", F.array(F.lit("x")))
+    linked = bin(brute_fingerprint(docs[4][1]) ^ brute_fingerprint(docs[5][1])).count("1") <= 4
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    want = [(2, "least id"), (7, "alone"), (None, "alone"), (None, "smallest"), (None, "null")] + ([] if linked else [(None, "later")])
+    assert rows(out, "doc_id", "note") == rows(spark.createDataFrame(want, "doc_id long, note string"), "doc_id", "note")
+    assert simhash.drop_near_duplicates(df.filter("doc_id is not null")).count() == 2
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_links_connect_what_brute_force_connects(spark, block):
     rng = np.random.default_rng(5)
