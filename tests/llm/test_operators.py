@@ -180,6 +180,37 @@ def test_dedup_keeps_documents_without_an_id(spark):
     assert simhash.drop_near_duplicates(df.filter("doc_id is not null")).count() == 2
 
 
+def test_pipeline_drops_copies_of_shingle_similarity(spark):
+    import corpus_pipeline
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def alike(x, y):
+        return 5 * len(x & y) >= 4 * len(x | y)
+
+    rng = np.random.default_rng(5)
+    texts = [None, "", "a b", "A b", "a b c"]
+    for g in range(12):  # chains and stars of copies at similarities from 0.6 to 1
+        base = list(rng.choice([f"v{i}" for i in range(900)], 300))
+        texts.append(" ".join(base))
+        for k in range(10):
+            w = list(base)
+            for at in rng.choice(300, int(rng.integers(1, 15)), replace=False):
+                w[at] = f"new{g}x{k}x{at}"
+            texts.append(" ".join(w))
+            base = w if g % 2 else base
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:  # the smallest label spreads along links
+        root = [min(root[j] for j in range(len(texts)) if alike(sets[i], sets[j])) for i in range(len(texts))]
+    out = corpus_pipeline.simhash_dedup(spark, frame(spark, texts), "")
+    assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(set(root))
+    far = [i for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j]) and bin(brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).count("1") > 4]
+    assert far  # such copies are out of the four bits' reach
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_links_connect_what_brute_force_connects(spark, block):
     rng = np.random.default_rng(5)
