@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,20 +21,33 @@ def edit_path(ref: list[str], hyp: list[str]) -> list[tuple[str, str]]:
     ids: dict[str, int] = {}
     r = np.array([ids.setdefault(x, len(ids)) for x in ref], np.int64)
     h = np.array([ids.setdefault(x, len(ids)) for x in hyp], np.int64)
-    d = np.zeros((n + 1, m + 1), np.int32)
-    d[0] = np.arange(m + 1)
-    steps = np.arange(m + 1)
-    for i in range(1, n + 1):
+    steps = np.arange(m + 1, dtype=np.int32)
+
+    def below(i: int, row: np.ndarray) -> np.ndarray:
         best = np.empty(m + 1, np.int32)
         best[0] = i
-        best[1:] = np.minimum(d[i - 1, 1:] + 1, d[i - 1, :-1] + (h != r[i - 1]))
-        d[i] = np.minimum.accumulate(best - steps) + steps  # insertions run along the row
+        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (h != r[i - 1]))
+        return np.minimum.accumulate(best - steps) + steps  # insertions run along the row
+
+    # Only every gap-th row is kept; the walk back makes the rows between two of them again.
+    gap = max(1, math.isqrt(n))
+    kept, row = [steps], steps
+    for i in range(1, n + 1):
+        row = below(i, row)
+        if i % gap == 0:
+            kept.append(row)
+    first, d = n + 1, []  # rows first, first + 1, ... of the table
     out, i, j = [], n, m
     while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
+        if i and i - 1 < first:
+            first = (i - 1) // gap * gap
+            d = [kept[first // gap]]
+            for k in range(first + 1, i + 1):
+                d.append(below(k, d[-1]))
+        if i and j and d[i - first][j] == d[i - 1 - first][j - 1] + (r[i - 1] != h[j - 1]):
             out.append((ref[i - 1], hyp[j - 1]))
             i, j = i - 1, j - 1
-        elif i and d[i, j] == d[i - 1, j] + 1:
+        elif i and d[i - first][j] == d[i - 1 - first][j] + 1:
             out.append((ref[i - 1], EPS))
             i -= 1
         else:

@@ -175,3 +175,41 @@ def test_reversed_model_scores_reversed_sentences(spark):
     for n in range(1, 4):
         for s in itertools.product("abc", repeat=n):
             assert abs(score(forward, ["<s>", *s, "</s>"]) - score(backward, ["<s>", *reversed(s), "</s>"])) < 1e-9, s
+
+
+def test_edit_path_of_long_texts_is_bounded_in_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from parlance.operators.scoring import EPS, edit_path
+
+    def whole_table(ref, hyp):
+        d = [[i + j for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
+        for i, x in enumerate(ref, 1):
+            for j, y in enumerate(hyp, 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y))
+        out, i, j = [], len(ref), len(hyp)
+        while i or j:
+            if i and j and d[i][j] == d[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+                i, j = i - 1, j - 1
+                out.append((ref[i], hyp[j]))
+            elif i and d[i][j] == d[i - 1][j] + 1:
+                i -= 1
+                out.append((ref[i], EPS))
+            else:
+                j -= 1
+                out.append((EPS, hyp[j]))
+        return out[::-1]
+
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        ref, hyp = (list(rng.choice(list("abcd"), int(rng.integers(0, 30)))) for _ in range(2))
+        assert edit_path(ref, hyp) == whole_table(ref, hyp)
+    ref = [f"w{x}" for x in rng.integers(0, 500, 3000)]
+    hyp = [x for i, x in enumerate(ref) if i % 7]
+    tracemalloc.start()
+    assert len(edit_path(ref, hyp)) == 3000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000  # the whole table has 3001 x 2572 numbers of four bytes, 31 MB
