@@ -98,9 +98,12 @@ ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth",
 AF_ONES = "nul een twee drie vier vyf ses sewe agt nege tien elf twaalf dertien veertien vyftien sestien sewentien agtien negentien".split()
 AF_TENS = "twintig dertig veertig vyftig sestig sewentig tagtig negentig".split()
 AF_UNITS = ["", "duisend", "miljoen", "miljard", "biljoen", "biljard"]
+AF_ORDINALS = {"een": "eerste", "drie": "derde", "nege": "negende", "sewe": "sewende"}
+AF_DE = ("twee", "vier", "vyf", "ses", "elf", "twaalf")
 
 
 def _groups(n: int) -> list[int]:
+    """Groups of three digits, the lowest first."""
     out = []
     while n:
         n, r = divmod(n, 1000)
@@ -108,50 +111,50 @@ def _groups(n: int) -> list[int]:
     return out
 
 
-def english(n: int, form: str = "cardinal") -> str:
-    """English words of a number; ``expand`` adds ``and`` before a last part under one hundred; ``ordinal`` ends the last word."""
+def english(n: int, form: str = "cardinal", comma: str = " ", hyphen: str = " ") -> str:
+    """English words of a number.
+
+    ``cardinal`` has no ``and``; ``ordinal`` makes the last word an ordinal; ``expand`` says ``and`` after
+    ``hundred``, and between a larger unit and a last part under one hundred that ends in a word from one to
+    nineteen. ``comma`` stands between the units, ``hyphen`` between tens and ones.
+    """
     if n < 0:
-        return "minus " + english(-n, form)
+        return "negative " + english(-n, form, comma, hyphen)
 
     def small(k: int) -> str:
         if k >= 100:
-            rest = k % 100
-            return ONES[k // 100] + " hundred" + (" and " + small(rest) if rest else "")
-        return ONES[k] if k < 20 else TENS[k // 10 - 2] + ("-" + ONES[k % 10] if k % 10 else "")
-
-    groups = _groups(n)
-    parts = [small(g) + (f" {UNITS[i]}" if i else "") for i, g in reversed(list(enumerate(groups))) if g]
-    text = " ".join(parts) or "zero"
-    if form == "expand" and len(parts) > 1 and 0 < n % 1000 < 100:
-        text = " ".join(parts[:-1]) + " and " + parts[-1]
+            link = " hundred and " if form == "expand" else " hundred "
+            return ONES[k // 100] + (link + small(k % 100) if k % 100 else " hundred")
+        return ONES[k] if k < 20 else TENS[k // 10 - 2] + (hyphen + ONES[k % 10] if k % 10 else "")
+
+    parts = [f"{small(g)} {UNITS[i]}".rstrip() for i, g in reversed(list(enumerate(_groups(n)))) if g]
+    tail = n % 1000
+    link = " and " if form == "expand" and (0 < tail < 20 or tail < 100 and tail % 10) else comma
+    text = comma.join(parts[:-1]) + (link if len(parts) > 1 else "") + parts[-1] if parts else ONES[0]
     if form == "ordinal":
-        head, sep, last = re.match(r"(.*?)([ -]?)([a-z]+)$", text).groups()
-        text = head + sep + (ORDINALS.get(last) or (last[:-1] + "ieth" if last.endswith("y") else last + "th"))
+        head, last = re.fullmatch(r"(.*?)([a-z]+)", text).groups()
+        text = head + (ORDINALS.get(last) or (last[:-1] + "ieth" if last.endswith("y") else last + "th"))
     return text
 
 
 def afrikaans(n: int, form: str = "cardinal") -> str:
-    """Afrikaans words of a number up to 10**18; ``en`` joins the last part; ordinals end in de, ste or nde."""
+    """Afrikaans words of a number; ``en`` joins a last word from one to nineteen to a larger unit before it."""
     if n < 0:
         return "minus " + afrikaans(-n, form)
 
     def small(k: int) -> str:
         if k >= 100:
-            head = ("" if k // 100 == 1 else AF_ONES[k // 100] + " ") + "honderd"
             rest = k % 100
-            return head + ((" en " if rest < 20 or rest % 10 == 0 else " ") + small(rest) if rest else "")
+            return AF_ONES[k // 100] + " honderd" + ((" en " if rest < 20 else " ") + small(rest) if rest else "")
         if k < 20:
             return AF_ONES[k]
         return (AF_ONES[k % 10] + " en " if k % 10 else "") + AF_TENS[k // 10 - 2]
 
-    groups = _groups(n)
-    parts = [(("" if g == 1 and i == 1 else small(g)) + (f" {AF_UNITS[i]}" if i else "")).strip() for i, g in reversed(list(enumerate(groups))) if g]
-    text = " ".join(parts[:-1] + (["en"] if len(parts) > 1 and 0 < n % 1000 < 20 else []) + parts[-1:]) or "nul"
+    parts = [f"{small(g)} {AF_UNITS[i]}".rstrip() for i, g in reversed(list(enumerate(_groups(n)))) if g]
+    text = " ".join(parts[:-1] + (["en"] if len(parts) > 1 and 0 < n % 1000 < 20 else []) + parts[-1:]) or AF_ONES[0]
     if form == "ordinal":
-        special = {"een": "eerste", "drie": "derde", "agt": "agtste", "nul": "nulde"}
-        head, last = text.rpartition(" ")[::2]
-        last = special.get(last) or last + ("ste" if last.endswith(("tig", "honderd", "duisend", "joen", "jard")) else "de")
-        text = f"{head} {last}".strip()
+        head, sep, last = text.rpartition(" ")
+        text = head + sep + (AF_ORDINALS.get(last) or last + ("de" if last in AF_DE or last.endswith("tien") else "ste"))
     return text
 
 

@@ -87,13 +87,19 @@ def pron_probs(lexicon: DataFrame, counts: DataFrame, max_normalize: bool = Fals
 def silence_neighbours(prons: DataFrame, sil: str = "SIL") -> DataFrame:
     """For each word-pron: times after and before silence and not, with ``<s>`` and ``</s>`` around each utterance.
 
-    ``prons`` has utt, pos, word, pron; silences are rows of the word ``<eps>``.
+    ``prons`` has utt, pos, word, pron; silences are rows of the word ``<eps>``. One sort by utterance serves both
+    neighbours and the ends.
     """
     w = Window.partitionBy("utt").orderBy("pos")
-    first = prons.groupBy("utt").agg((F.min("pos") - 1).alias("pos")).select("utt", "pos", F.lit("<s>").alias("word"), F.lit("").alias("pron"))
-    last = prons.groupBy("utt").agg((F.max("pos") + 1).alias("pos")).select("utt", "pos", F.lit("</s>").alias("word"), F.lit("").alias("pron"))
-    a = prons.select("utt", "pos", "word", "pron").unionByName(first).unionByName(last)
-    a = a.withColumn("_b", F.lag("word").over(w)).withColumn("_a", F.lead("word").over(w)).filter("word <> '<eps>'")
+    a = prons.select("word", "pron", F.lag("word").over(w).alias("_b"), F.lead("word").over(w).alias("_a"))
+    row = lambda word, pron, b, a: F.struct(word.alias("word"), pron.alias("pron"), b.alias("_b"), a.alias("_a"))
+    none, word, start, end = F.lit(None).cast("string"), F.col("word"), F.lit("<s>"), F.lit("</s>")
+    rows = [
+        F.when(word != "<eps>", row(word, F.col("pron"), F.coalesce("_b", start), F.coalesce("_a", end))),
+        F.when(F.col("_b").isNull(), row(start, F.lit(""), none, word)),
+        F.when(F.col("_a").isNull(), row(end, F.lit(""), word, none)),
+    ]
+    a = a.select(F.inline(F.array_compact(F.array(*rows))))
     sil_b, sil_a = F.col("_b") == "<eps>", F.col("_a") == "<eps>"
     return a.groupBy("word", "pron").agg(F.count_if(sil_b).alias("sil_before"), F.count_if(~sil_b).alias("nonsil_before"), F.count_if(sil_a).alias("sil_after"), F.count_if(~sil_a).alias("nonsil_after"))
 

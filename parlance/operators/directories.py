@@ -137,8 +137,16 @@ def split_speakers_evenly(utt2spk: DataFrame, n: int) -> DataFrame:
 def balance_parts(sizes: DataFrame, n: int) -> DataFrame:
     """Parts of whole speakers (spk, n_utts) of about equal utterances: boundaries move while that evens out neighbours.
 
-    The table of speaker counts is short; it is worked on in one group.
+    The boundaries depend on each other, so they are moved in one group, for tables of at most ``SMALL`` speakers
+    (counted). Of more speakers, each part takes those whose utterances begin in its share of the total, by prefix
+    sums; with so many, a speaker is a small piece of a part.
     """
+    from .helpers import SMALL, running_sum, store
+
+    sizes = store(sizes.select("spk", F.col("n_utts").cast("long").alias("n_utts")), "sizes")
+    if sizes.count() > SMALL:
+        total = sizes.agg(F.sum("n_utts")).first()[0]
+        return running_sum(sizes, ["spk"], "n_utts", "_before").select("spk", "n_utts", (F.floor(c("_before") * n / total) + 1).alias("part"))
 
     def move(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("spk").reset_index(drop=True)
@@ -157,24 +165,24 @@ def balance_parts(sizes: DataFrame, n: int) -> DataFrame:
                         break
         return pd.DataFrame({"spk": g["spk"], "n_utts": g["n_utts"], "part": part + 1})
 
-    return sizes.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(lambda g: move(g), "spk string, n_utts long, part long")
+    return sizes.groupBy(F.lit(1).alias("_g")).applyInPandas(lambda g: move(g.drop(columns="_g", errors="ignore")), "spk string, n_utts long, part long")
 
 
 def heldout_by_speaker(utt2spk: DataFrame, percent: float, seed: int = 777) -> DataFrame:
     """Rows with ``part`` cv or train: speakers in seeded order are held out while fewer than the percentage of utterances are."""
-    n = utt2spk.groupBy("spk").agg(F.count("*").alias("n"))
-    w = Window.orderBy(seeded("spk", seed), "spk")  # one row a speaker
-    n = n.withColumn("_before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    from .helpers import running_sum
+
+    n = running_sum(utt2spk.groupBy("spk").agg(F.count("*").alias("n")), [seeded("spk", seed), "spk"], "n", "_before")
     total = utt2spk.count()
     return utt2spk.join(n.select("spk", F.when(c("_before") < total * percent / 100, "cv").otherwise("train").alias("part")), "spk")
 
 
 def speakers_until(utt2spk: DataFrame, n: int, seed: int = 777) -> DataFrame:
     """Utterances of seeded-random speakers, taken while the utterances so far are fewer than ``n``."""
-    k = utt2spk.groupBy("spk").agg(F.count("*").alias("n"))
-    w = Window.orderBy(seeded("spk", seed), "spk").rowsBetween(Window.unboundedPreceding, -1)  # one row a speaker
-    picked = k.withColumn("_b", F.coalesce(F.sum("n").over(w), F.lit(0))).filter(c("_b") < n)
-    return utt2spk.join(picked.select("spk"), "spk", "left_semi")
+    from .helpers import running_sum
+
+    k = running_sum(utt2spk.groupBy("spk").agg(F.count("*").alias("n")), [seeded("spk", seed), "spk"], "n", "_b")
+    return utt2spk.join(k.filter(c("_b") < n).select("spk"), "spk", "left_semi")
 
 
 def n_per_speaker(utt2spk: DataFrame, k: int, order: str = "utt") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A table is broadcast only when its counted rows are at most this.
@@ -16,9 +17,25 @@ def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def lookup(df: DataFrame, rows: int = SMALL) -> pa.Table | None:
+    """The rows of ``df`` for use inside tasks, if it has at most ``rows`` of them; else None."""
+    got = df.limit(rows + 1).toArrow()
+    return got if got.num_rows <= rows else None
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; in a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A new path in the folder of ``spark.checkpoint.dir``.
+
+    A temporary folder stands in only where the setting is absent and the session is local; on a cluster, where
+    executors would each write to their own disk, an absent setting is an error.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/parlance-{label}-{uuid.uuid4().hex}"
 
 
@@ -55,12 +72,17 @@ def range_join(points: DataFrame, ranges: DataFrame, on: list[str], point: str,
     """Points inside closed ranges, by equal buckets of ``width``: a range goes to each bucket that it touches.
 
     The join is an equi-join on the keys and the bucket, so it is shuffled evenly and skew rules apply; pick
-    ``width`` near the usual length of a range. The exact bounds are left to the caller's filter.
+    ``width`` near the usual length of a range. Longer ranges use wider buckets, each length class (by powers of
+    eight) its own, so that a range of any length goes to at most nine; a point goes to one bucket of each class
+    that occurs. The exact bounds are left to the caller's filter.
     """
-    p = points.withColumn("_bucket", F.floor(F.col(point) / F.lit(width)))
-    lo, hi = F.floor(F.col(start) / F.lit(width)), F.floor(F.col(end) / F.lit(width))
-    r = ranges.filter(F.col(end) >= F.col(start)).withColumn("_bucket", F.explode(F.sequence(lo, hi)))
-    return p.join(r, [*on, "_bucket"]).drop("_bucket")
+    kind = F.greatest(F.lit(0), F.ceil(F.log(8.0, F.greatest((F.col(end) - F.col(start)) / F.lit(8.0 * width), F.lit(1.0))))).cast("int")
+    r = ranges.filter(F.col(end) >= F.col(start)).withColumn("_class", kind)
+    size = F.lit(float(width)) * F.pow(F.lit(8.0), F.col("_class"))
+    r = r.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor(F.col(end) / size))))
+    classes = sorted(x[0] for x in r.select("_class").distinct().collect())  # at most some twenty: one for each power of eight
+    p = points.withColumn("_class", F.explode(F.array(*[F.lit(k) for k in classes]).cast("array<int>"))).withColumn("_bucket", F.floor(F.col(point) / size))
+    return p.join(r, [*on, "_class", "_bucket"]).drop("_class", "_bucket")
 
 
 def seeded(col: Column | str, seed: int = 777) -> Column:
@@ -68,6 +90,16 @@ def seeded(col: Column | str, seed: int = 777) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), (F.col(col) if isinstance(col, str) else col).cast("string")))
 
 
+def running_sum(df: DataFrame, order: list[Column | str], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over the rows before each row in a global order, in two passes as in :func:`numbered`."""
+    sort = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    sort = store(sort, "running")
+    before = sort.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = before.withColumn("_ahead", F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).drop("_sum")  # one row a part
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sort.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_ahead")).drop("_part", "_at", "_own", "_ahead")
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str = "n") -> DataFrame:
     """Row numbers from 1 in a global order, in two passes: range-partitioned sort, then counts of the earlier parts.
 

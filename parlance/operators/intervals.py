@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .helpers import lag, lead, ordered_list, with_islands
+from .helpers import lag, lead, numbered, ordered_list, small, with_islands
 
 c = F.col
 ORDER = ["start_cs", "end_cs", "label"]
@@ -221,12 +221,23 @@ def smooth_scores(scores: DataFrame, window_cs: int, factor: float) -> DataFrame
     b = s.select("rec", "model", c("event_id").alias("o_id"), c("start_cs").alias("o_start"), c("end_cs").alias("o_end"), c("score").alias("o_score"))
     b = b.withColumn("_b", F.explode(F.sequence(F.floor(c("o_start") / width), F.floor(c("o_end") / width))))
     near = a.join(b, ["rec", "model", "_b"]).filter("event_id <> o_id")
-    over = F.least("o_end", hi) - F.greatest("o_start", lo)
-    near = near.withColumn("w", over).filter("w > 0").dropDuplicates(["rec", "model", "event_id", "o_id"])
+    near = near.filter(c("_b") == F.floor(F.greatest("o_start", lo) / width))  # a pair counts in its first common bucket
+    near = near.withColumn("w", F.least("o_end", hi) - F.greatest("o_start", lo)).filter("w > 0")
     mean = near.groupBy("rec", "model", "event_id").agg((F.sum(c("w") * c("o_score")) / F.sum("w")).alias("mean"))
     return s.join(mean, ["rec", "model", "event_id"], "left").select("rec", "event_id", "model", (c("score") + factor * F.coalesce("mean", F.lit(0.0))).alias("score"))
 
 
+def append_utterances(texts: DataFrame, size: int) -> DataFrame:
+    """Texts (spk, n, text) of each speaker laid end to end in the order of ``n``, in parts of at most ``size`` utterances.
+
+    Utterances are numbered over all speakers in two passes, so a speaker of any size is never in one task or value.
+    """
+    order = numbered(texts.select("spk", "n"), ["spk", "n"], "k")
+    first = order.groupBy("spk").agg(F.min("k").alias("first"))
+    place = order.join(small(first), "spk").select("spk", "n", F.floor((c("k") - c("first")) / size).alias("part"))
+    return texts.join(place, ["spk", "n"]).groupBy("spk", "part").agg(F.array_join(ordered_list(["n"], "text"), " ").alias("text"))
+
+
 def duration_folds(segments: DataFrame, k: int = 10) -> DataFrame:
     """Fold of each segment by cumulative duration within its recording and label."""
     w = Window.partitionBy("rec", "label").orderBy("start_cs", "event_id")

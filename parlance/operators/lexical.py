@@ -7,12 +7,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 def pron_bigrams(prons: DataFrame, eps: str = "<eps>") -> DataFrame:
     """Counts of neighbouring word-prons (v, w) of each utterance, silences removed, with ``<s>`` and ``</s>`` around."""
-    ends = prons.groupBy("utt").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    first = ends.select("utt", (F.col("a") - 1).alias("pos"), F.lit("<s>").alias("word"))
-    last = ends.select("utt", (F.col("b") + 1).alias("pos"), F.lit("</s>").alias("word"))
-    rows = prons.select("utt", "pos", "word").unionByName(first).unionByName(last).filter(F.col("word") != eps)
-    nxt = F.lead("word").over(Window.partitionBy("utt").orderBy("pos"))
-    return rows.select(F.col("word").alias("v"), nxt.alias("w")).filter("w is not null").groupBy("v", "w").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("utt").orderBy("pos")
+    x = prons.select("utt", "pos", F.when(F.col("word") != eps, F.col("word")).alias("word"))
+    x = x.withColumn("before", F.expr("lag(word) ignore nulls over (partition by utt order by pos)")).withColumn("after", F.expr("lead(word) ignore nulls over (partition by utt order by pos)"))
+    x = x.withColumn("head", F.lag(F.lit(1)).over(w).isNull())
+    pair = lambda v, w: F.struct(v.alias("v"), w.alias("w"))
+    start, end, real = F.lit("<s>"), F.lit("</s>"), F.col("word").isNotNull()
+    rows = [
+        F.when(real, pair(F.col("word"), F.coalesce("after", end))),
+        F.when(real & F.col("before").isNull(), pair(start, F.col("word"))),
+        F.when(F.col("head") & ~real & F.col("after").isNull(), pair(start, end)),  # nothing but silence
+    ]
+    return x.select(F.inline(F.array_compact(F.array(*rows)))).groupBy("v", "w").agg(F.count("*").alias("n"))
 
 
 def unigram_model(text: DataFrame) -> DataFrame:
@@ -29,10 +35,14 @@ def bigram_model(words: DataFrame) -> DataFrame:
 
 
 def ngrams(text: DataFrame, n: int) -> DataFrame:
-    """Counts of the n-grams of texts (words), space-joined."""
-    at = F.sequence(F.lit(1), F.size("words") - (n - 1))
-    grams = F.when(F.size("words") >= n, F.transform(at, lambda i: F.array_join(F.slice("words", i, n), " ")))
-    return text.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    """Counts of the n-grams of texts (words), space-joined.
+
+    The word array is laid beside its own shifts and inlined, which is compiled code; words are joined after counting.
+    """
+    full = F.size("words") - (n - 1)
+    shifts = F.arrays_zip(*[F.slice("words", F.lit(i + 1), full).alias(f"w{i}") for i in range(n)])
+    names = [f"w{i}" for i in range(n)]
+    return text.filter(F.size("words") >= n).select(F.inline(shifts)).groupBy(*names).agg(F.count("*").alias("n")).select(F.concat_ws(" ", *names).alias("gram"), "n")
 
 
 def example_keywords(text: DataFrame, wants: tuple = ((1, 20, 20), (2, 4, 20), (3, 3, 10)), most: int = 100) -> DataFrame:
@@ -204,11 +214,13 @@ def keyword_search(ctm: DataFrame, keywords: DataFrame, max_gap: float = 0.5) ->
     Keywords meet postings on their first word, then position by position up to the longest keyword, so the work
     follows the postings of the keywords' words.
     """
-    from .helpers import small
+    from .helpers import small, store
 
-    k = keywords.select("kwid", F.split("text", " ").alias("w")).withColumn("n", F.size("w"))
+    k = store(keywords.select("kwid", F.split("text", " ").alias("w")).withColumn("n", F.size("w")), "keywords")
     longest = k.agg(F.max("n")).first()[0] or 0
-    post = ctm.select("utt", "pos", "start", F.round(F.col("start") + F.col("dur"), 2).alias("end"), "word")
+    used = small(k.select(F.explode("w").alias("word")).distinct())
+    post = ctm.select("utt", "pos", "start", F.round(F.col("start") + F.col("dur"), 2).alias("end"), "word").join(used, "word", "left_semi")
+    post = store(post, "postings")  # of the keywords' words only; read once for each position
     hit = post.join(small(k.withColumn("word", F.col("w")[0])), "word").select("kwid", "w", "n", "utt", F.col("start").alias("tbeg"), "end", "pos")
     done = hit.filter("n = 1")
     for i in range(1, longest):

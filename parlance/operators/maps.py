@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .helpers import ordered_list, seeded, small
+from .helpers import lookup, numbered, ordered_list, seeded, small, store
 
 
 def filter_by_ids(df: DataFrame, ids: DataFrame, on: str, id_col: str | None = None, exclude: bool = False) -> DataFrame:
@@ -21,29 +26,128 @@ def filter_by_many_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
 def map_tokens(df: DataFrame, mapping: DataFrame, key: str, tokens: str, first: int = 1, last: int | None = None, permissive: bool = False) -> DataFrame:
     """Replace tokens at positions ``first`` to ``last`` by the mapped token lists (columns sym, values).
 
-    A token without an entry is an error, or stays with ``permissive``. Rows without tokens keep an empty list.
+    A token without an entry is an error, or stays with ``permissive``. Rows without tokens keep an empty list;
+    repeated keys are rows of their own. A small mapping (counted) is looked up in place, without a shuffle.
     """
-    rows = df.select(key, F.posexplode_outer(tokens).alias("p", "sym")).withColumn("p", F.col("p") + 1)
-    inside = (F.col("p") >= first) & (F.col("p") <= (last if last is not None else 1 << 30))
-    rows = rows.join(small(mapping.select("sym", F.col("values").alias("mapped"))), "sym", "left")
+    last = last if last is not None else 1 << 30
+    table = lookup(mapping.select("sym", "values"))
+    if table is not None:
+        return mapped_in_place(df.select(key, tokens), table, first, last, permissive)
+    rows = numbered_rows(df.select(key, tokens)).select("_row", key, F.posexplode_outer(tokens).alias("p", "sym")).withColumn("p", F.col("p") + 1)
+    inside = (F.col("p") >= first) & (F.col("p") <= last)
+    rows = rows.join(mapping.select("sym", F.col("values").alias("mapped")), "sym", "left")
     own = F.array("sym")
     missing = own if permissive else F.raise_error(F.concat(F.lit("no entry for "), "sym")).cast("array<string>")
     out = F.when(F.col("sym").isNull(), F.array().cast("array<string>")).when(~inside, own).when(F.col("mapped").isNotNull(), F.col("mapped")).otherwise(missing)
-    return rows.withColumn("out", out).groupBy(key).agg(F.flatten(ordered_list(["p"], "out")).alias(tokens))
+    return rows.withColumn("out", out).groupBy("_row", key).agg(F.flatten(ordered_list(["p"], "out")).alias(tokens)).drop("_row")
+
+
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """``df`` with a number for each row, written down so that a repeated task sees the same."""
+    return store(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def mapped_in_place(df: DataFrame, table: pa.Table, first: int, last: int, permissive: bool) -> DataFrame:
+    """The lists of the second column with each token replaced by its entry of ``table`` (sym, values)."""
+    lists = table["values"].combine_chunks()
+    syms, size, flat = table["sym"].combine_chunks(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+    start = np.cumsum(size) - size
+    shared = df.sparkSession.sparkContext.broadcast((syms, size, start, flat))  # counted
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        syms, size, start, flat = shared.value
+        for b in batches:
+            lists, own, n = token_lists(b.column(1))
+            at = pc.index_in(own, value_set=syms)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + 1
+            use = (place >= first) & (place <= last)
+            known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            if not permissive and (use & ~known).any():
+                raise ValueError(f"no entry for {own[int(np.flatnonzero(use & ~known)[0])]}")
+            use &= known
+            at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+            count = np.where(use, size[at] if len(size) else 0, 1)
+            ends = np.cumsum(count)
+            inner = np.arange(count.sum()) - np.repeat(ends - count, count)
+            # both sources laid one after the other: entries of the table, then the tokens themselves
+            take = np.where(np.repeat(use, count), np.repeat(start[at] if len(size) else 0, count) + inner, len(flat) + np.repeat(np.arange(len(own)), count))
+            values = pa.concat_arrays([flat, own]).take(pa.array(take))
+            bound = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), values)], names)
+
+    kind = next(f.dataType.simpleString() for f in df.schema if f.name == names[0])
+    return df.mapInArrow(run, f"`{names[0]}` {kind}, `{names[1]}` array<string>")
+
+
+def token_lists(lists: pa.ListArray) -> tuple[pa.ListArray, pa.Array, np.ndarray]:
+    """Lists, their tokens laid end to end and the size of each list; a null list has none."""
+    return lists, lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def symbols_to_ids(df: DataFrame, symtab: DataFrame, key: str, tokens: str, oov: int | None = None) -> DataFrame:
-    """Token ids by symbol table (sym, id); unknown tokens become ``oov`` (counted in ``n_oov``), or are an error."""
-    rows = df.select(key, F.posexplode(tokens).alias("p", "sym")).join(small(symtab.select("sym", "id")), "sym", "left")
+    """Token ids by symbol table (sym, id); unknown tokens become ``oov`` (counted in ``n_oov``), or are an error.
+
+    Rows without tokens are left out; repeated keys are rows of their own. A small table (counted) is looked up in
+    place, without a shuffle.
+    """
+    df = df.select(key, tokens).filter(F.size(tokens) > 0)
+    table = lookup(symtab.select("sym", F.col("id").cast("int").alias("id")))
+    if table is not None:
+        return numbered_in_place(df, table, oov)
+    rows = numbered_rows(df).select("_row", key, F.posexplode(tokens).alias("p", "sym")).join(symtab.select("sym", "id"), "sym", "left")
     value = F.coalesce("id", F.lit(oov) if oov is not None else F.raise_error(F.concat(F.lit("unknown symbol "), "sym")).cast("int"))
-    return rows.withColumn("v", value).groupBy(key).agg(ordered_list(["p"], "v").alias("ids"), F.count_if(F.col("id").isNull()).alias("n_oov"))
+    return rows.withColumn("v", value).groupBy("_row", key).agg(ordered_list(["p"], "v").alias("ids"), F.count_if(F.col("id").isNull()).alias("n_oov")).drop("_row")
+
+
+def numbered_in_place(df: DataFrame, table: pa.Table, oov: int | None) -> DataFrame:
+    """The lists of the second column as ids of ``table`` (sym, id), and how many tokens of each it lacks."""
+    shared = df.sparkSession.sparkContext.broadcast((table["sym"].combine_chunks(), table["id"].combine_chunks()))  # counted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        syms, ids = shared.value
+        for b in batches:
+            _, own, n = token_lists(b.column(1))
+            at = pc.index_in(own, value_set=syms)
+            if oov is None and at.null_count:
+                raise ValueError(f"unknown symbol {own.filter(pc.is_null(at))[0]}")
+            missing = pc.is_null(at).to_numpy(zero_copy_only=False)
+            bound = np.concatenate([[0], np.cumsum(n)])
+            lacks = np.concatenate([[0], np.cumsum(missing)])[bound]
+            value = pc.fill_null(ids.take(at), oov if oov is not None else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), value), pa.array(np.diff(lacks), pa.int64())], names)
+
+    names = [df.columns[0], "ids", "n_oov"]
+    return df.mapInArrow(run, f"`{names[0]}` {df.schema[0].dataType.simpleString()}, ids array<int>, n_oov long")
 
 
 def ids_to_symbols(df: DataFrame, symtab: DataFrame, key: str, ids: str) -> DataFrame:
     """Inverse of :func:`symbols_to_ids`; an unknown id is an error."""
-    rows = df.select(key, F.posexplode(ids).alias("p", "id")).join(small(symtab.select("sym", "id")), "id", "left")
+    df = df.select(key, ids).filter(F.size(ids) > 0)
+    table = lookup(symtab.select("sym", F.col("id").cast("int").alias("id")))
+    if table is not None:
+        return named_in_place(df, table)
+    rows = numbered_rows(df).select("_row", key, F.posexplode(ids).alias("p", "id")).join(symtab.select("sym", "id"), "id", "left")
     value = F.coalesce("sym", F.raise_error(F.concat(F.lit("unknown id "), F.col("id").cast("string"))).cast("string"))
-    return rows.withColumn("v", value).groupBy(key).agg(ordered_list(["p"], "v").alias("words"))
+    return rows.withColumn("v", value).groupBy("_row", key).agg(ordered_list(["p"], "v").alias("words")).drop("_row")
+
+
+def named_in_place(df: DataFrame, table: pa.Table) -> DataFrame:
+    """The lists of the second column as symbols of ``table`` (sym, id)."""
+    shared = df.sparkSession.sparkContext.broadcast((table["sym"].combine_chunks(), table["id"].combine_chunks()))  # counted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        syms, ids = shared.value
+        for b in batches:
+            _, own, n = token_lists(b.column(1))
+            at = pc.index_in(own.cast(pa.int32()), value_set=ids)
+            if at.null_count:
+                raise ValueError(f"unknown id {own.filter(pc.is_null(at))[0]}")
+            bound = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bound), syms.take(at))], names)
+
+    names = [df.columns[0], "words"]
+    return df.mapInArrow(run, f"`{names[0]}` {df.schema[0].dataType.simpleString()}, words array<string>")
 
 
 def group_utterances(utt2spk: DataFrame, order: str) -> DataFrame:
@@ -66,7 +170,7 @@ def subset(df: DataFrame, n: int, order: str, mode: str = "first") -> DataFrame:
     if mode in ("first", "last"):
         return df.orderBy(F.col(order) if mode == "first" else F.desc(order)).limit(n)
     total = df.count()
-    rows = df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
+    rows = numbered(df, [order], "_i").withColumn("_i", F.col("_i") - 1)
     start = F.struct(F.lit(0).alias("lo"), F.lit(total).alias("size"), F.lit(min(n, total)).alias("quota"))
 
     def halve(s: Column, _: Column) -> Column:

@@ -16,38 +16,48 @@ EPS = "<eps>"
 
 
 def edit_path(ref: list[str], hyp: list[str]) -> list[tuple[str, str]]:
-    """A cheapest alignment as pairs, ``<eps>`` on the side that lacks a token; matches, then substitutions, are preferred."""
+    """A cheapest alignment as pairs, ``<eps>`` on the side that lacks a token; matches, then substitutions, are preferred.
+
+    Rows of the table of edit distances are held as whole numbers of one bit a column: where a cell is one more
+    (``up``) or one less (``down``) than its left neighbour, where it equals its diagonal neighbour (``same``) and
+    where it is one more than the cell above (``more``). A row follows from the one above by a few operations on
+    such numbers. Only every gap-th row is kept; the walk back makes the rows between two of them again, so memory
+    grows with the length to the power 1.5, in bits.
+    """
     n, m = len(ref), len(hyp)
-    ids: dict[str, int] = {}
-    r = np.array([ids.setdefault(x, len(ids)) for x in ref], np.int64)
-    h = np.array([ids.setdefault(x, len(ids)) for x in hyp], np.int64)
-    steps = np.arange(m + 1, dtype=np.int32)
-
-    def below(i: int, row: np.ndarray) -> np.ndarray:
-        best = np.empty(m + 1, np.int32)
-        best[0] = i
-        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (h != r[i - 1]))
-        return np.minimum.accumulate(best - steps) + steps  # insertions run along the row
-
-    # Only every gap-th row is kept; the walk back makes the rows between two of them again.
+    full = (1 << m) - 1
+    places: dict[str, int] = {}
+    for j, x in enumerate(hyp):
+        places[x] = places.get(x, 0) | 1 << j
+
+    def below(x: str, up: int, down: int) -> tuple[int, int, int, int]:
+        equal = places.get(x, 0)
+        same = (((equal & up) + up) ^ up | equal | down) & full
+        more, less = down | (full & ~(same | up)), same & up
+        left, right = more << 1 | 1, less << 1
+        return (right | ~(same | left)) & full, left & same & full, same, more
+
     gap = max(1, math.isqrt(n))
-    kept, row = [steps], steps
+    kept, row = [(full, 0)], (full, 0)
     for i in range(1, n + 1):
-        row = below(i, row)
+        row = below(ref[i - 1], *row)[:2]
         if i % gap == 0:
             kept.append(row)
-    first, d = n + 1, []  # rows first, first + 1, ... of the table
+    first, rows = n + 1, []  # rows first + 1, first + 2, ...: where they equal the diagonal, where they are more than above
     out, i, j = [], n, m
     while i or j:
         if i and i - 1 < first:
             first = (i - 1) // gap * gap
-            d = [kept[first // gap]]
-            for k in range(first + 1, i + 1):
-                d.append(below(k, d[-1]))
-        if i and j and d[i - first][j] == d[i - 1 - first][j - 1] + (r[i - 1] != h[j - 1]):
+            row, rows = kept[first // gap], []
+            for k in range(first, i):
+                up, down, same, more = below(ref[k], *row)
+                row = up, down
+                rows.append((same, more))
+        same, more = rows[i - first - 1] if i else (0, 0)
+        if i and j and (same >> (j - 1) & 1) == (ref[i - 1] == hyp[j - 1]):
             out.append((ref[i - 1], hyp[j - 1]))
             i, j = i - 1, j - 1
-        elif i and d[i - first][j] == d[i - 1 - first][j] + 1:
+        elif i and (not j or more >> (j - 1) & 1):
             out.append((ref[i - 1], EPS))
             i -= 1
         else:

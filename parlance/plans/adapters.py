@@ -25,7 +25,7 @@ def words(s, sf):
 
 
 def pairs(s, sf):
-    w = words(s, sf).filter("pos <= 60")
+    w = words(s, sf)
     hyp = F.when(c("pos") % 7 == 0, "<eps>").when(c("pos") % 11 == 0, F.concat(F.lit("zz"), "word")).otherwise(c("word"))
     main = w.select("utt", "pos", F.lit(0).alias("k"), c("word").alias("ref"), hyp.alias("hyp"))
     extra = w.filter("pos % 13 = 0").select("utt", "pos", F.lit(1).alias("k"), F.lit("<eps>").alias("ref"), c("word").alias("hyp"))
@@ -85,14 +85,14 @@ def jobs(s, sf):
 
 
 def lexicon(s, sf):
-    w = words(s, sf).select("word").distinct().filter("length(word) between 2 and 12")
+    w = words(s, sf).select("word").distinct()
     return w.select("word", F.split("word", "").alias("phones"))
 
 
 def symtab(s, sf):
-    from pyspark.sql import Window
+    from ..operators.helpers import numbered
 
-    return lexicon(s, sf).select(c("word").alias("sym"), (F.row_number().over(Window.orderBy("word")) + 2).alias("id"))
+    return numbered(lexicon(s, sf).select(c("word").alias("sym")), ["sym"], "id").withColumn("id", (c("id") + 2).cast("int"))
 
 
 def feats(s, sf):
@@ -112,7 +112,7 @@ SQL = {
     "v_utt2spk": "SELECT doc_id::VARCHAR AS utt, source AS spk FROM documents",
     "v_text": "SELECT * FROM (SELECT doc_id::VARCHAR AS utt, regexp_extract_all(lower(text), '[a-z]+') AS words FROM documents) WHERE len(words) > 0",
     "v_words": "SELECT utt, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM v_text",
-    "v_pairs": "SELECT utt, pos, 0 AS k, word AS ref, CASE WHEN pos % 7 = 0 THEN '<eps>' WHEN pos % 11 = 0 THEN 'zz' || word ELSE word END AS hyp FROM v_words WHERE pos <= 60 UNION ALL SELECT utt, pos, 1, '<eps>', word FROM v_words WHERE pos <= 60 AND pos % 13 = 0",
+    "v_pairs": "SELECT utt, pos, 0 AS k, word AS ref, CASE WHEN pos % 7 = 0 THEN '<eps>' WHEN pos % 11 = 0 THEN 'zz' || word ELSE word END AS hyp FROM v_words UNION ALL SELECT utt, pos, 1, '<eps>', word FROM v_words WHERE pos % 13 = 0",
     "v_ctm0": "SELECT conv_id, turn, conv_id || '-' || turn AS utt, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations",
     "v_ctm": "SELECT utt, '1' AS channel, round(0.4::DOUBLE * (pos - 1), 2) AS start, CASE WHEN length(word) % 2 = 0 THEN 0.3 ELSE 0.4 END::DOUBLE AS dur, word, (length(word) % 10) / 10.0::DOUBLE AS conf, pos FROM (SELECT utt, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM v_ctm0)",
     "v_segments": "SELECT utt, conv_id::VARCHAR AS rec, turn * 100.0::DOUBLE AS start, round(turn * 100.0::DOUBLE + 0.4::DOUBLE * len(w) + 1, 2) AS \"end\" FROM v_ctm0 WHERE len(w) > 0",
@@ -122,7 +122,7 @@ SQL = {
     "v_speechseg": "SELECT * FROM (SELECT rec, label, start_cs, least(end_cs, lead(start_cs) OVER (PARTITION BY rec ORDER BY start_cs, event_id)) AS end_cs, event_id FROM v_labelseg) WHERE label IN ('click', 'view')",
     "v_scores": "SELECT *, -(('0x' || substr(md5(event_id || model), 1, 6))::BIGINT % 1000) / 100.0::DOUBLE AS score FROM (SELECT *, unnest(['m0', 'm1', 'm2', 'm3', 'm4']) AS model FROM v_labelseg)",
     "v_jobs": "SELECT 'j' || event_id AS jobid, user_id::VARCHAR AS username, CASE event_type WHEN 'signup' THEN 'P' WHEN 'view' THEN 'Q' WHEN 'click' THEN 'R' WHEN 'purchase' THEN 'N' WHEN 'error' THEN 'E' END AS status, ts AS creation, CASE WHEN event_type = 'error' THEN props END AS errstatus, event_id FROM events",
-    "v_lexicon": "SELECT word, string_split(word, '') AS phones FROM (SELECT DISTINCT word FROM v_words WHERE length(word) BETWEEN 2 AND 12)",
+    "v_lexicon": "SELECT word, string_split(word, '') AS phones FROM (SELECT DISTINCT word FROM v_words)",
     "v_symtab": "SELECT word AS sym, row_number() OVER (ORDER BY word) + 2 AS id FROM v_lexicon",
     "v_feats": "SELECT vec_id::VARCHAR AS utt, label::VARCHAR AS spk, vec_id, embedding::DOUBLE[] AS vec FROM embeddings",
     "v_top": "SELECT word, 'KW-' || row_number() OVER (ORDER BY n DESC, word) AS kwid FROM (SELECT word, count(*) AS n FROM v_ctm GROUP BY word ORDER BY n DESC, word LIMIT 50)",

@@ -69,34 +69,34 @@ def e8(s, sf):
 
 
 def _observed(s, sf):
-    w = v.words(s, sf).filter("length(word) between 2 and 5")
+    w = v.words(s, sf)
     return w.select("utt", "pos", "word", F.concat(F.lit("p"), (c("pos") % 3).cast("string")).alias("pron"))
 
 
-OBS = "obs AS (SELECT utt, pos, word, 'p' || (pos % 3) AS pron FROM v_words WHERE length(word) BETWEEN 2 AND 5), lex AS (SELECT DISTINCT word, unnest(['p0', 'p1', 'p2', 'p3']) AS pron FROM obs)"
+OBS = "obs AS (SELECT utt, pos, word, 'p' || (pos % 3) AS pron FROM v_words), lex AS (SELECT DISTINCT word, unnest(['p0', 'p1', 'p2', 'p3']) AS pron FROM obs)"
 
 
 def _lex(s, sf):
     return _observed(s, sf).select("word").distinct().select("word", F.explode(F.array(*[F.lit(f"p{i}") for i in range(4)])).alias("pron"))
 
 
-@query("e9_lexicon_probs", f"WITH {OBS}, n AS (SELECT word, pron, 1.0 + (SELECT count(*) FROM obs o WHERE o.word = lex.word AND o.pron = lex.pron) AS n FROM lex) SELECT word, pron, round((n / max(n) OVER (PARTITION BY word))::DOUBLE, 6) AS prob FROM n")
+@query("e9_lexicon_probs", f"WITH {OBS}, n AS (SELECT word, pron, 1.0 + coalesce(k, 0) AS n FROM lex LEFT JOIN (SELECT word, pron, count(*) AS k FROM obs GROUP BY ALL) USING (word, pron)) SELECT word, pron, round((n / max(n) OVER (PARTITION BY word))::DOUBLE, 6) AS prob FROM n")
 def e9(s, sf):
     return a.lexicon_probs(_observed(s, sf), _lex(s, sf)).withColumn("prob", r6("prob"))
 
 
-@query("e10_pron_probs", f"WITH {OBS}, n AS (SELECT word, pron, 1 + (SELECT count(*) FROM obs o WHERE o.word = lex.word AND o.pron = lex.pron) AS n FROM lex) SELECT word, pron, round(n / sum(n) OVER (PARTITION BY word), 6) AS prob FROM n")
+@query("e10_pron_probs", f"WITH {OBS}, n AS (SELECT word, pron, 1 + coalesce(k, 0) AS n FROM lex LEFT JOIN (SELECT word, pron, count(*) AS k FROM obs GROUP BY ALL) USING (word, pron)) SELECT word, pron, round(n / sum(n) OVER (PARTITION BY word), 6) AS prob FROM n")
 def e10(s, sf):
     n = _observed(s, sf).groupBy("word", "pron").agg(F.count("*").alias("n"))
     return a.pron_probs(_lex(s, sf), n).withColumn("prob", r6("prob"))
 
 
 def _prons(s, sf):
-    w = v.words(s, sf).filter("pos <= 40")
+    w = v.words(s, sf)
     return w.select("utt", "pos", F.when(c("pos") % 6 == 0, "<eps>").otherwise(F.substring("word", 1, 2)).alias("word"), F.lit("").alias("pron"))
 
 
-PR = """pr AS (SELECT utt, pos, CASE WHEN pos % 6 = 0 THEN '<eps>' ELSE substr(word, 1, 2) END AS word FROM v_words WHERE pos <= 40),
+PR = """pr AS (SELECT utt, pos, CASE WHEN pos % 6 = 0 THEN '<eps>' ELSE substr(word, 1, 2) END AS word FROM v_words),
  al AS (SELECT * FROM pr UNION ALL SELECT utt, min(pos) - 1, '<s>' FROM pr GROUP BY utt UNION ALL SELECT utt, max(pos) + 1, '</s>' FROM pr GROUP BY utt),
  nb AS (SELECT utt, pos, word, lag(word) OVER w AS b, lead(word) OVER w AS a FROM al WINDOW w AS (PARTITION BY utt ORDER BY pos)),
  ct AS (SELECT word, '' AS pron, count(*) FILTER (b = '<eps>') AS sil_before, count(*) FILTER (b <> '<eps>') AS nonsil_before, count(*) FILTER (a = '<eps>') AS sil_after, count(*) FILTER (a <> '<eps>') AS nonsil_after FROM nb WHERE word <> '<eps>' GROUP BY word)"""
@@ -136,9 +136,9 @@ def l20(s, sf):
     return _bigrams(s, sf)
 
 
-@query("e13_pron_counts", "SELECT word, CASE WHEN length(word) = 2 THEN word[1] || ' ' || word[2] ELSE word END AS pron, count(*) AS n FROM v_words WHERE length(word) < 4 GROUP BY ALL")
+@query("e13_pron_counts", "SELECT word, CASE WHEN length(word) = 2 THEN word[1] || ' ' || word[2] ELSE word END AS pron, count(*) AS n FROM v_words GROUP BY ALL")
 def e13(s, sf):
-    w = v.words(s, sf).filter("length(word) < 4")
+    w = v.words(s, sf)
     p = F.when(F.length("word") == 2, F.concat(F.substring("word", 1, 1), F.lit("_B "), F.substring("word", 2, 1), F.lit("_E"))).otherwise(F.concat("word", F.lit("_S")))
     return a.pron_counts(w.select("word", p.alias("pron")))
 
@@ -154,7 +154,7 @@ def n7(s, sf):
     return r.filter("verdict = 'INCORRECT' and rank = 1 and share > 0.4 and n > 10").orderBy(F.desc("n"), "word").limit(20).select("word", "pron", "n")
 
 
-@query("n6_lowest_prob_prons", f"WITH {OBS}, n AS (SELECT word, pron, 1 + (SELECT count(*) FROM obs o WHERE o.word = lex.word AND o.pron = lex.pron) AS n FROM lex) SELECT word, pron, round(n / sum(n) OVER (PARTITION BY word), 6) AS prob FROM n ORDER BY prob, word, pron LIMIT 8")
+@query("n6_lowest_prob_prons", f"WITH {OBS}, n AS (SELECT word, pron, 1 + coalesce(k, 0) AS n FROM lex LEFT JOIN (SELECT word, pron, count(*) AS k FROM obs GROUP BY ALL) USING (word, pron)) SELECT word, pron, round(n / sum(n) OVER (PARTITION BY word), 6) AS prob FROM n ORDER BY prob, word, pron LIMIT 8")
 def n6(s, sf):
     return e10(s, sf).orderBy("prob", "word", "pron").limit(8)
 
@@ -243,11 +243,11 @@ def n2(s, sf):
     return numbered(v.hits(s, sf).select("kwid", "file", "score", "tbeg", "pos", "utt"), [k, F.desc("score"), "file", "tbeg", "utt", "pos"], "rank")
 
 
-@query("n3_top_n_prons", "WITH b AS (SELECT utt AS word, model AS pron, max(s) AS s FROM (SELECT rec AS utt, model, 1 + score / 10 AS s FROM v_scores WHERE event_id % 5 = 0) GROUP BY ALL) SELECT word, pron, round(s, 6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY s DESC, pron) AS k FROM b WHERE s >= 0.35) WHERE k <= 4")
+@query("n3_top_n_prons", "WITH b AS (SELECT utt AS word, model AS pron, max(s) AS s FROM (SELECT rec AS utt, model, 1 + score / 10 AS s FROM v_scores) GROUP BY ALL) SELECT word, pron, round(s, 6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY s DESC, pron) AS k FROM b WHERE s >= 0.35) WHERE k <= 4")
 def n3(s, sf):
     from ..operators.topk import top_per_group
 
-    b = v.scores(s, sf).filter("event_id % 5 = 0").groupBy(c("rec").alias("word"), c("model").alias("pron")).agg(F.max(1 + c("score") / 10).alias("s"))
+    b = v.scores(s, sf).groupBy(c("rec").alias("word"), c("model").alias("pron")).agg(F.max(1 + c("score") / 10).alias("s"))
     return top_per_group(b.filter("s >= 0.35"), ["word"], [F.desc("s"), "pron"], 4).withColumn("s", r6("s"))
 
 

@@ -140,10 +140,10 @@ def g16b(s, sf):
     return g.cluster_labels(g.score_gap_pairs(v.scores(s, sf)), 4.0)
 
 
-@query("g17_smooth_scores", """WITH n AS (SELECT a.rec, a.event_id, a.model, sum(w * o_score) / sum(w) AS m FROM (SELECT a.rec, a.event_id, a.model, least(b.end_cs, a.end_cs + 500000) - greatest(b.start_cs, a.start_cs - 500000) AS w, b.score AS o_score FROM v_scores a JOIN v_scores b ON a.rec = b.rec AND a.model = b.model AND a.event_id <> b.event_id WHERE a.event_id % 4 = 0 AND b.event_id % 4 = 0) a WHERE w > 0 GROUP BY ALL)
- SELECT rec, event_id, model, round(s.score + 0.5 * coalesce(m, 0), 6) AS score FROM v_scores s LEFT JOIN n USING (rec, event_id, model) WHERE s.event_id % 4 = 0""")
+@query("g17_smooth_scores", """WITH n AS (SELECT a.rec, a.event_id, a.model, sum(w * o_score) / sum(w) AS m FROM (SELECT a.rec, a.event_id, a.model, least(b.end_cs, a.end_cs + 500000) - greatest(b.start_cs, a.start_cs - 500000) AS w, b.score AS o_score FROM v_scores a JOIN v_scores b ON a.rec = b.rec AND a.model = b.model AND a.event_id <> b.event_id) a WHERE w > 0 GROUP BY ALL)
+ SELECT rec, event_id, model, round(s.score + 0.5 * coalesce(m, 0), 6) AS score FROM v_scores s LEFT JOIN n USING (rec, event_id, model)""")
 def g17(s, sf):
-    return g.smooth_scores(v.scores(s, sf).filter("event_id % 4 = 0"), 500000, 0.5).withColumn("score", F.round("score", 6))
+    return g.smooth_scores(v.scores(s, sf), 500000, 0.5).withColumn("score", F.round("score", 6))
 
 
 @query("g18_duration_folds", "WITH d AS (SELECT *, end_cs - start_cs AS d FROM v_labelseg), t AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY rec, label ORDER BY start_cs, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(d) OVER (PARTITION BY rec, label) AS t FROM d) SELECT rec, label, event_id, CASE WHEN t > 0 THEN least(9, floor(b * 10 / t))::BIGINT ELSE 0 END AS fold FROM t")
@@ -203,12 +203,10 @@ def g25(s, sf):
     return g.perturb_speed(v.segments(s, sf), 0.9)
 
 
-@query("g26_append_utterances", "SELECT spk, string_agg(array_to_string(words, ' '), ' ' ORDER BY utt::BIGINT) AS text FROM v_text JOIN v_utt2spk USING (utt) GROUP BY spk")
+@query("g26_append_utterances", "WITH r AS (SELECT spk, utt::BIGINT AS n, array_to_string(words, ' ') AS t, (row_number() OVER (PARTITION BY spk ORDER BY utt::BIGINT) - 1) // 100 AS part FROM v_text JOIN v_utt2spk USING (utt)) SELECT spk, part, string_agg(t, ' ' ORDER BY n) AS text FROM r GROUP BY spk, part")
 def g26(s, sf):
-    from ..operators.helpers import ordered_list
-
-    j = v.text(s, sf).join(v.utt2spk(s, sf), "utt").select("spk", c("utt").cast("long").alias("n"), F.array_join("words", " ").alias("t"))
-    return j.groupBy("spk").agg(F.array_join(ordered_list(["n"], "t"), " ").alias("text"))
+    t = v.text(s, sf).join(v.utt2spk(s, sf), "utt").select("spk", c("utt").cast("long").alias("n"), F.array_join("words", " ").alias("text"))
+    return g.append_utterances(t, 100)
 
 
 @query("g27_phone_class_runs", "WITH k AS (SELECT utt, pos, CASE WHEN word[1] IN ('a','e','i','o','u') THEN 1 ELSE 0 END AS class FROM v_words), p AS (SELECT *, lag(class) OVER (PARTITION BY utt ORDER BY pos) AS pc FROM k), i AS (SELECT *, sum(CASE WHEN class = pc THEN 0 ELSE 1 END) OVER (PARTITION BY utt ORDER BY pos) AS island FROM p) SELECT utt, island::BIGINT AS island, any_value(class) AS class, min(pos) AS first, count(*) AS n FROM i GROUP BY utt, island")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as ft, lexical as x
+from ..operators.helpers import store
 from . import adapters as v
 from .adapters import query
 
@@ -17,9 +18,9 @@ def l1(s, sf):
     return x.unigram_model(v.text(s, sf)).withColumn("cost", r6("cost"))
 
 
-@query("l2_bigram_model", "WITH w AS (SELECT utt, pos, word FROM v_words WHERE pos <= 30 UNION ALL SELECT utt, 0, '<s>' FROM v_text UNION ALL SELECT utt, 99, '</s>' FROM v_text), b AS (SELECT word AS v, lead(word) OVER (PARTITION BY utt ORDER BY pos) AS w FROM w), n AS (SELECT v, w, count(*) AS n FROM b WHERE w IS NOT NULL GROUP BY v, w) SELECT v, w, round(ln(sum(n) OVER (PARTITION BY v) / n), 6) AS cost FROM n")
+@query("l2_bigram_model", "WITH w AS (SELECT utt, pos, word FROM v_words UNION ALL SELECT utt, 0, '<s>' FROM v_text UNION ALL SELECT utt, 2000000000, '</s>' FROM v_text), b AS (SELECT word AS v, lead(word) OVER (PARTITION BY utt ORDER BY pos) AS w FROM w), n AS (SELECT v, w, count(*) AS n FROM b WHERE w IS NOT NULL GROUP BY v, w) SELECT v, w, round(ln(sum(n) OVER (PARTITION BY v) / n), 6) AS cost FROM n")
 def l2(s, sf):
-    return x.bigram_model(v.words(s, sf).filter("pos <= 30")).withColumn("cost", r6("cost"))
+    return x.bigram_model(v.words(s, sf)).withColumn("cost", r6("cost"))
 
 
 NG = "g AS (SELECT unnest([1, 2, 3]) AS len, words FROM v_text), e AS (SELECT len, array_to_string(words[i:i + len - 1], ' ') AS gram FROM (SELECT len, words, unnest(range(1, len(words) - len + 2)) AS i FROM g)), n AS (SELECT len, gram, count(*) AS n FROM e GROUP BY len, gram)"
@@ -109,11 +110,11 @@ def l12(s, sf):
     return _rules(s, sf)
 
 
-@query("l14_candidate_prons", f"""WITH {RU}, w AS (SELECT word FROM v_lexicon WHERE length(word) = 9), k AS (SELECT word, word[1:i] AS stem, word[i + 1:] AS suffix FROM (SELECT word, unnest([7, 8, 9]) AS i FROM w))
+@query("l14_candidate_prons", f"""WITH {RU}, k AS (SELECT * FROM ct)
  SELECT k.word, array_to_string(string_split(k.word, ''), ' ') AS pron, l.word AS base_word, suffix || ',' || base_suffix || ',' || psuffix || ',' || base_psuffix AS rule FROM k JOIN ru USING (suffix) JOIN v_lexicon l ON l.word = stem || base_suffix""")
 def l14(s, sf):
     lx = v.lexicon(s, sf)
-    return x.candidate_prons(lx.filter("length(word) = 9"), _rules(s, sf), lx, max_suffix=2).select("word", "pron", "base_word", "rule")
+    return x.candidate_prons(lx, _rules(s, sf), lx, max_suffix=2).select("word", "pron", "base_word", "rule")
 
 
 @query("l17_stress_questions", "WITH p AS (SELECT DISTINCT word[1:2] || (length(word) % 3) AS phone, word[1:2] AS b, length(word) % 3 AS d FROM v_lexicon) SELECT 'base ' || b AS question, string_agg(phone, ' ' ORDER BY phone) AS phones FROM p GROUP BY b UNION ALL SELECT 'stress ' || d, string_agg(phone, ' ' ORDER BY phone) FROM p GROUP BY d")
@@ -124,20 +125,20 @@ def l17(s, sf):
 KW = "WITH b AS (SELECT word AS w1, lead(word) OVER w AS w2, start, round(start + dur, 2) AS e1, lead(start) OVER w AS s2, round(lead(start + dur) OVER w, 2) AS e2, utt FROM v_ctm WINDOW w AS (PARTITION BY utt ORDER BY pos)), k AS (SELECT w1 || ' ' || w2 AS t FROM b WHERE w2 IS NOT NULL GROUP BY t HAVING count(*) >= 30), n AS (SELECT t, 'KW-' || lpad((row_number() OVER (ORDER BY t))::VARCHAR, 4, '0') AS kwid FROM k)"
 
 
-def _phrases(s, sf):
-    return x.ngrams(v.ctm(s, sf).groupBy("utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda z: z["word"]).alias("words")), 2).filter("n >= 30").select(c("gram").alias("text"))
+def _phrases(ctm):
+    return x.ngrams(ctm.groupBy("utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda z: z["word"]).alias("words")), 2).filter("n >= 30").select(c("gram").alias("text"))
 
 
 @query("l18_keyword_table", KW + " SELECT kwid, t AS text FROM n WHERE string_split(t, ' ')[1] <> 'the' AND string_split(t, ' ')[2] <> 'the'")
 def l18(s, sf):
     sym = v.ctm(s, sf).select(c("word").alias("sym")).distinct().filter("sym <> 'the'")
-    return x.keyword_table(_phrases(s, sf), sym)
+    return x.keyword_table(_phrases(v.ctm(s, sf)), sym)
 
 
 @query("l19_keyword_search", KW + " SELECT kwid, utt, start AS tbeg, round(e2 - start, 2) AS dur FROM b JOIN n ON t = w1 || ' ' || w2 WHERE round(s2 - e1, 2) <= 0.05")
 def l19(s, sf):
-    sym = v.ctm(s, sf).select(c("word").alias("sym")).distinct()
-    return x.keyword_search(v.ctm(s, sf), x.keyword_table(_phrases(s, sf), sym), 0.05)
+    ctm = store(v.ctm(s, sf), "ctm")  # read by the phrases, the symbols and the search
+    return x.keyword_search(ctm, x.keyword_table(_phrases(ctm), ctm.select(c("word").alias("sym")).distinct()), 0.05)
 
 
 @query("l16_acronym_prons", "WITH w AS (SELECT DISTINCT upper(word) AS word FROM v_words WHERE length(word) <= 2) SELECT word, array_to_string(string_split(word, ''), ' ') AS pron FROM w UNION ALL SELECT word, 'DBL ' || word[1] FROM w WHERE length(word) = 2 AND word[1] = word[2]")

@@ -42,9 +42,9 @@ def b4(s, sf):
 
 @query("b5_int2sym", "SELECT utt, string_agg(word, ' ' ORDER BY pos) AS words FROM v_words JOIN v_symtab ON sym = word GROUP BY utt")
 def b5(s, sf):
-    known = v.text(s, sf).withColumn("words", F.filter("words", lambda w: F.length(w).between(2, 12))).filter("size(words) > 0")
-    ids = m.symbols_to_ids(known, v.symtab(s, sf), "utt", "words")
-    return m.ids_to_symbols(ids, v.symtab(s, sf), "utt", "ids").select("utt", F.array_join("words", " ").alias("words"))
+    table = v.symtab(s, sf)
+    ids = m.symbols_to_ids(v.text(s, sf), table, "utt", "words")
+    return m.ids_to_symbols(ids, table, "utt", "ids").select("utt", F.array_join("words", " ").alias("words"))
 
 
 @query("b6_utt2spk_to_spk2utt", "SELECT spk, string_agg(utt, ' ' ORDER BY utt::BIGINT) AS utts, min(utt::BIGINT) AS first FROM v_utt2spk GROUP BY spk")
@@ -103,7 +103,7 @@ def b13(s, sf):
     return m.rename_ids(v.utt2spk(s, sf), ["utt", "spk"], "p-", "-s")
 
 
-RAW = "SELECT utt, string_agg(CASE pos % 9 WHEN 0 THEN '[' || word || ']' WHEN 1 THEN '[<' || word || ']' WHEN 2 THEN '<' || word || '>' WHEN 3 THEN '%percent' WHEN 4 THEN '.point' WHEN 5 THEN '--dash' ELSE word END, ' ' ORDER BY pos) AS t FROM v_words WHERE pos <= 40 GROUP BY utt"
+RAW = "SELECT utt, string_agg(CASE pos % 9 WHEN 0 THEN '[' || word || ']' WHEN 1 THEN '[<' || word || ']' WHEN 2 THEN '<' || word || '>' WHEN 3 THEN '%percent' WHEN 4 THEN '.point' WHEN 5 THEN '--dash' ELSE word END, ' ' ORDER BY pos) AS t FROM v_words GROUP BY utt"
 
 
 def _marked(s, sf):
@@ -111,10 +111,10 @@ def _marked(s, sf):
 
     w, k = c("word"), c("pos") % 9
     x = F.when(k == 0, F.concat(F.lit("["), w, F.lit("]"))).when(k == 1, F.concat(F.lit("[<"), w, F.lit("]"))).when(k == 2, F.concat(F.lit("<"), w, F.lit(">"))).when(k == 3, "%percent").when(k == 4, ".point").when(k == 5, "--dash").otherwise(w)
-    return v.words(s, sf).filter("pos <= 40").withColumn("x", x).groupBy("utt").agg(ordered_list(["pos"], "x").alias("words"))
+    return v.words(s, sf).withColumn("x", x).groupBy("utt").agg(ordered_list(["pos"], "x").alias("words"))
 
 
-@query("b14_normalize_transcript", "SELECT utt, string_agg(CASE pos % 9 WHEN 0 THEN '<NOISE>' WHEN 2 THEN upper(word) WHEN 3 THEN 'PERCENT' WHEN 4 THEN 'POINT' WHEN 5 THEN '-DASH' ELSE upper(word) END, ' ' ORDER BY pos) FILTER (pos % 9 <> 1) AS words FROM v_words WHERE pos <= 40 GROUP BY utt")
+@query("b14_normalize_transcript", "SELECT utt, string_agg(CASE pos % 9 WHEN 0 THEN '<NOISE>' WHEN 2 THEN upper(word) WHEN 3 THEN 'PERCENT' WHEN 4 THEN 'POINT' WHEN 5 THEN '-DASH' ELSE upper(word) END, ' ' ORDER BY pos) FILTER (pos % 9 <> 1) AS words FROM v_words GROUP BY utt")
 def b14(s, sf):
     out = _marked(s, sf).select("utt", m.normalize_words(c("words")).alias("w"))
     return out.select("utt", F.when(F.size("w") > 0, F.array_join("w", " ")).alias("words"))

@@ -43,15 +43,44 @@ def a5(s, sf):
     return t.read_kwslist(s, path)
 
 
-@query("a8_scan_logs", "SELECT 'log.*.txt' AS category, count(*) FILTER (event_type = 'view') AS warnings, count(*) FILTER (event_type = 'error') AS errors, (sum(event_id % 50) FILTER (event_type = 'click'))::BIGINT AS cpu_seconds, count(*) FILTER (event_type = 'click') AS threads FROM events")
+@query("a3_read_textgrid", "SELECT start, \"end\", utt AS label FROM v_segments")
+def a3(s, sf):
+    path = scratch(s, "textgrid")
+    t.textgrid_files(v.segments(s, sf)).select("value").write.text(path)
+    return t.read_textgrid(s, path).select("start", "end", "label")
+
+
+BIG = "w AS (SELECT word, count(*) AS k FROM v_words GROUP BY word), g AS (SELECT word AS a, lead(word) OVER (PARTITION BY utt ORDER BY pos) AS b FROM v_words), bi AS (SELECT a, b, count(*) AS k FROM g WHERE b IS NOT NULL GROUP BY a, b)"
+
+
+@query("a4_read_arpa", f"WITH {BIG} SELECT 1 AS n, word AS words, round(-log10(k) - 0.0000001, 6) AS logprob, -0.3::DOUBLE AS backoff FROM w UNION ALL SELECT 2, a || ' ' || b, round(-log10(k) - 0.0000001, 6), NULL FROM bi")
+def a4(s, sf):
+    grams = [x.ngrams(v.text(s, sf), n).select(F.lit(n).alias("n"), F.split("gram", " ").alias("words"), (-F.log10("n") - 0.0000001).alias("logprob"), F.lit(-0.3 if n == 1 else None).cast("double").alias("backoff")) for n in (1, 2)]
+    path = scratch(s, "arpa")
+    t.arpa_lines(grams[0].unionByName(grams[1])).orderBy("ord").select("value").write.text(path)
+    return t.read_arpa(s, path).withColumn("words", F.array_join("words", " "))
+
+
+@query("a8_scan_logs", "SELECT 'decode.*.log' AS category, count(*) FILTER (event_type = 'view') AS warnings, count(*) FILTER (event_type = 'error') AS errors, (sum(event_id % 50) FILTER (event_type = 'click'))::BIGINT AS cpu_seconds, count(*) FILTER (event_type = 'click') AS threads FROM events")
 def a8(s, sf):
     from ..operators.aggs import log_summary
 
     e = table(s, sf, "events")
     line = F.when(c("event_type") == "view", "WARNING low").when(c("event_type") == "error", "ERROR high").when(c("event_type") == "click", F.concat(F.lit("# Accounting: time="), c("event_id") % 50, F.lit(" threads=1"))).otherwise("fine")
     path = scratch(s, "logs")
-    e.select(line.alias("value")).write.text(path)
-    return log_summary(s.read.text(path).select(F.lit("log.7.txt").alias("file"), c("value").alias("line")))
+    e.select(line.alias("value")).repartition(4, "event_type").write.text(path)
+    folder = s._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(s._jsc.hadoopConfiguration())
+    for i, f in enumerate(sorted(str(x.getPath()) for x in files.listStatus(folder) if x.getPath().getName().startswith("part-"))):  # four files
+        files.rename(s._jvm.org.apache.hadoop.fs.Path(f), s._jvm.org.apache.hadoop.fs.Path(folder, f"decode.{i + 1}.log"))
+    return log_summary(t.scan_logs(s, path))
+
+
+@query("a11_write_kwslist", "SELECT kwid, 'NO' AS decision, count(*) AS n, min(tbeg) AS first, round(sum(score), 6) AS score FROM v_hits GROUP BY kwid")
+def a11(s, sf):
+    path = scratch(s, "kws")
+    t.write_kwslist(v.hits(s, sf).select("kwid", "file", "channel", "tbeg", "dur", "score").withColumn("decision", F.lit("NO")), path)
+    return t.read_kwslist(s, path).groupBy("kwid", "decision").agg(F.count("*").alias("n"), F.min("tbeg").alias("first"), F.round(F.sum("score"), 6).alias("score"))
 
 
 @query("a9_list_recordings", "SELECT DISTINCT 'src=' || source AS folder FROM documents")

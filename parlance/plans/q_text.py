@@ -54,9 +54,9 @@ def x7(s, sf):
     return x.verbalise(_numbers(s, sf), "af")
 
 
-@query("x8_group_phrase", "WITH g AS (SELECT spk, list(utt ORDER BY utt) AS u FROM v_utt2spk WHERE length(utt) < 3 GROUP BY spk) SELECT spk, CASE WHEN len(u) = 1 THEN u[1] ELSE array_to_string(u[:len(u) - 1], ', ') || ' and ' || u[len(u)] END AS phrase FROM g")
+@query("x8_group_phrase", "WITH g AS (SELECT rec, list(utt ORDER BY utt) AS u FROM v_segments GROUP BY rec) SELECT rec, CASE WHEN len(u) = 1 THEN u[1] ELSE array_to_string(u[:len(u) - 1], ', ') || ' and ' || u[len(u)] END AS phrase FROM g")
 def x8(s, sf):
-    return v.utt2spk(s, sf).filter("length(utt) < 3").groupBy("spk").agg(ordered_list(["utt"], "utt").alias("u")).select("spk", x.enumerate_phrase(c("u")).alias("phrase"))
+    return v.segments(s, sf).groupBy("rec").agg(ordered_list(["utt"], "utt").alias("u")).select("rec", x.enumerate_phrase(c("u")).alias("phrase"))
 
 
 @query("x9_token_spans", "SELECT doc_id AS id, 'mail' AS kind, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+@[a-z.]+')) FROM documents) GROUP BY 1 UNION ALL SELECT doc_id, 'number', count(*) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) FROM documents) GROUP BY 1")
@@ -66,9 +66,9 @@ def x9(s, sf):
 
 @query("x10_extract_abbreviations", "SELECT doc_id AS id, upper(w[1][1] || w[2][1]) AS short, w[1] || ' ' || w[2] AS long FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) WHERE len(w) >= 2 AND length(w[1] || w[2]) > 1 AND NOT contains(w[1][2:] || w[2][2:], w[1][1]) AND NOT contains(w[2][2:], w[2][1])")
 def x10(s, sf):
-    d = table(s, sf, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w")).filter("size(w) >= 2").filter("not contains(concat(substring(w[0], 2), substring(w[1], 2)), substring(w[0], 1, 1)) and not contains(substring(w[1], 2), substring(w[1], 1, 1))")
+    d = table(s, sf, "documents").select("doc_id", F.translate("text", "()", "").alias("text"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w")).filter("size(w) >= 2").filter("not contains(concat(substring(w[0], 2), substring(w[1], 2)), substring(w[0], 1, 1)) and not contains(substring(w[1], 2), substring(w[1], 1, 1))")
     short = F.upper(F.concat(F.substring(c("w")[0], 1, 1), F.substring(c("w")[1], 1, 1)))
-    return x.abbreviations(d.select("doc_id", F.concat(c("w")[0], F.lit(" "), c("w")[1], F.lit(" ("), short, F.lit(") ")).alias("t")), "doc_id", "t")
+    return x.abbreviations(d.select("doc_id", F.concat("text", F.lit(" "), c("w")[0], F.lit(" "), c("w")[1], F.lit(" ("), short, F.lit(") ")).alias("t")), "doc_id", "t")
 
 
 @query("x11_seconds_to_hms", "SELECT event_id, (start_cs // 100) // 3600 || ':' || lpad(((start_cs // 100) % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad(((start_cs // 100) % 60)::VARCHAR, 2, '0') AS hms FROM v_labelseg")

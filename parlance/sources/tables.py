@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.helpers import store
+
 c = F.col
 #: Fields of each kind of table: name, type; the last of ``text`` and ``lexicon`` takes the rest of the line.
 KINDS = {
@@ -47,25 +46,30 @@ def read_textgrid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arpa(spark: SparkSession, path: str) -> DataFrame:
-    """N-grams of ARPA files: n, words, logprob, backoff. A file is read line by line in one task."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for text in b["value"]:
-                rows, n, on = [], 0, False
-                for line in text.splitlines():
-                    line = line.strip()
-                    on = on or line == "\\data\\"
-                    if not on or not line or line.startswith("ngram "):
-                        continue
-                    if line.startswith("\\"):
-                        n = int(line[1:].split("-")[0]) if line.endswith("-grams:") else 0
-                    elif n:
-                        f = line.split()
-                        rows.append((n, f[1 : n + 1], float(f[0]), float(f[n + 1]) if len(f) > n + 1 else None))
-                yield pd.DataFrame(rows, columns=["n", "words", "logprob", "backoff"])
-
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, "n int, words array<string>, logprob double, backoff double")
+    """N-grams of an ARPA model: n, words, logprob, backoff. ``path`` is a file, or a folder of parts whose names are in order.
+
+    Lines are read in splits, so a model of any size is; a line's section is that of the last title before it. Titles
+    are one line for each order, and every line meets them all.
+    """
+    place = F.struct(c("_metadata.file_name").alias("file"), c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = store(spark.read.text(path).select(F.trim("value").alias("value"), place.alias("at")), "arpa")
+    title = F.regexp_extract("value", r"^\\(\d+)-grams:$", 1)
+    marks = lines.filter(c("value").startswith("\\")).groupBy().agg(F.array_sort(F.collect_list(F.struct("at", F.when(title != "", title.cast("int")).otherwise(0).alias("n")))).alias("marks"))
+    rows = lines.filter((c("value") != "") & ~c("value").startswith("\\")).join(F.broadcast(marks))  # one row
+    last = F.element_at(F.filter("marks", lambda m: m["at"] < c("at")), -1)
+    rows = rows.withColumn("n", F.when(F.exists("marks", lambda m: m["at"] < c("at")), last["n"])).filter("n > 0").withColumn("f", F.split("value", r"\s+"))
+    return rows.select("n", F.slice("f", F.lit(2), c("n")).alias("words"), c("f")[0].cast("double").alias("logprob"), F.try_element_at("f", c("n") + 2).cast("double").alias("backoff"))
+
+
+def textgrid_files(segments: DataFrame) -> DataFrame:
+    """One value a recording: its segments (rec, start, end, utt) as the intervals of a Praat tier, in time order."""
+    from ..operators.helpers import ordered_list
+
+    one = F.format_string('xmin = %.2f\nxmax = %.2f\ntext = "%s"', "start", "end", F.replace("utt", F.lit('"'), F.lit("'")))
+    g = segments.withColumn("_i", one).groupBy("rec").agg(ordered_list(["start", "utt"], "_i").alias("i"))
+    intervals = F.array_join(F.transform("i", lambda x, k: F.concat(F.lit("intervals ["), (k + 1).cast("string"), F.lit("]:\n"), x)), "\n")
+    head = F.concat(F.lit('item [1]:\nclass = "IntervalTier"\nname = "'), "rec", F.lit('"\nintervals: size = '), F.size("i").cast("string"), F.lit("\n"))
+    return g.select("rec", F.concat(head, intervals).alias("value"))
 
 
 def arpa_lines(arpa: DataFrame) -> DataFrame:
@@ -105,9 +109,9 @@ def multimap(lines: DataFrame) -> DataFrame:
     return v.groupBy("key").agg(F.array_sort(F.collect_list("v")).alias("vals"))
 
 
-def scan_logs(spark: SparkSession, path: str) -> DataFrame:
+def scan_logs(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFrame:
     """Lines of log files with the name of their file."""
-    return spark.read.option("pathGlobFilter", "*.log").text(path).select(c("_metadata.file_name").alias("file"), c("value").alias("line"))
+    return spark.read.option("pathGlobFilter", pattern).text(path).select(c("_metadata.file_name").alias("file"), c("value").alias("line"))
 
 
 def list_recordings(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

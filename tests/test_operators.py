@@ -2,6 +2,8 @@
 
 import random
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,11 +82,22 @@ def test_min_gap_and_hit_clusters(spark):
 
 
 def test_numbers_in_words():
-    assert [tx.english(n) for n in (0, 1, 8, 18, 28)] == ["zero", "one", "eight", "eighteen", "twenty-eight"]
-    assert tx.english(280) == "two hundred and eighty" and tx.english(-1) == "minus one"
-    assert tx.english(2800) == "two thousand eight hundred" and tx.english(1005, "expand") == "one thousand and five"
-    assert [tx.english(n, "ordinal") for n in (1, 20, 21, 32, 12)] == ["first", "twentieth", "twenty-first", "thirty-second", "twelfth"]
-    assert tx.afrikaans(21) == "een en twintig" and tx.afrikaans(1, "ordinal") == "eerste" and tx.afrikaans(4, "ordinal") == "vierde"
+    phrases = {
+        -1234: "negative one thousand, two hundred thirty-four", -1: "negative one", 0: "zero", 1: "one", 8: "eight", 18: "eighteen", 28: "twenty-eight", 280: "two hundred eighty",
+        2800: "two thousand, eight hundred", 280028: "two hundred eighty thousand, twenty-eight", 2800000: "two million, eight hundred thousand",
+    }
+    last = {-1234: "fourth", -1: "first", 0: "zeroth", 1: "first", 8: "eighth", 18: "eighteenth", 28: "eighth", 280: "eightieth", 2800: "hundredth", 280028: "eighth", 2800000: "thousandth"}
+    for n, phrase in phrases.items():
+        assert tx.english(n, "cardinal", ", ", "-") == phrase
+        assert tx.english(n) == phrase.replace(",", "").replace("-", " ")
+        ordinal = tx.english(n, "ordinal", ", ", "-")
+        assert ordinal == phrase[: -len(re.split("[ -]", phrase)[-1])] + last[n]
+    expanded = {1020: "one thousand twenty", 1021: "one thousand and twenty one", 1005: "one thousand and five", 1010: "one thousand and ten", 1280: "one thousand two hundred and eighty", 101: "one hundred and one"}
+    assert {n: tx.english(n, "expand") for n in expanded} == expanded
+    assert [tx.english(n, "ordinal") for n in (20, 21, 32, 12)] == ["twentieth", "twenty first", "thirty second", "twelfth"]
+    spoken = {21: "een en twintig", 101: "een honderd en een", 1000: "een duisend", 280: "twee honderd tagtig", 1005: "een duisend en vyf", 101000: "een honderd en een duisend", 121: "een honderd een en twintig"}
+    assert {n: tx.afrikaans(n) for n in spoken} == spoken
+    assert [tx.afrikaans(n, "ordinal") for n in (1, 3, 4, 7, 8, 9, 14, 20)] == ["eerste", "derde", "vierde", "sewende", "agtste", "negende", "veertiende", "twintigste"]
 
 
 def test_enumeration(spark):
