@@ -60,7 +60,9 @@ def p5(s, sf):
     return d.validate_lexicon(lx, s.createDataFrame([("sil",), ("z",)], "phone string"), non)
 
 
-@query("p6_dedup_hits")
+@query("p6_dedup_hits", """WITH RECURSIVE o AS (SELECT kwid, file, channel, tbeg, dur, score, row_number() OVER (PARTITION BY kwid, file, channel ORDER BY tbeg, dur DESC, score DESC) AS rn FROM v_hits),
+ r AS (SELECT *, tbeg AS anchor FROM o WHERE rn = 1 UNION ALL SELECT o.*, CASE WHEN o.tbeg - r.anchor >= 0.5::DOUBLE THEN o.tbeg ELSE r.anchor END FROM r JOIN o ON o.kwid = r.kwid AND o.file = r.file AND o.channel = r.channel AND o.rn = r.rn + 1)
+ SELECT kwid, file, channel, tbeg, dur, score FROM (SELECT *, row_number() OVER (PARTITION BY kwid, file, channel, anchor ORDER BY score DESC, dur DESC, tbeg) AS k FROM r) WHERE k = 1""")
 def p6(s, sf):
     return d.dedup_hits(v.hits(s, sf))
 
@@ -150,7 +152,10 @@ def p18(s, sf):
     return d.cut_speakers(v.utt2spk(s, sf), 4)
 
 
-@query("p19_sub_speakers_by_size")
+@query("p19_sub_speakers_by_size", """WITH RECURSIVE o AS (SELECT utt, spk, len(words) AS n, row_number() OVER (PARTITION BY spk ORDER BY utt) AS rn, sum(len(words)) OVER (PARTITION BY spk) AS total FROM v_text JOIN v_utt2spk USING (utt)),
+ r AS (SELECT utt, spk, n, rn, n AS have, total - n AS rest, 0 AS k FROM o WHERE rn = 1
+  UNION ALL SELECT o.utt, o.spk, o.n, o.rn, CASE WHEN have >= 2000 AND rest >= 2000 THEN 0 ELSE have END + o.n, rest - o.n, k + (have >= 2000 AND rest >= 2000)::INT FROM r JOIN o ON o.spk = r.spk AND o.rn = r.rn + 1)
+ SELECT utt, spk, n, spk || '-' || printf('%06x', k) AS sub FROM r""")
 def p19(s, sf):
     t = v.text(s, sf).join(v.utt2spk(s, sf), "utt").select("utt", "spk", F.size("words").cast("long").alias("n"))
     return d.sub_speakers_by_size(t, 2000)

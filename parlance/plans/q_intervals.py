@@ -151,7 +151,11 @@ def g18(s, sf):
     return g.duration_folds(v.labelseg(s, sf)).select("rec", "label", "event_id", "fold")
 
 
-@query("g18_greedy_folds")
+@query("g18_greedy_folds", """WITH RECURSIVE o AS (SELECT rec, label, event_id, end_cs - start_cs AS x, row_number() OVER w AS rn, (sum(end_cs - start_cs) OVER (PARTITION BY rec, label))::DOUBLE / 10 AS want FROM v_labelseg WINDOW w AS (PARTITION BY rec, label ORDER BY start_cs, event_id)),
+ r AS (SELECT rec, label, event_id, rn, 0 AS fold, (x >= want)::INT AS nxt, CASE WHEN x >= want THEN 0 ELSE x END AS have FROM o WHERE rn = 1
+  UNION ALL SELECT rec, label, event_id, rn, fold, fold + done::INT, CASE WHEN done THEN 0 ELSE total END FROM (SELECT *, total >= want AND fold < 9 AS done FROM (SELECT *, nxt + early::INT AS fold, CASE WHEN early THEN 0 ELSE have END + x AS total FROM
+   (SELECT o.*, r.nxt, r.have, r.have <> 0 AND r.nxt < 9 AND r.have + o.x > o.want AND o.want - r.have < r.have + o.x - o.want AS early FROM r JOIN o ON o.rec = r.rec AND o.label = r.label AND o.rn = r.rn + 1))))
+ SELECT rec, label, event_id, fold FROM r""")
 def g18b(s, sf):
     return g.greedy_folds(v.labelseg(s, sf))
 

@@ -68,7 +68,9 @@ def b8b(s, sf):
     return m.subset(v.utt2spk(s, sf), 100, "utt", "last")
 
 
-@query("b8_subset_spread")
+@query("b8_subset_spread", """WITH RECURSIVE h AS (SELECT 0::BIGINT AS lo, count(*) AS size, least(100, count(*)) AS quota FROM v_utt2spk
+  UNION ALL SELECT CASE WHEN k = 0 THEN lo ELSE lo + size // 2 END, CASE WHEN k = 0 THEN size // 2 ELSE size - size // 2 END, CASE WHEN k = 0 THEN quota // 2 ELSE quota - quota // 2 END FROM h, (SELECT unnest([0, 1]) AS k) WHERE size > 1 AND quota > 0 AND quota <> size),
+ n AS (SELECT utt, spk, row_number() OVER (ORDER BY utt) - 1 AS i FROM v_utt2spk) SELECT utt, spk FROM n JOIN h ON i >= lo AND i < lo + size WHERE quota > 0 AND (size <= 1 OR quota = size)""")
 def b8c(s, sf):
     return m.subset(v.utt2spk(s, sf), 100, "utt", "spread")
 
