@@ -7,15 +7,18 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import ids_crc32, new_path, store, table
+from .common import new_path, sliced, store, table
 from .tokens import encoder, public_path
 
-MAGIC = b"PTOK1\0\0\0"
+MAGIC = b"PTOK2\0\0\0"
 BLOCK = 4096  # ids in a block
-HEAD = struct.Struct("<8sIIQQQ")  # magic, bits, block, ids, documents, bytes of packed ids
+HEAD = struct.Struct("<8sIIQQQQ")  # magic, bits, block, ids, documents, documents without an id (the first), bytes of packed ids
+#: Bytes of text in a file, and in a task of a small input.
+FILE_BYTES, TASK_BYTES = 256 << 20, 4 << 20
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -46,12 +49,15 @@ class ShardWriter:
         self.sink, self.bits, self.block = sink, bits, block
         self.held: list[np.ndarray] = []
         self.n_held = self.n_ids = self.n_bytes = 0
+        self.n_nulls = 0
         self.offsets: list[int] = []
         self.docs: list[int] = []
         self.starts: list[int] = []
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        """Documents come in ascending order, those without an id first."""
+        self.n_nulls += doc_id is None
+        self.docs.append(doc_id or 0)
         self.starts.append(self.n_ids)
         self.n_ids += len(ids)
         self.held.append(ids)
@@ -75,7 +81,7 @@ class ShardWriter:
         self.sink.write(np.array(self.offsets + [self.n_bytes], "<u8").tobytes())
         self.sink.write(np.array(self.docs, "<i8").tobytes())
         self.sink.write(np.array(self.starts + [self.n_ids], "<u8").tobytes())
-        self.sink.write(HEAD.pack(MAGIC, self.bits, self.block, self.n_ids, len(self.docs), self.n_bytes))
+        self.sink.write(HEAD.pack(MAGIC, self.bits, self.block, self.n_ids, len(self.docs), self.n_nulls, self.n_bytes))
 
 
 class ShardReader:
@@ -84,7 +90,7 @@ class ShardReader:
     def __init__(self, source, size: int):
         self.source = source
         source.seek(size - HEAD.size)
-        magic, self.bits, self.block, self.n_ids, n_docs, n_bytes = HEAD.unpack(source.read(HEAD.size))
+        magic, self.bits, self.block, self.n_ids, n_docs, self.n_nulls, n_bytes = HEAD.unpack(source.read(HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a token file")
         source.seek(n_bytes)
@@ -114,72 +120,91 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def file_count(texts: DataFrame) -> int:
+    """Files for a table of ``text``: by its bytes, and enough tasks for a small one."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-total // FILE_BYTES), min(tasks, -(-total // TASK_BYTES)))
+
+
 def write_token_files(
-    docs: DataFrame, path: str, *, vocabulary: str = "byte_bpe_50k.json", vocabulary_size: int = 50_257, end_id: int = 2, keep_space: bool = True, files: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    path: str,
+    *,
+    vocabulary: str = "byte_bpe_50k.json",
+    vocabulary_size: int = 50_257,
+    end_id: int = 2,
+    keep_space: bool = True,
+    plain_specials: bool = False,
+    files: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """Encode documents and write them as bit-packed files in ascending doc_id order.
 
-    Documents are dealt to files by doc_id ranges and sorted within each, so file k holds smaller ids than file
-    k+1. A task writes a file of a fresh name and reports it in its one manifest row; a lost or repeated task
-    leaves at most a stray file that no manifest names. Returns the manifest: part, file, size, n_ids, start
-    (ids in all earlier files). Null texts are empty; rows of one doc_id are ordered by text; a null doc_id is
-    written as the smallest id (-2**63) and read back as null.
+    Documents are dealt to files by ranges of (doc_id, hash of the text) and sorted within each, so file k holds
+    smaller ids than file k+1, and repeated ids or documents without one do not meet in one file. A task writes a
+    file of a fresh name and reports it in its one manifest row; a lost or repeated task leaves at most a stray
+    file that no manifest names. Returns the manifest: part, file, size, n_ids, start (ids in all earlier files).
+
+    The string of a special token becomes that token, as in the library; with ``plain_specials`` it is ordinary
+    text. Null texts are empty, so such a document is its end id alone. A null doc_id comes first and is read back
+    as null. Rows of one doc_id are ordered by the text's hash, then the text; repeated rows are written each.
+    Very long texts are whole: a text is the unit of memory. An empty table writes a file without documents, or
+    none. Only the two named columns are read, so other columns may have any name.
     """
-    spark = docs.sparkSession
     bits = bits_for(vocabulary_size)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cols.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    order = ["doc_id", "hash", "text"]
+    dealt = cols.withColumn("hash", F.xxhash64("text")).repartitionByRange(files or file_count(cols), "doc_id", "hash").sortWithinPartitions(*order).select("doc_id", "text")
 
-        enc = encoder(public_path(vocabulary), keep_space)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(public_path(vocabulary), keep_space, plain_specials)
         tail = np.array([end_id], np.uint16)
-        name = f"{path}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.ptok"
+        part = TaskContext.get().partitionId()
+        name = f"{path}/part-{part:05d}-{uuid.uuid4().hex[:8]}.ptok"
         system, target = file_system(name)
         system.create_dir(target.rpartition("/")[0], recursive=True)
         with system.open_output_stream(target) as sink:
             shard = ShardWriter(sink, bits)
-            for b in batches:
-                for at in range(0, len(b), 500):
-                    own = b.iloc[at : at + 500]
-                    for d, ids in zip(own["doc_id"].astype("Int64"), enc.encode_many(list(own["text"]))):
-                        shard.add(-(2**63) if d is pd.NA else int(d), np.concatenate([ids, tail]))
+            for b in sliced(batches, 1):
+                for doc, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1))):
+                    shard.add(doc, np.concatenate([ids, tail]))
             shard.close()
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "file": [name], "size": [system.get_file_info(target).size], "n_ids": [shard.n_ids]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "size": [system.get_file_info(target).size], "n_ids": [shard.n_ids]})
 
-    manifest = store(dealt.mapInPandas(write, "part int, file string, size long, n_ids long"), "manifest")
-    order = Window.orderBy("part")  # one row a file
-    return manifest.withColumn("start", F.sum("n_ids").over(order) - F.col("n_ids"))
+    manifest = store(dealt.mapInArrow(write, "part int, file string, size long, n_ids long"), "manifest")
+    before = Window.orderBy("part")  # one row a file
+    return manifest.withColumn("start", F.sum("n_ids").over(before) - F.col("n_ids"))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Documents of the files named by a manifest: doc_id, start (ids of all documents before), n_tokens, ids (uint32 bytes)."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, size, start in zip(b["file"], b["size"], b["start"]):
+            for name, size, start in zip(*(b.column(i).to_pylist() for i in range(3))):
                 system, source = file_system(name)
                 with system.open_input_file(source) as f:
                     shard = ShardReader(f, size)
                     for at in range(0, len(shard.docs), 500):
                         to = min(at + 500, len(shard.docs))
                         first = int(shard.starts[at])
-                        ids = shard.ids(first, int(shard.starts[to]))
+                        ids = shard.ids(first, int(shard.starts[to])).astype("<u4").tobytes()
                         cuts = shard.starts[at : to + 1] - first
-                        yield pd.DataFrame(
-                            {
-                                "doc_id": pd.array([None if d == -(2**63) else int(d) for d in shard.docs[at:to]], "Int64"),
-                                "start": start + shard.starts[at:to],
-                                "n_tokens": np.diff(cuts),
-                                "ids": [ids[i:j].astype("<u4").tobytes() for i, j in zip(cuts[:-1], cuts[1:])],
-                            }
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(shard.docs[at:to], pa.int64(), mask=np.arange(at, to) < shard.n_nulls),
+                                pa.array(start + shard.starts[at:to], pa.int64()),
+                                pa.array(np.diff(cuts), pa.int64()),
+                                pa.array([ids[4 * i : 4 * j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary()),
+                            ],
+                            ["doc_id", "start", "n_tokens", "ids"],
                         )
 
     spark = manifest.sparkSession
-    spread = manifest.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
-    return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
+    spread = manifest.select("file", "size", "start").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
+    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op2_token_files(spark, sf_dir):
