@@ -25,10 +25,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # large star: for u and its neighbours v > u: (v, min of u and all its neighbours)
         both = state.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(state.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).filter("lo < hi").distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).filter("lo < hi").distinct()
         # small star: for u and its neighbours v < u: (v, min), and (u, min)
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).filter("lo < hi").unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct()
+        small = large.join(low.hint("merge"), "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).filter("lo < hi").unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct()
         nxt = store(small, "edges")
         new = _signature(nxt)
         discard(state)

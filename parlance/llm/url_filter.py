@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import BROADCAST_ROWS, join_checked, store, table
+from .common import BROADCAST_ROWS, join_checked, sliced, store, table
 from .components import connected_components
 
 #: verdict, host, path: the production rules.
@@ -26,8 +32,8 @@ def matching_rule(spark: SparkSession, pages: DataFrame, rules: DataFrame | list
     """Add ``rule`` and ``rule_verdict``: the longest rule that fits host and path, or null.
 
     A host has few suffixes, so each distinct host is exploded into them and meets the rules in an equi-join;
-    the host's candidate rules then go back to its rows, as a stored table, so that a hot host can be split. Rules of equal length cannot fit one URL unless they
-    are the same text; allow wins then.
+    the host's candidate rules then go back to its rows, as a stored table, so that a hot host can be split.
+    Rules of equal length cannot fit one URL unless they are the same text; allow wins then.
     """
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(rules, "verdict string, host string, path string")
@@ -47,17 +53,48 @@ def matching_rule(spark: SparkSession, pages: DataFrame, rules: DataFrame | list
     return join_checked(pages, fits, "host", "left").withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("rule_verdict", F.col("_best.verdict")).drop("_best", "fits")
 
 
-def link_targets(url: Column, html: Column) -> Column:
-    """Absolute targets of a page's canonical links and refresh redirects."""
-    h = F.coalesce(html, F.lit(""))
-    canonical = F.regexp_extract_all(h, F.lit(r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"), 1)
-    refresh = F.regexp_extract_all(h, F.lit(r"(?is)<meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"), 1)
-    root = F.regexp_extract(url, r"^([^/?#]*://[^/?#]*)", 1)
-    absolute = F.transform(F.concat(canonical, refresh), lambda t: F.when(F.instr(t, "://") > 0, t).when(t.startswith("/"), F.concat(root, t)))
-    return F.filter(absolute, lambda t: t.isNotNull())
+TAG = re.compile(r"""<(link|meta)\b((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.I)
+ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+REFRESH = re.compile(r"""^[\s\d.]*[;,]?\s*(?:url\s*=\s*)?["']?([^"']*)""", re.I)
+
 
+def link_targets(url: str, page: str) -> list[str]:
+    """Targets of a page's canonical links and refresh redirects, resolved against its URL.
 
-def url_verdicts(pages: DataFrame, rules: DataFrame | list = RULES, redirects: DataFrame | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    Character references are decoded; relative targets and those that begin with ``//`` or ``/`` are resolved. A
+    target that cannot be resolved is left out.
+    """
+    out = []
+    for kind, inside in TAG.findall(page):
+        own = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").strip() for m in ATTRIBUTE.finditer(inside)}
+        target = ""
+        if kind.lower() == "link" and "canonical" in own.get("rel", "").lower().split():
+            target = own.get("href", "")
+        elif kind.lower() == "meta" and own.get("http-equiv", "").lower() == "refresh":
+            target = REFRESH.match(own.get("content", ""))[1].strip()
+        if target:
+            try:
+                out.append(urljoin(url, target))
+            except ValueError:  # not a URL
+                continue
+    return out
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """Rows (url, to_url) of all canonical links and refresh redirects; only pages that may have one are parsed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 1):
+            pairs = [(u, t) for u, h in zip(*(c.to_pylist() for c in b.columns)) for t in link_targets(u, h)]
+            yield pa.RecordBatch.from_pydict({"url": pa.array([u for u, _ in pairs], pa.string()), "to_url": pa.array([t for _, t in pairs], pa.string())})
+
+    may = pages.select("url", "html").filter("url is not null").filter(F.col("html").rlike(r"(?i)canonical|refresh"))
+    return may.mapInArrow(run, "url string, to_url string")
+
+
+def url_verdicts(
+    pages: DataFrame, rules: DataFrame | list = RULES, redirects: DataFrame | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+) -> DataFrame:
     """Judge every page's URL.
 
     Nodes are URLs reduced to lower-cased host and path (scheme, query and fragment do not make another page).
@@ -65,35 +102,36 @@ def url_verdicts(pages: DataFrame, rules: DataFrame | list = RULES, redirects: D
     (from_url, to_url) if given. Each connected component is one resource under several names. A URL with a
     matching rule keeps that rule's verdict. A URL without one is blocked if some alias matches a block rule
     and none matches an allow rule: an explicit allow outranks a block that arrives through an alias. All
-    others are allowed.
+    others are allowed. Both ends of an edge are judged, whether or not they are pages of the table.
 
-    A null URL or one without ``://`` has an empty host and path, no rule and no aliases, and is allowed.
-    Repeated rows each get a row; an empty table gives an empty result; a link to a page that is not in the
-    table still connects, and a target's own rule counts.
+    A null URL or one without ``://`` has an empty host and path, no rule and no aliases, and is allowed; a null
+    page has no links; a very long page is searched whole. Repeated rows, rows of one id and rows without one
+    each get a row; an empty table gives an empty result. Only the named columns are read, so other columns may
+    have any name.
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col("url"))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     key = F.when(F.col("host") != "", F.concat("host", "path"))
-    rows = base.select("page_id", host.alias("host"), path.alias("path"))
-    judged = matching_rule(spark, rows, rules).withColumn("node", key)
+    judged = matching_rule(spark, base.select("page_id", host.alias("host"), path.alias("path")), rules).withColumn("node", key)
 
-    targets = base.filter(F.col("html").rlike(r"(?i)canonical|refresh")).select("url", F.explode(link_targets(F.col("url"), F.col("html"))).alias("to_url"))
+    links = page_links(base)
     if redirects is not None:
-        targets = targets.unionByName(redirects.select(F.col("from_url").alias("url"), "to_url"))
-    th, tp = url_parts(F.col("to_url"))
-    edges = targets.select(host.alias("host"), path.alias("path"), th.alias("th"), tp.alias("tp"))
-    edges = store(edges.select(F.concat("host", "path").alias("a"), F.concat("th", "tp").alias("b"), "th", "tp").filter("a <> b and a <> '' and b <> ''").distinct(), "links")
+        links = links.unionByName(redirects.select(F.col("from_url").alias("url"), "to_url"))
+    to_host, to_path = url_parts(F.col("to_url"))
+    edges = links.select(host.alias("host"), path.alias("path"), to_host.alias("to_host"), to_path.alias("to_path"))
+    edges = edges.withColumns({"a": F.concat("host", "path"), "b": F.concat("to_host", "to_path")})
+    edges = store(edges.filter("a <> b and host <> '' and to_host <> ''").distinct(), "links")
     if edges.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.col("node").alias("alias_group"))
 
-    groups = connected_components(edges.select("a", "b"))
-    outside = matching_rule(spark, edges.select(F.col("th").alias("host"), F.col("tp").alias("path")).distinct(), rules)
-    signs = judged.select("node", "rule_verdict").unionByName(outside.select(F.concat("host", "path").alias("node"), "rule_verdict"))
-    signs = signs.filter("rule_verdict is not null").distinct().join(groups, "node")
+    groups = store(connected_components(edges.select("a", "b")), "groups")
+    ends = edges.select("host", "path").unionByName(edges.select(F.col("to_host").alias("host"), F.col("to_path").alias("path"))).distinct()
+    signs = matching_rule(spark, ends, rules).filter("rule_verdict is not null").select(F.concat("host", "path").alias("node"), "rule_verdict")
+    signs = groups.join(signs.hint("merge"), "node")
     spread = signs.groupBy("component").agg(F.max(F.col("rule_verdict") == "block").alias("any_block"), F.max(F.col("rule_verdict") == "allow").alias("any_allow"))
-    marks = groups.join(spread, "component", "left").select("node", "component", (F.col("any_block") & ~F.col("any_allow")).alias("alias_block"))
-    out = judged.join(marks, "node", "left")
+    marks = groups.join(store(spread, "spread").hint("merge"), "component", "left").select("node", "component", (F.col("any_block") & ~F.col("any_allow")).alias("alias_block"))
+    out = join_checked(judged, store(marks, "marks"), "node", "left")
     verdict = F.when(F.col("rule_verdict").isNotNull(), F.col("rule_verdict")).when(F.col("alias_block"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("component", "node").alias("alias_group"))
 
