@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import map_texts, table
 
-#: Lines in a sliding window, and the characters in a window at which the text surges.
-WINDOW, SURGE = 3, 80
+#: Lines in a sliding window; share of the page's typical window at which the text surges, and below which it dives.
+WINDOW, SURGE, DIVE = 3, 0.2, 0.05
+#: A marked article holds the text if its largest window is at least this share of the page's largest.
+ARTICLE = 0.1
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe)\b(?:"[^"]*"|'[^']*'|[^'">])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>""", re.S | re.I)
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -27,6 +28,9 @@ FURNITURE = set(
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 SPACE = re.compile(r"\s+")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Characters that end a sentence, or a sentence in quotes.
+ENDS = set(".!?:;\u2026\u3002\uff01\uff1f\"')\u201d\u2019\u00bb")
 
 
 def is_furniture(name: str, attributes: str, inside: bool) -> bool:
@@ -43,24 +47,33 @@ def is_furniture(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page after markup is stripped: text, characters that count, and whether it is in an article.
+class Line:
+    """A run of text between block-level tags: its text, the characters that count, its article and whether it is a heading."""
 
-    A line is a run of text between block-level tags. In furniture and in links outside an article, characters
-    count as none.
+    __slots__ = ("text", "size", "article", "heading")
+
+    def __init__(self, text: str, size: int, article: int, heading: bool):
+        self.text, self.size, self.article, self.heading = text, size, article, heading
+
+
+def page_lines(page: str) -> list[Line]:
+    """Lines of a page after markup is stripped.
+
+    Characters in page furniture count as none, nor do those in links outside an article. ``article`` numbers the
+    outermost marked articles from 1; 0 is outside.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[Line] = []
     parts: list[str] = []
-    counted = inside = links = depth = 0
-    skip = ""
+    counted = inside = links = depth = articles = 0
+    skip, heading = "", False
 
     def end_line() -> None:
-        nonlocal parts, counted
+        nonlocal parts, counted, heading
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                lines.append((text, len(text) if counted else 0, inside > 0))
-        parts, counted = [], 0
+                lines.append(Line(text, len(text) if counted else 0, articles if inside else 0, heading))
+        parts, counted, heading = [], 0, False
 
     def take(raw: str) -> None:
         nonlocal counted
@@ -82,6 +95,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name not in INLINE:
             end_line()
+            heading = name in HEADINGS and not closing
         if name == "a":
             links = max(0, links + (-1 if closing else 1))
         elif name in ("article", "main"):
@@ -94,6 +108,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 skip, depth = name, 1
                 continue
             else:
+                articles += not inside
                 inside, skip, links = inside + 1, "", 0
         elif skip:
             if name == skip:
@@ -109,46 +124,90 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
+def window_sums(sizes: np.ndarray) -> np.ndarray:
+    """Characters in the window of ``WINDOW`` lines that begins at each line."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(len(sizes))
+    return total[np.minimum(at + WINDOW, len(sizes))] - total[at]
+
+
+def typical_window(sizes: np.ndarray, sums: np.ndarray) -> float:
+    """The window sum below which half of the page's characters lie: large windows hold most of a page's text."""
+    order = np.argsort(sums, kind="stable")
+    weight = np.cumsum(sizes[order])
+    return float(sums[order][np.searchsorted(weight, weight[-1] / 2)])
+
+
+def text_blocks(lines: list[Line], sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of lines (first, last + 1) between a surge of the window sums and the dive after it.
+
+    Both points are set by the page's own distribution. The text surges in a window that reaches ``SURGE`` of the
+    typical window; the first line is the window's first which is a heading, ends a sentence or holds ``DIVE`` of
+    the typical window itself. It dives where a window holds less than ``DIVE`` of the typical one; of the short
+    lines on either edge, those that end a sentence belong to the text and others do not.
+    """
+    sums = window_sums(sizes)
+    level = typical_window(sizes, sums)
+    high, low = SURGE * level, DIVE * level
+    firm = [bool(x.size) and (x.heading or x.size >= low or x.text[-1] in ENDS) for x in lines]
+    out, i, n = [], 0, len(sizes)
+    while i < n:
+        if sums[i] < high or not firm[i]:
+            i += 1
+            continue
+        first, last = i, i
+        while first and firm[first - 1] and (not out or first > out[-1][1]):
+            first -= 1
+        while last < n and sums[last] >= max(1, low):
+            last += 1
+        while last < n and firm[last]:
+            last += 1
+        end = last
+        while not firm[end - 1]:
+            end -= 1
+        out.append((first, end))
+        i = last
+    return out
+
+
 def main_text(page: str | None) -> str:
     """Main text of one page; empty for null or a page without any.
 
-    The lengths of the lines are summed over windows of ``WINDOW`` lines. The text surges at the first line
-    whose window reaches ``SURGE`` characters, dives where a whole window counts nothing, and every line that
-    counts between the two is kept, so a short paragraph between long ones stays. A page may surge again. Where
-    the page marks an article, lines outside of it count nothing and any line inside reaches the surge.
+    The sums of the lines' lengths over sliding windows locate the text. If an article that the page marks holds a
+    window that bears comparison with the page's largest (:data:`ARTICLE`), the text is all that counts in such
+    articles, short lines included; a marked article without one is a teaser. Else it is all that counts between
+    the points where the sums surge and dive (:func:`text_blocks`).
     """
     lines = page_lines(page or "")
-    marked = any(inside and n for _, n, inside in lines)
-    sizes = [(n if inside else 0) if marked else n for _, n, inside in lines]
-    least = 1 if marked else SURGE
-    if not marked and sum(sizes) and max((sum(sizes[i : i + WINDOW]) for i in range(len(sizes))), default=0) < least:
-        least = 1  # a page of nothing but short lines
-    kept, on = [], False
-    for i, (text, _, _) in enumerate(lines):
-        window = sum(sizes[i : i + WINDOW])
-        if not on and sizes[i] and window >= least:
-            on = True
-        elif on and window == 0:
-            on = False
-        if on and sizes[i]:
-            kept.append(text)
-    return " ".join(kept)
+    sizes = np.array([x.size for x in lines], np.int64)
+    if not sizes.any():
+        return ""
+    article = np.array([x.article for x in lines])
+    largest = window_sums(sizes).max()
+    marked = [k for k in range(1, article.max() + 1) if window_sums(np.where(article == k, sizes, 0)).max() >= max(1, ARTICLE * largest)]
+    if marked:
+        keep = np.isin(article, marked)
+    else:
+        keep = np.zeros(len(lines), bool)
+        for first, last in text_blocks(lines, sizes):
+            keep[first:last] = True
+    return " ".join(x.text for x, k in zip(lines, keep & (sizes > 0)) if k)
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page, in one narrow pass: page_id, url, text, n_chars.
 
-    A null page has an empty text; repeated rows each get a row; an empty table gives an empty result. Whole
-    pages are parsed, however long, and nothing of the kept text is capped.
+    A null page has an empty text; a null id or URL stays null; repeated rows each get a row; an empty table gives
+    an empty result. Whole pages are parsed, however long, and nothing of the kept text is capped. Only the named
+    columns are read, so other columns may have any name.
     """
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = [main_text(h) for h in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"].to_numpy(), "url": b["url"].to_numpy(), "text": text, "n_chars": [len(t) for t in text]})
+    def work(texts: list) -> list:
+        out = [main_text(t) for t in texts]
+        return [out, [len(t) for t in out]]
 
     cols = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return cols.mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    return map_texts(cols, lambda: work, "page_id long, url string, text string, n_chars long", 2)
 
 
 def op6_main_text(spark, sf_dir):
