@@ -6,10 +6,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import store, table
+from .common import sliced, store, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Segments of a turn: text with ``{role}`` or ``{text}`` in it, and the roles on which it bears loss.
@@ -48,7 +48,10 @@ def segments(role: str, text: str, template=TEMPLATE) -> list[tuple[str, bool]]:
 
 
 def by_conversation(df: DataFrame, *order: str) -> DataFrame:
-    """Rows of a conversation together and in order; nothing is gathered, so a long one only makes a long run."""
+    """Rows of a conversation together and in order; nothing is gathered, so a long one only makes a long run.
+
+    A conversation is not split over tasks: its digests are defined over its turns in sequence.
+    """
     return df.repartition("conv_id").sortWithinPartitions("conv_id", *order)
 
 
@@ -60,47 +63,50 @@ def format_chats(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
     role), and the last turn if the conversation may not end there. Such conversations are formatted as well.
 
     Null text and null role are empty; turns with one number are ordered by role and text, so ties and repeated
-    rows are formatted in a fixed order; a null conv_id is a conversation; an empty table gives no rows. Rows are
-    streamed in order, so a conversation of any length takes the memory of one turn.
+    rows are formatted in a fixed order; a null conv_id is a conversation; an empty table gives no rows; a very
+    long text is formatted whole. Rows are streamed in order, so a conversation of any length takes the memory of
+    a few turns. Only the named columns are read, so other columns may have any name.
     """
     c = F.col
     cols = turns.select(
         c(id_col).cast("long").alias("conv_id"), c(turn_col).cast("long").alias("turn"), F.coalesce(c(role_col), F.lit("")).alias("role"), F.coalesce(c(text_col), F.lit("")).alias("text")
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = object()
         state, position, broken = "", 0, False
         held = None
 
-        def close(row, last: bool):
+        def close(row: list, last: bool) -> list:
             if last and not row[3] and not broken and state not in ACCEPT:
                 row[3] = f"ends after {state or 'nothing'}"
             return row
 
-        for b in batches:
+        for b in sliced(batches, 2):
             rows = []
-            for conv, role, text in zip(b["conv_id"].astype("Int64"), b["role"], b["text"]):
-                key = None if conv is pd.NA else int(conv)
-                if key != now:
+            for conv, role, text in zip(*(c.to_pylist() for c in b.columns)):
+                if conv != now:
                     if held is not None:
                         rows.append(close(held, True))
-                    now, state, position, broken = key, "", 0, False
+                    now, state, position, broken = conv, "", 0, False
                 elif held is not None:
                     rows.append(close(held, False))
                 error = None
                 if not broken and role not in TURNS.get(state, ()):
                     error, broken = f"{role or 'empty role'} after {state or 'start'}", True
                 state = role
-                held = [key, position, [{"text": s, "loss": f} for s, f in segments(role, text, template)], error]
+                held = [conv, position, [{"text": s, "loss": f} for s, f in segments(role, text, template)], error]
                 position += 1
-            if rows:
-                yield pd.DataFrame({"conv_id": pd.array([r[0] for r in rows], "Int64"), "position": [r[1] for r in rows], "segments": [r[2] for r in rows], "error": [r[3] for r in rows]})
+            yield of(rows)
         if held is not None:
-            r = close(held, True)
-            yield pd.DataFrame({"conv_id": pd.array([r[0]], "Int64"), "position": [r[1]], "segments": [r[2]], "error": [r[3]]})
+            yield of([close(held, True)])
+
+    def of(rows: list[list]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())])), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["conv_id", "position", "segments", "error"])
 
-    return by_conversation(cols, "turn", "role", "text").mapInPandas(run, "conv_id long, position long, segments array<struct<text:string,loss:boolean>>, error string")
+    in_order = by_conversation(cols, "turn", "role", "text").select("conv_id", "role", "text")
+    return in_order.mapInArrow(run, "conv_id long, position long, segments array<struct<text:string,loss:boolean>>, error string")
 
 
 PARSE = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.S)
@@ -109,7 +115,7 @@ PARSE = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n",
 def read_chats(formatted: DataFrame) -> DataFrame:
     """Parse formatted conversations back: digests of their turns and of the text under the loss mask."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = object()
         acc = None
         done = []
@@ -119,11 +125,10 @@ def read_chats(formatted: DataFrame) -> DataFrame:
                 done.append((now, acc["n"], acc["turns"].hexdigest(), acc["loss_chars"], acc["loss"].hexdigest(), acc["chars"], acc["error"]))
 
         for b in batches:
-            for conv, segs, error in zip(b["conv_id"].astype("Int64"), b["segments"], b["error"]):
-                key = None if conv is pd.NA else int(conv)
-                if acc is None or key != now:
+            for conv, segs, error in zip(*(c.to_pylist() for c in b.columns)):
+                if acc is None or conv != now:
                     finish()
-                    now, acc = key, {"n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "error": None}
+                    now, acc = conv, {"n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "error": None}
                 whole = "".join(s["text"] for s in segs)
                 acc["chars"] += len(whole)
                 at = 0
@@ -148,13 +153,13 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         if done:
             yield frame(done)
 
-    def frame(rows):
-        out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "error"])
-        out["conv_id"] = out["conv_id"].astype("Int64")
-        return out
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[k.split()[1]]) for i, k in enumerate(columns)], [k.split()[0] for k in columns])
 
+    types = {"long": pa.int64(), "string": pa.string()}
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, error string"
-    return by_conversation(formatted, "position").mapInPandas(run, schema)
+    columns = schema.split(", ")
+    return by_conversation(formatted, "position").select("conv_id", "segments", "error").mapInArrow(run, schema)
 
 
 def op10_chat_format(spark, sf_dir):
