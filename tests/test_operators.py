@@ -226,3 +226,28 @@ def test_edit_path_of_long_texts_is_bounded_in_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8_000_000  # the whole table has 3001 x 2572 numbers of four bytes, 31 MB
+
+
+def test_plain_text_equals_text_of_the_map():
+    rng = random.Random(6)
+    parts = ["<p>", "</p>", "<br/>", '<time type="mark" datetime="1">', "</time>", "<b class=x>", "a b", "\t\n", "\x07", "\x85", "\u00a0", "&amp;", "&#9;", "&#32;", "&nosuch;", "&", "<", "<li>", " ", "\u4e2d\u6587", "&lt;p&gt;", "\x1c"]
+    for _ in range(400):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        assert tx.html_plain(page) == tx.html_with_map(page)[0]
+
+
+def test_in_place_maps_equal_joins(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(str(i % 6), [rng.choice("abcdef") for _ in range(rng.randrange(6))]) for i in range(12)] + [("none", [])]
+    df = spark.createDataFrame(rows, "k string, t array<string>")
+    m = spark.createDataFrame([("a", ["x", "y"]), ("b", []), ("c", ["z"])], "sym string, values array<string>")
+    ids = spark.createDataFrame([(x, i) for i, x in enumerate("abcd")], "sym string, id int")
+    both = {}
+    for way in ("in place", "joined"):
+        if way == "joined":
+            monkeypatch.setattr(maps, "lookup", lambda df, rows=0: None)
+        mapped = [maps.map_tokens(df, m, "k", "t", first, last, True) for first, last in ((1, None), (2, 3))]
+        numbered = maps.symbols_to_ids(df, ids, "k", "t", oov=9)
+        named = maps.ids_to_symbols(maps.symbols_to_ids(df.withColumn("t", F.filter("t", lambda w: w <= "d")), ids, "k", "t"), ids, "k", "ids")
+        both[way] = [sorted(map(str, x.collect())) for x in (*mapped, numbered, named)]
+    assert both["in place"] == both["joined"] and len(both["joined"][0]) == len(rows)
