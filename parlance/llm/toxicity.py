@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_remainder, join_checked, store, table, words_of
+from .common import id_remainder, join_checked, map_texts, sliced, store, table, words_of
 
-#: The fit reads at most this many labelled documents of each class, those of the smallest id hash.
-FIT_DOCS = 2500
+#: The fit reads at most this many labelled documents of each class, those of the smallest id hash, and no
+#: document of more characters than this.
+FIT_DOCS, FIT_CHARS = 2500, 200_000
 #: A window of words, and its step: consecutive windows overlap by a quarter and cover the whole text.
 WINDOW, STEP = 32, 24
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 14
@@ -346,56 +348,72 @@ def text_scores(texts: list[str | None], model: dict, inputs: WordInputs, batch:
     return 1 / (1 + np.exp(-best.astype(np.float64)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, fit_docs: int, folds: int, held_fold: int) -> pd.DataFrame:
-    """The bounded training sample: at most ``fit_docs`` labelled documents a class outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, fit_docs: int, folds: int, held_fold: int) -> DataFrame:
+    """The bounded training sample: at most ``fit_docs`` labelled documents a class outside the held-out fold, a row an id."""
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter((id_remainder(F.col("label_id"), folds) != held_fold) & F.col("toxic").isNotNull()).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(17), F.col("label_id"))
     picked = [known.filter(F.col("toxic") == c).orderBy(order, "label_id").limit(fit_docs) for c in (0, 1)]
     sample = store(picked[0].unionByName(picked[1]), "sample")
-    return join_checked(docs, sample, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(4 * fit_docs).toPandas()
+    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS)
+    rows = join_checked(short, sample, F.col("doc_id") == F.col("label_id"), rows=2 * fit_docs)
+    return rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, fit_docs: int, id_col: str, text_col: str) -> dict:
+    """The model, fitted in one task of an executor to the bounded sample; its size is fixed, so it may come to the driver."""
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sample = store(training_rows(cols, labels, fit_docs, 5, 0), "training")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            toxic += b.column(1).to_pylist()
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(texts, np.array(toxic)))]})
+
+    one = sample.coalesce(1).sortWithinPartitions("doc_id").select("text", "toxic")
+    return pickle.loads(store(one.mapInArrow(run, "model binary"), "model").first()["model"])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Toxicity of every whole document: doc_id, held_out, score, predicted.
 
-    The network is fitted on the driver to at most ``fit_docs`` labelled documents of each class whose
-    crc32(doc_id as text) mod 5 is not 0 (a bounded sample, at most 2 * ``fit_docs`` texts). Every document is
-    then scored in one narrow pass over all its overlapping windows.
+    The network is fitted in one task to a bounded sample: at most ``fit_docs`` labelled documents of each class,
+    of at most ``FIT_CHARS`` characters, whose crc32(doc_id as text) mod 5 is not 0. Every document is then
+    scored in one narrow pass over all its overlapping windows, however long it is.
 
-    Null and empty texts get the score of an empty window; labels without a document are ignored, and a
-    document's labels combine to the highest; repeated rows each get a row; with no labels, or labels of one
-    class, all scores are the prior; an empty table gives an empty result.
+    Null and empty texts get the score of an empty window; labels without a document or without a value are
+    ignored, and a document's labels combine to the highest; a null doc_id is scored, never held out and never
+    trained on. Repeated rows each get a row, and rows of one id train once, by the smallest text. With no
+    labels, or labels of one class, all scores are the prior; an empty table gives an empty result. Only the
+    named columns are read, so other columns may have any name.
     """
-    spark = docs.sparkSession
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sample = training_rows(cols, labels, fit_docs, 5, 0)
-    model = fit(list(sample["text"]), sample["toxic"].to_numpy())
-    shared = spark.sparkContext.broadcast(model)  # of fixed size: the tables' sizes are constants
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_docs, id_col, text_col))  # of fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scorer():
         inputs = WordInputs(shared.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "score": text_scores(list(b["text"]), shared.value, inputs)})
+        return lambda texts: [text_scores(texts, shared.value, inputs)]
 
-    scored = cols.mapInPandas(run, "doc_id long, score double")
-    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scored = map_texts(cols, scorer, "doc_id long, score double", 1)
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns unchanged, whose score is under ``threshold``; the score is that of :func:`score_toxicity`."""
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sample = training_rows(cols, labels, fit_docs, 5, 0)
-    model = fit(list(sample["text"]), sample["toxic"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    """Rows of ``docs``, all columns unchanged, whose score is under ``threshold``; the score is that of :func:`score_toxicity`.
 
-    def run(batches):
-        import pyarrow as pa
+    Nulls, long and empty texts, repeated rows, labels and empty tables are treated as there; columns of any name
+    pass through.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_docs, id_col, text_col))  # of fixed size
+    at = docs.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inputs = WordInputs(shared.value)
-        for b in batches:
-            scores = text_scores(b.column(b.schema.get_field_index(text_col)).to_pylist(), shared.value, inputs)
-            yield b.filter(pa.array(scores < threshold))
+        for b in sliced(batches, at):
+            yield b.filter(pa.array(text_scores(b.column(at).to_pylist(), shared.value, inputs) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
