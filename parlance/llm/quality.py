@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import join_checked, store, table, words_of
+from .common import fresh, join_checked, map_texts, sliced, store, table
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
-#: A rule holds against a host when its shrunk failure rate is above this.
-HOST_RATE = 0.3
+#: A host fails a rule as a habit when its shrunk failure rate is over this many times the mean of hosts.
+HABIT = 2.0
 
 
 def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -37,101 +37,121 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
     return n, len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated
 
 
-def document_counts(docs: DataFrame, *, id_col: str | None = None, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def count_columns(texts: list[str | None]) -> list[list[int]]:
+    """The six counts of some texts, as columns."""
+    return [list(c) for c in zip(*map(text_counts, texts))]
+
+
+def document_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row of counts for each document, in one narrow pass."""
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
+    return map_texts(cols, lambda: count_columns, f"doc_id long, host string, {COUNTS}", 2)
+
+
+def base_failed(prefix: str = "") -> Column:
+    """Fewer than 50 words, or more than half of the words in repeated 3-word windows."""
+    words = F.col(f"{prefix}n_words")
+    return (words < 50) | (100 * F.col(f"{prefix}n_repeat_words") > 50 * words)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            c = pd.DataFrame([text_counts(t) for t in b["text"]], columns=[x.split()[0] for x in COUNTS.split(", ")], dtype="int64")
-            yield pd.concat([b[["doc_id", "host"]].reset_index(drop=True), c], axis=1)
 
-    doc = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
-    cols = docs.select(doc.alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    return cols.mapInPandas(count, f"doc_id long, host string, {COUNTS}")
+HOST_RULES = ("symbols", "lines", "lengths")
 
 
-def rule_columns(prefix: str = "") -> dict[str, Column]:
-    """Document rules; each is true where the document fails it."""
+def failures(prefix: str = "") -> tuple[dict[str, Column], dict[str, Column]]:
+    """Host rules at the plain limit and at the strict one; each is true where the document fails it.
+
+    symbols: more than one symbol per two words (strictly: four); lines: more than half (strictly: 0.4) of the lines
+    repeat an earlier one; lengths: words of more than 15 or fewer than 2.5 characters on average (strictly: 12, 3).
+    """
 
     def c(name: str) -> Column:
         return F.col(prefix + name)
 
-    return {
-        "short": c("n_words") < 50,
-        "repeated": 100 * c("n_repeat_words") > 50 * c("n_words"),
+    plain = {
         "symbols": 2 * c("n_symbols") > c("n_words"),
-        "lines": 10 * c("n_dup_lines") > 3 * c("n_lines"),
+        "lines": 2 * c("n_dup_lines") > c("n_lines"),
         "lengths": (c("word_chars") > 15 * c("n_words")) | (2 * c("word_chars") < 5 * c("n_words")),
     }
+    strict = {
+        "symbols": 4 * c("n_symbols") > c("n_words"),
+        "lines": 5 * c("n_dup_lines") > 2 * c("n_lines"),
+        "lengths": (c("word_chars") > 12 * c("n_words")) | (c("word_chars") < 3 * c("n_words")),
+    }
+    return plain, strict
+
 
+def dropped(prefix: str = "") -> Column:
+    """Whether a document goes, given its counts and the verdicts on its host (columns ``habit_`` and the rule)."""
+    plain, strict = failures(prefix)
+    out = base_failed(prefix)
+    for k in HOST_RULES:
+        out = out | plain[k] | (strict[k] & F.col(f"{prefix}habit_{k}"))
+    return out
 
-def host_rates(counts: DataFrame) -> DataFrame:
-    """Failure rates of each host and rule, shrunk toward the mean of all hosts.
+
+def host_verdicts(counts: DataFrame, habit: float) -> DataFrame:
+    """Verdict on every host: host, host_docs and, for each rule, its shrunk failure rate and whether that is a habit.
 
     For each rule the beta prior is fitted to the hosts' rates by moments: with mean m and variance v, its
     weight is s = m (1 - m) / v - 1, held between 1 and 1000, and a host with f failures in n documents gets
-    (f + s m) / (n + s). The fit is an aggregate over hosts, so it costs one row per rule.
+    (f + s m) / (n + s). More than ``habit`` times m is a habit. The fit is an aggregate over hosts, so it costs
+    one row per rule.
     """
-    rules = rule_columns()
-    hosts = counts.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(r.cast("long")).alias(k) for k, r in rules.items()])
-    hosts = store(hosts, "hosts")
+    rules, _ = failures()
+    hosts = store(counts.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(r.cast("long")).alias(k) for k, r in rules.items()]), "hosts")
     rate = {k: F.col(k) / F.col("n") for k in rules}
     fit = hosts.agg(*[F.avg(rate[k]).alias(f"m_{k}") for k in rules], *[F.var_pop(rate[k]).alias(f"v_{k}") for k in rules]).first()
     out = [F.col("host"), F.col("n").alias("host_docs")]
     for k in rules:
         m, v = fit[f"m_{k}"] or 0.0, fit[f"v_{k}"] or 0.0
         s = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
-        out.append(((F.col(k) + F.lit(s * m)) / (F.col("n") + F.lit(s))).alias(f"rate_{k}"))
-    return hosts.select(*out)
+        shrunk = (F.col(k) + F.lit(s * m)) / (F.col("n") + F.lit(s))
+        out += [shrunk.alias(f"rate_{k}"), (shrunk > F.lit(habit * m + 1e-12)).alias(f"habit_{k}")]
+    return store(hosts.select(*out), "verdicts")
 
 
-def host_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
+def host_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", habit: float = HABIT) -> DataFrame:
     """Quality verdict of every document.
 
     ``base_failed``: fewer than 50 words, or more than half of the words in repeated 3-word windows. A document
-    that passes these is dropped (``kept`` false) when it fails some rule which its host fails as a habit, that
-    is, at a shrunk rate above ``host_rate``; a lone failure on a sound host is kept.
+    that passes these is dropped (``kept`` false) when it fails one of the host rules (:func:`failures`), at the
+    strict limit if its host fails that rule as a habit (:func:`host_verdicts`), else at the plain one.
 
     Null texts count as empty (and fail as short); a null host is a host of its own; repeated rows each get a
-    row; an empty table gives an empty result. Only the named columns are read, so other columns may clash.
+    row, as do rows of one id or without one; a very long text is counted whole; an empty table gives an empty
+    result. Only the named columns are read, so other columns may have any name.
     """
     counts = store(document_counts(docs, id_col=id_col, text_col=text_col, host_col=host_col), "counts")
-    rates = host_rates(counts).select(F.col("host").alias("rate_host"), "host_docs", *[f"rate_{k}" for k in rule_columns()])
-    joined = join_checked(counts, store(rates, "rates"), F.col("host").eqNullSafe(F.col("rate_host")), "left")
-    rules = rule_columns()
-    base = rules["short"] | rules["repeated"]
-    habit = F.lit(False)
-    for k, failed in rules.items():
-        habit = habit | (failed & (F.col(f"rate_{k}") > host_rate))
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~habit).alias("kept"), "host"
-    )
-
-
-def drop_low_quality(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
-    """Rows of ``docs``, all columns unchanged, that :func:`host_quality` keeps. Texts are counted again, not shuffled."""
-    counts = store(document_counts(docs, text_col=text_col, host_col=host_col), "counts")
-    rates = host_rates(counts).select(F.col("host").alias("_q_host"), *[F.col(f"rate_{k}").alias(f"_q_rate_{k}") for k in rule_columns()])
-    names = [x.split()[0] for x in COUNTS.split(", ")]
-
-    def add(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            got = list(zip(*[text_counts(t) for t in texts])) if texts else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v, pa.int64()) for v in got]], [*b.schema.names, *[f"_q_{n}" for n in names]])
-
-    out = StructType(list(docs.schema))
+    verdicts = host_verdicts(counts, habit).withColumnRenamed("host", "of")
+    joined = join_checked(counts, verdicts, F.col("host").eqNullSafe(F.col("of")), "left")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~dropped()).alias("kept"), "host")
+
+
+def drop_low_quality(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", habit: float = HABIT) -> DataFrame:
+    """Rows of ``docs``, all columns unchanged, that :func:`host_quality` keeps.
+
+    Rows are counted once and stored with their counts, from which both the hosts' rates and the verdicts are
+    read; no text is shuffled. Nulls, long texts, repeated rows and empty tables are treated as there; columns of
+    any name pass through.
+    """
+    tag = fresh([c[:3] for c in docs.columns], "_q_")
+    names = [f"{tag}{x.split()[0]}" for x in COUNTS.split(", ")]
+    out, at = StructType(list(docs.schema)), docs.columns.index(text_col)
     for n in names:
-        out = out.add(f"_q_{n}", "long")
-    counted = docs.mapInArrow(add, out)
-    joined = join_checked(counted, store(rates, "rates"), F.col(host_col).cast("string").eqNullSafe(F.col("_q_host")), "left")
-    rules = rule_columns("_q_")
-    drop = rules["short"] | rules["repeated"]
-    for k, failed in rules.items():
-        drop = drop | (failed & (F.col(f"_q_rate_{k}") > host_rate))
-    return joined.filter(~drop).select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.add(n, "long")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, at):
+            counts = [pa.array(c, pa.int64()) for c in count_columns(b.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *counts], [*b.schema.names, *names])
+
+    counted = store(docs.mapInArrow(add, out), "counted")
+    host = F.col(f"`{host_col}`").cast("string")
+    plain = counted.select(host.alias("host"), *[F.col(n).alias(n[len(tag) :]) for n in names])
+    verdicts = host_verdicts(plain, habit)
+    verdicts = verdicts.select(*[F.col(c).alias(tag + c) for c in verdicts.columns])
+    joined = join_checked(counted, verdicts, host.eqNullSafe(F.col(f"{tag}host")), "left")
+    return joined.filter(~dropped(tag)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_host_quality(spark, sf_dir):
@@ -150,14 +170,14 @@ m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS c FROM t),
 p AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM m WHERE c > 1) GROUP BY doc_id),
 c AS (SELECT k.doc_id, host, n_words, word_chars, n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
     coalesce(p.n, 0) AS n_repeat_words FROM k LEFT JOIN p USING (doc_id)),
-f AS (SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 2 * n_symbols > n_words AS f3,
-    10 * n_dup_lines > 3 * n_lines AS f4, word_chars > 15 * n_words OR 2 * word_chars < 5 * n_words AS f5 FROM c),
-h AS (SELECT host, count(*) AS n, unnest([1, 2, 3, 4, 5]) AS rule,
-    unnest([sum(f1::INT), sum(f2::INT), sum(f3::INT), sum(f4::INT), sum(f5::INT)]) AS x FROM f GROUP BY host),
+f AS (SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 2 * n_symbols > n_words AS f3, 2 * n_dup_lines > n_lines AS f4,
+    word_chars > 15 * n_words OR 2 * word_chars < 5 * n_words AS f5 FROM c),
+h AS (SELECT host, count(*) AS n, unnest([1, 2, 3]) AS rule, unnest([sum(f3::INT), sum(f4::INT), sum(f5::INT)]) AS x FROM f GROUP BY host),
 b AS (SELECT rule, avg(x / n) AS m, var_pop(x / n) AS v FROM h GROUP BY rule),
 s AS (SELECT rule, m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM b),
-r AS (SELECT host, list((x + s * m) / (n + s) > 0.3 ORDER BY rule) AS bad FROM h JOIN s USING (rule) GROUP BY host)
+r AS (SELECT host, list((x + s * m) / (n + s) > 2.0::DOUBLE * m + 1e-12 ORDER BY rule) AS habit FROM h JOIN s USING (rule) GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
-    NOT (f1 OR f2 OR (f3 AND bad[3]) OR (f4 AND bad[4]) OR (f5 AND bad[5])) AS kept
+    NOT (f1 OR f2 OR f3 OR f4 OR f5 OR (4 * n_symbols > n_words AND habit[1]) OR (5 * n_dup_lines > 2 * n_lines AND habit[2])
+        OR ((word_chars > 12 * n_words OR word_chars < 3 * n_words) AND habit[3])) AS kept
 FROM f JOIN r ON f.host IS NOT DISTINCT FROM r.host
 """
