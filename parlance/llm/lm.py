@@ -13,7 +13,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, id_remainder, store, table
+from .common import LOWER, distinct, id_remainder, store, table
 
 #: Bytes of context at the deepest level of the trees; at least 3, at most 6 (a window fits in 56 bits).
 DEPTH = 6
@@ -464,7 +464,7 @@ def chunk_scores(rows: pa.Table, told: pa.Table, depth: int, n: int, v: int, end
 
     vocabulary, every = Vocabulary(), np.zeros(0, np.uint64)
     for win, _, text, _ in blocks():
-        every = np.union1d(every, win)
+        every = distinct(np.concatenate([every, distinct(win)]))
         vocabulary.add(text)
     told = list(zip(told["kind"].to_pylist(), told["part"].to_pylist(), told["told"].to_pylist()))
     lp = np.concatenate([np.frombuffer(x, "<f4") for _, _, x in sorted(t for t in told if t[0] == WINDOWS)])
