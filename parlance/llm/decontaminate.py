@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, join_checked, store, table
+from .common import ascii_lower, fresh, join_checked, store, table
 
 WIDTH, CONTAINMENT = 5, 0.8
 
@@ -20,11 +20,11 @@ def shingle_rows(df: DataFrame, *keys: str, width: int = WIDTH) -> DataFrame:
     The word array is laid beside its own shifts and inlined, so that joining the words is compiled code.
     """
     n = F.size("w")
-    full = F.greatest(n - F.lit(width - 1), F.lit(0))
-    shifts = F.arrays_zip(*[F.slice("w", i + 1, full).alias(f"w{i}") for i in range(width)])
-    long = df.filter(n >= width).select(*keys, F.inline(shifts)).select(*keys, F.concat_ws(" ", *[F.col(f"w{i}") for i in range(width)]).alias("shingle"))
-    short = df.filter((n > 0) & (n < width)).select(*keys, F.array_join("w", " ").alias("shingle"))
-    return long.unionByName(short)
+    names = [f"w{i}" for i in range(width)]
+    long = F.arrays_zip(*[F.slice("w", F.lit(i + 1), F.greatest(n - F.lit(width - 1), F.lit(0))).alias(k) for i, k in enumerate(names)])
+    short = F.array(F.struct(F.array_join("w", " ").alias("w0"), *[F.lit(None).cast("string").alias(k) for k in names[1:]]))
+    rows = df.filter(n > 0).select(*keys, F.inline(F.when(n >= width, long).otherwise(short)))
+    return rows.select(*keys, F.concat_ws(" ", *names).alias("shingle"))
 
 
 def least_shared(n: Column, containment: float) -> Column:
@@ -59,9 +59,10 @@ def contained_items(
 
     Signatures are broadcast only if their counted rows are few, else both sides are shuffled. A passage that
     many documents share is one row each, never a pair of documents. Texts without words have no shingles and
-    contain nothing; an item without words is in no document; texts of fewer than ``width`` words are one
-    shingle. Null ids are dropped (a pair could not name them); rows of one id are one document; either table
-    may be empty.
+    contain nothing; an item without words is in no document; a text of fewer than ``width`` words is one
+    shingle, so an item that short is found in a document that is the same, not inside a longer one. Null ids are
+    dropped (a pair could not name them); repeated rows and rows of one id are one document; a very long text is one
+    array of words; either table may be empty. Only the named columns are read, so others may have any name.
     """
     spark_items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), words(F.col(item_text_col)).alias("w")).filter("item_id is not null")
     items = store(shingle_rows(spark_items, "item_id", width=width).distinct(), "items")
@@ -71,7 +72,8 @@ def contained_items(
     hashes = shingle_rows(d.select("doc_id", words(F.col("text")).alias("w")), "doc_id", width=width).select("doc_id", F.xxhash64("shingle").alias("h"))
     candidates = store(join_checked(hashes, signs.select("item_id", "h"), "h").select("doc_id", "item_id").distinct(), "candidates")
 
-    suspects = d.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    named = store(candidates.select("doc_id").distinct(), "named")
+    suspects = store(join_checked(d, named, "doc_id", "left_semi"), "suspects")  # few: their words are split from what was written
     have = shingle_rows(suspects.select("doc_id", words(F.col("text")).alias("w")), "doc_id", width=width)
     wanted = items.groupBy("item_id").agg(F.count("*").alias("n_item"))
     # a suspect's shingles that belong to items, then only the pairs that are candidates
@@ -83,9 +85,14 @@ def contained_items(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
-    """Rows of ``docs``, all columns unchanged, that contain no test item by :func:`contained_items`."""
-    found = store(contained_items(docs, benchmark, containment=containment, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return join_checked(docs, found, F.col(id_col).cast("long") == F.col("_leak"), "left_anti")
+    """Rows of ``docs``, all columns unchanged, that contain no test item by :func:`contained_items`.
+
+    Rows of one id are one document and go together; rows without an id cannot be named and stay, as do null and
+    empty texts; either table may be empty; columns of any name pass through.
+    """
+    leak = fresh(docs.columns, "_leak")
+    found = contained_items(docs, benchmark, containment=containment, id_col=id_col, text_col=text_col)
+    return join_checked(docs, store(found.select(F.col("doc_id").alias(leak)).distinct(), "leaks"), F.col(f"`{id_col}`").cast("long") == F.col(leak), "left_anti")
 
 
 def op1_decontaminate(spark, sf_dir):
