@@ -44,12 +44,33 @@ def _numbers(s, sf):
     return table(s, sf, "orders").select(c("o_orderkey").cast("string").alias("utt"), F.lit(1).alias("pos"), (c("o_orderkey") * 37).cast("string").alias("word"))
 
 
-@query("x6_verbalise_numbers_en")
+def _spoken(ones: str, tens: str, below_100: str, hundred: str, after_hundred: str, units: tuple[str, str], link: str, zero: str) -> str:
+    """SQL that says the numbers: words below 100, then below 1000, then the groups of three digits."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+    return f"""WITH o AS (SELECT {listed(ones)} AS ones, {listed(tens)} AS tens),
+ lo AS (SELECT k, CASE WHEN k = 0 THEN '' WHEN k < 20 THEN ones[k] WHEN k % 10 = 0 THEN tens[k // 10 - 1] ELSE {below_100} END AS w FROM range(100) r(k), o),
+ sm AS (SELECT h * 100 + k AS g, CASE WHEN h = 0 THEN w WHEN k = 0 THEN ones[h] || ' {hundred}' ELSE ones[h] || ' {hundred}' || {after_hundred} || w END AS w FROM lo, range(10) r(h), o),
+ n AS (SELECT o_orderkey AS key, o_orderkey * 37 // 1000000 AS m, o_orderkey * 37 // 1000 % 1000 AS t, o_orderkey * 37 % 1000 AS r FROM orders),
+ p AS (SELECT key, m + t AS higher, r, concat_ws(' ', CASE WHEN m > 0 THEN a.w || ' {units[0]}' END, CASE WHEN t > 0 THEN b.w || ' {units[1]}' END) AS head, c.w AS tail FROM n JOIN sm a ON a.g = m JOIN sm b ON b.g = t JOIN sm c ON c.g = r)
+ SELECT key::VARCHAR AS utt, 1 AS pos, CASE WHEN r + higher = 0 THEN '{zero}' WHEN r = 0 THEN head WHEN higher = 0 THEN tail WHEN {link} ELSE head || ' ' || tail END AS word FROM p"""
+
+
+ENGLISH = _spoken(
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen", "twenty thirty forty fifty sixty seventy eighty ninety",
+    "tens[k // 10 - 1] || ' ' || ones[k % 10]", "hundred", "' and '", ("million", "thousand"), "r < 20 OR (r < 100 AND r % 10 > 0) THEN head || ' and ' || tail", "zero",
+)
+AFRIKAANS = _spoken(
+    "een twee drie vier vyf ses sewe agt nege tien elf twaalf dertien veertien vyftien sestien sewentien agtien negentien", "twintig dertig veertig vyftig sestig sewentig tagtig negentig",
+    "ones[k % 10] || ' en ' || tens[k // 10 - 1]", "honderd", "CASE WHEN k < 20 THEN ' en ' ELSE ' ' END", ("miljoen", "duisend"), "r < 20 THEN head || ' en ' || tail", "nul",
+)
+
+
+@query("x6_verbalise_numbers_en", ENGLISH)
 def x6(s, sf):
     return x.verbalise(_numbers(s, sf), "en", "expand")
 
 
-@query("x7_verbalise_numbers_af")
+@query("x7_verbalise_numbers_af", AFRIKAANS)
 def x7(s, sf):
     return x.verbalise(_numbers(s, sf), "af")
 
