@@ -130,7 +130,7 @@ def l15(s, sf):
     return x.limit_to_specific(cands, s.createDataFrame([("S", "G")], "specific string, general string"))
 
 
-@query("x14_strip_stress", "SELECT word, word[1] || ' ' || word[2] AS bare FROM v_lexicon WHERE length(word) >= 2")
+@query("x14_strip_stress", "SELECT word, word[1] || ' ' || word[2] AS bare FROM v_lexicon")
 def x14(s, sf):
     p = F.array(F.concat(F.substring("word", 1, 1), F.lit("1")), F.concat(F.substring("word", 2, 1), F.lit("0")))
     return v.lexicon(s, sf).select("word", F.array_join(F.transform(p, lambda q: F.regexp_replace(q, r"\d$", "")), " ").alias("bare"))
