@@ -18,9 +18,9 @@ from .common import LOWER, distinct, id_remainder, store, table
 #: Bytes of context at the deepest level of the trees; at least 3, at most 6 (a window fits in 56 bits).
 DEPTH = 6
 #: Bytes of coded text in a chunk of a task's documents, and in a block that is worked on at once.
-CHUNK_BYTES, BLOCK_BYTES = 32 << 20, 2 << 20
+CHUNK_BYTES, BLOCK_BYTES = 16 << 20, 1 << 20
 #: Windows, or words, that all chunks together send to one part; every how many windows one is sampled.
-PART_ROWS, SAMPLE = 2_000_000, 4096
+PART_ROWS, SAMPLE = 400_000, 1024
 LN2 = math.log(2)
 
 # --- estimates
@@ -63,7 +63,7 @@ def bit_nodes(pair: np.ndarray, n: np.ndarray, b: int) -> tuple[np.ndarray, np.n
     """Of sorted (context, byte) pairs: the node of each at bit place b, its first pair, and its counts of 0 and 1."""
     prefix = pair >> np.uint64(8 - b)
     new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
-    node, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    node, first = np.cumsum(new, dtype=np.int32) - np.int32(1), np.flatnonzero(new)
     bit = (pair >> np.uint64(7 - b)) & np.uint64(1) == 1
     return node, first, np.bincount(node, np.where(bit, 0, n), len(first)), np.bincount(node, np.where(bit, n, 0), len(first))
 
@@ -448,6 +448,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def chunk_scores(rows: pa.Table, told: pa.Table, depth: int, n: int, v: int, ends: int, parts: int) -> pa.Table:
     """Scores of a chunk's documents, from its text and the answers to its windows and words."""
+    pa.default_memory_pool().release_unused()  # of the chunk before
     kind = rows["kind"].to_numpy()
     ids, null, held = (rows[c][int(np.flatnonzero(kind == DOCS)[0])].as_py() for c in ("a", "b", "c"))
     ids, null, held = np.frombuffer(ids, "<i8"), np.frombuffer(null, bool), np.frombuffer(held, bool)
