@@ -181,8 +181,12 @@ def block_words(stream: bytes, sizes: np.ndarray, depth: int) -> tuple[pa.Array,
 
 def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, with the sums of their values."""
-    out, back = np.unique(key, return_inverse=True)
-    return (out, *[np.bincount(back, v, len(out)) for v in values])
+    if not len(key):
+        return (key, *[v.astype(np.float64) for v in values])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return (key[first], *[np.add.reduceat(v[order], first, dtype=np.float64) for v in values])
 
 
 class Vocabulary:
@@ -248,7 +252,7 @@ class Chunk:
         key, n = np.unique(win, return_counts=True)
         win, n = summed(key >> np.uint64(1), np.where(key & np.uint64(1) == 1, 0, n))
         self.windows.append((win, n.astype(np.uint32)))
-        if len(self.windows) > 4:
+        if len(self.windows) > 3:
             self.merge()
         words, count = block_words(stream, sizes, self.depth)
         at = self.vocabulary.add(words)[np.repeat(~apart, count)]
