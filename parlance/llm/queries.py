@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, decontaminate, html_text, lm, packing, quality, simhash, token_files, toxicity, url_filter
+from . import alignment, chat, decontaminate, html_text, lm, packing, quality, resampling, shards, simhash, token_files, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,9 @@ def queries() -> dict[str, Callable]:
         "op8_lm_score": lm.op8_lm_score,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_shards": shards.op11_shards,
+        "op12_resample": resampling.op12_resample,
+        "op13_align": alignment.op13_align,
     }
 
 
