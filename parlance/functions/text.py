@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 c = F.col
@@ -93,19 +94,20 @@ def html_plain(page: str) -> str:
 def html_to_text(pages: DataFrame, id_col: str, html_col: str, with_map: bool = False) -> DataFrame:
     """Plain text of every page and, with ``with_map``, the map of its characters."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = pa.struct([("page", pa.int32()), ("text", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            html = [h or "" for h in b.column(1).to_pylist()]
             if not with_map:
-                yield pd.DataFrame({"id": b["id"], "text": [html_plain(h or "") for h in b["html"]]})
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([html_plain(h) for h in html], pa.string())], ["id", "text"])
                 continue
-            got = [html_with_map(h or "") for h in b["html"]]
-            out = pd.DataFrame({"id": b["id"].to_numpy(), "text": [t for t, _ in got]})
-            if with_map:
-                out["places"] = [[{"page": p, "text": t} for p, t in m] for _, m in got]
-            yield out
+            got = [html_with_map(h) for h in html]
+            places = pa.array([[{"page": p, "text": t} for p, t in m] for _, m in got], pa.list_(place))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in got], pa.string()), places], ["id", "text", "places"])
 
     schema = "id long, text string" + (", places array<struct<page:int,text:int>>" if with_map else "")
-    return pages.select(c(id_col).cast("long").alias("id"), c(html_col).alias("html")).mapInPandas(run, schema)
+    return pages.select(c(id_col).cast("long").alias("id"), c(html_col).alias("html")).mapInArrow(run, schema)
 
 
 def insert_tags(pages: DataFrame, tags: DataFrame) -> DataFrame:
@@ -209,15 +211,21 @@ def enumerate_phrase(items: Column) -> Column:
 
 
 def token_spans(docs: DataFrame, id_col: str, text_col: str, patterns: dict[str, str]) -> DataFrame:
-    """All matches of typed patterns: id, kind, start, end, token."""
+    """All matches of typed patterns: id, kind, start, end, token; those of a text in the order of start and end. Null texts have none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = {k: re.compile(p) for k, p in patterns.items()}
         for b in batches:
-            rows = [(i, k, m.start(), m.end(), m[0]) for i, t in zip(b["id"], b["text"]) for k, p in compiled.items() for m in p.finditer(t or "") if m[0]]
-            yield pd.DataFrame(sorted(rows, key=lambda r: (r[0], r[2], r[3])), columns=["id", "kind", "start", "end", "token"])
+            row, found = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                own = sorted(((k, m.start(), m.end(), m[0]) for k, p in compiled.items() for m in p.finditer(t or "") if m[0]), key=lambda x: x[1:3])
+                row += [i] * len(own)
+                found += own
+            kind, start, end, token = zip(*found) if found else ((),) * 4
+            columns = [pa.array(kind, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(token, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *columns], ["id", "kind", "start", "end", "token"])
 
-    return docs.select(c(id_col).cast("long").alias("id"), c(text_col).alias("text")).mapInPandas(run, "id long, kind string, start long, end long, token string")
+    return docs.select(c(id_col).cast("long").alias("id"), c(text_col).alias("text")).mapInArrow(run, "id long, kind string, start long, end long, token string")
 
 
 def long_form(short: str, before: str) -> str | None:
@@ -243,16 +251,18 @@ def abbreviations(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs of long and short form, ``long form (SF)``: id, short, long."""
     shape = re.compile(r"([^()]{2,200})\(([A-Za-z][A-Za-z0-9.-]{1,9})\)")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, t in zip(b["id"], b["text"]):
+            row, short, long = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
                 for m in shape.finditer(t or ""):
                     if (found := long_form(m[2], m[1])) is not None:
-                        rows.append((i, m[2], found))
-            yield pd.DataFrame(rows, columns=["id", "short", "long"])
+                        row.append(i)
+                        short.append(m[2])
+                        long.append(found)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(short, pa.string()), pa.array(long, pa.string())], ["id", "short", "long"])
 
-    return docs.select(c(id_col).cast("long").alias("id"), c(text_col).alias("text")).mapInPandas(run, "id long, short string, long string")
+    return docs.select(c(id_col).cast("long").alias("id"), c(text_col).alias("text")).mapInArrow(run, "id long, short string, long string")
 
 
 def seconds_to_hms(col: Column) -> Column:

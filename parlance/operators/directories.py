@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .helpers import seeded
+from .streamed import in_order
 
 c = F.col
 #: Key of each table of a corpus.
@@ -84,21 +85,25 @@ def dedup_hits(hits: DataFrame, gap: float = 0.5) -> DataFrame:
     """Keyword hits (kwid, file, channel, tbeg, dur, score), one of each cluster of near times, the best score.
 
     In time order a cluster holds the hits within ``gap`` of its first; the next hit begins another. That anchor
-    depends on the one before, so each keyword and file is worked through in order.
+    depends on the one before, so each keyword and file is one stream of rows in order.
     """
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["tbeg", "dur", "score"], ascending=[True, False, False])
-        cluster, anchor, ids = -1, float("-inf"), []
-        for t in g["tbeg"]:
-            if t - anchor >= gap:
-                cluster, anchor = cluster + 1, t
-            ids.append(cluster)
-        g = g.assign(_c=ids).sort_values(["_c", "score", "dur", "tbeg"], ascending=[True, False, False, True])
-        return g.drop_duplicates("_c").drop(columns="_c")
+    def walk(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        anchor, best = 0.0, None
+        for row in rows:
+            *_, at, dur, score = row
+            if best is None or at - anchor >= gap:
+                if best:
+                    yield best
+                anchor, best = at, row
+            elif (score, dur, -at) > (best[5], best[4], -best[3]):
+                best = row
+        if best:
+            yield best
 
-    cols = hits.select("kwid", "file", "channel", "tbeg", "dur", "score")
-    return cols.groupBy("kwid", "file", "channel").applyInPandas(walk, cols.schema)
+    cols = hits.select("kwid", "file", "channel", c("tbeg").cast("double").alias("tbeg"), c("dur").cast("double").alias("dur"), c("score").cast("double").alias("score"))
+    by = ["kwid", "file", "channel"]
+    return in_order(cols, by, ["tbeg", F.desc("dur"), F.desc("score")], walk, "kwid string, file string, channel string, tbeg double, dur double, score double")
 
 
 def dedup_hits_chained(hits: DataFrame, gap: float = 0.5) -> DataFrame:
@@ -134,38 +139,53 @@ def split_speakers_evenly(utt2spk: DataFrame, n: int) -> DataFrame:
     return utt2spk.join(numbered(speakers, ["spk"], "_n").select("spk", part.alias("part")), "spk")
 
 
-def balance_parts(sizes: DataFrame, n: int) -> DataFrame:
+def balance_parts(sizes: DataFrame, n: int, near: int = 512) -> DataFrame:
     """Parts of whole speakers (spk, n_utts) of about equal utterances: boundaries move while that evens out neighbours.
 
-    The boundaries depend on each other, so they are moved in one group, for tables of at most ``SMALL`` speakers
-    (counted). Of more speakers, each part takes those whose utterances begin in its share of the total, by prefix
-    sums; with so many, a speaker is a small piece of a part.
+    Speakers in order are dealt evenly at first. Then, part by part and again until nothing moves, the last speaker of a
+    part goes to the next one, or the first of the next to it, where that brings their two loads closer and leaves no part empty.
+
+    A boundary's moves need only the speakers beside it and the loads, which are differences of running sums. So
+    speakers are numbered and summed in Spark, and the driver holds one number a boundary and the ``near`` speakers
+    on either side of each; when a boundary has walked to the edge of what is held, the rows around it are read anew.
+    Fewer speakers than parts are an error.
     """
-    from .helpers import SMALL, running_sum, store
-
-    sizes = store(sizes.select("spk", F.col("n_utts").cast("long").alias("n_utts")), "sizes")
-    if sizes.count() > SMALL:
-        total = sizes.agg(F.sum("n_utts")).first()[0]
-        return running_sum(sizes, ["spk"], "n_utts", "_before").select("spk", "n_utts", (F.floor(c("_before") * n / total) + 1).alias("part"))
-
-    def move(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("spk").reset_index(drop=True)
-        part = (g.index.to_numpy() * n) // len(g)
-        load = [int(g["n_utts"][part == p].sum()) for p in range(n)]
-        changed = True
-        while changed:
-            changed = False
-            for p in range(n - 1):
-                own, other = (part == p).nonzero()[0], (part == p + 1).nonzero()[0]
-                for speaker, a, b in ((own[-1], p, p + 1), (other[0], p + 1, p)):
-                    x = int(g["n_utts"][speaker])
-                    if (part == a).sum() > 1 and abs(load[a] - x - (load[b] + x)) < abs(load[a] - load[b]):
-                        part[speaker], changed = b, True
-                        load[a], load[b] = load[a] - x, load[b] + x
-                        break
-        return pd.DataFrame({"spk": g["spk"], "n_utts": g["n_utts"], "part": part + 1})
-
-    return sizes.groupBy(F.lit(1).alias("_g")).applyInPandas(lambda g: move(g.drop(columns="_g", errors="ignore")), "spk string, n_utts long, part long")
+    from .helpers import numbered, running_sum, small, store
+
+    table = store(running_sum(numbered(sizes.select("spk", c("n_utts").cast("long").alias("n_utts")), ["spk"], "k"), ["k"], "n_utts", "before"), "sizes")
+    m, total = table.agg(F.count("*"), F.sum("n_utts")).first()
+    if m < n:
+        raise ValueError("fewer speakers than parts")
+    ends = [-(-p * m // n) for p in range(1, n)]  # speakers before each inner boundary
+    held: dict[int, int] = {}  # n_utts by speaker number, from 0
+
+    def fetch() -> None:
+        blocks = sizes.sparkSession.createDataFrame([(b,) for b in {e // near + i for e in ends for i in (-1, 0, 1)}], "_b long")
+        beside = table.withColumn("_b", F.expr(f"(k - 1) div {near}")).join(small(blocks), "_b", "left_semi")
+        held.clear()
+        held.update((r[0] - 1, r[1]) for r in beside.select("k", "n_utts").toLocalIterator())
+
+    sums = [0, *(r[1] for r in sorted(table.filter(c("k").isin(ends)).select("k", c("before") + c("n_utts")).collect())), total] if ends else [0, total]
+    changed = bool(ends)
+    if changed:
+        fetch()
+    while changed:
+        changed = False
+        for p in range(n - 1):
+            low, end, high = (ends[p - 1] if p else 0), ends[p], (ends[p + 1] if p + 2 < n else m)
+            own, other = sums[p + 1] - sums[p], sums[p + 2] - sums[p + 1]
+            if end - 1 not in held or end not in held:
+                fetch()
+            for x, step, stays in ((held[end - 1], -1, end - low > 1), (held[end], 1, high - end > 1)):
+                if stays and abs(own + step * x - (other - step * x)) < abs(own - other):
+                    ends[p], sums[p + 1], changed = end + step, sums[p + 1] + step * x, True
+                    break
+    bounds = sizes.sparkSession.createDataFrame([(p + 1, a, b) for p, (a, b) in enumerate(zip([0, *ends], [*ends, m]))], "part long, lo long, hi long")
+    # one row a part: an equi-join on blocks of speakers, so that no row is compared with all parts
+    block = max(1, m // n)
+    wide = bounds.select("part", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))).alias("_b"))
+    rows = table.withColumn("_b", F.expr(f"(k - 1) div {block}")).join(small(wide), "_b").filter((c("k") > c("lo")) & (c("k") <= c("hi")))
+    return rows.select("spk", "n_utts", "part")
 
 
 def heldout_by_speaker(utt2spk: DataFrame, percent: float, seed: int = 777) -> DataFrame:
@@ -251,17 +271,16 @@ def cut_speakers(utt2spk: DataFrame, most: int, order: str = "utt") -> DataFrame
 def sub_speakers_by_size(sizes: DataFrame, least: int, order: str = "utt") -> DataFrame:
     """Groups of a speaker's utterances (utt, spk, n): a group closes when it has ``least`` frames and as many remain."""
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        rest, have, k, out = int(g["n"].sum()), 0, 0, []
-        for n in g["n"]:
-            have, rest = have + n, rest - n
-            out.append(k)
-            if have >= least and rest >= least:
+    def walk(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        have, done, k = 0, 0, 0
+        for utt, spk, n, total, _ in rows:
+            have, done = have + n, done + n
+            yield (utt, spk, n, f"{spk}-{k:06x}")
+            if have >= least and total - done >= least:
                 k, have = k + 1, 0
-        return g[["utt", "spk", "n"]].assign(sub=[f"{s}-{i:06x}" for s, i in zip(g["spk"], out)])
 
-    return sizes.select("utt", "spk", "n").groupBy("spk").applyInPandas(walk, "utt string, spk string, n long, sub string")
+    cols = sizes.select("utt", "spk", c("n").cast("long").alias("n"), F.sum("n").over(Window.partitionBy("spk")).cast("long").alias("total"), c(order).alias("_order"))
+    return in_order(cols, ["spk"], ["_order"], walk, "utt string, spk string, n long, sub string")
 
 
 def whole_speakers(utts: DataFrame, utt2spk: DataFrame) -> DataFrame:

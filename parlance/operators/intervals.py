@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .helpers import lag, lead, numbered, ordered_list, small, with_islands
+from .streamed import in_order
 
 c = F.col
 ORDER = ["start_cs", "end_cs", "label"]
@@ -251,43 +254,42 @@ def duration_folds(segments: DataFrame, k: int = 10) -> DataFrame:
 def greedy_folds(segments: DataFrame, k: int = 10) -> DataFrame:
     """Folds of about equal duration filled one after another; a segment that overshoots starts the next fold if that errs less."""
 
-    def fill(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["start_cs", "event_id"])
-        d = (g["end_cs"] - g["start_cs"]).to_numpy()
-        want, fold, have, out = d.sum() / k, 0, 0, []
-        for x in d:
+    def fill(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        fold, have = 0, 0
+        for rec, label, event_id, x, total, _ in rows:
+            want = total / k
             if have and fold < k - 1 and have + x > want and want - have < have + x - want:
                 fold, have = fold + 1, 0
-            out.append(fold)
+            yield (rec, label, event_id, fold)
             have += x
             if have >= want and fold < k - 1:
                 fold, have = fold + 1, 0
-        return g[["rec", "label", "event_id"]].assign(fold=out)
 
-    return segments.groupBy("rec", "label").applyInPandas(fill, "rec string, label string, event_id long, fold long")
+    span = c("end_cs") - c("start_cs")
+    cols = segments.select("rec", "label", "event_id", span.alias("x"), F.sum(span).over(Window.partitionBy("rec", "label")).alias("total"), "start_cs")
+    return in_order(cols, ["rec", "label"], ["start_cs", "event_id"], fill, "rec string, label string, event_id long, fold long")
 
 
 def fill_ctm_gaps(ctm: DataFrame, precision: float = 0.05) -> DataFrame:
     """Words (utt, channel, start, dur, word) with an ``<eps>`` row in each gap; of overlapping words the earlier stays.
 
     A word that overlaps its predecessor is a repeat of an earlier word, or noise: it is dropped either way, and
-    which of its followers overlap depends on that, so each utterance is worked through in order, row by row.
+    which of its followers overlap depends on that, so each utterance is one stream of rows in order.
+    :func:`recordings.splice_ctm` takes back words where a stretch repeats them.
     """
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["start", "dur", "word"])
-        rows, at = [], 0.0
-        for s, d, w in zip(g["start"], g["dur"], g["word"]):
+    def walk(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        at = 0.0
+        for _, _, s, d, w in rows:
             if s < at - precision:
                 continue
             if s > at + precision:
-                rows.append((round(at, 2), round(s - at, 2), "<eps>"))
-            rows.append((s, d, w))
+                yield (*key, round(at, 2), round(s - at, 2), "<eps>")
+            yield (*key, s, d, w)
             at = s + d
-        out = pd.DataFrame(rows, columns=["start", "dur", "word"])
-        return out.assign(utt=g["utt"].iloc[0], channel=g["channel"].iloc[0])[["utt", "channel", "start", "dur", "word"]]
 
-    return ctm.groupBy("utt", "channel").applyInPandas(walk, "utt string, channel string, start double, dur double, word string")
+    cols = ctm.select("utt", "channel", "start", "dur", "word")
+    return in_order(cols, ["utt", "channel"], ["start", "dur", "word"], walk, "utt string, channel string, start double, dur double, word string")
 
 
 def transcript(ctm: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from .helpers import lookup, numbered, ordered_list, seeded, small, store
+from .helpers import SMALL, lookup, numbered, ordered_list, seeded, small, store
 
 
 def filter_by_ids(df: DataFrame, ids: DataFrame, on: str, id_col: str | None = None, exclude: bool = False) -> DataFrame:
@@ -23,14 +23,25 @@ def filter_by_many_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(ids.select(on, "job").distinct(), on)
 
 
-def map_tokens(df: DataFrame, mapping: DataFrame, key: str, tokens: str, first: int = 1, last: int | None = None, permissive: bool = False) -> DataFrame:
+def one_each(table: DataFrame, key: str, value: str) -> DataFrame:
+    """One row a key of a look-up table: a row listed twice counts once, two values for one key are an error; null keys go."""
+    least, most = F.min(value), F.max(value)
+    kind = dict(table.dtypes)[value]
+    clash = F.raise_error(F.concat(F.lit(f"two entries for {key} "), F.col(key).cast("string"))).cast(kind)
+    return table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.when(least.eqNullSafe(most), least).otherwise(clash).alias(value))
+
+
+def map_tokens(df: DataFrame, mapping: DataFrame, key: str, tokens: str, first: int = 1, last: int | None = None, permissive: bool = False, in_place: int = SMALL) -> DataFrame:
     """Replace tokens at positions ``first`` to ``last`` by the mapped token lists (columns sym, values).
 
-    A token without an entry is an error, or stays with ``permissive``. Rows without tokens keep an empty list;
-    repeated keys are rows of their own. A small mapping (counted) is looked up in place, without a shuffle.
+    A token without an entry is an error, or stays with ``permissive``; a null token stays null. An entry listed twice
+    counts once, and one with two values is an error. Rows without tokens keep an empty list; repeated keys are rows of
+    their own. A mapping of at most ``in_place`` entries (counted) is looked up in place, without a shuffle; a larger
+    one is joined, with the same results.
     """
     last = last if last is not None else 1 << 30
-    table = lookup(mapping.select("sym", "values"))
+    mapping = one_each(mapping.select("sym", "values"), "sym", "values")
+    table = lookup(mapping, in_place)
     if table is not None:
         return mapped_in_place(df.select(key, tokens), table, first, last, permissive)
     rows = numbered_rows(df.select(key, tokens)).select("_row", key, F.posexplode_outer(tokens).alias("p", "sym")).withColumn("p", F.col("p") + 1)
@@ -38,7 +49,7 @@ def map_tokens(df: DataFrame, mapping: DataFrame, key: str, tokens: str, first:
     rows = rows.join(mapping.select("sym", F.col("values").alias("mapped")), "sym", "left")
     own = F.array("sym")
     missing = own if permissive else F.raise_error(F.concat(F.lit("no entry for "), "sym")).cast("array<string>")
-    out = F.when(F.col("sym").isNull(), F.array().cast("array<string>")).when(~inside, own).when(F.col("mapped").isNotNull(), F.col("mapped")).otherwise(missing)
+    out = F.when(F.col("p").isNull(), F.array().cast("array<string>")).when(~inside | F.col("sym").isNull(), own).when(F.col("mapped").isNotNull(), F.col("mapped")).otherwise(missing)
     return rows.withColumn("out", out).groupBy("_row", key).agg(F.flatten(ordered_list(["p"], "out")).alias(tokens)).drop("_row")
 
 
@@ -61,7 +72,7 @@ def mapped_in_place(df: DataFrame, table: pa.Table, first: int, last: int, permi
             lists, own, n = token_lists(b.column(1))
             at = pc.index_in(own, value_set=syms)
             place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + 1
-            use = (place >= first) & (place <= last)
+            use = (place >= first) & (place <= last) & pc.is_valid(own).to_numpy(zero_copy_only=False)
             known = pc.is_valid(at).to_numpy(zero_copy_only=False)
             if not permissive and (use & ~known).any():
                 raise ValueError(f"no entry for {own[int(np.flatnonzero(use & ~known)[0])]}")
@@ -85,21 +96,38 @@ def token_lists(lists: pa.ListArray) -> tuple[pa.ListArray, pa.Array, np.ndarray
     return lists, lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def symbols_to_ids(df: DataFrame, symtab: DataFrame, key: str, tokens: str, oov: int | None = None) -> DataFrame:
-    """Token ids by symbol table (sym, id); unknown tokens become ``oov`` (counted in ``n_oov``), or are an error.
+def symbols_to_ids(df: DataFrame, symtab: DataFrame, key: str, tokens: str, oov: int | None = None, in_place: int = SMALL) -> DataFrame:
+    """Token ids by symbol table (sym, id); unknown tokens, null ones among them, become ``oov`` (counted in ``n_oov``), or are an error.
 
-    Rows without tokens are left out; repeated keys are rows of their own. A small table (counted) is looked up in
-    place, without a shuffle.
+    A symbol listed twice counts once, and one with two ids is an error. Rows without tokens are left out; repeated
+    keys are rows of their own. A table of at most ``in_place`` rows (counted) is looked up in place, without a shuffle;
+    a larger one is joined, with the same results.
     """
     df = df.select(key, tokens).filter(F.size(tokens) > 0)
-    table = lookup(symtab.select("sym", F.col("id").cast("int").alias("id")))
+    symtab = one_each(symtab.select("sym", F.col("id").cast("int").alias("id")), "sym", "id")
+    table = lookup(symtab, in_place)
     if table is not None:
         return numbered_in_place(df, table, oov)
     rows = numbered_rows(df).select("_row", key, F.posexplode(tokens).alias("p", "sym")).join(symtab.select("sym", "id"), "sym", "left")
-    value = F.coalesce("id", F.lit(oov) if oov is not None else F.raise_error(F.concat(F.lit("unknown symbol "), "sym")).cast("int"))
+    value = F.coalesce("id", F.lit(oov) if oov is not None else F.raise_error(F.concat(F.lit("unknown symbol "), F.coalesce("sym", F.lit("null")))).cast("int"))
     return rows.withColumn("v", value).groupBy("_row", key).agg(ordered_list(["p"], "v").alias("ids"), F.count_if(F.col("id").isNull()).alias("n_oov")).drop("_row")
 
 
+def write_ids(df: DataFrame, symtab: DataFrame, key: str, tokens: str, path: str, oov: int) -> dict[str, int]:
+    """Write the ids of every row under ``path`` and return what was replaced: n_rows, n_tokens, n_oov, n_rows_oov.
+
+    The counts are an observation of the rows on their way to the files: one pass, and no column of counts in the output.
+    """
+    seen = Observation("symbols")
+    ids = symbols_to_ids(df, symtab, key, tokens, oov)
+    watched = ids.observe(
+        seen, F.count("*").alias("n_rows"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("n_oov"), F.lit(0)).alias("n_oov"),
+        F.count_if(F.col("n_oov") > 0).alias("n_rows_oov"),
+    )
+    watched.select(key, "ids").write.parquet(path)
+    return seen.get
+
+
 def numbered_in_place(df: DataFrame, table: pa.Table, oov: int | None) -> DataFrame:
     """The lists of the second column as ids of ``table`` (sym, id), and how many tokens of each it lacks."""
     shared = df.sparkSession.sparkContext.broadcast((table["sym"].combine_chunks(), table["id"].combine_chunks()))  # counted
@@ -121,14 +149,15 @@ def numbered_in_place(df: DataFrame, table: pa.Table, oov: int | None) -> DataFr
     return df.mapInArrow(run, f"`{names[0]}` {df.schema[0].dataType.simpleString()}, ids array<int>, n_oov long")
 
 
-def ids_to_symbols(df: DataFrame, symtab: DataFrame, key: str, ids: str) -> DataFrame:
-    """Inverse of :func:`symbols_to_ids`; an unknown id is an error."""
+def ids_to_symbols(df: DataFrame, symtab: DataFrame, key: str, ids: str, in_place: int = SMALL) -> DataFrame:
+    """Inverse of :func:`symbols_to_ids`; an unknown or null id is an error, and so are two symbols of one id."""
     df = df.select(key, ids).filter(F.size(ids) > 0)
-    table = lookup(symtab.select("sym", F.col("id").cast("int").alias("id")))
+    symtab = one_each(symtab.select("sym", F.col("id").cast("int").alias("id")), "id", "sym").select("sym", "id")
+    table = lookup(symtab, in_place)
     if table is not None:
         return named_in_place(df, table)
     rows = numbered_rows(df).select("_row", key, F.posexplode(ids).alias("p", "id")).join(symtab.select("sym", "id"), "id", "left")
-    value = F.coalesce("sym", F.raise_error(F.concat(F.lit("unknown id "), F.col("id").cast("string"))).cast("string"))
+    value = F.coalesce("sym", F.raise_error(F.concat(F.lit("unknown id "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast("string"))
     return rows.withColumn("v", value).groupBy("_row", key).agg(ordered_list(["p"], "v").alias("words")).drop("_row")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..operators import intervals as g
+from ..operators import intervals as g, recordings as r
 from . import adapters as v
 from .adapters import query, table
 
@@ -181,8 +181,6 @@ def g21(s, sf):
  t AS (SELECT rec, avg(rms) FILTER (lo <= 10) AS lo, avg(rms) FILTER (hi <= 10) AS hi FROM r GROUP BY rec), l AS (SELECT f.*, lag(frame) OVER (PARTITION BY rec ORDER BY frame) AS p FROM f JOIN t USING (rec) WHERE rms >= lo + (hi - lo) / 3), i AS (SELECT *, sum(CASE WHEN frame - p <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY rec ORDER BY frame) AS island FROM l)
  SELECT rec, island::BIGINT AS island, min(frame) AS first, max(frame) AS last, count(*) AS loud FROM i GROUP BY rec, island""")
 def g22(s, sf):
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) * 20
     return g.energy_speech(table(s, sf, "events").select(c("user_id").cast("string").alias("rec"), c("value").alias("rms"), n.alias("frame")), 50, 10)
 
@@ -218,3 +216,62 @@ def g27(s, sf):
     f = v.words(s, sf).select("utt", c("pos").alias("frame"), F.substring("word", 1, 1).alias("phone"))
     k = s.createDataFrame([(chr(x), int(chr(x) in "aeiou")) for x in range(97, 123)], "phone string, class int")
     return g.phone_class_runs(f, k)
+
+
+@query("g17_smooth_labels")
+def g17_labels(s, sf):
+    """Scores smoothed in place, and labels of little speech discarded until none is left."""
+    return r.smooth_and_discard(v.scores(s, sf).select("rec", "event_id", "start_cs", "end_cs", "model", "score"), 500000, 0.5, 8_000_000)
+
+
+SPLICED = """s AS (SELECT utt, channel, k * 1000 + pos AS p, CASE WHEN k > 0 AND pos <= 8 * k + 2 AND pos % 5 = 0 THEN 'zz' ELSE word END AS w, CASE WHEN k > 0 AND pos <= 8 * k + 2 AND pos % 3 = 0 THEN round(start + 0.01, 2) ELSE start END AS s, dur AS d
+ FROM (SELECT *, unnest([(pos - 1) // 8, (pos - 1) // 8 - 1]) AS k FROM v_ctm) WHERE k >= 0 AND pos <= 8 * k + 10)"""
+
+
+def _overlapping(s, sf):
+    """Words in stretches of ten, of which two repeat the end of the stretch before; some repeats are a little late, some are other words."""
+    x = v.ctm(s, sf).withColumn("k", F.explode(F.array(F.floor((c("pos") - 1) / 8), F.floor((c("pos") - 1) / 8) - 1))).filter((c("k") >= 0) & (c("pos") <= 8 * c("k") + 10))
+    again = (c("k") > 0) & (c("pos") <= 8 * c("k") + 2)
+    word = F.when(again & (c("pos") % 5 == 0), "zz").otherwise(c("word"))
+    start = F.when(again & (c("pos") % 3 == 0), F.round(c("start") + 0.01, 2)).otherwise(c("start"))
+    return x.select("utt", "channel", (c("k") * 1000 + c("pos")).alias("pos"), start.alias("start"), "dur", word.alias("word"))
+
+
+@query("g19_splice_repeats", f"""WITH RECURSIVE {SPLICED}, o AS (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY p) AS rn FROM s),
+ r AS (SELECT utt, channel, rn, [{{'s': s, 'd': d, 'w': w}}] AS kept FROM o WHERE rn = 1 UNION ALL SELECT utt, channel, rn,
+  CASE WHEN e = s THEN list_append(kept, {{'s': s, 'd': d, 'w': w}}) WHEN e < s THEN list_concat(kept, [{{'s': e, 'd': round(s - e, 2), 'w': '<eps>'}}, {{'s': s, 'd': d, 'w': w}}])
+  ELSE kept[1:coalesce(list_max(list_filter(range(stop + 1, len(kept) + 1), lambda i: kept[i].w = w AND abs(kept[i].s - s) < 0.05 AND abs(kept[i].d - d) < 0.05)), len(kept))] END
+  FROM (SELECT o.*, r.kept, round(r.kept[-1].s + r.kept[-1].d, 2) AS e, coalesce(list_max(list_filter(range(1, len(r.kept) + 1), lambda i: r.kept[i].s + r.kept[i].d <= o.s)), 0) AS stop FROM r JOIN o ON o.utt = r.utt AND o.rn = r.rn + 1))
+ SELECT utt, channel, x.s AS start, x.d AS dur, x.w AS word FROM (SELECT utt, channel, unnest(kept) AS x FROM (SELECT *, max(rn) OVER (PARTITION BY utt) AS last FROM r) WHERE rn = last)""")
+def g19_splice(s, sf):
+    return r.splice_ctm(_overlapping(s, sf))
+
+
+@query("g20_cut_aligned")
+def g20_cut(s, sf):
+    """Conversations as recordings: every ninth word is a pause; some words are heard wrongly, some are too many, some missing."""
+    w = v.ctm(s, sf).select(F.split("utt", "-")[0].alias("utt"), F.split("utt", "-")[1].cast("int").alias("turn"), "pos", "word")
+    n = F.row_number().over(Window.partitionBy("utt").orderBy("turn", "pos"))
+    w = w.select("utt", n.cast("long").alias("pos"), "word")
+    pause = c("pos") % 9 == 0
+    ctm = w.select("utt", "pos", (c("pos") * 0.7).alias("start"), F.when(pause, 0.3 + (c("pos") % 4) / 10).otherwise(0.6).alias("dur"), F.when(pause, "<eps>").otherwise(c("word")).alias("word"))
+    said = w.filter(~pause)
+    ref = F.when(c("pos") % 41 == 0, F.concat(F.lit("zz"), "word")).when(c("pos") % 53 == 0, "<eps>").otherwise(c("word"))
+    pairs = said.select("utt", (c("pos") * 2).alias("pos"), ref.alias("ref"), c("word").alias("hyp"))
+    missing = said.filter("pos % 37 = 0").select("utt", (c("pos") * 2 + 1).alias("pos"), c("word").alias("ref"), F.lit("<eps>").alias("hyp"))
+    return r.cut_aligned(ctm, pairs.unionByName(missing), wer_cutoff=0.5)
+
+
+@query("g22_energy_states", """WITH RECURSIVE f AS (SELECT user_id::VARCHAR AS rec, event_id, value AS rms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+ w AS (SELECT rec, frame, rms, -1 AS win FROM f UNION ALL SELECT rec, frame, rms, frame // 20 FROM f WHERE frame < n - 1), k AS (SELECT *, row_number() OVER (PARTITION BY rec, win ORDER BY rms DESC, frame) AS k, count(*) OVER (PARTITION BY rec, win) AS size FROM w),
+ lv AS (SELECT rec, win, avg(rms) AS top FROM k WHERE (k > 1 OR size = 1) AND k <= 6 AND (win <= 0 OR size > 8) GROUP BY rec, win),
+ r AS (SELECT a.rec, -1::BIGINT AS frame, 0 AS st, false AS due, 0::BIGINT AS win, greatest(coalesce(b.top, a.top), 0.2 * a.top) / 3 AS lim, 0::BIGINT AS first, 0::BIGINT AS below, false AS closed, a.top AS whole FROM lv a LEFT JOIN lv b ON b.rec = a.rec AND b.win = 0 WHERE a.win = -1
+ UNION ALL SELECT rec, frame, CASE st WHEN 0 THEN loud::INT WHEN 1 THEN 2 - loud::INT ELSE CASE WHEN loud THEN 1 WHEN frame - below > 2 THEN 0 ELSE 2 END END, due AND NOT change, win + change::INT, lim, CASE WHEN st = 0 AND loud THEN frame ELSE first END,
+  CASE WHEN st = 1 AND NOT loud THEN frame ELSE below END, st = 2 AND NOT loud AND frame - below > 2, whole FROM (SELECT *, rms >= lim AS loud FROM (SELECT x.rec, f.frame, f.rms, x.st, x.due OR f.frame % 20 = 0 AS due, x.st = 0 AND (x.due OR f.frame % 20 = 0) AS change, x.win, x.first, x.below, x.whole,
+  CASE WHEN x.st = 0 AND (x.due OR f.frame % 20 = 0) AND lv.top IS NOT NULL THEN greatest(lv.top, 0.2 * x.whole) / 3 ELSE x.lim END AS lim FROM r x JOIN f ON f.rec = x.rec AND f.frame = x.frame + 1 LEFT JOIN lv ON lv.rec = x.rec AND lv.win = x.win + 1))),
+ spans AS (SELECT rec, first, below AS last FROM r WHERE closed UNION ALL SELECT rec, first, frame FROM (SELECT *, max(frame) OVER (PARTITION BY rec) AS e FROM r) WHERE frame = e AND st > 0)
+ SELECT rec, first, last FROM spans s WHERE (SELECT count(*) FROM f WHERE f.rec = s.rec AND f.frame >= s.first AND f.frame < s.last AND f.event_id % 3 = 0) > 0.1 * (last - first)""")
+def g22_states(s, sf):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    frames = table(s, sf, "events").select(c("user_id").cast("string").alias("rec"), n.cast("long").alias("frame"), c("value").alias("rms"), (c("event_id") % 3 == 0).cast("int").alias("pitch"))
+    return r.pitched(r.energy_states(frames, 20, 5, 8, 2), frames, 0.1, 20)

@@ -40,6 +40,15 @@ def b4(s, sf):
     return m.symbols_to_ids(v.text(s, sf), v.symtab(s, sf), "utt", "words", oov=1).select("utt", F.array_join(c("ids").cast("array<string>"), " ").alias("ids"), "n_oov")
 
 
+@query("b4_replacements", """SELECT count(DISTINCT utt) AS n_rows, count(*) AS n_tokens, count(*) FILTER (length(word) > 9) AS n_oov, count(DISTINCT utt) FILTER (length(word) > 9) AS n_rows_oov FROM v_words""")
+def b4_observed(s, sf):
+    """Words of up to nine letters have ids; what the others were replaced in is observed while the ids are written."""
+    from ..operators.helpers import scratch
+
+    table = v.symtab(s, sf).filter("length(sym) <= 9")
+    return s.createDataFrame([m.write_ids(v.text(s, sf), table, "utt", "words", scratch(s, "ids"), 1)], "n_rows long, n_tokens long, n_oov long, n_rows_oov long")
+
+
 @query("b5_int2sym", "SELECT utt, string_agg(word, ' ' ORDER BY pos) AS words FROM v_words JOIN v_symtab ON sym = word GROUP BY utt")
 def b5(s, sf):
     table = v.symtab(s, sf)
