@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 MEMO = 150_000
 #: White space other than single spaces and line feeds (RE2 syntax): such texts are encoded whole.
 ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x00]| [ \n]|\n[ \n]|[ \n]\z"
-#: A letter and an ASCII mark after it: both kinds of tokenizer cut there.
+#: A letter and an ASCII mark after it: both kinds of tokenizer cut there, if the letter is one in its normal form too.
 MARK = r"(\p{L})([.,!?;:%$#&*|])"
 #: A word of Latin-1 letters, with or without the space before it.
 PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
@@ -37,6 +38,16 @@ def gathered(ids: np.ndarray, size: np.ndarray, which: np.ndarray, bound: np.nda
     return ids[np.repeat(start[which] - ends[:-1], size[which]) + np.arange(ends[-1])], ends[bound]
 
 
+@lru_cache(maxsize=4)
+def loose_letters(path: str) -> str:
+    """Letters that a tokenizer's normalizer ends in something else: such a mark and what follows may be one pre-token."""
+    normal = load(path).normalizer
+    if normal is None:
+        return ""
+    letters = (chr(i) for i in range(0x80, 0x110000) if unicodedata.category(chr(i))[0] == "L")
+    return "".join(x for x in letters if unicodedata.category((normal.normalize_str(x) or "?")[-1])[0] != "L")
+
+
 @lru_cache(maxsize=8)
 def load(path: str, plain_specials: bool = False):
     """The tokenizer of a file; with ``plain_specials``, strings of special tokens in a text are ordinary text."""
@@ -55,7 +66,7 @@ class Encoder:
     (``keep_space``, byte-level BPE), or the bare word (BPE with word ends, which drops white space). Texts are
     split and their pieces numbered by Arrow, each new piece goes through the library once, and the ids of all
     texts are gathered at once. Texts with other white space, or with the string of a special token, go to the
-    library whole.
+    library whole, as do texts with a letter whose normal form ends in a combining mark.
     """
 
     def __init__(self, path: str, keep_space: bool, plain_specials: bool = False):
@@ -64,7 +75,8 @@ class Encoder:
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
         specials = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.odd = "|".join([ODD, *(f"(?i:{s})" for s in specials)])
+        loose = "".join(f"\\x{{{ord(x):x}}}" for x in loose_letters(path))
+        self.odd = "|".join([ODD, *(f"(?i:{s})" for s in specials), *([f"[{loose}]"] if loose else [])])
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.lower = self.tok.normalizer is not None  # that of the vocabulary with word ends lower-cases

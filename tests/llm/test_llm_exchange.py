@@ -261,3 +261,22 @@ def test_wide_groups_count_repeats_first(monkeypatch):
     monkeypatch.setattr(alignment, "WIDE", 10)
     wide = alignment.id_pairs(a, b, n_a, n_b, text)
     assert all(np.array_equal(x, y) for x, y in zip(slim, wide)) and slim[1].sum() == (n_a * n_b).sum()
+
+
+# --- ids of letters that a normalizer takes apart
+
+@pytest.mark.parametrize("name,keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_letters_that_end_in_a_combining_mark_before_every_mark(name, keep):
+    """Every letter whose composed and lower-cased form ends in something else than a letter, before each mark at which words are cut."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    from parlance.llm import tokens
+
+    letters = [x for i in range(0x80, 0x20000) if unicodedata.category(x := chr(i))[0] == "L" and unicodedata.category(unicodedata.normalize("NFC", x).lower()[-1])[0] != "L"]
+    assert len(letters) >= 60
+    texts = [f"ab {x}{m} cd{m}{x}" for x in letters for m in ".,!?;:%$#&*|"]
+    path = public_path(name)
+    library, enc = Tokenizer.from_file(path), tokens.Encoder(path, keep)
+    assert [g.tolist() for g in enc.encode_many(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
