@@ -12,8 +12,6 @@ from .common import map_texts, table
 
 #: Lines in a sliding window; share of the page's typical window at which the text surges, and below which it dives.
 WINDOW, SURGE, DIVE = 3, 0.2, 0.05
-#: A marked article holds the text if its largest window is at least this share of the page's largest.
-ARTICLE = 0.1
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe)\b(?:"[^"]*"|'[^']*'|[^'">])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>""", re.S | re.I)
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -170,26 +168,34 @@ def text_blocks(lines: list[Line], sizes: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def articles_of(blocks: list[tuple[int, int]], article: np.ndarray, sizes: np.ndarray) -> set[int]:
+    """Marked articles whose own lines surge inside one of the blocks."""
+    high = SURGE * typical_window(sizes, window_sums(sizes))
+    out = set()
+    for first, last in blocks:
+        for k in set(article[first:last].tolist()) - {0}:
+            if window_sums(np.where(article == k, sizes, 0))[first:last].max() >= max(1, high):
+                out.add(k)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """Main text of one page; empty for null or a page without any.
 
-    The sums of the lines' lengths over sliding windows locate the text. If an article that the page marks holds a
-    window that bears comparison with the page's largest (:data:`ARTICLE`), the text is all that counts in such
-    articles, short lines included; a marked article without one is a teaser. Else it is all that counts between
-    the points where the sums surge and dive (:func:`text_blocks`).
+    The sums of the lines' lengths over sliding windows locate the text on every page: it lies between the points
+    where they surge and dive (:func:`text_blocks`). A marked article votes where its own lines surge in such a
+    stretch (:func:`articles_of`): its marks then bound the text, on both sides and over short lines within, and
+    stretches outside such articles are dropped. An article that does not surge is a teaser and has no vote.
     """
     lines = page_lines(page or "")
     sizes = np.array([x.size for x in lines], np.int64)
     if not sizes.any():
         return ""
     article = np.array([x.article for x in lines])
-    largest = window_sums(sizes).max()
-    marked = [k for k in range(1, article.max() + 1) if window_sums(np.where(article == k, sizes, 0)).max() >= max(1, ARTICLE * largest)]
-    if marked:
-        keep = np.isin(article, marked)
-    else:
-        keep = np.zeros(len(lines), bool)
-        for first, last in text_blocks(lines, sizes):
+    blocks = text_blocks(lines, sizes)
+    keep = np.isin(article, list(articles_of(blocks, article, sizes)))
+    if not keep.any():
+        for first, last in blocks:
             keep[first:last] = True
     return " ".join(x.text for x, k in zip(lines, keep & (sizes > 0)) if k)
 
