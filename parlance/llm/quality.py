@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,8 +13,8 @@ from .common import fresh, join_checked, map_texts, sliced, store, table
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
-#: A host fails a rule as a habit when its shrunk failure rate is over this many times the mean of hosts.
-HABIT = 2.0
+#: How far a host's failure rates may move a rule's limit, either way.
+LEEWAY = 1.25
 
 
 def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -57,47 +57,41 @@ def base_failed(prefix: str = "") -> Column:
 HOST_RULES = ("symbols", "lines", "lengths")
 
 
-def failures(prefix: str = "") -> tuple[dict[str, Column], dict[str, Column]]:
-    """Host rules at the plain limit and at the strict one; each is true where the document fails it.
+def fails(prefix: str = "", factor: Callable[[str], Column] = lambda rule: F.lit(1.0)) -> dict[str, Column]:
+    """Host rules, each true where the document fails it at its limit times ``factor`` of the rule.
 
-    symbols: more than one symbol per two words (strictly: four); lines: more than half (strictly: 0.4) of the lines
-    repeat an earlier one; lengths: words of more than 15 or fewer than 2.5 characters on average (strictly: 12, 3).
+    symbols: more than one symbol per two words; lines: more than half of the lines repeat an earlier one; lengths:
+    words of more than 15 or fewer than 2.5 characters on average, the latter limit divided by the factor.
     """
 
     def c(name: str) -> Column:
         return F.col(prefix + name)
 
-    plain = {
-        "symbols": 2 * c("n_symbols") > c("n_words"),
-        "lines": 2 * c("n_dup_lines") > c("n_lines"),
-        "lengths": (c("word_chars") > 15 * c("n_words")) | (2 * c("word_chars") < 5 * c("n_words")),
+    return {
+        "symbols": c("n_symbols") > 0.5 * factor("symbols") * c("n_words"),
+        "lines": c("n_dup_lines") > 0.5 * factor("lines") * c("n_lines"),
+        "lengths": (c("word_chars") > 15.0 * factor("lengths") * c("n_words")) | (c("word_chars") * factor("lengths") < 2.5 * c("n_words")),
     }
-    strict = {
-        "symbols": 4 * c("n_symbols") > c("n_words"),
-        "lines": 5 * c("n_dup_lines") > 2 * c("n_lines"),
-        "lengths": (c("word_chars") > 12 * c("n_words")) | (c("word_chars") < 3 * c("n_words")),
-    }
-    return plain, strict
 
 
 def dropped(prefix: str = "") -> Column:
-    """Whether a document goes, given its counts and the verdicts on its host (columns ``habit_`` and the rule)."""
-    plain, strict = failures(prefix)
+    """Whether a document goes, given its counts and its host's factors (columns ``factor_`` and the rule)."""
     out = base_failed(prefix)
-    for k in HOST_RULES:
-        out = out | plain[k] | (strict[k] & F.col(f"{prefix}habit_{k}"))
+    for rule in fails(prefix, lambda k: F.col(f"{prefix}factor_{k}")).values():
+        out = out | rule
     return out
 
 
-def host_verdicts(counts: DataFrame, habit: float) -> DataFrame:
-    """Verdict on every host: host, host_docs and, for each rule, its shrunk failure rate and whether that is a habit.
+def host_verdicts(counts: DataFrame, leeway: float) -> DataFrame:
+    """Verdict on every host: host, host_docs and, for each rule, its shrunk failure rate and the factor of its limits.
 
     For each rule the beta prior is fitted to the hosts' rates by moments: with mean m and variance v, its
     weight is s = m (1 - m) / v - 1, held between 1 and 1000, and a host with f failures in n documents gets
-    (f + s m) / (n + s). More than ``habit`` times m is a habit. The fit is an aggregate over hosts, so it costs
-    one row per rule.
+    (f + s m) / (n + s). The host's limits are multiplied by the square root of m over that rate, held between
+    1 / ``leeway`` and ``leeway``: hosts that fail a rule more than others are held to it more strictly, hosts that keep to
+    it get the benefit of the doubt. The fit is an aggregate over hosts, so it costs one row per rule.
     """
-    rules, _ = failures()
+    rules = fails()
     hosts = store(counts.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(r.cast("long")).alias(k) for k, r in rules.items()]), "hosts")
     rate = {k: F.col(k) / F.col("n") for k in rules}
     fit = hosts.agg(*[F.avg(rate[k]).alias(f"m_{k}") for k in rules], *[F.var_pop(rate[k]).alias(f"v_{k}") for k in rules]).first()
@@ -106,28 +100,29 @@ def host_verdicts(counts: DataFrame, habit: float) -> DataFrame:
         m, v = fit[f"m_{k}"] or 0.0, fit[f"v_{k}"] or 0.0
         s = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
         shrunk = (F.col(k) + F.lit(s * m)) / (F.col("n") + F.lit(s))
-        out += [shrunk.alias(f"rate_{k}"), (shrunk > F.lit(habit * m + 1e-12)).alias(f"habit_{k}")]
+        factor = F.least(F.lit(leeway), F.greatest(F.lit(1 / leeway), F.sqrt(F.lit(m) / shrunk))) if m > 0 else F.lit(1.0)
+        out += [shrunk.alias(f"rate_{k}"), factor.alias(f"factor_{k}")]
     return store(hosts.select(*out), "verdicts")
 
 
-def host_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", habit: float = HABIT) -> DataFrame:
+def host_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", leeway: float = LEEWAY) -> DataFrame:
     """Quality verdict of every document.
 
     ``base_failed``: fewer than 50 words, or more than half of the words in repeated 3-word windows. A document
-    that passes these is dropped (``kept`` false) when it fails one of the host rules (:func:`failures`), at the
-    strict limit if its host fails that rule as a habit (:func:`host_verdicts`), else at the plain one.
+    that passes these is dropped (``kept`` false) when it fails a host rule (:func:`fails`) at its host's own limit,
+    which follows from the host's shrunk failure rate (:func:`host_verdicts`).
 
     Null texts count as empty (and fail as short); a null host is a host of its own; repeated rows each get a
     row, as do rows of one id or without one; a very long text is counted whole; an empty table gives an empty
     result. Only the named columns are read, so other columns may have any name.
     """
     counts = store(document_counts(docs, id_col=id_col, text_col=text_col, host_col=host_col), "counts")
-    verdicts = host_verdicts(counts, habit).withColumnRenamed("host", "of")
+    verdicts = host_verdicts(counts, leeway).withColumnRenamed("host", "of")
     joined = join_checked(counts, verdicts, F.col("host").eqNullSafe(F.col("of")), "left")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~dropped()).alias("kept"), "host")
 
 
-def drop_low_quality(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", habit: float = HABIT) -> DataFrame:
+def drop_low_quality(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", leeway: float = LEEWAY) -> DataFrame:
     """Rows of ``docs``, all columns unchanged, that :func:`host_quality` keeps.
 
     Rows are counted once and stored with their counts, from which both the hosts' rates and the verdicts are
@@ -148,7 +143,7 @@ def drop_low_quality(docs: DataFrame, *, text_col: str = "text", host_col: str =
     counted = store(docs.mapInArrow(add, out), "counted")
     host = F.col(f"`{host_col}`").cast("string")
     plain = counted.select(host.alias("host"), *[F.col(n).alias(n[len(tag) :]) for n in names])
-    verdicts = host_verdicts(plain, habit)
+    verdicts = host_verdicts(plain, leeway)
     verdicts = verdicts.select(*[F.col(c).alias(tag + c) for c in verdicts.columns])
     joined = join_checked(counted, verdicts, host.eqNullSafe(F.col(f"{tag}host")), "left")
     return joined.filter(~dropped(tag)).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -175,9 +170,9 @@ f AS (SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 2
 h AS (SELECT host, count(*) AS n, unnest([1, 2, 3]) AS rule, unnest([sum(f3::INT), sum(f4::INT), sum(f5::INT)]) AS x FROM f GROUP BY host),
 b AS (SELECT rule, avg(x / n) AS m, var_pop(x / n) AS v FROM h GROUP BY rule),
 s AS (SELECT rule, m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM b),
-r AS (SELECT host, list((x + s * m) / (n + s) > 2.0::DOUBLE * m + 1e-12 ORDER BY rule) AS habit FROM h JOIN s USING (rule) GROUP BY host)
+r AS (SELECT host, list(CASE WHEN m > 0 THEN least(1.25::DOUBLE, greatest(1 / 1.25::DOUBLE, sqrt(m / ((x + s * m) / (n + s))))) ELSE 1.0::DOUBLE END ORDER BY rule) AS k FROM h JOIN s USING (rule) GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
-    NOT (f1 OR f2 OR f3 OR f4 OR f5 OR (4 * n_symbols > n_words AND habit[1]) OR (5 * n_dup_lines > 2 * n_lines AND habit[2])
-        OR ((word_chars > 12 * n_words OR word_chars < 3 * n_words) AND habit[3])) AS kept
+    NOT (f1 OR f2 OR n_symbols > 0.5::DOUBLE * k[1] * n_words OR n_dup_lines > 0.5::DOUBLE * k[2] * n_lines
+        OR word_chars > 15::DOUBLE * k[3] * n_words OR word_chars * k[3] < 2.5::DOUBLE * n_words) AS kept
 FROM f JOIN r ON f.host IS NOT DISTINCT FROM r.host
 """
