@@ -14,7 +14,7 @@ from .common import id_remainder, join_checked, map_texts, sliced, store, table,
 
 #: The fit reads at most this many labelled documents of each class, those of the smallest id hash, and no
 #: document of more characters than this.
-FIT_DOCS, FIT_CHARS = 2500, 200_000
+FIT_DOCS, FIT_CHARS = 2500, 200_000  # see score_toxicity
 #: A window of words, and its step: consecutive windows overlap by a quarter and cover the whole text.
 WINDOW, STEP = 32, 24
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 14
@@ -348,22 +348,26 @@ def text_scores(texts: list[str | None], model: dict, inputs: WordInputs, batch:
     return 1 / (1 + np.exp(-best.astype(np.float64)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, fit_docs: int, folds: int, held_fold: int) -> DataFrame:
-    """The bounded training sample: at most ``fit_docs`` labelled documents a class outside the held-out fold, a row an id."""
+def training_rows(docs: DataFrame, labels: DataFrame, fit_docs: int, fit_chars: int, folds: int, held_fold: int) -> DataFrame:
+    """The bounded training sample: at most ``fit_docs`` labelled documents a class outside the held-out fold, a row an id.
+
+    Documents of more than ``fit_chars`` characters are left out before the draw, so they cost the sample no place.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter((id_remainder(F.col("label_id"), folds) != held_fold) & F.col("toxic").isNotNull()).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
+    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= fit_chars)
+    known = known.join(short.select(F.col("doc_id").alias("label_id")).distinct().hint("merge"), "label_id", "left_semi")
     order = F.xxhash64(F.lit(17), F.col("label_id"))
     picked = [known.filter(F.col("toxic") == c).orderBy(order, "label_id").limit(fit_docs) for c in (0, 1)]
     sample = store(picked[0].unionByName(picked[1]), "sample")
-    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS)
     rows = join_checked(short, sample, F.col("doc_id") == F.col("label_id"), rows=2 * fit_docs)
     return rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, fit_docs: int, id_col: str, text_col: str) -> dict:
+def fitted(docs: DataFrame, labels: DataFrame, fit_docs: int, fit_chars: int, id_col: str, text_col: str) -> dict:
     """The model, fitted in one task of an executor to the bounded sample; its size is fixed, so it may come to the driver."""
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sample = store(training_rows(cols, labels, fit_docs, 5, 0), "training")
+    sample = store(training_rows(cols, labels, fit_docs, fit_chars, 5, 0), "training")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic = [], []
@@ -376,11 +380,11 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_docs: int, id_col: str, text_
     return pickle.loads(store(one.mapInArrow(run, "model binary"), "model").first()["model"])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Toxicity of every whole document: doc_id, held_out, score, predicted.
 
     The network is fitted in one task to a bounded sample: at most ``fit_docs`` labelled documents of each class,
-    of at most ``FIT_CHARS`` characters, whose crc32(doc_id as text) mod 5 is not 0. Every document is then
+    of at most ``fit_chars`` characters, whose crc32(doc_id as text) mod 5 is not 0. Every document is then
     scored in one narrow pass over all its overlapping windows, however long it is.
 
     Null and empty texts get the score of an empty window; labels without a document or without a value are
@@ -389,7 +393,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DO
     labels, or labels of one class, all scores are the prior; an empty table gives an empty result. Only the
     named columns are read, so other columns may have any name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_docs, id_col, text_col))  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_docs, fit_chars, id_col, text_col))  # of fixed size
 
     def scorer():
         inputs = WordInputs(shared.value)
@@ -401,13 +405,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DO
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns unchanged, whose score is under ``threshold``; the score is that of :func:`score_toxicity`.
 
     Nulls, long and empty texts, repeated rows, labels and empty tables are treated as there; columns of any name
     pass through.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_docs, id_col, text_col))  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_docs, fit_chars, id_col, text_col))  # of fixed size
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -546,17 +546,16 @@ def test_toxicity_learns_planted_words(spark):
     assert none.count() == len(TEXTS)
 
 
-def test_toxicity_sample_is_bounded_and_each_id_trains_once(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "FIT_CHARS", 50)
+def test_toxicity_sample_is_bounded_and_each_id_trains_once(spark):
     docs = [(i, f"text {i}") for i in range(100)] * 3 + [(i, f"other {i}") for i in range(100)] + [(None, "no id"), (200, "long " * 40), (201, None)]
     labels = [(i, i % 2) for i in range(100)] + [(0, 1), (200, 1), (201, 0), (None, 1), (300, 1), (5, None)]
     d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    got = toxicity.training_rows(d, lab, 20, 5, 0).collect()
+    got = toxicity.training_rows(d, lab, 20, 50, 5, 0).collect()
     ids = [r["doc_id"] for r in got]
     assert len(ids) == len(set(ids)) and all(zlib.crc32(str(i).encode()) % 5 for i in ids) and 200 not in ids
     assert Counter(r["toxic"] for r in got) == {0: 20, 1: 20} or all(v <= 20 for v in Counter(r["toxic"] for r in got).values())
     assert all(r["text"] in (f"other {r['doc_id']}", "") for r in got)
-    out = toxicity.drop_toxic(d.withColumn("score", F.lit("x")), lab, fit_docs=20)
+    out = toxicity.drop_toxic(d.withColumn("score", F.lit("x")), lab, fit_docs=20, fit_chars=50)
     assert out.columns == ["doc_id", "text", "score"]
 
 
@@ -632,3 +631,59 @@ def test_pipeline_stages_on_a_fixture(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, now.limit(0), d)
         assert out.columns == now.columns and out.count() == 0
+
+
+# --- what the methods decide
+
+def test_main_text_needs_its_windows(monkeypatch):
+    """The article's marks bound what the windows find; without surging windows there is no text, marks or not."""
+    body = "A long paragraph of running text that goes on for quite some time and says things. "
+    page = f"<nav>menu</nav><article><h1>Head</h1><p>{body * 3}</p><p>x</p><p>{body}</p></article><div>{body}</div><article><p>tease</p></article>"
+    assert html_text.main_text(page) == f"Head {(body * 3).strip()} x {body.strip()}"
+    two = f"<article><p>{body * 3}</p></article><article><p>{body * 4}</p></article><article><p>tease</p></article>"
+    assert html_text.main_text(two) == f"{(body * 3).strip()} {(body * 4).strip()}"
+    monkeypatch.setattr(html_text, "SURGE", 1e9)
+    assert html_text.main_text(page) == html_text.main_text(two) == ""
+
+
+def test_quality_verdicts_depend_on_the_host(spark):
+    """One document on two hosts: dropped where the host fails the rule often, kept where it does not; alike without leeway."""
+    middling = "# * " * 45 + " ".join(f"wordish{i}" for i in range(95))  # 90 symbols in 185 words, just under half
+    bad = "# * " * 95 + " ".join(f"w{i}" for i in range(30))
+    hosts = {"often": [bad] * 30 + [PROSE] * 10, "never": [PROSE] * 40, "other": [PROSE] * 39 + [bad]}
+    df = None
+    for h, (host, texts) in enumerate(hosts.items()):
+        part = frame(spark, [middling, *texts], host).withColumn("doc_id", F.col("doc_id") + 1000 * h)
+        df = part if df is None else df.unionByName(part)
+    kept = {r["doc_id"]: r["kept"] for r in quality.host_quality(df).collect()}
+    assert [kept[0], kept[1000], kept[2000]] == [False, True, True]
+    plain = {r["doc_id"]: r["kept"] for r in quality.host_quality(df, leeway=1.0).collect()}
+    assert [plain[0], plain[1000], plain[2000]] == [True, True, True]
+    factors = {r["host"]: r["factor_symbols"] for r in quality.host_verdicts(quality.document_counts(df), 1.25).collect()}
+    assert factors["often"] < 1 < factors["never"] and 0.8 <= min(factors.values()) and max(factors.values()) <= 1.25
+
+
+def test_stages_take_null_ids_ties_and_repeats_together(spark):
+    """Every stage but the last on documents with null ids, repeated rows, rows of one id and clashing columns: columns stay, nothing fails."""
+    import corpus_pipeline
+
+    rows_ = [(None, PROSE), (None, PROSE), (1, PROSE), (1, PROSE + " end"), (2, None), (2, ""), (3, "x " * 60_000), (4, PROSE)]
+    docs = spark.createDataFrame([(i, t, "a", "x", 1, "y") for i, t in rows_], DOCS)
+    benchmark = spark.createDataFrame([(1, "not in any of them at all")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    path = new_path(spark, "sf")
+    benchmark.write.parquet(f"{path}/benchmark.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        assert out.count() <= docs.count() and stage(spark, docs.limit(0), path).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, path).collect()
+    whole = Counter()
+    for r in packed:
+        whole[r["doc_id"]] += r["length"]
+    tok = Tokenizer.from_file(tokens.public_path("word_bpe_49k.json"))
+    want = Counter()
+    for i, t in rows_:
+        want[i] += len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+    assert whole == want
