@@ -65,6 +65,62 @@ def validate(corpus: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def validate_lines(corpus: dict[str, DataFrame]) -> DataFrame:
+    """Violations (check, key) that need a table's lines or its other columns, beside those of :func:`validate`.
+
+    A table with ``pos`` (line numbers without gaps) must be sorted by its key, and ``utt2spk`` by speaker too. Genders are m or f,
+    warp factors lie between 0.5 and 1.5, tables by speaker hold no speaker that ``utt2spk`` lacks, and
+    ``spk2utt`` (spk, utts) holds the same pairs as ``utt2spk``. A line meets the one before it by an equi-join on
+    their numbers, so nothing is sorted.
+    """
+    out = []
+
+    def told(rows: DataFrame, check: str, key: str) -> None:
+        out.append(rows.select(F.lit(check).alias("check"), c(key).alias("key")))
+
+    for name, t in corpus.items():
+        key = KEYS.get(name) or {"spk2utt": "spk", "spk2warp": "spk", "utt2warp": "utt"}[name]
+        if "pos" in t.columns:
+            orders = [key, "spk"] if name == "utt2spk" else [key]
+            ahead = t.select((c("pos") + 1).alias("pos"), *[c(x).alias(f"_{x}") for x in orders])
+            for x in orders:
+                told(t.join(ahead, "pos").filter(c(x) < c(f"_{x}")), f"{name}: not sorted by {x}", key)
+        if key == "spk" and "utt2spk" in corpus:
+            told(t.join(corpus["utt2spk"], "spk", "left_anti"), f"{name}: no such speaker", "spk")
+        if name == "spk2gender":
+            told(t.filter(~F.coalesce(c("gender").isin("m", "f"), F.lit(False))), "spk2gender: gender", "spk")
+        if name in ("spk2warp", "utt2warp"):
+            told(t.filter(~F.coalesce((c("warp") > 0.5) & (c("warp") < 1.5), F.lit(False))), f"{name}: warp factor", key)
+    if "spk2utt" in corpus and "utt2spk" in corpus:
+        pairs, other = corpus["spk2utt"].select("spk", F.explode("utts").alias("utt")), corpus["utt2spk"].select("spk", "utt")
+        told(pairs.join(other, ["spk", "utt"], "left_anti"), "spk2utt: not in utt2spk", "utt")
+        told(other.join(pairs, ["spk", "utt"], "left_anti"), "spk2utt: missing", "utt")
+    return reduce(DataFrame.unionByName, out)
+
+
+def validate_lexicon_pair(lexicon: DataFrame, weighted: DataFrame, phones: DataFrame) -> DataFrame:
+    """Violations (check, key) between a lexicon (word, phones) and its weighted form, and of phone names (phone).
+
+    Entries are compared with their repeats. Weights (all columns of ``weighted`` but word and phones) must be above 0,
+    the pronunciation's (``prob``) at most 1. A phone must not end in ``_`` or in a mark of its place in the word
+    (``_B``, ``_E``, ``_S``, ``_I``), nor hold ``#``.
+    """
+    count = F.count("*")
+    a = lexicon.groupBy("word", "phones").agg(count.alias("n"))
+    b = weighted.groupBy("word", "phones").agg(count.alias("m"))
+    both = a.join(b, ["word", "phones"], "full")
+    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
+    weights = [x for x in weighted.columns if x not in ("word", "phones")]
+    bad = reduce(lambda x, y: x | y, [~F.coalesce((c(w) > 0) & ((c(w) <= 1) if w == "prob" else F.lit(True)), F.lit(False)) for w in weights], F.lit(False))
+    parts = [
+        both.filter(n > m).select(F.lit("not weighted").alias("check"), c("word").alias("key")),
+        both.filter(n < m).select(F.lit("only weighted").alias("check"), c("word").alias("key")),
+        weighted.filter(bad).select(F.lit("weight").alias("check"), c("word").alias("key")),
+        phones.filter(c("phone").rlike("_$|#|_[BESI]$")).select(F.lit("phone name").alias("check"), c("phone").alias("key")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def validate_lexicon(lexicon: DataFrame, silence: DataFrame, nonsilence: DataFrame) -> DataFrame:
     """Violations (check, key) of a lexicon (word, phones, prob) and its phone sets (phone)."""
     p = F.array_join("phones", " ")
@@ -197,6 +253,22 @@ def heldout_by_speaker(utt2spk: DataFrame, percent: float, seed: int = 777) -> D
     return utt2spk.join(n.select("spk", F.when(c("_before") < total * percent / 100, "cv").otherwise("train").alias("part")), "spk")
 
 
+def heldout_by_utterance(utt2spk: DataFrame, percent: int, order: list[str]) -> DataFrame:
+    """Rows with ``part`` train or cv: in order, the last ``percent`` in a hundred are held out, and the edge moves back to a change of speaker.
+
+    Rows are numbered in two passes; a row meets the next by an equi-join on numbers, so no task sees all of them.
+    """
+    from .helpers import numbered, store
+
+    rows = store(numbered(utt2spk, order, "_n"), "rows")
+    total = rows.count()
+    head = total - total * percent // 100
+    nxt = rows.select((c("_n") - 1).alias("_n"), c("spk").alias("_next"))
+    edges = rows.join(nxt, "_n", "left").filter((c("_n") <= head) & (c("_next").isNull() | (c("_next") != c("spk"))))
+    edge = edges.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+    return rows.withColumn("part", F.when(c("_n") <= edge, "train").otherwise("cv")).drop("_n")
+
+
 def speakers_until(utt2spk: DataFrame, n: int, seed: int = 777) -> DataFrame:
     """Utterances of seeded-random speakers, taken while the utterances so far are fewer than ``n``."""
     from .helpers import running_sum

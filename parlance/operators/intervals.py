@@ -24,14 +24,20 @@ def complement(speech: DataFrame, durations: DataFrame) -> DataFrame:
     return between.unionByName(head).unionByName(tail)
 
 
-def silences_to_segments(voicing: DataFrame, threshold_cs: int = 30) -> DataFrame:
+def silences_to_segments(voicing: DataFrame, threshold_cs: int = 30, recordings: DataFrame | None = None) -> DataFrame:
     """Unvoiced intervals longer than the threshold and not at zero, with the spans between them as speech.
 
-    ``voicing`` has rec, start_cs, end_cs, voiced. A recording without such a silence is one speech segment.
+    ``voicing`` has rec, start_cs, end_cs, voiced. A recording without such a silence is one speech segment. Of
+    ``recordings`` (rec), one without any interval gets a row NO-DATA without times.
     """
     total = voicing.groupBy("rec").agg(F.max("end_cs").alias("dur_cs"))
     sil = voicing.filter(~c("voiced") & (c("end_cs") - c("start_cs") > threshold_cs) & (c("start_cs") > 0)).select("rec", "start_cs", "end_cs")
-    return sil.withColumn("kind", F.lit("SILENCE")).unionByName(complement(sil, total).withColumn("kind", F.lit("NON-SILENCE")))
+    out = sil.withColumn("kind", F.lit("SILENCE")).unionByName(complement(sil, total).withColumn("kind", F.lit("NON-SILENCE")))
+    if recordings is None:
+        return out
+    none = F.lit(None).cast("long")
+    empty = recordings.select("rec").distinct().join(total, "rec", "left_anti")
+    return out.unionByName(empty.select("rec", none.alias("start_cs"), none.alias("end_cs"), F.lit("NO-DATA").alias("kind")))
 
 
 def merge_overlaps(segments: DataFrame) -> DataFrame:

@@ -159,13 +159,13 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
-    """Register a query under a name, with the SQL body that it must equal."""
+def query(name: str, oracle: str | None = None, same_as: str | None = None):
+    """Register a query under a name, with the SQL body that it must equal, or with that of another query."""
 
     def wrap(f):
         QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = sql(oracle)
+        if oracle or same_as:
+            ORACLES[name] = sql(oracle) if oracle else ORACLES[same_as]
         return f
 
     return wrap

