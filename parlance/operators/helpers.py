@@ -36,7 +36,13 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/parlance-{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/parlance-{label}-{uuid.uuid4().hex}"
+    _scratched.append(path)
+    return path
+
+
+#: Paths that :func:`scratch` has given out and :func:`release` has not deleted yet.
+_scratched: list[str] = []
 
 
 def store(df: DataFrame, label: str = "table") -> DataFrame:
@@ -46,6 +52,19 @@ def store(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, mark: int = 0) -> int:
+    """Delete what has been stored since ``mark``, once results that read it are written; returns the mark of now.
+
+    With a mark of 0 all of the session's stored tables go.
+    """
+    hadoop = spark._jsc.hadoopConfiguration()
+    for path in _scratched[mark:]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(hadoop).delete(p, True)
+    del _scratched[mark:]
+    return len(_scratched)
+
+
 def ordered_list(order: list[str], value: Column | str) -> Column:
     """Aggregate: values of a group in the order of some columns, whatever order the rows arrive in."""
     value = F.col(value) if isinstance(value, str) else value

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, functions as F
 
 from .helpers import ordered_list, range_join, small
@@ -37,6 +39,36 @@ def phones_in_words(words: DataFrame, phones: DataFrame, width: int = 300) -> Da
     return hit.filter("mid > start and mid < end")
 
 
+def phones_in_words_swept(words: DataFrame, phones: DataFrame) -> DataFrame:
+    """As :func:`phones_in_words`, by a merge of both tables in time order: one pass, no row copied.
+
+    Words and phones of a recording are laid in one sequence, and the words that have begun and not ended are held
+    in a heap by their end. Where words are long or many overlap this saves the copies by bucket; a recording is one
+    stream of rows, so the bucket join is the better one where a single recording holds much of all rows.
+    """
+    from heapq import heappop, heappush
+
+    from .streamed import in_order
+
+    none = F.lit(None)
+    begins = words.select("rec", F.col("start").cast("long").alias("at"), F.lit(1).alias("kind"), F.col("end").cast("long").alias("end"), "word", none.cast("string").alias("phone"))
+    points = phones.select("rec", F.col("mid").cast("long").alias("at"), F.lit(0).alias("kind"), none.cast("long").alias("end"), none.cast("string").alias("word"), "phone")
+
+    def walk(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        begun: list[tuple] = []
+        for number, (rec, at, kind, end, word, phone) in enumerate(rows):
+            if kind:
+                heappush(begun, (end, number, at, word))
+                continue
+            while begun and begun[0][0] <= at:
+                heappop(begun)
+            for end, _, start, word in begun:
+                yield (rec, at, phone, start, end, word)
+
+    # at one time points come first: a word holds what lies strictly inside it
+    return in_order(points.unionByName(begins), ["rec"], ["at", "kind"], walk, "rec string, mid long, phone string, start long, end long, word string")
+
+
 def nearest_points(targets: DataFrame, points: DataFrame, on: str) -> DataFrame:
     """Each target (id, at) snapped to the nearest point (at) of its group; zero is a point; a tie keeps the earlier.
 

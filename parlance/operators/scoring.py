@@ -124,10 +124,11 @@ def nbest_pick(nbest: DataFrame, grid: DataFrame) -> DataFrame:
     return nbest.join(F.broadcast(grid)).withColumn("cost", cost).groupBy("utt", "lmwt", "penalty").agg(F.min_by("hyp", F.struct("cost", "hyp")).alias("hyp"))
 
 
-def keyword_decisions(hits: DataFrame, normalize: bool = False, yes_cutoff: int = 0, remove_no: bool = False) -> DataFrame:
+def keyword_decisions(hits: DataFrame, normalize: bool = False, yes_cutoff: int = 0, remove_no: bool = False, digits: int = 0) -> DataFrame:
     """YES where the score passes the keyword's threshold; ``normalize`` maps the threshold to one half.
 
-    With a cutoff, a keyword with over twice as many YES keeps only its first hit, and others their first ``cutoff``.
+    ``digits`` rounds the scores once the decisions are made. Beside score and decision stand the keyword's ``threshold`` and the
+    ``raw`` score. With a cutoff, a keyword with over twice as many YES keeps only its first hit, and others their first ``cutoff``.
     """
     t = keyword_thresholds(hits).select("kwid", "threshold")
     h = hits.join(t, "kwid").withColumn("raw", c("score"))
@@ -136,6 +137,8 @@ def keyword_decisions(hits: DataFrame, normalize: bool = False, yes_cutoff: int
         h = h.withColumn("score", yes / (yes + no))
     limit = F.lit(0.5) if normalize else c("threshold")
     h = h.withColumn("decision", F.when(c("score") > limit, "YES").otherwise("NO"))
+    if digits:
+        h = h.withColumn("score", F.round("score", digits))
     if yes_cutoff:
         w = Window.partitionBy("kwid")
         n_yes = F.count_if(c("decision") == "YES").over(w)

@@ -32,15 +32,24 @@ def c2(s, sf):
     return j.words_in_segments(_abs_words(s, sf).select("rec", "start", "dur", "word"), _grid(s, sf))
 
 
-@query("c3_phones_in_words", """WITH w AS (SELECT utt AS rec, round(start * 100)::BIGINT AS a, round(start * 100)::BIGINT + round(dur * 100)::BIGINT AS b, word FROM v_ctm),
- p AS (SELECT utt AS rec, round(start * 100)::BIGINT + 15 AS mid, substr(word, 1, 1) AS phone FROM v_ctm WHERE pos % 2 = 0 UNION ALL SELECT utt, round(start * 100)::BIGINT, 'x' FROM v_ctm)
- SELECT rec, mid, phone, word FROM p JOIN w USING (rec) WHERE mid > a AND mid < b""")
-def c3(s, sf):
+def _words_and_phones(s, sf):
     t = v.ctm(s, sf)
     at = F.round(c("start") * 100).cast("long")
     w = t.select(c("utt").alias("rec"), at.alias("start"), (at + F.round(c("dur") * 100).cast("long")).alias("end"), "word")
     p = t.filter("pos % 2 = 0").select(c("utt").alias("rec"), (at + 15).alias("mid"), F.substring("word", 1, 1).alias("phone")).unionByName(t.select(c("utt").alias("rec"), at.alias("mid"), F.lit("x").alias("phone")))
-    return j.phones_in_words(w, p).select("rec", "mid", "phone", "word")
+    return w, p
+
+
+@query("c3_phones_in_words", """WITH w AS (SELECT utt AS rec, round(start * 100)::BIGINT AS a, round(start * 100)::BIGINT + round(dur * 100)::BIGINT AS b, word FROM v_ctm),
+ p AS (SELECT utt AS rec, round(start * 100)::BIGINT + 15 AS mid, substr(word, 1, 1) AS phone FROM v_ctm WHERE pos % 2 = 0 UNION ALL SELECT utt, round(start * 100)::BIGINT, 'x' FROM v_ctm)
+ SELECT rec, mid, phone, word FROM p JOIN w USING (rec) WHERE mid > a AND mid < b""")
+def c3(s, sf):
+    return j.phones_in_words(*_words_and_phones(s, sf)).select("rec", "mid", "phone", "word")
+
+
+@query("c3_merge_join", same_as="c3_phones_in_words")
+def c3_swept(s, sf):
+    return j.phones_in_words_swept(*_words_and_phones(s, sf)).select("rec", "mid", "phone", "word")
 
 
 @query("c4_nearest_silence", """WITH t AS (SELECT rec, max(end_cs) / 5.0 AS step FROM v_labelseg GROUP BY rec), g AS (SELECT rec, k AS id, step * k AS pt FROM t, range(1, 5) x(k)),

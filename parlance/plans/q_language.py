@@ -80,9 +80,28 @@ def l8(s, sf):
     return x.map_arpa(_arpa(s, sf), v.symtab(s, sf)).select("n", F.array_join(c("ids").cast("array<string>"), " ").alias("ids"), r6("logprob").alias("logprob"))
 
 
-@query("l9_reverse_arpa")
+@query("l9_reverse_arpa", f"""WITH {NG}, a AS (SELECT len, gram, string_split(gram, ' ') AS w, -log10(n) AS p FROM n WHERE len < 3 AND n >= 5) SELECT 1 AS n, gram AS words, round(p - 0.3::DOUBLE, 6) AS logprob, 0.0::DOUBLE AS backoff FROM a WHERE len = 1
+ UNION ALL SELECT 2, x.w[2] || ' ' || x.w[1], round(x.p + l.p - r.p, 6) + 0.0, NULL FROM a x JOIN a l ON l.len = 1 AND l.gram = x.w[1] JOIN a r ON r.len = 1 AND r.gram = x.w[2] WHERE x.len = 2""")
 def l9(s, sf):
-    return x.reverse_arpa(_arpa(s, sf)).select("n", F.array_join("words", " ").alias("words"), r6("logprob").alias("logprob"), r6("backoff").alias("backoff"))
+    return x.reverse_arpa(_arpa(s, sf)).select("n", F.array_join("words", " ").alias("words"), (r6("logprob") + 0.0).alias("logprob"), r6("backoff").alias("backoff"))
+
+
+@query("l9_reverse_sentences", """WITH pw AS (SELECT list_concat(list_concat(['<s>'], words), ['</s>']) AS w FROM v_text), g AS (SELECT k AS n, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS c FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM pw), (VALUES (1), (2), (3)) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 5),
+ real AS (SELECT n, g, string_split(g, ' ') AS w, CASE WHEN g = '<s>' THEN 0.0::DOUBLE ELSE -log10(c) END AS p, CASE WHEN n < 3 THEN -0.3::DOUBLE ELSE 0.0::DOUBLE END AS b FROM g), k AS (SELECT n, w, unnest(range(1, n)) AS x FROM real WHERE n > 1),
+ made AS (SELECT DISTINCT len(s) AS n, array_to_string(s, ' ') AS g, s AS w FROM (SELECT unnest([w[1:x], w[2:x + 1], w[n - x + 1:n]]) AS s FROM k)), every AS (SELECT n, g, w, p, b FROM real UNION ALL SELECT n, g, w, 0.0, NULL FROM made WHERE g NOT IN (SELECT g FROM real)),
+ y AS (SELECT g, w, unnest(range(1, n)) AS x FROM every WHERE n > 1), t AS (SELECT y.g, sum(a.p - b.p) AS t FROM y JOIN every a ON a.g = array_to_string(y.w[1:y.x], ' ') JOIN every b ON b.g = array_to_string(y.w[2:y.x + 1], ' ') GROUP BY y.g),
+ o AS (SELECT n, list_transform(list_reverse(w), lambda q: CASE q WHEN '<s>' THEN '</s>' WHEN '</s>' THEN '<s>' ELSE q END) AS w, p + coalesce(b, 0) + coalesce(t, 0) AS r, b IS NULL AS made FROM every LEFT JOIN t USING (g)), f AS (SELECT max(r) AS off FROM o WHERE n = 1 AND w[1] = '<s>')
+ SELECT n, array_to_string(w, ' ') AS words, round(CASE WHEN n = 1 AND w[1] = '<s>' THEN -99.0::DOUBLE WHEN n = 2 AND w[1] = '<s>' THEN r + off ELSE r END, 6) + 0.0 AS logprob, round(CASE WHEN n = 3 THEN NULL WHEN made THEN -100000.0 WHEN n = 1 AND w[1] = '<s>' THEN off ELSE 0.0 END::DOUBLE, 6) AS backoff FROM o, f""")
+def l9_sentences(s, sf):
+    """The same over one- to three-grams with sentence ends, of which rare ones are missing."""
+    padded = v.text(s, sf).select("utt", F.concat(F.array(F.lit("<s>")), "words", F.array(F.lit("</s>"))).alias("words"))
+    model = None
+    for n in (1, 2, 3):
+        g = x.ngrams(padded, n).filter("n >= 5")
+        cost = F.when(c("gram") == "<s>", -99.0).otherwise(-F.log10(c("n") * 1.0))
+        g = g.select(F.lit(n).alias("n"), F.split("gram", " ").alias("words"), cost.alias("logprob"), (F.lit(-0.3) if n < 3 else F.lit(None)).cast("double").alias("backoff"))
+        model = g if model is None else model.unionByName(g)
+    return x.reverse_arpa(model).select("n", F.array_join("words", " ").alias("words"), (r6("logprob") + 0.0).alias("logprob"), r6("backoff").alias("backoff"))
 
 
 @query("l10_symbol_table", "SELECT sym, id FROM v_symtab UNION ALL SELECT * FROM (VALUES ('<eps>', 0), ('<unk>', 1), ('SIL', 2)) UNION ALL SELECT '#0', max(id) + 1 FROM v_symtab")

@@ -53,6 +53,13 @@ def q6(s, sf):
     return q.keyword_decisions(v.hits(s, sf), normalize=True).select("kwid", "utt", "pos", F.round("score", 6).alias("score"), "decision")
 
 
+@query("q6_keyword_digits", f"WITH {DEC}, n AS (SELECT *, (1 - t) * score / ((1 - t) * score + (1 - score) * t) AS s FROM v_hits JOIN th USING (kwid)) SELECT kwid, utt, pos, round(t, 6) AS threshold, round(score, 6) AS raw, round(s, 2) AS score, CASE WHEN s > 0.5 THEN 'YES' ELSE 'NO' END AS decision FROM n")
+def q6_digits(s, sf):
+    """Scores of two digits with what they come from."""
+    got = q.keyword_decisions(v.hits(s, sf), normalize=True, digits=2)
+    return got.select("kwid", "utt", "pos", F.round("threshold", 6).alias("threshold"), F.round("raw", 6).alias("raw"), "score", "decision")
+
+
 @query("q6_keyword_cutoff", f"""WITH {DEC}, n AS (SELECT *, score > t AS y FROM v_hits JOIN th USING (kwid)), r AS (SELECT *, count(*) FILTER (y) OVER (PARTITION BY kwid) AS ny, row_number() OVER w AS r, sum(y::INT) OVER (PARTITION BY kwid ORDER BY score DESC, file, tbeg, utt, pos ROWS UNBOUNDED PRECEDING) AS yr FROM n WINDOW w AS (PARTITION BY kwid ORDER BY score DESC, file, tbeg, utt, pos))
  SELECT kwid, utt, pos, CASE WHEN (ny > 20 AND r > 1) OR (y AND yr > 10) THEN 0.0::DOUBLE ELSE round(score, 6) END AS score, CASE WHEN (ny > 20 AND r > 1) OR (y AND yr > 10) OR NOT y THEN 'NO' ELSE 'YES' END AS decision FROM r""")
 def q6b(s, sf):

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 c = F.col
 
 
-def read_events(spark: SparkSession, folder: str, schema, watermark: str = "10 minutes") -> DataFrame:
-    """Events as a stream over a folder of Parquet, with event time ``at`` and its watermark."""
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+def read_events(spark: SparkSession, folder: str, schema, watermark: str = "10 minutes", files: int = 64) -> DataFrame:
+    """Events as a stream over a folder of Parquet, with event time ``at`` and its watermark; a micro-batch takes at most ``files`` files."""
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files).parquet(folder)
     return s.withColumn("at", c("ts").cast("timestamp")).withWatermark("at", watermark)
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """Last status of each job (username) by event time; a finished job (E) leaves its state only by a new request (P)."""
+    """Last status of each job (username) by event time, whatever it is; :func:`stateful.status_log` judges the transitions."""
     last = F.max_by(F.struct("status", "event_id"), F.struct("at", "event_id"))
     return events.groupBy("username").agg(last.alias("l"), F.count("*").alias("n")).select("username", c("l.status").alias("status"), c("l.event_id").alias("event_id"), "n")
 

@@ -329,3 +329,80 @@ def test_late_rows_are_counted_batch_by_batch(spark, tmp_path):
     arrivals(spark, str(tmp_path / "in"), batches, schema)
     got = stateful.late_rows(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, "10 minutes")
     assert rows(got, "batch", "n_rows", "n_late") == [(0, 2, 0), (1, 4, 2), (2, 1, 1)]
+
+
+# --- a stored index
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_index_finds_what_a_scan_finds(spark, tmp_path, block):
+    """Words in blocks of three, so that hot words have many and most are skipped; phrases of one to four words."""
+    from parlance.operators import index, lexical
+
+    rng = random.Random(9)
+    data = []
+    for u in range(40):
+        at = 0.0
+        for pos in range(rng.randint(0, 25)):
+            dur = rng.choice([0.2, 0.3])
+            data.append((f"u{u:02d}", pos + 1, round(at, 2), dur, rng.choice("aaaaabbbc")))
+            at += dur + rng.choice([0.0, 0.1, 0.9])
+    ctm = spark.createDataFrame(data, "utt string, pos int, start double, dur double, word string")
+    phrases = ["a", "c", "a b", "b c", "c a a", "b a a b", "a z", "z"]
+    keywords = spark.createDataFrame([(f"K{i}", p) for i, p in enumerate(phrases)], "kwid string, text string")
+    index.build_index(ctm, str(tmp_path / "i"), block)
+    stored = spark.read.parquet(str(tmp_path / "i" / "blocks"))
+    assert stored.agg(F.sum("n"), F.max("n")).first()[0] == len(data) and stored.agg(F.max("n")).first()[0] <= block
+    got = index.search_index(spark, str(tmp_path / "i"), keywords, 0.1)
+    want = lexical.keyword_search(ctm, keywords, 0.1)
+    cols = ["kwid", "utt", F.round("tbeg", 2).alias("t"), "dur"]
+    assert rows(got, *cols) == rows(want, *cols) and len({r["kwid"] for r in got.collect()}) >= 5
+    assert index.search_index(spark, str(tmp_path / "i"), keywords.limit(0)).count() == 0
+
+
+def test_index_search_reads_the_words_it_needs(spark, tmp_path):
+    from parlance.operators import index
+
+    ctm = spark.createDataFrame([("u", i + 1, i * 1.0, 0.5, f"w{i}") for i in range(30)], "utt string, pos int, start double, dur double, word string")
+    index.build_index(ctm, str(tmp_path / "i"))
+    plan = index.blocks_of(spark, str(tmp_path / "i"), spark.createDataFrame([("w7",)], "word string"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "w7" in plan.split("PushedFilters")[1]
+
+
+# --- merge join
+
+def test_merge_join_equals_every_pair(spark):
+    rng = random.Random(2)
+    words = [(r, s, s + rng.randint(1, 400), f"w{i}") for i in range(60) for r in ("r", "q") for s in [rng.randint(0, 900)]]
+    phones = [(r, rng.randint(0, 1200), f"p{i}") for i in range(60) for r in ("r", "q", "none")]
+    from parlance.operators import joins
+
+    got = joins.phones_in_words_swept(spark.createDataFrame(words, "rec string, start long, end long, word string"), spark.createDataFrame(phones, "rec string, mid long, phone string"))
+    want = sorted((r, m, p, w) for r, m, p in phones for q, s, e, w in words if r == q and s < m < e)
+    assert sorted(tuple(x) for x in got.select("rec", "mid", "phone", "word").collect()) == want
+
+
+# --- stored tables
+
+def test_released_tables_are_gone(spark):
+    import os
+
+    from parlance.operators import helpers
+
+    kept = helpers.store(spark.range(3), "kept")
+    mark = len(helpers._scratched)
+    gone = helpers.store(spark.range(3), "gone")
+    path = gone.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path) and helpers.release(spark, mark) == mark
+    assert not os.path.exists(path) and kept.count() == 3
+
+
+def test_table_functions_refuse_wrong_arguments(spark):
+    from parlance.functions import generators
+
+    generators.register(spark)
+    spark.createDataFrame([("r", 95)], "rec string, dur long").createOrReplaceTempView("durations")
+    assert [tuple(r) for r in spark.sql("SELECT * FROM equal_chunks(TABLE(durations), 2) ORDER BY k").collect()] == [("r", 0, 0, 47), ("r", 1, 47, 95)]
+    with pytest.raises(Exception, match="positive whole number"):
+        spark.sql("SELECT * FROM equal_chunks(TABLE(durations), 0)").collect()
+    with pytest.raises(Exception, match="a column at"):
+        spark.sql("SELECT * FROM min_gap(TABLE(durations), 1D)").collect()
