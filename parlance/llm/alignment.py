@@ -14,13 +14,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_checked, sliced, store, table
+from .common import give_back, join_checked, sliced, store, table
 from .tokens import BYTE_CHARS, MARK, Encoder, encoder, gathered, public_path, split_numbered
 
 #: Bytes of a text beyond which it is cut into fragments that Spark reduces as a tree, and of such a fragment.
 CHUNK_BYTES = 32 << 10
 #: Fragments that one step of the tree composes.
 FAN_IN = 8
+#: Bytes of text that a task aligns at once.
+SLICE_BYTES = 1 << 20
 #: Bytes of text whose documents ask for counts together.
 BLOCK_BYTES = 8 << 20
 #: A group of more links than this has its repeated ids counted before they are paired.
@@ -83,7 +85,7 @@ def encoded_parts(texts: pa.Array, one: Encoder, two: PieceEncoder) -> Parts:
     parts, own, edge = split_numbered(pc.replace_substring_regex(pieces, MARK, "\\1\0\\2"))
     flat, bound = gathered(own, np.diff(edge), which, bound)
     words = parts.to_pylist()
-    a, b = list(one._ids_of(words)), list(two._ids_of(words))
+    a, b = one._ids_of(words), two._ids_of(words)
     flat[bound[whole]] = len(words) + np.arange(len(whole))  # such a text was cut as an empty one: one part
     for t in spaced.take(pa.array(whole)).to_pylist():
         words.append(t)
@@ -345,7 +347,8 @@ def aligned(docs: DataFrame, vocabulary_a: str, vocabulary_b: str, id_col: str,
         one, two = encoder(public_path(vocabulary_a), True, True), piece_encoder(public_path(vocabulary_b))
         spell_a, spell_b = byte_level_spelling(public_path(vocabulary_a)), piece_spelling(public_path(vocabulary_b))
         part, row, seen = TaskContext.get().partitionId() << 33, 0, 0
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, SLICE_BYTES):
+            give_back()
             texts = pc.fill_null(batch.column(1), "")
             size = pc.binary_length(texts).to_numpy().astype(np.int64)
             rows = part + row + np.arange(len(size))
@@ -391,7 +394,10 @@ FRAGMENT = "cut boolean, head_a binary, head_b binary, a binary, b binary, n_a b
 
 
 def composed(pieces: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """Whole texts from their ranges' tokens: a fragment of each range, then rounds in which ``fan_in`` neighbours become one."""
+    """Whole texts from their ranges' tokens: a fragment of each range, then rounds in which ``fan_in`` neighbours become one.
+
+    A stage has one step in Python, so an executor has no more workers than cores.
+    """
     keyed = arrow_schema(f"{HEAD}, chunk int, {FRAGMENT}")
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,33 +407,33 @@ def composed(pieces: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
                 out.append(fragment(np.frombuffer(a, "<u2"), np.frombuffer(a_ends, "<i8"), np.frombuffer(b_, "<u2"), np.frombuffer(b_ends, "<i8")))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(v, f.type) for v, f in zip(zip(*out) if out else [[]] * 9, list(keyed)[4:]))], schema=keyed)
 
-    def fold(t: pa.Table) -> pa.Table:
+    def total(t: pa.Table) -> tuple[list, Fragment]:
+        """The first row's ids and the composition of all fragments of a group, in order."""
         t = t.sort_by("chunk")
-        total = EMPTY
+        out = EMPTY
         for x in zip(*(t.column(f.name).to_pylist() for f in list(keyed)[4:])):
-            total = compose(total, Fragment(*x))
-        first = t.slice(0, 1).to_pydict()
-        at = [first["doc_id"], first["row"], first["block"], [first["chunk"][0] // fan_in]]
-        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip([*at, *([v] for v in total)], keyed)], schema=keyed)
+            out = compose(out, Fragment(*x))
+        return [c[0].as_py() for c in t.columns[:4]], out
+
+    def fold(t: pa.Table) -> pa.Table:
+        (*at, chunk), x = total(t)
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip([*at, chunk // fan_in, *x], keyed)], schema=keyed)
 
     whole = arrow_schema(f"{HEAD}, {OWN}")
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, x in enumerate(zip(*(b.column(k).to_pylist() for k in range(4, 13)))):
-                a, b_, n_a, n_b = groups_of(Fragment(*x))
-                known = summed(a.astype(np.int64), b_.astype(np.int64), n_a.astype(np.int64), n_b.astype(np.int64), np.zeros(len(n_a), np.int64), 1)
-                own = of_texts(known, np.zeros(1, np.int64), np.array([0, 1]))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in b.columns[:3]), *(pa.array(v, f.type) for v, f in zip(own, list(whole)[3:]))], schema=whole)
-
-    highest = pieces.agg(F.max("chunk")).first()[0] or 0
-    names = f"{HEAD}, chunk int, {FRAGMENT}"
+    def finish(t: pa.Table) -> pa.Table:
+        (*at, _), x = total(t)
+        a, b, n_a, n_b = (v.astype(np.int64) for v in groups_of(x))
+        own = of_texts(summed(a, b, n_a, n_b, np.zeros(len(n_a), np.int64), 1), np.zeros(1, np.int64), np.array([0, 1]))
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip([*([v] for v in at), *own], whole)], schema=whole)
+
+    highest = pieces.agg(F.max("chunk")).first()[0]
     spread = pieces.select("doc_id", "row", "block", "chunk", "a", "a_ends", "b", "b_ends").repartition(F.col("row"), F.expr(f"chunk div {fan_in}"))
-    level = spread.mapInArrow(start, names)
-    while highest > 0:
-        level = level.groupBy("row", F.expr(f"chunk div {fan_in}")).applyInArrow(fold, names)
+    level = spread.mapInArrow(start, f"{HEAD}, chunk int, {FRAGMENT}")
+    while highest >= fan_in:
+        level = level.groupBy("row", F.expr(f"chunk div {fan_in}")).applyInArrow(fold, f"{HEAD}, chunk int, {FRAGMENT}")
         highest //= fan_in
-    return level.mapInArrow(finish, f"{HEAD}, {OWN}")
+    return level.groupBy("row").applyInArrow(finish, f"{HEAD}, {OWN}")  # fan_in rows at most
 
 
 def pair_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

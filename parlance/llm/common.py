@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,22 @@ def release(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
         _stored.remove(path)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that returns free heap pages to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Return memory that is no longer used to the system: workers live on, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 #: Bytes of text that a task works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 

@@ -100,16 +100,14 @@ class Encoder:
             self.young, self.old = young, old = {"": b""}, young
         if self.keep_space:
             young["\n"] = self.line
-        new = []
-        for x in pieces:
-            if x not in young:
-                if x in old:
-                    young[x] = old[x]
-                else:
-                    new.append(x)
-        if new:
-            self._learn(new)
-        return [young[x] for x in pieces]
+        found = list(map(young.get, pieces))
+        if None in found:
+            lacking = [x for x, f in zip(pieces, found) if f is None]
+            young.update((x, old[x]) for x in lacking if x in old)
+            if new := [x for x in lacking if x not in young]:
+                self._learn(new)
+            found = list(map(young.get, pieces))
+        return found
 
     def encode_many(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
