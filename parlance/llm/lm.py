@@ -13,14 +13,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, distinct, id_remainder, store, table
+from .common import LOWER, distinct, give_back, id_remainder, store, table
 
 #: Bytes of context at the deepest level of the trees; at least 3, at most 6 (a window fits in 56 bits).
 DEPTH = 6
 #: Bytes of coded text in a chunk of a task's documents, and in a block that is worked on at once.
 CHUNK_BYTES, BLOCK_BYTES = 16 << 20, 1 << 20
 #: Windows, or words, that all chunks together send to one part; every how many windows one is sampled.
-PART_ROWS, SAMPLE = 400_000, 1024
+PART_ROWS, SAMPLE = 250_000, 1024
 LN2 = math.log(2)
 
 # --- estimates
@@ -58,6 +58,10 @@ class Nodes:
         self.one = (n1 + 0.5) / (n0 + n1 + 1)
         self.seen = n0 + n1 > 0
 
+    def forget_counts(self) -> None:
+        """Keep what predictions need."""
+        self.n0 = self.n1 = self.lw = None
+
 
 def bit_nodes(pair: np.ndarray, n: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of sorted (context, byte) pairs: the node of each at bit place b, its first pair, and its counts of 0 and 1."""
@@ -72,11 +76,12 @@ class Trees:
     """Depths 3 to ``depth`` of the trees over sorted distinct windows with their counts in training texts.
 
     A window is an integer: the byte before, the one before that, ..., then the byte itself lowest. So the windows
-    of a context, of any depth, are neighbours, and a shorter context is a longer one shifted.
+    of a context, of any depth, are neighbours, and a shorter context is a longer one shifted. With ``answers``, what
+    predictions need of every depth is kept; else only the sums for depth 2 are.
     """
 
-    def __init__(self, win: np.ndarray, n: np.ndarray, depth: int):
-        self.levels: dict[int, list[tuple[np.ndarray, Nodes]]] = {}
+    def __init__(self, win: np.ndarray, n: np.ndarray, depth: int, answers: bool):
+        self.levels: dict[int, list[tuple[np.ndarray, Nodes]]] = {}  # of each bit place: the node of each pair, and the nodes
         self.at: dict[int, np.ndarray] = {depth: np.arange(len(win))}  # the pair of each window, by depth
         pair, lower = win, None
         for d in range(depth, 1, -1):
@@ -100,7 +105,12 @@ class Trees:
             if d == 2:
                 self.two = own
             else:
-                self.levels[d], lower = own, own
+                lower = own
+                if answers:
+                    self.levels[d] = [(node, x) for node, _, x in own]
+            if d + 1 in self.levels:
+                for _, x in self.levels[d + 1]:
+                    x.forget_counts()
 
     def log_probabilities(self, keys: np.ndarray, alpha: np.ndarray, beta: np.ndarray, alone: np.ndarray, win: np.ndarray) -> np.ndarray:
         """log10 of each window's last byte given its context, mixed over all depths.
@@ -113,7 +123,7 @@ class Trees:
         for b in range(8):
             p, below = np.full(len(win), 0.5), np.zeros(len(win), bool)
             for d in sorted(self.levels, reverse=True):
-                node, _, x = self.levels[d][b]
+                node, x = self.levels[d][b]
                 k = node[self.at[d]]
                 mixed = np.where(below, x.stop[k] * x.one[k] + (1 - x.stop[k]) * p, x.one[k])
                 p = np.where(x.seen[k], mixed, p)
@@ -290,6 +300,7 @@ def chunked(docs: DataFrame, depth: int) -> DataFrame:
                     yield from chunk.close()
                     number += 1
                     chunk = Chunk(number, depth)
+                    give_back()
         if chunk.ids:
             yield from chunk.close()
 
@@ -330,8 +341,9 @@ def part_tops(asked: DataFrame, depth: int) -> DataFrame:
     """What each part adds to the nodes of depth 2, in a row for each last byte of the context."""
 
     def run(asked: pa.Table) -> pa.Table:
+        give_back()  # of the part before
         _, win, n = merged(asked)
-        key, n0, n1, lw = (np.concatenate(x) for x in list(zip(*Trees(win, n, depth).two))[1:])
+        key, n0, n1, lw = (np.concatenate(x) for x in list(zip(*Trees(win, n, depth, False).two))[1:])
         order = np.argsort(key, kind="stable")
         key, n0, n1, lw = key[order], n0[order], n1[order], lw[order]
         first = (key >> np.uint64(16)).astype(np.int64)
@@ -396,10 +408,11 @@ def window_answers(asked: DataFrame, back: DataFrame, depth: int) -> DataFrame:
     """log10 probabilities (float32) of each chunk's windows of each part, in the order in which they were asked."""
 
     def run(asked: pa.Table, back: pa.Table) -> pa.Table:
+        give_back()  # of the part before
         each, win, n = merged(asked)
         order = np.argsort(back["first"].to_numpy())
         keys, *mix = (np.concatenate([np.frombuffer(back[c][int(i)].as_py(), kind) for i in order]) for c, kind in (("key", "<u8"), ("alpha", "<f8"), ("beta", "<f8"), ("alone", "<f8")))
-        lp = Trees(win, n, depth).log_probabilities(keys, *mix, win).astype("<f4")
+        lp = Trees(win, n, depth, True).log_probabilities(keys, *mix, win).astype("<f4")
         return answer_rows(asked["chunk"], WINDOWS, asked["part"][0].as_py(), [lp[np.searchsorted(win, own)].tobytes() for own in each], 0)
 
     return asked.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(run, ANSWERS)
@@ -452,7 +465,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def chunk_scores(rows: pa.Table, told: pa.Table, depth: int, n: int, v: int, ends: int, parts: int) -> pa.Table:
     """Scores of a chunk's documents, from its text and the answers to its windows and words."""
-    pa.default_memory_pool().release_unused()  # of the chunk before
+    give_back()  # of the chunk before
     kind = rows["kind"].to_numpy()
     ids, null, held = (rows[c][int(np.flatnonzero(kind == DOCS)[0])].as_py() for c in ("a", "b", "c"))
     ids, null, held = np.frombuffer(ids, "<i8"), np.frombuffer(null, bool), np.frombuffer(held, bool)

@@ -485,7 +485,7 @@ def test_context_tree_probabilities_sum_to_one():
         win = np.arange(256, dtype=np.uint64) | np.uint64(context[2] << 24 | context[1] << 16 | context[0] << 8)
         seen = lm.block_windows(b"\n\n\n" + train, np.array([3 + len(train)]), 3)
         every, n = lm.summed(np.concatenate([seen, win]), np.concatenate([np.ones(len(seen)), np.zeros(256)]))
-        trees = lm.Trees(every, n, 3)
+        trees = lm.Trees(every, n, 3, True)
         keys, n0, n1, below = (np.concatenate(x) for x in list(zip(*trees.two))[1:])
         keys, n0, n1, below = lm.summed(keys, n0, n1, below)
         two = lm.Nodes(n0, n1, below)  # a mixture that starts at depth 2
