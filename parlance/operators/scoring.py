@@ -173,8 +173,9 @@ def oracle_error(nbest: DataFrame, ref: DataFrame) -> DataFrame:
     r = nbest.select("utt", "hyp").join(ref.select("utt", "words"), "utt").select(F.concat_ws("\t", "utt", "hyp").alias("utt"), "words")
     from .aggs import edit_counts
 
-    e = edit_counts(align(r, h)).select(F.split("utt", "\t")[0].alias("utt"), (c("s") + c("i") + c("d")).alias("err"))
-    return e.groupBy("utt").agg(F.min("err").alias("err"))
+    e = edit_counts(align(r, h)).select("utt", (c("s") + c("i") + c("d")).alias("err"))
+    e = r.select("utt").join(e, "utt", "left")  # an empty hypothesis of an empty reference has no pairs, and no errors
+    return e.groupBy(F.split("utt", "\t")[0].alias("utt")).agg(F.min(F.coalesce("err", F.lit(0))).alias("err"))
 
 
 def rescore(nbest: DataFrame, weight: float) -> DataFrame:

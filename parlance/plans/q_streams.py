@@ -45,13 +45,13 @@ def t5(s, sf):
 
 @query("t6_running_mean", "SELECT event_id, user_id, count(*) OVER w AS n, round(sum(value) OVER w, 2) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def t6(s, sf):
-    return t.run_available(t.running_mean(_stream(s, sf)), "append").select("event_id", "user_id", "n", F.round("total", 2).alias("total"))
+    return t.running_mean(_stream(s, sf)).select("event_id", "user_id", "n", F.round("total", 2).alias("total"))
 
 
 @query("t7_dedup_hits_stream", """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
  r AS (SELECT *, t AS last, true AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.*, CASE WHEN o.t - r.last >= 3600 THEN o.t ELSE r.last END, o.t - r.last >= 3600 FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1) SELECT event_id, user_id, t FROM r WHERE kept""")
 def t7(s, sf):
-    return t.run_available(t.dedup_hits(_stream(s, sf), 3600.0), "append")
+    return t.dedup_hits(_stream(s, sf), 3600.0)
 
 
 @query("t8_windows_after_watermark", "WITH w AS (SELECT epoch_us(ts) // 600000000 * 600000000 AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1) SELECT * FROM w WHERE start + 600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+from itertools import chain
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 c = F.col
@@ -37,21 +39,59 @@ def chunks(events: DataFrame, length: str, step: str | None = None) -> DataFrame
     return events.groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(c("w.start").alias("start"), "n", "total")
 
 
+def run_in_order(stream: DataFrame, by: str, order: list[str], walk: Callable, schema: str, state: str) -> DataFrame:
+    """Run a rule over each key's rows in order, with state from micro-batch to micro-batch, over all that is there now.
+
+    ``walk`` is a generator of (key, state or None, rows): it yields output tuples and returns the key's new state.
+    Each micro-batch is joined by the states so far, sorted by Spark and streamed (:func:`operators.streamed.in_order`), so
+    neither a key's rows nor a batch are in memory at once. Output and states of a batch are one table under the
+    batch's number: a repeated batch writes both anew.
+    """
+    from ..operators.helpers import scratch
+    from ..operators.streamed import in_order
+
+    spark, path = stream.sparkSession, scratch(stream.sparkSession, "ordered")
+    kind = stream.schema[by].dataType.simpleString()
+    row = stream.schema.simpleString()
+    step = f"out struct<{schema}>, key {kind}, kept struct<{state}>"
+
+    def turn(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        rows = iter(rows)
+        first = next(rows)
+        known = first[2] if first[1] == 0 else None
+        rest = rows if first[1] == 0 else chain([first], rows)
+        work = walk(key[0], known, (r[3] for r in rest))
+        while True:
+            try:
+                yield (next(work), None, None)
+            except StopIteration as end:
+                yield (None, key[0], end.value)
+                return
+
+    def sink(batch: DataFrame, number: int) -> None:
+        new = batch.select(c(by).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(f"struct<{state}>").alias("kept"), F.struct(*batch.columns).alias("row"))
+        if number:
+            before = spark.read.schema(step).parquet(f"{path}/batch={number - 1}").filter("kept is not null")
+            new = new.unionByName(before.select("key", F.lit(0).alias("kind"), "kept", F.lit(None).cast(row).alias("row")))
+        ordered = in_order(new, ["key"], ["kind", *[c(f"row.{x}") for x in order]], turn, step)
+        ordered.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(step).parquet(path).filter("out is not null").select("out.*")
+
+
 def running_mean(events: DataFrame) -> DataFrame:
-    """Each value less the mean of its user's values so far, in order of event id within a micro-batch; state is (n, sum)."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    """Each value less the mean of its user's values so far, in order of time and event id within a micro-batch; state is (n, sum)."""
 
-    def step(key, batches, state: GroupState):
-        n, total = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        out = []
-        for i, x in zip(rows["event_id"], rows["value"]):
-            n, total = n + 1, total + x
-            out.append((i, key[0], n, total, x - total / n))
-        state.update((n, total))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "n", "total", "centred"])
+    def walk(user: int, known: dict | None, rows: Iterator[dict]):
+        n, total = (known["n"], known["total"]) if known else (0, 0.0)
+        for r in rows:
+            n, total = n + 1, total + r["value"]
+            yield (r["event_id"], user, n, total, r["value"] - total / n)
+        return (n, total)
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, n long, total double, centred double", "n long, total double", "append", GroupStateTimeout.NoTimeout)
+    cols = events.select("user_id", "event_id", "at", "value")
+    return run_in_order(cols, "user_id", ["at", "event_id"], walk, "event_id: bigint, user_id: bigint, n: bigint, total: double, centred: double", "n: bigint, total: double")
 
 
 def running_mean_batch(events: DataFrame) -> DataFrame:
@@ -62,21 +102,17 @@ def running_mean_batch(events: DataFrame) -> DataFrame:
 
 def dedup_hits(hits: DataFrame, gap: float = 0.5) -> DataFrame:
     """First hit of each cluster (user_id, event time in seconds): one within ``gap`` of the last kept hit is dropped."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, batches, state: GroupState):
-        last = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        kept = []
-        for i, t in zip(rows["event_id"], rows["t"]):
-            if t - last >= gap:
-                kept.append((i, key[0], t))
-                last = t
-        state.update((last,))
-        yield pd.DataFrame(kept, columns=["event_id", "user_id", "t"])
+
+    def walk(user: int, known: dict | None, rows: Iterator[dict]):
+        last = known["last"] if known else float("-inf")
+        for r in rows:
+            if r["t"] - last >= gap:
+                last = r["t"]
+                yield (r["event_id"], user, last)
+        return (last,)
 
     h = hits.select("user_id", "event_id", (F.unix_micros("at") / 1e6).alias("t"))
-    return h.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, t double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return run_in_order(h, "user_id", ["t", "event_id"], walk, "event_id: bigint, user_id: bigint, t: double", "last: double")
 
 
 def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:

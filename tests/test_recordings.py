@@ -406,3 +406,39 @@ def test_table_functions_refuse_wrong_arguments(spark):
         spark.sql("SELECT * FROM equal_chunks(TABLE(durations), 0)").collect()
     with pytest.raises(Exception, match="a column at"):
         spark.sql("SELECT * FROM min_gap(TABLE(durations), 1D)").collect()
+
+
+# --- word errors by the full table of distances
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_corpus_and_oracle_errors_equal_the_full_table(spark):
+    from parlance.operators import scoring
+
+    rng = random.Random(4)
+    refs = {f"u{i}": [rng.choice("abcd") for _ in range(rng.randint(0, 30))] for i in range(25)}
+    hyps = {(u, h): [w for w in r if rng.random() > 0.2] + [rng.choice("abcde") for _ in range(rng.randint(0, 4))] for u, r in refs.items() for h in ("x", "y", "z")}
+    ref = spark.createDataFrame(list(refs.items()), "utt string, words array<string>")
+    nbest = spark.createDataFrame([(u, h, w) for (u, h), w in hyps.items()], "utt string, hyp string, words array<string>")
+    got = {r["utt"]: r["err"] for r in scoring.oracle_error(nbest, ref).collect()}
+    assert got == {u: min(distance(r, hyps[u, h]) for h in "xyz") for u, r in refs.items()}
+    total = scoring.corpus_wer(ref, nbest.filter("hyp = 'x'").select("utt", "words")).first()
+    assert total["err"] == sum(distance(r, hyps[u, "x"]) for u, r in refs.items()) and total["n_word"] == sum(map(len, refs.values()))
+
+
+def test_ordered_streams_carry_their_state(spark, tmp_path):
+    """Three micro-batches, the rows of each out of order; a user that one batch lacks keeps its state."""
+    schema = "event_id long, user_id long, value double, at timestamp"
+    batches = [[(2, 1, 4.0, at(2)), (1, 1, 2.0, at(1)), (9, 2, 1.0, at(1))], [(10, 2, 3.0, at(5))], [(4, 1, 9.0, at(9)), (3, 1, 1.0, at(8)), (11, 2, 5.0, at(5.01))]]
+    stream = arrivals(spark, str(tmp_path / "in"), batches, schema)
+    got = rows(streams.running_mean(stream), "event_id", "user_id", "n", "total", "centred")
+    assert got == sorted([(1, 1, 1, 2.0, 0.0), (2, 1, 2, 6.0, 1.0), (3, 1, 3, 7.0, 1.0 - 7 / 3), (4, 1, 4, 16.0, 5.0), (9, 2, 1, 1.0, 0.0), (10, 2, 2, 4.0, 1.0), (11, 2, 3, 9.0, 2.0)], key=str)
+    assert {r[0] for r in rows(streams.dedup_hits(stream, 61.0), "event_id")} == {1, 3, 9, 10}
