@@ -171,10 +171,12 @@ def l19_index(s, sf):
     return index.search_index(s, path, x.keyword_table(_phrases(ctm), ctm.select(c("word").alias("sym")).distinct()), 0.05)
 
 
-@query("l16_acronym_prons", "WITH w AS (SELECT DISTINCT upper(word) AS word FROM v_words WHERE length(word) <= 2) SELECT word, array_to_string(string_split(word, ''), ' ') AS pron FROM w UNION ALL SELECT word, 'DBL ' || word[1] FROM w WHERE length(word) = 2 AND word[1] = word[2]")
+@query("l16_acronym_prons", """WITH RECURSIVE r AS (SELECT DISTINCT upper(word) AS word, upper(word) AS rest, '' AS pron FROM v_words WHERE length(word) <= 5
+ UNION ALL SELECT word, after, trim(pron || ' ' || unnest(CASE k WHEN 2 THEN [plain, 'DBL ' || c] WHEN 3 THEN [plain, 'TPL ' || c] ELSE [plain] END)) FROM (SELECT *, rtrim(repeat(c || ' ', k)) AS plain FROM (SELECT word, pron, rest[1] AS c, ltrim(rest, rest[1]) AS after, length(rest) - length(ltrim(rest, rest[1])) AS k FROM r WHERE rest <> '')))
+ SELECT word, pron FROM r WHERE rest = ''""")
 def l16(s, sf):
     letters = s.createDataFrame([(chr(k), [chr(k)]) for k in range(65, 91)] + [("double", ["DBL"]), ("triple", ["TPL"])], "letter string, phones array<string>")
-    return x.acronym_prons(v.words(s, sf).filter("length(word) <= 2").select(F.upper("word").alias("word")).distinct(), letters)
+    return x.acronym_prons(v.lexicon(s, sf).select(F.upper("word").alias("word")), letters)
 
 
 MU = "m AS (SELECT spk, dim, avg(v) AS mu FROM (SELECT spk, unnest(range(0, len(vec))) AS dim, unnest(vec) AS v FROM v_feats) GROUP BY ALL)"

@@ -110,9 +110,10 @@ def a14(s, sf):
     return t.arpa_lines(arpa).select("value")
 
 
-@query("b20_syllables_to_phones", "SELECT word, CASE WHEN word[1] IN ('b', 'd') THEN upper(word[1]) || ' ' ELSE '' END || 'A' || (length(word) % 5) AS phones FROM v_lexicon WHERE regexp_matches(word, '^[bd]?[aeo]$') AND length(word) = 2")
+@query("b20_syllables_to_phones", "SELECT word, CASE WHEN syl[1] IN ('b', 'd') THEN upper(syl[1]) || ' ' ELSE '' END || 'A' || (length(word) % 5) AS phones FROM (SELECT word, regexp_extract(word, '^[bd]?[aeo]') AS syl FROM v_lexicon) WHERE syl <> ''")
 def b20(s, sf):
-    w = v.lexicon(s, sf).select("word").filter(c("word").rlike("^[bd]?[aeo]$") & (F.length("word") == 2)).withColumn("syl", F.concat("word", F.length("word") % 5))
+    """The first syllable of every word that begins with one of these."""
+    w = v.lexicon(s, sf).select("word", F.regexp_extract("word", "^[bd]?[aeo]", 0).alias("syl")).filter("syl <> ''").withColumn("syl", F.concat("syl", F.length("word") % 5))
     return m.syllable_phones(w, "syl", {"b": "B", "d": "D"}, {k: ["A"] for k in "aeo"}).select("word", F.array_join("phones", " ").alias("phones"))
 
 
