@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import join_checked, sliced, store, table
+from .common import fresh, join_checked, sliced, store, table
 
 #: Bytes of an n-gram up to which one table look-up shifts a CRC past it; longer ones take one more for each bit of the rest.
 DIRECT = 256
@@ -207,8 +207,9 @@ def importance_resample(
 def drawn_documents(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """Rows of ``docs``, all columns unchanged, whose id is drawn; rows of one id go together, and none without an id."""
     ids = importance_resample(docs, target, id_col=id_col, **options).filter("rank is not null and doc_id is not null")
-    drawn = store(ids.select(F.col("doc_id").alias("_drawn_id")).distinct(), "drawn")
-    return join_checked(docs, drawn, F.col(f"`{id_col}`").cast("long") == F.col("_drawn_id"), "left_semi")
+    name = fresh(docs.columns, "_drawn")
+    drawn = store(ids.select(F.col("doc_id").alias(name)).distinct(), "drawn")
+    return join_checked(docs, drawn, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_semi")
 
 
 def op12_resample(spark, sf_dir):
