@@ -115,12 +115,13 @@ def pretty(pairs: DataFrame) -> DataFrame:
     return p.groupBy("utt").agg(*cols)
 
 
-def nbest_pick(nbest: DataFrame, grid: DataFrame) -> DataFrame:
+def nbest_pick(nbest: DataFrame, grid: DataFrame, digits: int = 6) -> DataFrame:
     """Best hypothesis of each utterance at each grid point (lmwt, penalty): least lm * lmwt + ac + penalty * n_words.
 
-    ``nbest`` has utt, hyp, lm, ac, n_words; the grid is short.
+    ``nbest`` has utt, hyp, lm, ac, n_words; the grid is short. Costs that are equal to ``digits`` digits tie, and the
+    least name wins, so that the last bits of a sum decide nothing.
     """
-    cost = c("lm") * c("lmwt") + c("ac") + c("penalty") * c("n_words")
+    cost = F.round(c("lm") * c("lmwt") + c("ac") + c("penalty") * c("n_words"), digits)
     return nbest.join(F.broadcast(grid)).withColumn("cost", cost).groupBy("utt", "lmwt", "penalty").agg(F.min_by("hyp", F.struct("cost", "hyp")).alias("hyp"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions import text
-from parlance.operators import directories, intervals, maps, recordings
+from parlance.operators import directories, intervals, maps, recordings, scoring
 from parlance.streaming import stateful, streams
 
 
@@ -252,6 +252,13 @@ def test_smoothed_scores_equal_all_pairs_and_make_none(spark):
     assert "Join" not in plan  # a table that grows with the pairs cannot be sent to the driver
 
 
+def test_equal_costs_tie_whatever_their_last_bits(spark):
+    n = spark.createDataFrame([("u", "m1", 0.1, 0.2, 1), ("u", "m2", 0.3, 0.0, 1)], "utt string, hyp string, lm double, ac double, n_words int")
+    grid = spark.createDataFrame([(1, 0.0)], "lmwt int, penalty double")
+    assert 0.1 + 0.2 > 0.3
+    assert [r["hyp"] for r in scoring.nbest_pick(n, grid).collect()] == ["m1"]
+
+
 def plain_smooth(segments, models, window, factor, least):
     scores, out, turn = [list(s[2]) for s in segments], set(), 0
     while True:
