@@ -88,43 +88,50 @@ def blocks_of(spark: SparkSession, path: str, words: DataFrame, most: int = 1000
     return blocks.filter(F.col("word").isin(listed)) if len(listed) <= most else blocks.join(small(words), "word", "left_semi")
 
 
-def search_index(spark: SparkSession, path: str, keywords: DataFrame, max_gap: float = 0.5) -> DataFrame:
+def search_index(spark: SparkSession, path: str, keywords: DataFrame, max_gap: float = 0.5, few: int = 4) -> DataFrame:
     """Phrase hits (kwid, utt, tbeg, dur) of keywords (kwid, text) from a stored index: each next word follows within ``max_gap``.
 
-    A phrase starts from its rarest word, by the blocks' counts; its other words are looked up outwards from there,
-    and of their blocks only those are decoded whose range of utterances holds a hit so far.
+    A phrase starts from its rarest word, by the blocks' counts; its other words are looked up outwards from there. Postings
+    meet the distinct stretches of phrases, so a place is one row however many keywords hold its word. Where a
+    stretch goes on with few words, only blocks are decoded whose range of utterances holds a hit so far.
     """
     gap = round(max_gap * 100)
     k = store(keywords.select("kwid", F.split("text", " ").alias("w")).withColumn("n", F.size("w")), "keywords")
-    longest = k.agg(F.max("n")).first()[0] or 0
     wanted = k.select(F.explode("w").alias("word")).distinct()
     blocks = store(blocks_of(spark, path, wanted), "blocks")  # of the keywords' words; still coded
     sizes = blocks.groupBy("word").agg(F.sum("n").alias("size"))
     each = k.select("kwid", "w", "n", F.posexplode("w").alias("i", "word")).join(small(sizes), "word")
     # a phrase with a word that never occurs has no hits: all its words must be there
     rarest = each.groupBy("kwid", "w", "n").agg(F.min_by("i", F.struct("size", "i")).alias("i"), F.count("*").alias("there")).filter("there = n").drop("there")
-    k = store(rarest.withColumn("word", F.get("w", F.col("i"))), "rarest")
-    starts = postings(blocks.join(small(k.select("word").distinct()), "word", "left_semi"))
-    hit = starts.join(small(k), "word").select("kwid", "w", "n", "u", F.col("i").alias("lo"), F.col("i").alias("hi"), "pos", "start_cs", "end_cs")
-    done = hit.filter("n = 1")
-    hit = hit.filter("n > 1")
-    for _ in range(1, longest):
-        back = F.col("lo") > 0  # first towards the beginning, then towards the end
-        hit = hit.withColumn("word", F.when(back, F.get("w", F.col("lo") - 1)).otherwise(F.get("w", F.col("hi") + 1)))
-        hit = store(hit.withColumn("at", F.when(back, F.col("pos") - 1).otherwise(F.col("pos") + F.col("hi") - F.col("lo") + 1)), "hits")
-        near = range_join(hit.select("word", "u").distinct(), blocks, ["word"], "u", "first", "last", 256)
-        near = near.filter("u >= first and u <= last").dropDuplicates(["word", "first", "first_pos"])
-        nxt = postings(near).select("word", "u", F.col("pos").alias("at"), F.col("start_cs").alias("s2"), F.col("end_cs").alias("e2"))
-        both = hit.join(nxt, ["word", "u", "at"])
-        apart = F.when(back, F.col("start_cs") - F.col("e2")).otherwise(F.col("s2") - F.col("end_cs"))
-        both = both.filter(apart <= gap)
-        hit = both.select(
-            "kwid", "w", "n", "u", F.when(back, F.col("lo") - 1).otherwise(F.col("lo")).alias("lo"), F.when(back, F.col("hi")).otherwise(F.col("hi") + 1).alias("hi"),
-            F.when(back, F.col("at")).otherwise(F.col("pos")).alias("pos"), F.when(back, F.col("s2")).otherwise(F.col("start_cs")).alias("start_cs"),
-            F.when(back, F.col("end_cs")).otherwise(F.col("e2")).alias("end_cs"),
-        )
-        done = done.unionByName(hit.filter("hi - lo + 1 = n"))
-        hit = hit.filter("hi - lo + 1 < n")
+    # words in the order of look-up: the rarest, those before it backwards, those after it
+    way = F.concat(F.reverse(F.slice("w", F.lit(1), F.col("i") + 1)), F.slice("w", F.col("i") + 2, F.col("n")))
+    k = store(rarest.select("kwid", "n", "i", way.alias("way")), "rarest")
+    lengths = sorted(r[0] for r in k.select("n").distinct().collect())  # a few numbers
+    seen = lambda s: F.array_join(F.slice("way", 1, s), " ")
+    starts = postings(blocks.join(small(k.select(F.col("way")[0].alias("word")).distinct()), "word", "left_semi"))
+    hit = starts.join(small(k.select(F.col("way")[0].alias("word"), "i").distinct()), "word").select(F.col("word").alias("seen"), "i", "u", "pos", "start_cs", "end_cs")
+    done = hit.limit(0).select(F.lit(None).cast(k.schema["kwid"].dataType).alias("kwid"), "u", "start_cs", "end_cs")
+    for s in range(1, (lengths or [0])[-1] + 1):
+        if s > 1:
+            steps = store(k.filter(F.col("n") >= s).select("i", seen(s - 1).alias("seen"), F.get("way", F.lit(s - 1)).alias("word"), seen(s).alias("more")).distinct(), "steps")
+            back = F.col("i") >= s - 1  # first towards the beginning, then towards the end
+            hit = store(hit.withColumn("at", F.when(back, F.col("pos") - 1).otherwise(F.col("pos") + s - 1)), "hits")
+            fan = steps.groupBy("i", "seen").count().agg(F.max("count")).first()[0] or 0
+            if fan <= few:
+                near = range_join(hit.join(small(steps), ["i", "seen"]).select("word", "u").distinct(), blocks, ["word"], "u", "first", "last", 256)
+                near = near.filter("u >= first and u <= last").dropDuplicates(["word", "first", "first_pos"])
+            else:
+                near = blocks.join(small(steps.select("word").distinct()), "word", "left_semi")
+            nxt = postings(near).select("word", "u", F.col("pos").alias("at"), F.col("start_cs").alias("s2"), F.col("end_cs").alias("e2"))
+            apart = F.when(back, F.col("start_cs") - F.col("e2")).otherwise(F.col("s2") - F.col("end_cs"))
+            both = hit.join(nxt, ["u", "at"]).filter(apart <= gap).join(small(steps), ["i", "seen", "word"])
+            hit = both.select(
+                F.col("more").alias("seen"), "i", "u", F.when(back, F.col("at")).otherwise(F.col("pos")).alias("pos"),
+                F.when(back, F.col("s2")).otherwise(F.col("start_cs")).alias("start_cs"), F.when(back, F.col("end_cs")).otherwise(F.col("e2")).alias("end_cs"),
+            )
+        if s in lengths:
+            ids = small(k.filter(F.col("n") == s).select("kwid", "i", seen(s).alias("seen")))
+            done = done.unionByName(hit.join(ids, ["i", "seen"]).select("kwid", "u", "start_cs", "end_cs"))
     utts = spark.read.parquet(f"{path}/utterances")
     out = done.join(utts, "u")
     return out.select("kwid", "utt", (F.col("start_cs") / 100).alias("tbeg"), F.round((F.col("end_cs") - F.col("start_cs")) / 100, 2).alias("dur"))

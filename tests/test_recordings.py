@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions import text
-from parlance.operators import directories, intervals, maps, recordings, scoring
+from parlance.operators import directories, helpers, index, intervals, lexical, maps, recordings, scoring
+from parlance.plans import q_language
 from parlance.streaming import stateful, streams
 
 
@@ -259,6 +260,26 @@ def test_equal_costs_tie_whatever_their_last_bits(spark):
     assert [r["hyp"] for r in scoring.nbest_pick(n, grid).collect()] == ["m1"]
 
 
+def test_keyword_ids_of_five_digits_are_cut_as_in_the_sql(spark):
+    ids = q_language._cut(spark.createDataFrame([("KW-0007",), ("KW-12345",)], "kwid string"))
+    assert rows(ids, "kwid") == [("KW-0007",), ("KW-1234",)]
+
+
+def test_a_word_that_begins_many_keywords_stays_one_row(spark, tmp_path):
+    phrases = [f"a w{i}" for i in range(300)] + ["a w1 a", "w1 a w2", "a", "w2 a"]
+    keywords = spark.createDataFrame([(f"K{i}", p) for i, p in enumerate(phrases + ["a w1"])], "kwid string, text string")
+    words = ["a", "w1", "a", "w2", "a", "w3"] * 5
+    ctm = spark.createDataFrame([(u, i + 1, i * 0.4, 0.4, w) for u in ("u1", "u2") for i, w in enumerate(words)], "utt string, pos int, start double, dur double, word string")
+    want = sorted((f"K{n}", u) for u in ("u1", "u2") for n, p in enumerate(phrases + ["a w1"]) for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+    before = len(helpers._scratched)
+    index.build_index(ctm, str(tmp_path / "i"))
+    assert rows(lexical.keyword_search(ctm, keywords, 0.1), "kwid", "utt") == want
+    for few in (1000, 0):
+        assert rows(index.search_index(spark, str(tmp_path / "i"), keywords, 0.1, few), "kwid", "utt") == want
+    stored = [p for p in helpers._scratched[before:] if "-hits-" in p]
+    assert stored and all(spark.read.parquet(p).count() <= 4 * len(words) for p in stored)  # not a row for each keyword
+
+
 def plain_smooth(segments, models, window, factor, least):
     scores, out, turn = [list(s[2]) for s in segments], set(), 0
     while True:
