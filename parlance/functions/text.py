@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -91,8 +92,11 @@ def html_plain(page: str) -> str:
     return "".join(out)
 
 
-def html_to_text(pages: DataFrame, id_col: str, html_col: str, with_map: bool = False) -> DataFrame:
-    """Plain text of every page and, with ``with_map``, the map of its characters."""
+def html_to_text(pages: DataFrame, id_col: str, html_col: str, with_map: bool = False, most: int = 1 << 20) -> DataFrame:
+    """Plain text of every page and, with ``with_map``, the map of its characters.
+
+    Maps are numbers in Arrow from page to page, and a batch of them ends with the page that brings it to ``most`` characters.
+    """
 
     place = pa.struct([("page", pa.int32()), ("text", pa.int32())])
 
@@ -102,9 +106,25 @@ def html_to_text(pages: DataFrame, id_col: str, html_col: str, with_map: bool =
             if not with_map:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([html_plain(h) for h in html], pa.string())], ["id", "text"])
                 continue
-            got = [html_with_map(h) for h in html]
-            places = pa.array([[{"page": p, "text": t} for p, t in m] for _, m in got], pa.list_(place))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in got], pa.string()), places], ["id", "text", "places"])
+            done, size, texts, at, flat = 0, 0, [], [0], ([], [])
+
+            def packed() -> pa.RecordBatch:
+                maps = pa.StructArray.from_arrays([pa.concat_arrays(x) for x in flat], fields=list(place))
+                return pa.RecordBatch.from_arrays([b.column(0)[done : done + len(texts)], pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), maps)], ["id", "text", "places"])
+
+            for h in html:
+                one, places = html_with_map(h)
+                both = np.array(places, np.int32).reshape(-1, 2)
+                texts.append(one)
+                at.append(at[-1] + len(both))
+                for x, side in zip(flat, both.T):
+                    x.append(pa.array(side))
+                size += len(both)
+                if size >= most:
+                    yield packed()
+                    done, size, texts, at, flat = done + len(texts), 0, [], [0], ([], [])
+            if texts:
+                yield packed()
 
     schema = "id long, text string" + (", places array<struct<page:int,text:int>>" if with_map else "")
     return pages.select(c(id_col).cast("long").alias("id"), c(html_col).alias("html")).mapInArrow(run, schema)

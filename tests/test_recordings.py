@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,6 +281,20 @@ def test_a_word_that_begins_many_keywords_stays_one_row(spark, tmp_path):
     assert stored and all(spark.read.parquet(p).count() <= 4 * len(words) for p in stored)  # not a row for each keyword
 
 
+def test_character_maps_leave_in_batches_of_bounded_size(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, h) for i, h in enumerate(["<p>abc", None, "", "x" * 500, "y&amp;z", "w" * 90])], "page_id long, html string").coalesce(1)
+    caught = {}
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, run, schema: caught.update(run=run))
+    text.html_to_text(pages, "page_id", "html", True, 100)
+    html = [r[1] for r in pages.collect()]
+    out = list(caught["run"](iter([pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(html)], ["id", "html"])])))
+    assert [b.num_rows for b in out] == [4, 2]
+    got = [r for b in out for r in b.to_pylist()]
+    for i, (r, h) in enumerate(zip(got, html)):
+        want, places = text.html_with_map(h or "")
+        assert (r["id"], r["text"], [(p["page"], p["text"]) for p in r["places"]]) == (i, want, places)
+
+
 def plain_smooth(segments, models, window, factor, least):
     scores, out, turn = [list(s[2]) for s in segments], set(), 0
     while True:
