@@ -35,6 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class of near-copies: five-word shingles, similarity 0.8 or more.
 
+    Candidates are SimHash fingerprints within 4 bits, and MinHash bands for the near-copies beyond these.
     Repeated rows and rows of one id are one document; rows without an id stay where no row of their class has one,
     one of each class; null and empty texts are copies of each other.
     """

@@ -1,7 +1,8 @@
-"""Near-copies of documents: exact similarity of word shingles, with MinHash candidates.
+"""Near-copies of documents: SimHash and MinHash candidates, held to the exact similarity of word shingles.
 
-The pipeline's form of the near-duplicate operator, where SimHash cannot give right results: fingerprints of texts
-whose 5-word shingles have a similarity of 0.8 differ in up to 14 of 64 bits, beyond any selective ring filter.
+The pipeline's form of the near-duplicate operator. SimHash fingerprints that link through the pigeonring filter are
+compared exactly, and so are sets that share a MinHash band: fingerprints of texts whose 5-word shingles have a
+similarity of 0.8 differ in up to 14 of 64 bits, beyond any selective ring filter, so SimHash alone loses links.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .classes import one_row_each
 from .common import LOWER, distinct, join_checked, sliced, store
 from .components import connected_components
+from .simhash import fingerprint_links
 
 #: MinHash bands and their rows: at similarity 0.8 a pair shares no band once in 14,000 pairs, at 0.9 once in 10**9.
 BANDS, ROWS = 24, 5
@@ -51,6 +53,14 @@ def set_key(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64))
 
 
+def set_fingerprint(s: np.ndarray) -> int:
+    """SimHash of a shingle set, as a signed long: a bit is set if it is set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(s), 8192):  # the bit matrix stays small for very long texts
+        counts += np.unpackbits(s[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(s), bitorder="little").view("<i8")[0])
+
+
 def band_keys(s: np.ndarray) -> np.ndarray:
     """One signed long for each band of the MinHash signature of a shingle set."""
     low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
@@ -64,7 +74,7 @@ def band_keys(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key (its shingle set), n (the set's size) and the bands b0, b1, ..., in one narrow pass."""
+    """doc_id, key (its shingle set), n (the set's size), fp (its SimHash) and the bands b0, b1, ..., in one narrow pass."""
     names = [f"b{i}" for i in range(BANDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,11 +83,11 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                 part = b.slice(at, BLOCK)
                 sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
                 bands = np.array([band_keys(s) for s in sets]).T
-                cols = [part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, bands)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", *names])
+                cols = [part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_fingerprint(s) for s in sets], pa.int64()), *map(pa.array, bands)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "fp", *names])
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return cols.mapInArrow(run, f"doc_id long, key long, n long, {', '.join(f'{x} long' for x in names)}")
+    return cols.mapInArrow(run, f"doc_id long, key long, n long, fp long, {', '.join(f'{x} long' for x in names)}")
 
 
 def with_key(docs: DataFrame, width: int, text_col: str, name: str) -> DataFrame:
@@ -190,26 +200,44 @@ def pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def near_copy_classes(docs: DataFrame, prints: DataFrame, width: int, share: tuple[int, int], text_col: str) -> DataFrame:
+def fingerprint_pairs(one: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b) of the sets ``one`` (key, fp) that SimHash links at ``limit`` or fewer bits, enough to connect them.
+
+    The least set of a fingerprint stands for it: it is paired with the others of the fingerprint and with those that
+    stand for linked fingerprints.
+    """
+    least = store(one.groupBy("fp").agg(F.min("key").alias("rep")), "fingerprints")
+    links = store(fingerprint_links(least.select("fp"), limit), "fingerprint-links")
+    side = lambda x: least.select(F.col("fp").alias(x), F.col("rep").alias(f"r{x}")).hint("merge")
+    apart = links.join(side("a"), "a").join(side("b"), "b").select(*pair("ra", "rb"))
+    same = one.select("key", "fp").join(least.hint("merge"), "fp").filter(F.col("key") != F.col("rep")).select(*pair("key", "rep"))
+    return apart.unionByName(same).distinct()
+
+
+def near_copy_classes(docs: DataFrame, prints: DataFrame, width: int, share: tuple[int, int], text_col: str, limit: int = 4) -> DataFrame:
     """Class of each distinct shingle set of ``prints``: key, root (the class) and component_id (its smallest doc_id).
 
-    Sets that share a band of their signatures are candidates, and link if their exact similarity is ``share`` or
-    more. First every set is compared with the hubs of its buckets: copies that were changed in different places
+    Sets whose fingerprints link at ``limit`` bits (:func:`fingerprint_pairs`) and sets that share a band of their
+    signatures are candidates, and link if their exact similarity is ``share`` or more. First every set is compared
+    with its fingerprint's partners and with the hubs of its buckets: copies that were changed in different places
     are less like each other than like what they were copied from, which shares more buckets than any of them.
     Buckets that fall into one class by this are done, so a large group of copies mostly costs a few comparisons for
     each member. In the others all pairs of different classes are compared within tasks (:func:`like_pairs`), and
     no pair of a bucket is left out.
     """
     names = [f"b{i}" for i in range(BANDS)]
-    one = store(prints.groupBy("key").agg(F.min("doc_id").alias("first"), *[F.any_value(x).alias(x) for x in ("n", *names)]), "sets")
+    one = store(prints.groupBy("key").agg(F.min("doc_id").alias("first"), *[F.any_value(x).alias(x) for x in ("n", "fp", *names)]), "sets")
     rows = one.select("key", "n", F.explode(F.array(*names)).alias("bucket"))
     # stored sides: a join on fresh exchanges can be split where a bucket or a class is large
     shared = store(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket"), "buckets")
     shared = store(rows.join(shared.hint("merge"), "bucket"), "shared")
-    sets = store(shingle_sets(docs, store(shared.select("key").distinct(), "candidates"), width, text_col), "shingles")
+    near = store(fingerprint_pairs(one, limit), "near")
+    met = shared.select("key").unionByName(near.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    sets = store(shingle_sets(docs, store(met, "candidates"), width, text_col), "shingles")
 
     hub = hubs(shared)
-    stars = store(shared.join(hub.hint("merge"), "bucket").filter(F.col("key") != F.col("hub")).select(*pair("key", "hub")).distinct(), "stars")
+    stars = shared.join(hub.hint("merge"), "bucket").filter(F.col("key") != F.col("hub")).select(*pair("key", "hub"))
+    stars = store(stars.unionByName(near).distinct(), "stars")
     links = store(similar(stars, sets, share), "links")
     groups = connected_components(links).select(F.col("node").alias("key"), "component")
     members = store(shared.join(groups.hint("merge"), "key", "left").select("bucket", "key", "n", F.coalesce("component", "key").alias("group")), "members")

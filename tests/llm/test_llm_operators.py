@@ -260,6 +260,25 @@ def test_pipeline_drops_copies_of_shingle_similarity(spark):
     assert far  # such copies are out of the four bits' reach
 
 
+def test_near_copies_link_through_their_fingerprints(spark):
+    from parlance.llm import near_copies
+
+    rng = np.random.default_rng(8)
+    base = list(rng.choice([f"v{i}" for i in range(900)], 600))
+    texts = [" ".join(base), " ".join([*base[:-1], "changed"]), " ".join(rng.choice(base, 600)), "", "a b"]
+    docs = frame(spark, texts)
+    prints = near_copies.signatures(docs, 5, "doc_id", "text")
+    fps = [r["fp"] for r in prints.orderBy("doc_id").collect()]
+    for fp, t in zip(fps, texts):
+        s = [int(h) for h in near_copies.shingle_set(t)]
+        assert fp % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s) > len(s))
+    assert bin(fps[0] % (1 << 64) ^ fps[1] % (1 << 64)).count("1") <= 4
+    # no two sets share a band, so that only the fingerprints can bring copies together
+    alone = near_copies.store(prints.withColumns({f"b{i}": F.col("doc_id") * 100 + i for i in range(near_copies.BANDS)}), "alone")
+    got = {r["component_id"] for r in near_copies.near_copy_classes(docs, alone, 5, (4, 5), "text").collect()}
+    assert got == {0, 2, 3, 4}
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_links_connect_what_brute_force_connects(spark, block):
     rng = np.random.default_rng(5)
