@@ -251,3 +251,27 @@ def test_in_place_maps_equal_joins(spark, monkeypatch):
         named = maps.ids_to_symbols(maps.symbols_to_ids(df.withColumn("t", F.filter("t", lambda w: w <= "d")), ids, "k", "t"), ids, "k", "ids")
         both[way] = [sorted(map(str, x.collect())) for x in (*mapped, numbered, named)]
     assert both["in place"] == both["joined"] and len(both["joined"][0]) == len(rows)
+
+
+def counted(df):
+    """``df`` through a step that counts the rows it hands on, and that count."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_reversed_models_are_made_from_one_reading(spark):
+    grams = [(1, ["a"], -0.5, -0.3), (1, ["b"], -0.7, -0.2), (2, ["a", "b"], -0.3, None), (3, ["a", "b", "a"], -0.6, None)]
+    model, seen = counted(spark.createDataFrame(grams, "n int, words array<string>, logprob double, backoff double"))
+    assert lexical.reverse_arpa(model).count() > len(grams) and seen.value == len(grams)
+
+
+def test_ngrams_of_short_texts_and_nulls(spark):
+    text = spark.createDataFrame([("u", ["a", "b", "a", "b"]), ("v", ["a"]), ("w", []), ("x", None)], "utt string, words array<string>")
+    assert {tuple(r) for r in lexical.ngrams(text, 2).collect()} == {("a b", 2), ("b a", 1)}
+    assert lexical.ngrams(text, 5).count() == 0
