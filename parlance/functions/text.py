@@ -269,16 +269,20 @@ def long_form(short: str, before: str) -> str | None:
 
 def abbreviations(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs of long and short form, ``long form (SF)``: id, short, long."""
-    shape = re.compile(r"([^()]{2,200})\(([A-Za-z][A-Za-z0-9.-]{1,9})\)")
+    shape, most = re.compile(r"\(([A-Za-z][A-Za-z0-9.-]{1,9})\)"), 200
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, short, long = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 for m in shape.finditer(t or ""):
-                    if (found := long_form(m[2], m[1])) is not None:
+                    # what stands before it: back to a bracket, at least 2 and at most 200 characters
+                    end = m.start()
+                    low = max(0, end - most)
+                    low = max(low, t.rfind("(", low, end) + 1, t.rfind(")", low, end) + 1)
+                    if end - low >= 2 and (found := long_form(m[1], t[low:end])) is not None:
                         row.append(i)
-                        short.append(m[2])
+                        short.append(m[1])
                         long.append(found)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(short, pa.string()), pa.array(long, pa.string())], ["id", "short", "long"])
 

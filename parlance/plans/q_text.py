@@ -90,9 +90,14 @@ def x9(s, sf):
     return x.token_spans(table(s, sf, "documents"), "doc_id", "text", {"mail": "[a-z]+@[a-z.]+", "number": "[0-9]+"}).groupBy("id", "kind").agg(F.count("*").alias("n"))
 
 
+def _two(col):
+    """The first two words, empty if there are none: the rest of a text is not cut."""
+    return F.array(*[F.regexp_extract(F.lower(col), "^[^a-z]*([a-z]+)[^a-z]+([a-z]+)", i) for i in (1, 2)])
+
+
 @query("x10_extract_abbreviations", "SELECT doc_id AS id, upper(w[1][1] || w[2][1]) AS short, w[1] || ' ' || w[2] AS long FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) WHERE len(w) >= 2 AND length(w[1] || w[2]) > 1 AND NOT contains(w[1][2:] || w[2][2:], w[1][1]) AND NOT contains(w[2][2:], w[2][1])")
 def x10(s, sf):
-    d = table(s, sf, "documents").select("doc_id", F.translate("text", "()", "").alias("text"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w")).filter("size(w) >= 2").filter("not contains(concat(substring(w[0], 2), substring(w[1], 2)), substring(w[0], 1, 1)) and not contains(substring(w[1], 2), substring(w[1], 1, 1))")
+    d = table(s, sf, "documents").select("doc_id", F.translate("text", "()", "").alias("text"), _two("text").alias("w")).filter("w[1] <> ''").filter("not contains(concat(substring(w[0], 2), substring(w[1], 2)), substring(w[0], 1, 1)) and not contains(substring(w[1], 2), substring(w[1], 1, 1))")
     short = F.upper(F.concat(F.substring(c("w")[0], 1, 1), F.substring(c("w")[1], 1, 1)))
     return x.abbreviations(d.select("doc_id", F.concat("text", F.lit(" "), c("w")[0], F.lit(" "), c("w")[1], F.lit(" ("), short, F.lit(") ")).alias("t")), "doc_id", "t")
 

@@ -299,3 +299,18 @@ def test_segments_of_aligned_stream_their_rows(spark):
             if p and err <= 0.5 * n and p[-1][0] + p[-1][1] + 0.25 - max(0.0, p[0][0] - 0.25) >= 2.0:
                 want.append((u, round(max(0.0, p[0][0] - 0.25), 2), round(p[-1][0] + p[-1][1] + 0.25, 2), n, err, " ".join(x[2] for x in p if x[2] != "<eps>")))
     assert sorted(tuple(r) for r in out.collect()) == sorted(want) and want
+
+
+def test_abbreviations_look_back_from_the_bracket(spark):
+    import time
+
+    rng = random.Random(2)
+    shape = re.compile(r"([^()]{2,200})\(([A-Za-z][A-Za-z0-9.-]{1,9})\)")
+    texts = ["".join(rng.choice(["large ", "text ", "LT", "(LT)", "(", ")", " " * 150, "x"]) for _ in range(60)) for _ in range(200)]
+    want = [(i, m[2], tx.long_form(m[2], m[1])) for i, t in enumerate(texts) for m in shape.finditer(t) if tx.long_form(m[2], m[1]) is not None]
+    got = tx.abbreviations(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and want
+    long = spark.range(1).select("id", F.repeat(F.lit("word "), 4_000_000).alias("text"))
+    began = time.time()
+    assert tx.abbreviations(long, "id", "text").count() == 0
+    assert time.time() - began < 8  # a text without brackets is not tried at each of its places
