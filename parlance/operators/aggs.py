@@ -88,8 +88,10 @@ def silence_neighbours(prons: DataFrame, sil: str = "SIL") -> DataFrame:
     """For each word-pron: times after and before silence and not, with ``<s>`` and ``</s>`` around each utterance.
 
     ``prons`` has utt, pos, word, pron; silences are rows of the word ``<eps>``. One sort by utterance serves both
-    neighbours and the ends.
+    neighbours and the ends. The counts are written once, as the probabilities and factors made of them read them again.
     """
+    from .helpers import store
+
     w = Window.partitionBy("utt").orderBy("pos")
     a = prons.select("word", "pron", F.lag("word").over(w).alias("_b"), F.lead("word").over(w).alias("_a"))
     row = lambda word, pron, b, a: F.struct(word.alias("word"), pron.alias("pron"), b.alias("_b"), a.alias("_a"))
@@ -101,7 +103,8 @@ def silence_neighbours(prons: DataFrame, sil: str = "SIL") -> DataFrame:
     ]
     a = a.select(F.inline(F.array_compact(F.array(*rows))))
     sil_b, sil_a = F.col("_b") == "<eps>", F.col("_a") == "<eps>"
-    return a.groupBy("word", "pron").agg(F.count_if(sil_b).alias("sil_before"), F.count_if(~sil_b).alias("nonsil_before"), F.count_if(sil_a).alias("sil_after"), F.count_if(~sil_a).alias("nonsil_after"))
+    counts = a.groupBy("word", "pron").agg(F.count_if(sil_b).alias("sil_before"), F.count_if(~sil_b).alias("nonsil_before"), F.count_if(sil_a).alias("sil_after"), F.count_if(~sil_a).alias("nonsil_after"))
+    return store(counts, "silence")
 
 
 def half_up(x: Column) -> Column:

@@ -314,3 +314,11 @@ def test_abbreviations_look_back_from_the_bracket(spark):
     began = time.time()
     assert tx.abbreviations(long, "id", "text").count() == 0
     assert time.time() - began < 8  # a text without brackets is not tried at each of its places
+
+
+def test_silence_factors_count_the_words_once(spark):
+    rows = [("u", i, w, "") for i, w in enumerate(["a", "<eps>", "b", "a", "b", "<eps>", "b"])]
+    prons, seen = counted(spark.createDataFrame(rows, "utt string, pos int, word string, pron string"))
+    n = aggs.silence_neighbours(prons)
+    got = aggs.silence_correction(aggs.silence_probs(n), n, lexical.pron_bigrams(spark.createDataFrame(rows, prons.schema)))
+    assert {r["word"] for r in got.collect()} >= {"a", "b"} and seen.value == len(rows)
