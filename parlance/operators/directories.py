@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .helpers import seeded
+from .helpers import seeded, store
 from .streamed import in_order
 
 c = F.col
@@ -122,7 +122,11 @@ def validate_lexicon_pair(lexicon: DataFrame, weighted: DataFrame, phones: DataF
 
 
 def validate_lexicon(lexicon: DataFrame, silence: DataFrame, nonsilence: DataFrame) -> DataFrame:
-    """Violations (check, key) of a lexicon (word, phones, prob) and its phone sets (phone)."""
+    """Violations (check, key) of a lexicon (word, phones, prob) and its phone sets (phone).
+
+    The lexicon is written once, as each check reads it.
+    """
+    lexicon = store(lexicon, "lexicon")
     p = F.array_join("phones", " ")
     flat = lexicon.select("word", F.explode("phones").alias("phone"))
     known = silence.select("phone").unionByName(nonsilence.select("phone")).distinct()

@@ -322,3 +322,11 @@ def test_silence_factors_count_the_words_once(spark):
     n = aggs.silence_neighbours(prons)
     got = aggs.silence_correction(aggs.silence_probs(n), n, lexical.pron_bigrams(spark.createDataFrame(rows, prons.schema)))
     assert {r["word"] for r in got.collect()} >= {"a", "b"} and seen.value == len(rows)
+
+
+def test_lexicon_checks_read_the_lexicon_once(spark):
+    rows = [("a", ["x"], 1.5), ("a", ["x"], 0.5), ("b", ["q"], 0.5), ("c", [], 0.5)]
+    lexicon, seen = counted(spark.createDataFrame(rows, "word string, phones array<string>, prob double"))
+    got = directories.validate_lexicon(lexicon, spark.createDataFrame([("s",)], "phone string"), spark.createDataFrame([("x",)], "phone string"))
+    assert {tuple(r) for r in got.collect()} == {("repeated entry", "a"), ("empty pronunciation", "c"), ("unknown phone", "q"), ("probability", "a")}
+    assert seen.value == len(rows)
