@@ -337,3 +337,11 @@ def test_arpa_lines_read_the_model_once(spark):
     model, seen = counted(spark.createDataFrame(grams, "n int, words array<string>, logprob double, backoff double"))
     lines = [r["value"] for r in tables.arpa_lines(model).orderBy("ord").collect()]
     assert lines[:3] == ["\\data\\", "ngram 1=2", "ngram 2=1"] and seen.value == len(grams)
+
+
+def test_the_lexicon_is_written_once(spark):
+    from parlance.plans import adapters
+
+    lexicon = adapters.lexicon(spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in lexicon._jdf.queryExecution().toString()  # a scan: no use of it cuts the texts again
+    assert lexicon.count() == adapters.words(spark, "/root/testdata/sf0.001").select("word").distinct().count()
