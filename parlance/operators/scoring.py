@@ -100,19 +100,22 @@ def corpus_wer(ref: DataFrame, hyp: DataFrame) -> DataFrame:
 
 
 def pretty(pairs: DataFrame) -> DataFrame:
-    """Three lines an utterance (ref, hyp, op), each token centred in the width of the wider of its pair."""
+    """Three lines an utterance (ref, hyp, op), each token centred in the width of the wider of its pair.
+
+    The pairs of an utterance are gathered once, unpadded; the lines are made of them.
+    """
     from .aggs import classify
-    from .helpers import ordered_list
 
-    w = F.greatest(F.length("ref"), F.length("hyp"))
+    def line(of):
+        def token(r):
+            w, x = F.greatest(F.length(r["ref"]), F.length(r["hyp"])), of(r)
+            left = F.floor((w - F.length(x)) / 2).cast("int")
+            return F.rpad(F.concat(F.repeat(F.lit(" "), left), x), w, F.lit(" "))
 
-    def centre(x):
-        left = F.floor((w - F.length(x)) / 2).cast("int")
-        return F.rpad(F.concat(F.repeat(F.lit(" "), left), x), w, F.lit(" "))
+        return F.array_join(F.transform("_p", token), " ")
 
-    p = pairs.withColumn("op", classify(c("ref"), c("hyp")))
-    cols = [F.array_join(ordered_list(["pos", "k"], centre(c(x))), " ").alias(x) for x in ("ref", "hyp", "op")]
-    return p.groupBy("utt").agg(*cols)
+    g = pairs.groupBy("utt").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "ref", "hyp"))).alias("_p"))
+    return g.select("utt", line(lambda r: r["ref"]).alias("ref"), line(lambda r: r["hyp"]).alias("hyp"), line(lambda r: classify(r["ref"], r["hyp"])).alias("op"))
 
 
 def nbest_pick(nbest: DataFrame, grid: DataFrame, digits: int = 6) -> DataFrame:

@@ -345,3 +345,9 @@ def test_the_lexicon_is_written_once(spark):
     lexicon = adapters.lexicon(spark, "/root/testdata/sf0.001")
     assert "Aggregate" not in lexicon._jdf.queryExecution().toString()  # a scan: no use of it cuts the texts again
     assert lexicon.count() == adapters.words(spark, "/root/testdata/sf0.001").select("word").distinct().count()
+
+
+def test_pretty_lines_gather_pairs_once(spark, pairs):
+    out = scoring.pretty(pairs)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1
+    assert len({len(out.first()[x]) for x in ("ref", "hyp", "op")}) == 1
