@@ -111,7 +111,8 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYT
             last = max(first + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield b.slice(first, last - first)
             first = last
-        pa.default_memory_pool().release_unused()  # workers live on, and share an executor's memory
+        del b
+        give_back()
 
 
 def distinct(values: np.ndarray) -> np.ndarray:

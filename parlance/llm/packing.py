@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import ids_crc32, join_checked, sliced, store, table
+from .common import give_back, ids_crc32, join_checked, sliced, store, table
 from .tokens import encoder, public_path
 
 SEQUENCE = 2048
+#: Bytes of text, or of ids, that a task works on at once.
+SLICE = 1 << 20
 
 
 def tokenized_parts(docs: DataFrame, vocabulary: str, end_id: int, keep_space: bool, plain_specials: bool, id_col: str, text_col: str) -> DataFrame:
@@ -21,8 +23,9 @@ def tokenized_parts(docs: DataFrame, vocabulary: str, end_id: int, keep_space: b
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         enc = encoder(public_path(vocabulary), keep_space, plain_specials)
+        give_back()  # what reading the vocabulary took
         tail = np.array([end_id], "<u2").tobytes()
-        for b in sliced(batches, 1):
+        for b in sliced(batches, 1, SLICE):
             ids = [x.tobytes() + tail for x in enc.encode_many(b.column(1))]
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
             yield pa.RecordBatch.from_arrays(
@@ -67,7 +70,7 @@ def pack(
     placed = join_checked(encoded, parts, "part").select("doc_id", "part_offset", "part_start", "total", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 4):
+        for b in sliced(batches, 4, SLICE):
             part_first, part_end = b.column(1).to_numpy(), b.column(1).to_numpy() + b.column(3).to_numpy()
             first = part_first + b.column(2).to_numpy()
             row, rows, pieces = [], [], []

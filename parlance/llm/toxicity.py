@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_remainder, join_checked, map_texts, sliced, store, table, words_of
+from .common import give_back, id_remainder, join_checked, map_texts, sliced, store, table, words_of
 
 #: The fit reads at most this many labelled documents of each class, those of the smallest id hash, and no
 #: document of more characters than this.
@@ -374,7 +374,10 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_docs: int, fit_chars: int, id
         for b in batches:
             texts += b.column(0).to_pylist()
             toxic += b.column(1).to_pylist()
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(texts, np.array(toxic)))]})
+        model = pickle.dumps(fit(texts, np.array(toxic)))
+        del texts
+        give_back()
+        yield pa.RecordBatch.from_pydict({"model": [model]})
 
     one = sample.coalesce(1).sortWithinPartitions("doc_id").select("text", "toxic")
     return pickle.loads(store(one.mapInArrow(run, "model binary"), "model").first()["model"])
@@ -418,6 +421,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, fi
         inputs = WordInputs(shared.value)
         for b in sliced(batches, at):
             yield b.filter(pa.array(text_scores(b.column(at).to_pylist(), shared.value, inputs) < threshold))
+        del inputs
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

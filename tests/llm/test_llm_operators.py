@@ -706,3 +706,15 @@ def test_stages_take_null_ids_ties_and_repeats_together(spark):
     for i, t in rows_:
         want[i] += len(tok.encode(t or "", add_special_tokens=False).ids) + 1
     assert whole == want
+
+
+def test_workers_give_memory_back_after_every_batch(monkeypatch):
+    """Idle workers share an executor's memory: heap pages go back, not only Arrow's pool."""
+    import pyarrow as pa
+    from parlance.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 100, None, "b" * 100]})
+    assert [s.num_rows for s in common.sliced(iter([batch, batch]), 0, 150)] == [2, 1, 2, 1]
+    assert len(calls) == 2
