@@ -44,13 +44,7 @@ def map_tokens(df: DataFrame, mapping: DataFrame, key: str, tokens: str, first:
     table = lookup(mapping, in_place)
     if table is not None:
         return mapped_in_place(df.select(key, tokens), table, first, last, permissive)
-    rows = numbered_rows(df.select(key, tokens)).select("_row", key, F.posexplode_outer(tokens).alias("p", "sym")).withColumn("p", F.col("p") + 1)
-    inside = (F.col("p") >= first) & (F.col("p") <= last)
-    rows = rows.join(mapping.select("sym", F.col("values").alias("mapped")), "sym", "left")
-    own = F.array("sym")
-    missing = own if permissive else F.raise_error(F.concat(F.lit("no entry for "), "sym")).cast("array<string>")
-    out = F.when(F.col("p").isNull(), F.array().cast("array<string>")).when(~inside | F.col("sym").isNull(), own).when(F.col("mapped").isNotNull(), F.col("mapped")).otherwise(missing)
-    return rows.withColumn("out", out).groupBy("_row", key).agg(F.flatten(ordered_list(["p"], "out")).alias(tokens)).drop("_row")
+    return in_blocks(df.select(key, tokens), mapping, "sym", lambda b, t: mapped(b, mapping_arrays(t), first, last, permissive), f"`{tokens}` array<string>")
 
 
 def numbered_rows(df: DataFrame) -> DataFrame:
@@ -58,34 +52,68 @@ def numbered_rows(df: DataFrame) -> DataFrame:
     return store(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
+#: Rows of a block that is looked up at once, and the tokens beyond which a row is a block of its own.
+BLOCK, LONG = 1024, 8192
+
+
+def in_blocks(df: DataFrame, table: DataFrame, on: str, work, columns: str) -> DataFrame:
+    """The rows (key, tokens) of ``df`` looked up in a large ``table``, block by block.
+
+    The distinct tokens of a block of neighbouring rows, far fewer than its tokens, meet the table; each block then
+    gets its own entries, so there is never a shuffled row a token. ``work`` is given a block's rows and entries as
+    Arrow tables and returns its columns: the key and ``columns``.
+    """
+    key, tokens = df.columns
+    rows = numbered_rows(df)
+    rows = rows.withColumn("_block", F.when(F.size(tokens) > LONG, F.col("_row")).otherwise(-1 - F.floor(F.col("_row") / BLOCK)))
+    need = rows.select("_block", F.explode(tokens).alias(on)).distinct()
+    entries = need.join(table, on).select(F.col("_block").alias("_of"), *table.columns)
+    kind = df.schema[0].dataType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(pa.RecordBatch.from_arrays([left[c].combine_chunks() for c in (key, tokens)], [key, tokens]), right)
+        return pa.Table.from_batches([out])
+
+    return rows.groupBy("_block").cogroup(entries.groupBy("_of")).applyInArrow(run, f"`{key}` {kind}, {columns}")
+
+
+def mapping_arrays(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
+    """Symbols of a mapping (sym, values), how many tokens each has, where they start, and all of these tokens."""
+    lists = table["values"].combine_chunks()
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return table["sym"].combine_chunks(), size, np.cumsum(size) - size, lists.flatten()
+
+
+def mapped(b: pa.RecordBatch, arrays: tuple, first: int, last: int, permissive: bool) -> pa.RecordBatch:
+    """Rows of a key and tokens with each token replaced by its entry of :func:`mapping_arrays`."""
+    syms, size, start, flat = arrays
+    lists, own, n = token_lists(b.column(1))
+    at = pc.index_in(own, value_set=syms)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + 1
+    use = (place >= first) & (place <= last) & pc.is_valid(own).to_numpy(zero_copy_only=False)
+    known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+    if not permissive and (use & ~known).any():
+        raise ValueError(f"no entry for {own[int(np.flatnonzero(use & ~known)[0])]}")
+    use &= known
+    at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+    count = np.where(use, size[at] if len(size) else 0, 1)
+    ends = np.cumsum(count)
+    inner = np.arange(count.sum()) - np.repeat(ends - count, count)
+    # both sources laid one after the other: entries of the table, then the tokens themselves
+    take = np.where(np.repeat(use, count), np.repeat(start[at] if len(size) else at, count) + inner, len(flat) + np.repeat(np.arange(len(own)), count))
+    values = pa.concat_arrays([flat, own]).take(pa.array(take))
+    bound = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
+    return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), values)], b.schema.names)
+
+
 def mapped_in_place(df: DataFrame, table: pa.Table, first: int, last: int, permissive: bool) -> DataFrame:
     """The lists of the second column with each token replaced by its entry of ``table`` (sym, values)."""
-    lists = table["values"].combine_chunks()
-    syms, size, flat = table["sym"].combine_chunks(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
-    start = np.cumsum(size) - size
-    shared = df.sparkSession.sparkContext.broadcast((syms, size, start, flat))  # counted
+    shared = df.sparkSession.sparkContext.broadcast(mapping_arrays(table))  # counted
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        syms, size, start, flat = shared.value
         for b in batches:
-            lists, own, n = token_lists(b.column(1))
-            at = pc.index_in(own, value_set=syms)
-            place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + 1
-            use = (place >= first) & (place <= last) & pc.is_valid(own).to_numpy(zero_copy_only=False)
-            known = pc.is_valid(at).to_numpy(zero_copy_only=False)
-            if not permissive and (use & ~known).any():
-                raise ValueError(f"no entry for {own[int(np.flatnonzero(use & ~known)[0])]}")
-            use &= known
-            at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
-            count = np.where(use, size[at] if len(size) else 0, 1)
-            ends = np.cumsum(count)
-            inner = np.arange(count.sum()) - np.repeat(ends - count, count)
-            # both sources laid one after the other: entries of the table, then the tokens themselves
-            take = np.where(np.repeat(use, count), np.repeat(start[at] if len(size) else 0, count) + inner, len(flat) + np.repeat(np.arange(len(own)), count))
-            values = pa.concat_arrays([flat, own]).take(pa.array(take))
-            bound = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), values)], names)
+            yield mapped(b, shared.value, first, last, permissive)
 
     kind = next(f.dataType.simpleString() for f in df.schema if f.name == names[0])
     return df.mapInArrow(run, f"`{names[0]}` {kind}, `{names[1]}` array<string>")
@@ -108,9 +136,7 @@ def symbols_to_ids(df: DataFrame, symtab: DataFrame, key: str, tokens: str, oov:
     table = lookup(symtab, in_place)
     if table is not None:
         return numbered_in_place(df, table, oov)
-    rows = numbered_rows(df).select("_row", key, F.posexplode(tokens).alias("p", "sym")).join(symtab.select("sym", "id"), "sym", "left")
-    value = F.coalesce("id", F.lit(oov) if oov is not None else F.raise_error(F.concat(F.lit("unknown symbol "), F.coalesce("sym", F.lit("null")))).cast("int"))
-    return rows.withColumn("v", value).groupBy("_row", key).agg(ordered_list(["p"], "v").alias("ids"), F.count_if(F.col("id").isNull()).alias("n_oov")).drop("_row")
+    return in_blocks(df, symtab, "sym", lambda b, t: with_ids(b, t["sym"].combine_chunks(), t["id"].combine_chunks(), oov), "ids array<int>, n_oov long")
 
 
 def write_ids(df: DataFrame, symtab: DataFrame, key: str, tokens: str, path: str, oov: int) -> dict[str, int]:
@@ -128,25 +154,28 @@ def write_ids(df: DataFrame, symtab: DataFrame, key: str, tokens: str, path: str
     return seen.get
 
 
+def with_ids(b: pa.RecordBatch, syms: pa.Array, ids: pa.Array, oov: int | None) -> pa.RecordBatch:
+    """Rows of a key and tokens as the key, the tokens' ids and how many tokens have none."""
+    _, own, n = token_lists(b.column(1))
+    at = pc.index_in(own, value_set=syms)
+    if oov is None and at.null_count:
+        raise ValueError(f"unknown symbol {own.filter(pc.is_null(at))[0]}")
+    missing = pc.is_null(at).to_numpy(zero_copy_only=False)
+    bound = np.concatenate([[0], np.cumsum(n)])
+    lacks = np.concatenate([[0], np.cumsum(missing)])[bound]
+    value = pc.fill_null(ids.take(at), oov if oov is not None else 0)
+    return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), value), pa.array(np.diff(lacks), pa.int64())], [b.schema.names[0], "ids", "n_oov"])
+
+
 def numbered_in_place(df: DataFrame, table: pa.Table, oov: int | None) -> DataFrame:
     """The lists of the second column as ids of ``table`` (sym, id), and how many tokens of each it lacks."""
     shared = df.sparkSession.sparkContext.broadcast((table["sym"].combine_chunks(), table["id"].combine_chunks()))  # counted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        syms, ids = shared.value
         for b in batches:
-            _, own, n = token_lists(b.column(1))
-            at = pc.index_in(own, value_set=syms)
-            if oov is None and at.null_count:
-                raise ValueError(f"unknown symbol {own.filter(pc.is_null(at))[0]}")
-            missing = pc.is_null(at).to_numpy(zero_copy_only=False)
-            bound = np.concatenate([[0], np.cumsum(n)])
-            lacks = np.concatenate([[0], np.cumsum(missing)])[bound]
-            value = pc.fill_null(ids.take(at), oov if oov is not None else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), value), pa.array(np.diff(lacks), pa.int64())], names)
+            yield with_ids(b, *shared.value, oov)
 
-    names = [df.columns[0], "ids", "n_oov"]
-    return df.mapInArrow(run, f"`{names[0]}` {df.schema[0].dataType.simpleString()}, ids array<int>, n_oov long")
+    return df.mapInArrow(run, f"`{df.columns[0]}` {df.schema[0].dataType.simpleString()}, ids array<int>, n_oov long")
 
 
 def ids_to_symbols(df: DataFrame, symtab: DataFrame, key: str, ids: str, in_place: int = SMALL) -> DataFrame:
@@ -156,9 +185,17 @@ def ids_to_symbols(df: DataFrame, symtab: DataFrame, key: str, ids: str, in_plac
     table = lookup(symtab, in_place)
     if table is not None:
         return named_in_place(df, table)
-    rows = numbered_rows(df).select("_row", key, F.posexplode(ids).alias("p", "id")).join(symtab.select("sym", "id"), "id", "left")
-    value = F.coalesce("sym", F.raise_error(F.concat(F.lit("unknown id "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast("string"))
-    return rows.withColumn("v", value).groupBy("_row", key).agg(ordered_list(["p"], "v").alias("words")).drop("_row")
+    return in_blocks(df, symtab, "id", lambda b, t: with_symbols(b, t["sym"].combine_chunks(), t["id"].combine_chunks()), "words array<string>")
+
+
+def with_symbols(b: pa.RecordBatch, syms: pa.Array, ids: pa.Array) -> pa.RecordBatch:
+    """Rows of a key and ids as the key and the ids' symbols."""
+    _, own, n = token_lists(b.column(1))
+    at = pc.index_in(own.cast(pa.int32()), value_set=ids)
+    if at.null_count:
+        raise ValueError(f"unknown id {own.filter(pc.is_null(at))[0]}")
+    bound = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bound), syms.take(at))], [b.schema.names[0], "words"])
 
 
 def named_in_place(df: DataFrame, table: pa.Table) -> DataFrame:
@@ -166,17 +203,10 @@ def named_in_place(df: DataFrame, table: pa.Table) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast((table["sym"].combine_chunks(), table["id"].combine_chunks()))  # counted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        syms, ids = shared.value
         for b in batches:
-            _, own, n = token_lists(b.column(1))
-            at = pc.index_in(own.cast(pa.int32()), value_set=ids)
-            if at.null_count:
-                raise ValueError(f"unknown id {own.filter(pc.is_null(at))[0]}")
-            bound = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bound), syms.take(at))], names)
-
-    names = [df.columns[0], "words"]
-    return df.mapInArrow(run, f"`{names[0]}` {df.schema[0].dataType.simpleString()}, words array<string>")
+            yield with_symbols(b, *shared.value)
+
+    return df.mapInArrow(run, f"`{df.columns[0]}` {df.schema[0].dataType.simpleString()}, words array<string>")
 
 
 def group_utterances(utt2spk: DataFrame, order: str) -> DataFrame:

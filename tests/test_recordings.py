@@ -515,3 +515,19 @@ def test_ordered_streams_carry_their_state(spark, tmp_path):
     got = rows(streams.running_mean(stream), "event_id", "user_id", "n", "total", "centred")
     assert got == sorted([(1, 1, 1, 2.0, 0.0), (2, 1, 2, 6.0, 1.0), (3, 1, 3, 7.0, 1.0 - 7 / 3), (4, 1, 4, 16.0, 5.0), (9, 2, 1, 1.0, 0.0), (10, 2, 2, 4.0, 1.0), (11, 2, 3, 9.0, 2.0)], key=str)
     assert {r[0] for r in rows(streams.dedup_hits(stream, 61.0), "event_id")} == {1, 3, 9, 10}
+
+
+def test_large_lookups_shuffle_distinct_tokens_of_a_block(spark, monkeypatch):
+    """Texts that repeat their tokens are looked up without a row a token, in any number of blocks."""
+    monkeypatch.setattr(maps, "BLOCK", 3)
+    monkeypatch.setattr(maps, "LONG", 50)
+    words = [[f"w{(i * j) % 5}" for j in range(i * 7)] for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(words)), "k long, words array<string>").coalesce(2)
+    table = spark.createDataFrame([(f"w{i}", i + 3) for i in range(5)], "sym string, id int")
+    ids = maps.symbols_to_ids(df, table, "k", "words", in_place=-1)
+    assert "posexplode" not in ids._jdf.queryExecution().toString().lower()
+    assert {r["k"]: r["ids"] for r in ids.collect()} == {i: [int(x[1:]) + 3 for x in w] for i, w in enumerate(words) if w}
+    back = maps.ids_to_symbols(ids.select("k", "ids"), table, "k", "ids", in_place=-1)
+    assert {r["k"]: r["words"] for r in back.collect()} == {i: w for i, w in enumerate(words) if w}
+    none = maps.map_tokens(df, spark.createDataFrame([], "sym string, values array<string>"), "k", "words", permissive=True)
+    assert {r["k"]: r["words"] for r in none.collect()} == dict(enumerate(words))
