@@ -7,12 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .aggs import keyword_thresholds
 
 c = F.col
 EPS = "<eps>"
+#: Moves of an alignment: a pair, a token of the reference alone, a token of the hypothesis alone.
+PAIR, REF, HYP = 0, 1, 2
+#: Pairs of texts with a larger table of edit distances (cells), and those that fewer others resemble in length, go through
+#: :func:`edit_path` one by one.
+CELLS, FEW = 16_000_000, 24
+#: Bytes of marks that texts worked through together may take, words of both sides that are aligned at a time, rows of a batch made of them.
+MARKS, WORDS, ROWS = 64_000_000, 8_000_000, 250_000
 
 
 def edit_path(ref: list[str], hyp: list[str]) -> list[tuple[str, str]]:
@@ -21,8 +30,8 @@ def edit_path(ref: list[str], hyp: list[str]) -> list[tuple[str, str]]:
     Rows of the table of edit distances are held as whole numbers of one bit a column: where a cell is one more
     (``up``) or one less (``down``) than its left neighbour, where it equals its diagonal neighbour (``same``) and
     where it is one more than the cell above (``more``). A row follows from the one above by a few operations on
-    such numbers. Only every gap-th row is kept; the walk back makes the rows between two of them again, so memory
-    grows with the length to the power 1.5, in bits.
+    such numbers. Where all rows would take more than ``MARKS`` bytes, only every gap-th is kept and the walk back makes
+    the rows between two of them again, so memory grows with the length to the power 1.5, in bits.
     """
     n, m = len(ref), len(hyp)
     full = (1 << m) - 1
@@ -33,17 +42,20 @@ def edit_path(ref: list[str], hyp: list[str]) -> list[tuple[str, str]]:
     def below(x: str, up: int, down: int) -> tuple[int, int, int, int]:
         equal = places.get(x, 0)
         same = (((equal & up) + up) ^ up | equal | down) & full
-        more, less = down | (full & ~(same | up)), same & up
-        left, right = more << 1 | 1, less << 1
-        return (right | ~(same | left)) & full, left & same & full, same, more
+        more, less = down | full ^ (same | up), same & up
+        left = (more << 1 | 1) & full
+        return less << 1 & full | full ^ (same | left), left & same, same, more
 
+    whole = n * m <= 4 * MARKS
     gap = max(1, math.isqrt(n))
-    kept, row = [(full, 0)], (full, 0)
+    kept, row, rows = [(full, 0)], (full, 0), []
     for i in range(1, n + 1):
-        row = below(ref[i - 1], *row)[:2]
-        if i % gap == 0:
+        *row, same, more = below(ref[i - 1], *row)
+        if whole:
+            rows.append((same, more))
+        elif i % gap == 0:
             kept.append(row)
-    first, rows = n + 1, []  # rows first + 1, first + 2, ...: where they equal the diagonal, where they are more than above
+    first = 0 if whole else n + 1  # rows first + 1, first + 2, ...: where they equal the diagonal, where they are more than above
     out, i, j = [], n, m
     while i or j:
         if i and i - 1 < first:
@@ -66,36 +78,174 @@ def edit_path(ref: list[str], hyp: list[str]) -> list[tuple[str, str]]:
     return out[::-1]
 
 
-def align(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """Aligned pairs (utt, pos, ref, hyp) of the utterances of both sides (utt, words).
+def edit_moves(refs: list[np.ndarray], hyps: list[np.ndarray]) -> list[np.ndarray]:
+    """Moves of the alignments of :func:`edit_path` for many pairs of texts (numbers for words), worked through row by row together.
 
-    Equal starts and ends are paired directly, so the table of the edit distance is as large as what differs.
+    The bits of a row are those of :func:`edit_path`, in an array of 64-bit numbers where each pair has a field: bit j is column
+    j of its table, bit 0 the column before the first word, and one bit above the last takes carries. What the way
+    back asks of a cell is kept, two bits each: whether it follows from its diagonal neighbour, and whether from the
+    cell above. The way back is taken for all pairs at once too. Pairs should be of about one length.
+    """
+    n, m = (np.array([len(x) for x in side]) for side in (refs, hyps))
+    width = (m + 65) // 64
+    at = np.cumsum(width) - width
+    size, rows = int(width.sum()), int(n.max())
+    diagonal, above = np.zeros((rows + 1, size), np.uint64), np.zeros((rows + 1, size), np.uint64)
+    slot = np.full(max(x.max(initial=0) for side in (refs, hyps) for x in side) + 1, -1)
+    one, top, every = np.uint64(1), np.uint64(63), ~np.uint64(0)
+    full, first, before = (np.zeros(size, np.uint64) for _ in range(3))
+    for r, h, a, w in zip(refs, hyps, at.tolist(), width.tolist()):
+        column = np.arange(1, len(h) + 1)
+        bit = one << (column & 63).astype(np.uint64)
+        slot[h] = column - 1
+        places = np.zeros((len(h) + 1, w), np.uint64)  # the last row is of words that the other side lacks
+        np.add.at(places.ravel(), slot[h] * w + (column >> 6), bit)
+        diagonal[1 : len(r) + 1, a : a + w] = places[slot[r]]
+        slot[h] = -1
+        np.add.at(full, a + (column >> 6), bit)
+        first[a], before[a] = 2, 1
+
+    def shifted(x: np.ndarray) -> np.ndarray:
+        y = x << one
+        y[1:] |= x[:-1] >> top
+        return y
+
+    def added(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        total = x + y
+        over = total < y
+        if over.any():
+            made, passed = (int.from_bytes(np.packbits(z, bitorder="little").tobytes(), "little") for z in (over, total == every))
+            into = ((made << 1) + passed) ^ passed
+            total += np.unpackbits(np.frombuffer(into.to_bytes(size // 8 + 2, "little"), np.uint8), count=size, bitorder="little")
+        return total
+
+    up, down = full, np.zeros(size, np.uint64)
+    for equal, over in zip(diagonal[1:], above[1:]):
+        same = ((added(equal & up, up) ^ up) | equal | down) & full
+        more, less = down | (full ^ (same | up)), same & up
+        left = (shifted(more) | first) & full
+        up, down = (shifted(less) & full) | (full ^ (same | left)), left & same
+        np.bitwise_or(more, before, out=over)
+        equal ^= full ^ same
+    diagonal, above = diagonal.ravel(), above.ravel()
+    i, j, length, steps = n.copy(), m.copy(), np.zeros(len(n), int), []
+    while (live := (i | j) > 0).any():
+        cell, bit = i * size + at + (j >> 6), (j & 63).astype(np.uint64)
+        d, u = ((x[cell] >> bit & one).astype(np.int8) for x in (diagonal, above))
+        steps.append((1 - d) * (HYP - u))
+        length += live
+        i -= d | u
+        j -= (d | (1 - u)) & live
+    table = np.array(steps, np.uint8).reshape(len(steps), len(n))
+    return [table[:x, k][::-1] for k, x in enumerate(length)]
+
+
+def moves(refs: list[np.ndarray], hyps: list[np.ndarray]) -> list[np.ndarray]:
+    """Moves of each pair of texts. Equal starts and ends are paired directly, so a table is as large as what differs."""
+    heads, cores, out = [], [], [np.zeros(0, np.uint8)] * len(refs)
+    for r, h in zip(refs, hyps):
+        k = min(len(r), len(h))
+        a = k if (same := r[:k] == h[:k]).all() else int(same.argmin())
+        k -= a
+        z = k if (same := r[len(r) - k :][::-1] == h[len(h) - k :][::-1]).all() else int(same.argmin())
+        heads.append((a, z))
+        cores.append((r[a : len(r) - z], h[a : len(h) - z]))
+    one_by_one, rest = [], []
+    for k in sorted(range(len(cores)), key=lambda k: -len(cores[k][0])):
+        r, h = cores[k]
+        if len(r) and len(h):
+            (one_by_one if len(r) * len(h) > CELLS else rest).append(k)
+        else:
+            out[k] = np.full(len(r) + len(h), REF if len(r) else HYP, np.uint8)
+    while rest:
+        most, marks, some = len(cores[rest[0]][0]), 0, 0
+        while some < len(rest) and 2 * len(cores[rest[some]][0]) + 32 >= most and (marks := marks + most * (len(cores[rest[some]][1]) // 4 + 16)) <= MARKS:
+            some += 1
+        group, rest = rest[: max(some, 1)], rest[max(some, 1) :]
+        if len(group) < FEW:
+            one_by_one += group
+            continue
+        for k, x in zip(group, edit_moves(*zip(*(cores[k] for k in group)))):
+            out[k] = x
+    for k in one_by_one:
+        out[k] = np.array([REF if y is EPS else HYP if x is EPS else PAIR for x, y in edit_path(*(x.tolist() for x in cores[k]))], np.uint8)
+    return [np.concatenate([np.zeros(a, np.uint8), x, np.zeros(z, np.uint8)]) for (a, z), x in zip(heads, out)]
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """For slices of the texts (utt, r, h): the names, rows of each, and per row the words' numbers on both sides, with the words."""
+    for b in batches:
+        sizes = [pc.fill_null(pc.list_value_length(b.column(x)), 0).to_numpy(zero_copy_only=False) for x in "rh"]
+        total = np.cumsum(sizes[0] + sizes[1])
+        first = 0
+        while first < b.num_rows:
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + WORDS, "right")))
+            some = b.slice(first, last - first)
+            words = [pc.list_flatten(some.column(x)) for x in "rh"]
+            coded = pa.concat_arrays([*words, pa.array([EPS], words[0].type)]).dictionary_encode("encode")
+            codes, cut = coded.indices.to_numpy(), [np.cumsum(x[first : last - 1]) for x in sizes]
+            own = codes[: len(words[0])], codes[len(words[0]) : -1]
+            made = moves(*(np.split(x, k) for x, k in zip(own, cut)))
+            step = np.concatenate(made)
+            sides = []
+            for x, gap in zip(own, (HYP, REF)):
+                side = np.full(len(step), codes[-1])
+                side[step != gap] = x
+                sides.append(side)
+            yield some.column("utt"), np.array([len(x) for x in made]), *sides, coded.dictionary, codes[-1]
+            first = last
+
+
+def align_rows(both: DataFrame) -> DataFrame:
+    """Aligned pairs (utt, pos, ref, hyp) of texts that stand side by side (utt, r, h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for utt, n, ref, hyp, words, _ in _aligned(batches):
+            pos = np.arange(1, n.sum() + 1) - np.repeat(np.cumsum(n) - n, n)
+            of = np.repeat(np.arange(len(n)), n)
+            for k in range(0, len(of), ROWS):
+                taken = [names.take(pa.array(x[k : k + ROWS])) for names, x in ((utt, of), (words, ref), (words, hyp))]
+                yield pa.RecordBatch.from_arrays([taken[0], pa.array(pos[k : k + ROWS]), *taken[1:]], ["utt", "pos", "ref", "hyp"])
+
+    return both.select(c("utt").cast("string").alias("utt"), "r", "h").mapInArrow(run, "utt string, pos long, ref string, hyp string")
+
+
+def error_rows(both: DataFrame) -> DataFrame:
+    """Correct, substituted, inserted and deleted words (utt, c, s, i, d) of each row of texts side by side (utt, r, h).
+
+    The classes are those of :func:`aggs.classify`, counted where the texts are aligned: no pair leaves the task.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for utt, r, h in zip(b["utt"], b["r"], b["h"]):
-                r, h = list(r), list(h)
-                a = 0
-                while a < min(len(r), len(h)) and r[a] == h[a]:
-                    a += 1
-                z = 0
-                while z < min(len(r), len(h)) - a and r[-1 - z] == h[-1 - z]:
-                    z += 1
-                pairs = [(x, x) for x in r[:a]] + edit_path(r[a : len(r) - z], h[a : len(h) - z]) + [(x, x) for x in r[len(r) - z :]]
-                rows += [(utt, k + 1, x, y) for k, (x, y) in enumerate(pairs)]
-            yield pd.DataFrame(rows, columns=["utt", "pos", "ref", "hyp"])
-
-    both = ref.select("utt", c("words").alias("r")).join(hyp.select("utt", c("words").alias("h")), "utt")
-    return both.mapInPandas(run, "utt string, pos long, ref string, hyp string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for utt, n, ref, hyp, words, eps in _aligned(batches):
+            null = words.is_null().to_numpy(zero_copy_only=False)
+            d, i = hyp == eps, (ref == eps) & (hyp != eps)
+            s = ~(d | i | null[ref] | null[hyp]) & (ref != hyp)
+            ends = np.cumsum(n)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])]) for x in (~(d | i | s), s, i, d)]
+            yield pa.RecordBatch.from_arrays([utt, *(pa.array(x, pa.int64()) for x in sums)], ["utt", *"csid"])
+
+    return both.select(c("utt").cast("string").alias("utt"), "r", "h").mapInArrow(run, "utt string, c long, s long, i long, d long")
+
+
+def side_by_side(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """The texts of both sides (utt, words) as rows (utt, r, h), where both have the utterance."""
+    return ref.select("utt", c("words").alias("r")).join(hyp.select("utt", c("words").alias("h")), "utt")
+
+
+def align(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """Aligned pairs (utt, pos, ref, hyp) of the utterances of both sides (utt, words)."""
+    return align_rows(side_by_side(ref, hyp))
 
 
 def corpus_wer(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """Totals over the utterances present in ``hyp``."""
-    from .aggs import edit_counts
+    return total_errors(side_by_side(ref, hyp))
 
-    t = edit_counts(align(ref, hyp)).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "csid"])
+
+def total_errors(both: DataFrame) -> DataFrame:
+    """Totals over texts that stand side by side (utt, r, h)."""
+    t = error_rows(both).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "csid"])
     return t.withColumn("n_word", c("c") + c("s") + c("d")).withColumn("err", c("s") + c("i") + c("d"))
 
 
@@ -173,13 +323,12 @@ def alignment_quality(aligned: DataFrame, text: DataFrame, loss: float = 0.2) ->
 
 def oracle_error(nbest: DataFrame, ref: DataFrame) -> DataFrame:
     """Fewest word edits of an utterance's hypotheses (utt, hyp, words) against its reference."""
-    h = nbest.select(F.concat_ws("\t", "utt", "hyp").alias("utt"), "words")
-    r = nbest.select("utt", "hyp").join(ref.select("utt", "words"), "utt").select(F.concat_ws("\t", "utt", "hyp").alias("utt"), "words")
-    from .aggs import edit_counts
+    return least_errors(side_by_side(ref, nbest))
+
 
-    e = edit_counts(align(r, h)).select("utt", (c("s") + c("i") + c("d")).alias("err"))
-    e = r.select("utt").join(e, "utt", "left")  # an empty hypothesis of an empty reference has no pairs, and no errors
-    return e.groupBy(F.split("utt", "\t")[0].alias("utt")).agg(F.min(F.coalesce("err", F.lit(0))).alias("err"))
+def least_errors(both: DataFrame) -> DataFrame:
+    """Fewest word edits of an utterance over its rows of texts side by side (utt, r, h)."""
+    return error_rows(both).groupBy("utt").agg(F.min(c("s") + c("i") + c("d")).alias("err"))
 
 
 def rescore(nbest: DataFrame, weight: float) -> DataFrame:

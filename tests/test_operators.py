@@ -4,6 +4,7 @@ import random
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,3 +352,28 @@ def test_pretty_lines_gather_pairs_once(spark, pairs):
     out = scoring.pretty(pairs)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1
     assert len({len(out.first()[x]) for x in ("ref", "hyp", "op")}) == 1
+
+
+def test_alignments_made_together_equal_single_ones(spark, monkeypatch):
+    rng = random.Random(11)
+    made = lambda: [rng.choice("abcdef") for _ in range(rng.choice([0, 1, 5, 62, 63, 64, 65, 150]))]
+    rows = [(str(i), made(), made()) for i in range(120)] + [("eps", ["<eps>", "a", "b"], ["a", "<eps>", "b"]), ("none", None, ["a"]), ("null", ["a", None, "c"], ["b", None, "d"])]
+    df = spark.createDataFrame(rows, "utt string, r array<string>, h array<string>")
+    monkeypatch.setattr(scoring, "FEW", 1)  # before, every pair went through the single form, and counts through rows of pairs
+    numbers = [[np.array([ord(x) for x in side], int) for side in (r, h)] for _, r, h in rows[:120]]
+    kinds = {(True, False): scoring.REF, (False, True): scoring.HYP, (False, False): scoring.PAIR}
+    for (r, h), got in zip(numbers, scoring.edit_moves(*zip(*numbers))):
+        assert got.tolist() == [kinds[y is scoring.EPS, x is scoring.EPS] for x, y in scoring.edit_path(r.tolist(), h.tolist())]
+    pairs = scoring.align_rows(df)
+    counts = {tuple(x) for x in scoring.error_rows(df).collect() if sum(x[1:])}
+    assert counts == {tuple(x) for x in aggs.edit_counts(pairs).collect()} and len(counts) > 120 - 10
+
+
+def test_sides_within_rows_equal_gathered_pairs(spark):
+    from parlance.operators.helpers import ordered_list
+    from parlance.plans import adapters as v
+
+    pairs = v.pairs(spark, "/root/testdata/sf0.001")
+    want = [{x["utt"]: x["w"] for x in pairs.filter(f"{side} <> '<eps>'").groupBy("utt").agg(ordered_list(["pos", "k"], side).alias("w")).collect()} for side in ("ref", "hyp")]
+    got = v.sides(spark, "/root/testdata/sf0.001").collect()
+    assert [{x["utt"]: x[side] for x in got} for side in "rh"] == want
