@@ -80,27 +80,31 @@ def status_log(events: DataFrame, flow: dict[str, str] | None = None, first: str
 
 
 class TokenStore(StatefulProcessor):
-    """Tokens of a user by their expiry; a timer at each emits what has died and frees its state."""
+    """Tokens of a user by their expiry; a timer at the earliest emits all that have died, frees their state and waits for the next."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.live = handle.getMapState("live", "token long", "expiry long")
+        self.live = handle.getListState("live", "token long, expiry long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             tokens, ends = batch["token"].tolist(), batch["expiry_us"].tolist()
-            for token, us in zip(tokens, ends):
-                self.live.updateValue((token,), (us,))
-                self.handle.registerTimer(us // 1000 + 1)
+            self.live.appendList(list(zip(tokens, ends)))
+            self.handle.registerTimer(min(ends) // 1000 + 1)
             yield pd.DataFrame({"user": [key[0]] * len(tokens), "token": tokens, "action": "issued"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        dead = [k[0] for k, v in self.live.iterator() if v[0] // 1000 < mark]
-        for token in dead:
-            self.live.removeKey((token,))
-        if dead:
-            yield pd.DataFrame({"user": [key[0]] * len(dead), "token": sorted(dead), "action": "expired"})
+        live = {token: us for token, us in self.live.get()}  # a token issued again has its last expiry
+        dead = sorted(token for token, us in live.items() if us // 1000 < mark)
+        if not dead:
+            return
+        self.live.clear()
+        left = [(token, us) for token, us in live.items() if us // 1000 >= mark]
+        if left:
+            self.live.put(left)
+            self.handle.registerTimer(min(us for _, us in left) // 1000 + 1)
+        yield pd.DataFrame({"user": [key[0]] * len(dead), "token": dead, "action": "expired"})
 
     def close(self) -> None:
         pass

@@ -531,3 +531,19 @@ def test_large_lookups_shuffle_distinct_tokens_of_a_block(spark, monkeypatch):
     assert {r["k"]: r["words"] for r in back.collect()} == {i: w for i, w in enumerate(words) if w}
     none = maps.map_tokens(df, spark.createDataFrame([], "sym string, values array<string>"), "k", "words", permissive=True)
     assert {r["k"]: r["words"] for r in none.collect()} == dict(enumerate(words))
+
+
+def test_a_user_of_many_tokens_waits_for_one_expiry():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    state, timers = [], []
+    kept = SimpleNamespace(appendList=state.extend, get=lambda: iter(list(state)), clear=state.clear, put=state.extend)
+    store = stateful.TokenStore()
+    store.init(SimpleNamespace(getListState=lambda *_: kept, registerTimer=timers.append))
+    list(store.handleInputRows((1,), iter([pd.DataFrame({"token": range(50), "expiry_us": [k * 1000 for k in range(50)]})]), None))
+    assert timers == [1]  # before, one timer and one call to the state a token
+    dead = list(store.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 30), None))
+    assert [x["token"].tolist() for x in dead] == [list(range(30))] and timers == [1, 31] and len(state) == 20
+    assert list(store.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 30), None)) == []
