@@ -20,11 +20,19 @@ FLOW = {
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Jobs share their state by a hash of their id in this many lots, fixed for a stream's life: a call to the state, a frame and a
+#: timer then serve a lot, however many jobs there are. A lot's waiting events are worked through in memory.
+LOTS = 1 << 14
+#: Waiting events of one entry of the state that is written anew.
+ENTRY = 10_000
+
+
 class StatusMachine(StatefulProcessor):
     """Applies a job's events in event time: they wait in the state until the watermark has passed them.
 
     So neither the order of arrival nor the cut into micro-batches changes what is accepted. Events that arrive
-    behind the watermark are dropped by Spark before they get here.
+    behind the watermark are dropped by Spark before they get here. The events of a lot wait in one list, an entry for
+    each frame of arrivals, with a timer at the earliest; the status of each job is an entry of a map.
     """
 
     def __init__(self, flow: dict[str, str], first: str):
@@ -32,35 +40,43 @@ class StatusMachine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "status string")
-        self.waiting = handle.getListState("waiting", "us long, event_id long, status string")
+        self.now = handle.getMapState("now", "jobid string", "status string")
+        self.waiting = handle.getListState("waiting", "jobid array<string>, us array<long>, event_id array<string>, status array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = []
         for batch in rows:
-            times = batch["us"].tolist()
-            self.waiting.appendList(list(zip(times, batch["event_id"].tolist(), batch["status"].tolist())))
-            for ms in {us // 1000 for us in times}:
-                self.handle.registerTimer(ms + 1)
+            self.waiting.appendList([tuple(batch[x].tolist() for x in ("jobid", "us", "event_id", "status"))])
+            earliest.append(int(batch["us"].min()))
+        self.handle.registerTimer(min(earliest) // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        due, later = [], []
-        for x in self.waiting.get():
-            (due if x[0] // 1000 < mark else later).append(tuple(x))
+        due, later = {}, []
+        for entry in self.waiting.get():
+            for jobid, us, event_id, status in zip(*entry):
+                if us // 1000 < mark:
+                    due.setdefault(jobid, []).append((us, event_id is None, int(event_id or 0), status or "", status))
+                else:
+                    later.append((jobid, us, event_id, status))
         if not due:
             return
         self.waiting.clear()
         if later:
-            self.waiting.put(later)
-        now, out = self.now.get()[0] if self.now.exists() else None, []
-        for us, event_id, status in sorted(due):
-            legal = status == self.first if now is None else status in self.flow.get(now, "")
-            out.append((key[0], event_id, now, status, legal))
-            now = status if legal else now
-        if now is not None:
-            self.now.update((now,))
-        yield pd.DataFrame(out, columns=["jobid", "event_id", "before", "status", "legal"])
+            self.waiting.put([tuple(map(list, zip(*later[i : i + ENTRY]))) for i in range(0, len(later), ENTRY)])
+            self.handle.registerTimer(min(us for _, us, _, _ in later) // 1000 + 1)
+        out = []
+        for jobid, events in due.items():
+            known = self.now.getValue((jobid,))
+            before = now = known[0] if known else None
+            for _, nameless, event_id, _, status in sorted(events, key=lambda e: e[:4]):
+                legal = status == self.first if now is None else status is not None and status in self.flow.get(now, "")
+                out.append((jobid, None if nameless else event_id, now, status, legal))
+                now = status if legal else now
+            if now != before:
+                self.now.updateValue((jobid,), (now,))
+        yield pd.DataFrame(out, columns=["jobid", "event_id", "before", "status", "legal"], dtype=object)
 
     def close(self) -> None:
         pass
@@ -72,11 +88,13 @@ def status_log(events: DataFrame, flow: dict[str, str] | None = None, first: str
     ``legal`` says whether the job could take it: the first status of a job must be ``first``, each later one among those
     that may follow. An illegal event changes nothing, so a finished job stays finished and one in error leaves it
     only by a new submission, a cleanup or a deletion. Events are judged in the order of event time and id once
-    the watermark has passed them.
+    the watermark has passed them. A null status is illegal, and an event without a time, which is never passed, is left out.
     """
-    rows = events.select("jobid", "event_id", "status", "at", F.unix_micros("at").alias("us"))
+    # ids travel as texts: in a frame, numbers with nulls among them become floats
+    cols = ["jobid", F.unix_micros("at").alias("us"), c("event_id").cast("string").alias("event_id"), "status", "at"]
+    rows = events.filter("at is not null").select(F.pmod(F.xxhash64("jobid"), F.lit(LOTS)).cast("int").alias("lot"), *cols)
     schema = "jobid string, event_id long, before string, status string, legal boolean"
-    return rows.groupBy("jobid").transformWithStateInPandas(StatusMachine(flow or FLOW, first), schema, outputMode="append", timeMode="EventTime")
+    return rows.groupBy("lot").transformWithStateInPandas(StatusMachine(flow or FLOW, first), schema, outputMode="append", timeMode="EventTime")
 
 
 class TokenStore(StatefulProcessor):

@@ -547,3 +547,47 @@ def test_a_user_of_many_tokens_waits_for_one_expiry():
     dead = list(store.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 30), None))
     assert [x["token"].tolist() for x in dead] == [list(range(30))] and timers == [1, 31] and len(state) == 20
     assert list(store.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 30), None)) == []
+
+
+def test_jobs_of_a_lot_share_calls_to_the_state(monkeypatch):
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    monkeypatch.setattr(stateful, "ENTRY", 7, raising=False)
+    entries, statuses, timers, calls = [], {}, [], []
+    kept = SimpleNamespace(appendList=lambda x: (calls.append(len(x)), entries.extend(x)), get=lambda: iter(list(entries)), clear=entries.clear, put=entries.extend)
+    status = SimpleNamespace(getValue=statuses.get, updateValue=statuses.__setitem__)
+    machine = stateful.StatusMachine(stateful.FLOW, "P")
+    machine.init(SimpleNamespace(getListState=lambda *_: kept, getMapState=lambda *_: status, getValueState=lambda *_: None, registerTimer=timers.append))
+    frame = pd.DataFrame([(f"j{j}", (10 * i + j) * 1000, str(100 * i + j), "PDC"[i]) for i in range(3) for j in range(10)], columns=["jobid", "us", "event_id", "status"])
+    list(machine.handleInputRows((0,), iter([frame]), None))
+    assert timers == [1] and calls == [1]  # before, a timer an event, and a call to the state and a frame a job
+    due = list(machine.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 15), None))
+    assert len(due) == 1 and sorted(due[0]["event_id"]) == [*range(10), *range(100, 105)] and due[0]["legal"].all()
+    assert timers == [1, 16] and [len(x[0]) for x in entries] == [7, 7, 1] and statuses[("j4",)] == ("D",) and statuses[("j5",)] == ("P",)
+    assert list(machine.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 15), None)) == [] and len(entries) == 3
+    rest = list(machine.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 1000), None))
+    assert len(rest[0]) == 15 and rest[0]["legal"].all() and entries == [] and timers == [1, 16] and set(statuses.values()) == {("C",)}
+
+
+def test_status_machine_equals_a_plain_loop_over_shared_lots(spark, tmp_path, monkeypatch):
+    """Jobs of one lot do not mix; null ids and statuses, rows that come twice, and the last millisecond before the watermark."""
+    monkeypatch.setattr(stateful, "LOTS", 3, raising=False)
+    draw = random.Random(5)
+    jobs, letters = [None, *(f"j{k}" for k in range(9))], [None, *"PPPDDCQRNEUWXZ"]
+    batches = [[(draw.choice(jobs), 100 * b + i, draw.choice(letters), at(9 * b + draw.randrange(9))) for i in range(60)] for b in range(3)]
+    big = 2**53 + 1  # no float holds it
+    batches[1] += [batches[1][0], ("j1", None, "P", at(10)), (None, big, None, at(11)), ("j2", 7, "P", None)]
+    ms = dt.timedelta(milliseconds=1)
+    batches[2] += [("m", 900, "P", at(50) - ms), ("m", 901, "D", at(50)), ("n", 902, "P", at(60))]  # the watermark ends at 50
+    expected, now = [], {}
+    for job, event, status, _ in sorted((r for b in batches for r in b if r[3] and r[3] < at(50)), key=lambda r: (r[3], r[1] is None, r[1] or 0)):
+        before = now.get(job)
+        legal = status == "P" if before is None else status is not None and status in stateful.FLOW[before]
+        expected.append((job, event, before, status, legal))
+        if legal:
+            now[job] = status
+    stream = arrivals(spark, str(tmp_path / "in"), batches, "jobid string, event_id long, status string, at timestamp").withWatermark("at", "10 minutes")
+    got = rows(stateful.run_stateful(stateful.status_log(stream)), "jobid", "event_id", "before", "status", "legal")
+    assert got == sorted(expected, key=str) and ("m", 900, None, "P", True) in got
