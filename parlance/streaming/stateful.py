@@ -19,7 +19,6 @@ FLOW = {
 }
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-
 #: Jobs share their state by a hash of their id in this many lots, fixed for a stream's life: a call to the state, a frame and a
 #: timer then serve a lot, however many jobs there are. A lot's waiting events are worked through in memory.
 LOTS = 1 << 14
